@@ -18,10 +18,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from rankspark.llm.common import slices
+from rankspark.llm.common import Splitter, slices
 
 NONE = np.int32(2**31 - 1)
 #: Bytes above which a piece is merged on its own.
@@ -78,7 +77,7 @@ class Bpe:
     """A rank vocabulary: pieces to ids, ids to bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern, self.table = regex.compile(pattern), PairTable(ranks)
+        self.split, self.table = Splitter(pattern), PairTable(ranks)
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
@@ -163,7 +162,7 @@ class Bpe:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pattern.findall(t) for t in texts]
+        split = list(map(self.split, texts))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known

@@ -20,18 +20,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import block_count, slices
+from rankspark.llm.common import Splitter, block_count, slices
 
 #: Documents in a block; one block is packed by one call.
 ROWS_PER_BLOCK = 2500
 #: Bins that are open at the same time.
 OPEN_BINS = 1024
 #: Different pieces of text that a worker remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
 
 class OpenBins:
@@ -79,8 +78,7 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pattern, self.known = regex.compile(pattern), {}
-        self.plain = regex.compile(r" \p{L}+")
+        self.split, self.known = Splitter(pattern), {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -88,21 +86,21 @@ class CachedTokenizer:
 
     def _learn(self, pieces: list[str]) -> None:
         # A run of " word" pieces splits back into these pieces, so a joined text costs one call.
-        plain = [p for p in pieces if self.plain.fullmatch(p)]
+        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         for a in range(0, len(plain), 5000):
             part = plain[a : a + 5000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum(self.size[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), side="left") + 1
-            for p, x, y in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                self.known[p] = ids[x:y].astype("<u4").tobytes()
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in part])
+            cuts = (4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], strict=True))
         rest = [p for p in pieces if p not in self.known]
         for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.pattern.findall(t) for t in texts]
+        split = list(map(self.split, texts))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known

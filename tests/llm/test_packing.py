@@ -58,3 +58,19 @@ def test_cuts():
     assert packing.cut_pieces(5, 4) == [(0, 1), (1, 4)]
     assert packing.cut_pieces(4, 4) == [(0, 4)]
     assert packing.cut_pieces(1, 4) == [(0, 1)]
+
+
+def test_fast_split_is_the_pattern():
+    import random
+
+    import regex
+
+    from rankspark.llm.common import SPLIT, Splitter
+
+    assert SPLIT == public_tokenizers.PATTERN
+    split, exact, rng = Splitter(SPLIT), regex.compile(SPLIT), random.Random(4)
+    signs = [*" \n\t\x1c\x0b　'stremvlld_9aé漢²Ⅷ٣🙂-​"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 30)))
+        assert split(text) == exact.findall(text)
+    assert split.odd("plain text, é 12") is None
