@@ -108,10 +108,10 @@ class Splitter:
         self.exact = regex.compile(pattern).findall
         self.fast = self.odd = None
         if pattern == SPLIT:
-            every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+            every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))  # texts with later code points take the exact way
             kinds = [(set(regex.findall(a, every)), set(re.findall(b, every))) for a, b in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))]
             differ = sorted(set().union(*(a ^ b for a, b in kinds)))
-            self.fast, self.odd = re.compile(SPLIT_RE).findall, re.compile("[" + "".join(map(re.escape, differ)) + "]").search
+            self.fast, self.odd = re.compile(SPLIT_RE).findall, re.compile("[" + "".join(map(re.escape, differ)) + "\U00010000-\U0010ffff]").search
 
     def __call__(self, text: str) -> list[str]:
         return self.fast(text) if self.fast and not self.odd(text) else self.exact(text)
