@@ -21,6 +21,7 @@ apart by a row number only if the caller gives one (ids are taken to be unique).
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from rankspark.llm.common import mix, row_key, slices, stored
 #: Bytes of the grams that name windows.
 GRAM = 40
 #: Different segments that an anchor may have before it is split.
-CROWD = 256
+CROWD = 4096
 #: Bytes of segments that one call sorts, about.
 SORT_BYTES = 2 << 20
 
@@ -190,9 +191,9 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return x if have == width else np.minimum(x[: len(x) - (width - have)], x[width - have :])
 
 
-def anchors(raw: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor hash) of the segments of a text of at least ``size`` bytes."""
-    least = window_minima(gram_hashes(raw, gram), size - gram + 1)
+def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, anchor hash) of the segments of a text, from its gram hashes; ``width`` grams a window."""
+    least = window_minima(grams, width)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     return first, np.diff(np.concatenate([first, [len(least)]])), least[first]
 
@@ -227,14 +228,13 @@ def _columns(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def _doubled(raw: np.ndarray, size: int, gram: int, first: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+def _doubled(h: np.ndarray, width: int, first: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Which segments hold their anchor more than once, and so may repeat a window inside."""
     out = np.zeros(len(first), bool)
-    h = gram_hashes(raw, gram)
     ordered = np.sort(h)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     for k in np.flatnonzero(np.isin(anchor, again)) if len(again) else ():
-        out[k] = np.count_nonzero(h[first[k] : first[k] + n[k] + size - gram] == anchor[k]) > 1
+        out[k] = np.count_nonzero(h[first[k] : first[k] + n[k] + width - 1] == anchor[k]) > 1
     return out
 
 
@@ -243,9 +243,9 @@ def _describe(size: int, gram: int):
         for b in slices(batches, "__text"):
             out = []
             for t in b.column(2).to_pylist():
-                raw = np.frombuffer(t, np.uint8)
-                first, n, anchor = anchors(raw, size, gram)
-                out.append((first, n, anchor, 1 + _doubled(raw, size, gram, first, n, anchor)))
+                grams = gram_hashes(np.frombuffer(t, np.uint8), gram)
+                told = anchors(grams, size - gram + 1)
+                out.append((*told, 1 + _doubled(grams, size - gram + 1, *told)))
             if out:
                 counts = [len(o[0]) for o in out]
                 first, n, anchor, weight = (np.concatenate([o[k] for o in out]) for k in range(4))
@@ -308,28 +308,31 @@ def _sort_groups(size: int):
     """Rows ordered by key -> (key, seg_id, runs) of the segments with repeats, about SORT_BYTES of them at a time."""
     run_type = pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))
 
-    def judged(rows: list[tuple]) -> pa.RecordBatch | None:
+    def judged(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        held = Counter(r[0] for r in rows)
+        # A segment alone under its anchor, which it holds once, has nothing to be sorted against; its copies decide.
+        sort = [r for r in rows if held[r[0]] > 1 or r[4]]
+        flags = dict(zip(((r[0], r[1]) for r in sort), repeated_starts([r[2] for r in sort], size) if sort else (), strict=True))
         out = []
-        for (key, name, seg, copies), flag in zip(rows, repeated_starts([r[2] for r in rows], size), strict=True):
+        for key, name, seg, copies, _ in rows:
             if copies > 1:
-                flag = np.ones(len(seg) - size + 1, bool)
-            if flag.any():
+                out.append((key, name, [{"a": 0, "n": len(seg) - size + 1}]))
+            elif (flag := flags.get((key, name))) is not None and flag.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.view(np.int8), [0]])))
                 out.append((key, name, [{"a": a, "n": z - a} for a, z in edge.reshape(-1, 2).tolist()]))
-        return _columns(out, ["key", "seg_id", "runs"], [pa.int64(), pa.binary(), run_type]) if out else None
+        if out:
+            yield _columns(out, ["key", "seg_id", "runs"], [pa.int64(), pa.binary(), run_type])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "seg_id", "seg", "copies")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "seg_id", "seg", "copies", "twice")), strict=True):
                 if held > SORT_BYTES and rows[-1][0] != r[0]:
-                    if (got := judged(rows)) is not None:
-                        yield got
+                    yield from judged(rows)
                     rows, held = [], 0
                 rows.append(r)
                 held += len(r[2])
-        if rows and (got := judged(rows)) is not None:
-            yield got
+        yield from judged(rows)
 
     return run
 
@@ -345,7 +348,7 @@ def _repeats(segments: DataFrame, size: int, gram: int, crowd: int) -> DataFrame
     crowded = stored(named.where(F.col("__n") > crowd).select("key"))
     lone = "key long, seg_id binary, runs array<struct<a:int,n:int>>"
     done = segments if crowded.isEmpty() else segments.join(crowded, "key", "left_anti")
-    runs = done.select("key", "seg_id", "seg", "copies").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(size), lone)
+    runs = done.select("key", "seg_id", "seg", "copies", "twice").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(size), lone)
     if crowded.isEmpty():
         return runs
     hot = segments.join(crowded, "key", "left_semi")
@@ -355,7 +358,7 @@ def _repeats(segments: DataFrame, size: int, gram: int, crowd: int) -> DataFrame
     up = parts.select("up_key", "up_id", "off", "key", "seg_id").join(below, ["key", "seg_id"])
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("off")).alias("a"), r["n"].alias("n")))
     up = up.groupBy(F.col("up_key").alias("key"), F.col("up_id").alias("seg_id")).agg(F.flatten(F.collect_list(moved)).alias("runs"))
-    settled = whole.select("key", "seg_id", "seg", "copies").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(size), lone)
+    settled = whole.select("key", "seg_id", "seg", "copies", "twice").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(size), lone)
     return runs.unionByName(up).unionByName(settled)
 
 
