@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import as_words, mix, row_key, shuffle_partitions, slices, stored, word_hashes
+from rankspark.llm.common import as_words, mix, row_key, rows_per_batch, shuffle_partitions, slices, stored, word_hashes
 from rankspark.llm.components import components
 
 WORDS = 5
@@ -41,7 +41,7 @@ FLOOR = 32
 #: Layouts: tokens a segment at the class's largest size; every how many segments have indexed neighbours (0: none).
 LAYOUTS = ((3.0, 0), (2.4, 0), (2.4, 4), (1.6, 4))
 BITS = 2048
-BATCH = 16 << 20
+BATCH = 12 << 20
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -265,8 +265,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
             both = np.concatenate([x, y])
             both.sort()
             common = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -323,7 +323,8 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
 
     def verified(candidates: DataFrame) -> DataFrame:
         both = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
+        with rows_per_batch(df.sparkSession, 500):
+            return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
 
     edges = verified(lead)
     label = components(edges)
