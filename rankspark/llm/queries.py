@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, jaccard, langid, packing, suffixes
+from rankspark.llm import bpe, jaccard, langid, packing, pst, suffixes
 from rankspark.llm.common import remainder_is
 
 
@@ -24,6 +24,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score_texts(table(spark, sf_dir, "documents"), ~remainder_is("doc_id", 7, 2))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 200)
 
