@@ -384,14 +384,14 @@ def covered(length: int, found: list[dict] | None, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, crowd: int = CROWD, keep_text: bool = False) -> DataFrame:
-    """Per row: the id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, kept_text.
+def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, crowd: int = CROWD, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: the id, n_bytes, n_removed, n_spans, kept_sha256, with ``keep_text`` kept_text, and the ``carry`` columns.
 
     ``kept_text`` is the kept bytes as text; bytes of a character that was cut apart are left out of it.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__text"))
-    docs = docs.select(*row_key("__id", "__text"), "__id", "__text")
+    docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("__rest"))
+    docs = docs.select(*row_key("__id", "__text"), "__id", "__text", "__rest")
     found = repeated_runs(docs, size, gram, crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +406,9 @@ def remove_repeats(df: DataFrame, size: int = 200, id_col: str = "doc_id", text_
                     kept, spans = t, 0
                 rows.append((len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept.decode(errors="ignore")] if keep_text else [])))
             got = _columns(rows, ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text], [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * keep_text])
-            yield pa.RecordBatch.from_arrays([b.column(0), *got.columns], [id_col, *got.schema.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *got.columns, b.column(3)], ["__id", *got.schema.names, "__rest"])
 
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return docs.join(found, ["k1", "k2"], "left").select("__id", "__text", "found").mapInArrow(run, schema)
+    rest = docs.schema["__rest"].dataType.simpleString()
+    schema = f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text + f", __rest {rest}"
+    out = docs.join(found, ["k1", "k2"], "left").select("__id", "__text", "found", "__rest").mapInArrow(run, schema)
+    return out.select(F.col("__id").alias(id_col), *out.columns[1:-1], *[F.col("__rest").getField(c).alias(c) for c in carry])
