@@ -36,7 +36,7 @@ def _with_chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
 
     def chunk(end: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(0)).otherwise(F.element_at("__ends", F.greatest(k, F.lit(1))) + 1)
-        return F.array_join(F.slice("__lines", start + 1, end - start + 1), "\n")
+        return F.array_join(F.slice("__lines", start + 1, F.least(end - start + 1, F.size("__lines"))), "\n")  # two uses, so that the split stays outside the loop
 
     return lined.withColumn("chunks", F.transform("__ends", chunk)).drop("__digest", "__ends")
 
@@ -44,7 +44,7 @@ def _with_chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
 def _places(docs: DataFrame, window: int, divisor: int) -> DataFrame:
     """(k1, k2, __id, place, chunk) of chunks with two or more lines that hold a word."""
     places = _with_chunks(docs.where("__text IS NOT NULL"), window, divisor).select("k1", "k2", "__id", F.posexplode("chunks").alias("place", "chunk"))
-    return places.where(F.col("chunk").rlike(r"[^\x20\x09-\x0D][\S\s]*\n[\S\s]*[^\x20\x09-\x0D]"))
+    return places.where(F.size(F.filter(F.split("chunk", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) > 1)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
