@@ -89,6 +89,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the finished job
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -51,44 +51,52 @@ _MUL = [_U(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(9)]
 def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of ``text`` (uint8; its last byte must be 0), ordered by their first ``depth`` bytes.
 
-    Stage one sorts the suffixes that are smaller than their successor, eight bytes at a time, ties only. Stage two
+    Stage one sorts the suffixes that are smaller than their successor, a few bytes at a time, ties only. Stage two
     scans the buckets of first bytes upwards and puts each suffix that is larger than its successor in place.
     Suffixes equal over ``depth`` bytes come next to each other in no defined order.
     """
     n = len(text)
     if n < 2:
         return np.arange(n)
-    step = np.sign(np.diff(text.astype(np.int16))).astype(np.int8)  # next byte less (-1), equal, greater
-    at = np.where(step != 0, np.arange(n - 1), n)
+    rise = np.sign(np.diff(text.astype(np.int16))).astype(np.int8)  # next byte less (-1), equal, greater
+    at = np.where(rise != 0, np.arange(n - 1), n)
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     smaller = np.zeros(n, bool)  # than its successor; the last suffix counts as smaller, it has none
-    smaller[:-1] = (nearest < n) & (step[np.minimum(nearest, n - 2)] > 0)
+    smaller[:-1] = (nearest < n) & (rise[np.minimum(nearest, n - 2)] > 0)
     smaller[-1] = True
     first = np.flatnonzero(smaller)
-    words = np.zeros(n + 8, _U)
-    padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    for k in range(8):
-        words |= padded[k : k + n + 8].astype(_U) << _U(56 - 8 * k)
-    key = words[first]
+    # Symbols in as few bits as the text's different bytes need; one 64-bit key holds a tie's number and the next symbols.
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    bits = max(1, int(len(used) - 1).bit_length())
+    dense = np.zeros(256, _U)
+    dense[used] = np.arange(len(used))
+    room = int(n).bit_length()
+    step, lead = (63 - room) // bits, 63 // bits
+    padded = np.concatenate([dense[text], np.zeros(lead, _U)])
+    words, have = padded, 1
+    keep = {}
+    for want in sorted({step, lead}):
+        while have < want:
+            words = words[:-1] << _U(bits) | padded[have:]
+            have += 1
+        keep[want] = words[:n]
+    key = keep[lead][first]
     order = np.argsort(key)
     first, key = first[order], key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    lo = 8
-    group = np.flatnonzero(new)[np.cumsum(new) - 1]  # start of the tied run that an element is in
+    lo = lead
     while lo < depth:
-        tied = ~(new & np.concatenate([new[1:], [True]]))
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
         if not len(at):
             break
-        own = first[at]
-        key = words[np.minimum(own + lo, n + 7)]
-        order = np.lexsort((key, group[at]))
+        own, tie = first[at], np.cumsum(new[at]).astype(_U)
+        after = own + lo
+        key = tie << _U(step * bits) | np.where(after < n, keep[step][np.minimum(after, n - 1)], _U(0))
+        order = np.argsort(key)
         first[at] = own[order]
-        key, g = key[order], group[at]
-        cut_here = np.concatenate([[True], (key[1:] != key[:-1]) | (g[1:] != g[:-1])])
-        new[at] = cut_here
-        group[at] = at[np.flatnonzero(cut_here)[np.cumsum(cut_here) - 1]]
-        lo += 8
+        key = key[order]
+        new[at] = np.concatenate([[True], key[1:] != key[:-1]])
+        lo += step
 
     # Stage two. The direct ones stand in their buckets already, after the induced ones of the same first byte.
     edge = np.searchsorted(text[first], np.arange(257))
@@ -255,25 +263,20 @@ def _describe(size: int, gram: int):
 
 
 def _extract(size: int):
-    """Cut the wanted segments; a segment's bytes are given once a batch, with the number of its copies there."""
+    """Cut the wanted segments; the bytes of a segment are given once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = set()
         for b in slices(batches, "__text"):
-            rows, at, copies = [], {}, []
+            rows = []
             for k1, k2, t, parts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 for p in parts:
                     seg = t[p["first"] : p["first"] + p["n"] + size - 1]
                     name = (p["anchor"], xxhash.xxh3_128_digest(seg))
-                    if name in at:
-                        copies[at[name]] += 1
-                        rows.append([k1, k2, p["first"], *name, None, p["twice"]])
-                        copies.append(0)
-                    else:
-                        at[name] = len(rows)
-                        rows.append([k1, k2, p["first"], *name, seg, p["twice"]])
-                        copies.append(1)
+                    rows.append((k1, k2, p["first"], *name, None if name in given else seg, p["twice"]))
+                    given.add(name)
             if rows:
-                yield _columns([(*r, c) for r, c in zip(rows, copies, strict=True)], ["k1", "k2", "first", "key", "seg_id", "seg", "twice", "copies"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64()])
+                yield _columns(rows, ["k1", "k2", "first", "key", "seg_id", "seg", "twice"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()])
 
     return run
 
@@ -339,7 +342,7 @@ def _sort_groups(size: int):
 
 def _summed(df: DataFrame) -> DataFrame:
     """One row for each key and segment."""
-    return df.groupBy("key", "seg_id").agg(F.first("seg").alias("seg"), F.sum("copies").alias("copies"), F.first("fixed").alias("fixed"), F.first("long").alias("long"), F.max("twice").alias("twice"))
+    return df.groupBy("key", "seg_id").agg(F.first("seg", ignorenulls=True).alias("seg"), F.sum("copies").alias("copies"), F.first("fixed").alias("fixed"), F.first("long").alias("long"), F.max("twice").alias("twice"))
 
 
 def _repeats(segments: DataFrame, size: int, gram: int, crowd: int) -> DataFrame:
@@ -368,8 +371,8 @@ def repeated_runs(docs: DataFrame, size: int, gram: int = GRAM, crowd: int = CRO
     told = docs.mapInArrow(_describe(size, gram), f"{_KEYS}, first int, n int, anchor long, weight int")
     shared = told.groupBy("anchor").agg(F.sum("weight").alias("__w")).where("__w > 1").select("anchor")
     wanted = told.join(shared, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "anchor", (F.col("weight") > 1).alias("twice"))).alias("parts"))
-    cuts = stored(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "__text", "parts").mapInArrow(_extract(size), f"{_KEYS}, first int, key long, seg_id binary, seg binary, twice boolean, copies long"))
-    segments = stored(_summed(cuts.where("seg IS NOT NULL").withColumns({"fixed": F.lit(-1), "long": F.lit(0)})))
+    cuts = stored(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "__text", "parts").mapInArrow(_extract(size), f"{_KEYS}, first int, key long, seg_id binary, seg binary, twice boolean"))
+    segments = stored(_summed(cuts.withColumns({"copies": F.lit(1).cast("long"), "fixed": F.lit(-1), "long": F.lit(0)})))
     runs = _repeats(segments, size, gram, crowd)
     return cuts.select("k1", "k2", "first", "key", "seg_id").join(runs, ["key", "seg_id"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "runs")).alias("found"))
 
