@@ -6,7 +6,6 @@ import math
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -93,18 +92,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Hand at most ``rows`` rows at once to Python within the block, for wide rows; only actions in it are affected."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def row_key(*columns: str) -> list[Column]:
     """Two 64-bit hashes, k1 and k2, that name a row by its columns; neither is ever null."""
     return [F.xxhash64(F.lit(1), *columns, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), *reversed(columns), F.lit(7)).alias("k2")]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import as_words, mix, row_key, rows_per_batch, shuffle_partitions, slices, stored, word_hashes
+from rankspark.llm.common import as_words, mix, row_key, shuffle_partitions, slices, stored, word_hashes
 from rankspark.llm.components import components
 
 WORDS = 5
@@ -41,6 +41,8 @@ FLOOR = 32
 #: Layouts: tokens a segment at the class's largest size; every how many segments have indexed neighbours (0: none).
 LAYOUTS = ((3.0, 0), (2.4, 0), (2.4, 4), (1.6, 4))
 BITS = 2048
+#: Pairs of one pivot that are verified together.
+SHARE = 256
 BATCH = 12 << 20
 
 _U = np.uint64
@@ -263,15 +265,34 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(NUM * common >= DEN * (len(x) + len(y) - common))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """Rows in order: a pivot's text (b null), then the texts of the sets to hold against it."""
+    at, pivot = None, np.empty(0, _U)
+    for batch in batches:
+        for part in slices([batch], "__text"):
+            found = []
+            for a, b, own in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), _sets(part), strict=True):
+                if b is None:
+                    at, pivot = a, own
+                    continue
+                if a != at:
+                    raise ValueError("a pivot's text is missing")
+                both = np.concatenate([pivot, own])
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if NUM * common >= DEN * (len(pivot) + len(own) - common):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+
+def _verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate pairs that are linked. A pivot's pairs are dealt into shares of about ``SHARE``, its text to each."""
+    many = candidates.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    dealt = candidates.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"))
+    theirs = dealt.join(texts.toDF("b", "__text"), "b").select("a", "share", "b", "__text")
+    pivots = dealt.select("a", "share").distinct().join(texts.toDF("a", "__text"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "__text")
+    rows = theirs.union(pivots).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    return stored(rows.select("a", "b", "__text").mapInArrow(_verify, "a long, b long"))
 
 
 def _allocation(profile: DataFrame) -> dict[int, int]:
@@ -304,7 +325,7 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     buckets = shuffle_partitions(df.sparkSession)
     blocks = docs.select("__text").mapInArrow(_emit(plan, buckets, hot), "bucket int, sigs binary, nodes binary, counts binary, marks binary, hot binary")
     meets = stored(blocks.groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long"))
-    # A node stands for a set; the rare two sets with one node are told apart by ``more`` when they are verified.
+    # A node is 63 bits of a 128-bit hash of the set and stands for it.
     full = profile.where("n > 0")
     nodes = stored(full.groupBy("node", "more").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("places").alias("places"), F.first("spare").alias("spare")).select("node", "more", "k.k1", "k.k2", "n", "bits", "places", "spare"))
     bound = stored(_bound(meets, nodes, plan))
@@ -313,23 +334,11 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     pairs = stored(_sifted(meets.where("kind = 0").select("a", "b").union(star).distinct(), nodes))
     lead = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(bound.select("node")).distinct()
-    texts = docs.join(nodes.join(wanted, "node", "left_semi").select("k1", "k2", "node"), ["k1", "k2"]).select("node", "__text")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _sets(b)], pa.binary())], ["node", "set"])
-
-    sets = stored(texts.mapInArrow(whole, "node long, set binary"))
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        both = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        with rows_per_batch(df.sparkSession, 500):
-            return stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"))
-
-    edges = verified(lead)
+    texts = stored(docs.join(nodes.join(wanted, "node", "left_semi").select("k1", "k2", "node"), ["k1", "k2"]).select("node", "__text").dropDuplicates(["node"]))
+    edges = _verified(lead, texts)
     label = components(edges)
     rest = stored(_apart(pairs.join(lead, ["a", "b"], "left_anti"), label).select("a", "b"))
-    edges = edges.union(verified(rest))
+    edges = edges.union(_verified(rest, texts))
     label = components(edges)
     # Bound sets that share a hot signature but are in different components: each such pair is sifted and verified.
     mixed = bound.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
@@ -338,7 +347,7 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     if not mixed.isEmpty():
         one, two = (mixed.select("sig", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         cross = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (DEN * F.greatest("na", "nb") <= NUM * F.least("na", "nb"))).select("a", "b").distinct()
-        edges = edges.union(verified(stored(_sifted(cross, nodes))))
+        edges = edges.union(_verified(stored(_sifted(cross, nodes)), texts))
         label = components(edges)
     named = full.select("__id", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("__id").alias("component_id"))
