@@ -43,7 +43,7 @@ def _with_chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
 
 def _places(docs: DataFrame, window: int, divisor: int) -> DataFrame:
     """(k1, k2, __id, place, chunk) of chunks with two or more lines that hold a word."""
-    places = _with_chunks(docs.where("__text IS NOT NULL"), window, divisor).select("k1", "k2", "__id", F.posexplode("chunks").alias("place", "chunk"))
+    places = _with_chunks(docs.where("__text IS NOT NULL"), window, divisor).select("k1", "k2", "__id", F.posexplode_outer("chunks").alias("place", "chunk"))  # the inner form would have its size filter, and so all of the above, repeated below
     return places.where(F.size(F.filter(F.split("chunk", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) > 1)
 
 
