@@ -352,6 +352,7 @@ def _repeats(segments: DataFrame, size: int, gram: int, crowd: int) -> DataFrame
     lone = "key long, seg_id binary, runs array<struct<a:int,n:int>>"
     done = segments if crowded.isEmpty() else segments.join(crowded, "key", "left_anti")
     runs = done.select("key", "seg_id", "seg", "copies", "twice").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(size), lone)
+    runs = stored(runs)  # before the texts are shuffled again
     if crowded.isEmpty():
         return runs
     hot = segments.join(crowded, "key", "left_semi")
