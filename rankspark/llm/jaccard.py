@@ -40,6 +40,7 @@ HOT = 24
 FLOOR = 32
 #: Layouts: tokens a segment at the class's largest size; every how many segments have indexed neighbours (0: none).
 LAYOUTS = ((3.0, 0), (2.4, 0), (2.4, 4), (1.6, 4))
+#: Least size of a parity bitmap.
 BITS = 2048
 #: Pairs of one pivot that are verified together.
 SHARE = 256
@@ -125,7 +126,19 @@ def signatures(tokens: np.ndarray, c: int, layout: int) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((tokens & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """For each value of the tokens' last bits, whether an odd number of them has it; three bits a token or more."""
+    bits = max(BITS, 1 << (3 * len(tokens)).bit_length())
+    return np.packbits((np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the sets' difference: differing bits, the longer bitmap folded to the shorter."""
+    a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -257,8 +270,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8).view(_U) for c in ("bits_a", "bits_b"))
-        far = np.bitwise_count(x ^ y).sum(1)
+        far = np.array([least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("bits_a"), b.column("bits_b"), strict=True)])
         n, m = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
         ok = (far <= (n + m) * (NUM - DEN) // (NUM + DEN)) & (NUM * np.minimum(n, m) >= DEN * np.maximum(n, m))
         yield b.filter(pa.array(ok)).select(["a", "b"])
