@@ -329,12 +329,16 @@ def _sort_groups(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "seg_id", "seg", "copies", "twice")), strict=True):
-                if held > SORT_BYTES and rows[-1][0] != r[0]:
+            for key, name, seg, copies, twice in zip(*(b.column(c).to_pylist() for c in ("key", "seg_id", "seg", "copies", "twice")), strict=True):
+                if rows and rows[-1][0] == key and rows[-1][1] == name:
+                    last = rows[-1]
+                    last[2], last[3], last[4] = seg if last[2] is None else last[2], last[3] + copies, last[4] or twice
+                    continue
+                if held > SORT_BYTES and rows[-1][0] != key:
                     yield from judged(rows)
                     rows, held = [], 0
-                rows.append(r)
-                held += len(r[2])
+                rows.append([key, name, seg, copies, twice])
+                held += len(seg)
         yield from judged(rows)
 
     return run
@@ -345,25 +349,28 @@ def _summed(df: DataFrame) -> DataFrame:
     return df.groupBy("key", "seg_id").agg(F.first("seg", ignorenulls=True).alias("seg"), F.sum("copies").alias("copies"), F.first("fixed").alias("fixed"), F.first("long").alias("long"), F.max("twice").alias("twice"))
 
 
-def _repeats(segments: DataFrame, size: int, gram: int, crowd: int) -> DataFrame:
-    """(key, seg_id, runs) of the segments, crowded keys split first."""
-    named = segments.groupBy("key").agg(F.count("*").alias("__n"))
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows by key and segment, those with bytes first."""
+    return rows.select("key", "seg_id", "seg", "copies", "twice").repartition("key").sortWithinPartitions("key", "seg_id", F.col("seg").isNull())
+
+
+def _repeats(rows: DataFrame, size: int, gram: int, crowd: int) -> DataFrame:
+    """(key, seg_id, runs) of the segments, crowded keys split first. Rows of a segment add up; one or more has its bytes."""
+    named = rows.select("key", "seg_id").distinct().groupBy("key").agg(F.count("*").alias("__n"))
     crowded = stored(named.where(F.col("__n") > crowd).select("key"))
     lone = "key long, seg_id binary, runs array<struct<a:int,n:int>>"
-    done = segments if crowded.isEmpty() else segments.join(crowded, "key", "left_anti")
-    runs = done.select("key", "seg_id", "seg", "copies", "twice").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(size), lone)
-    runs = stored(runs)  # before the texts are shuffled again
-    if crowded.isEmpty():
+    none = crowded.isEmpty()
+    runs = stored(_in_order(rows if none else rows.join(crowded, "key", "left_anti")).mapInArrow(_sort_groups(size), lone))
+    if none:
         return runs
-    hot = segments.join(crowded, "key", "left_semi")
+    hot = stored(_summed(rows.join(crowded, "key", "left_semi")))
     whole = hot.where(F.col("long") >= size)  # a key of whole windows has one segment, so none is left here but by a hash tie
     parts = stored(hot.where(F.col("long") < size).mapInArrow(_split(size, gram), "up_key long, up_id binary, off int, key long, seg_id binary, seg binary, copies long, fixed int, long int, twice boolean"))
     below = _repeats(stored(_summed(parts)), size, gram, crowd)
     up = parts.select("up_key", "up_id", "off", "key", "seg_id").join(below, ["key", "seg_id"])
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("off")).alias("a"), r["n"].alias("n")))
     up = up.groupBy(F.col("up_key").alias("key"), F.col("up_id").alias("seg_id")).agg(F.flatten(F.collect_list(moved)).alias("runs"))
-    settled = whole.select("key", "seg_id", "seg", "copies", "twice").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(size), lone)
-    return runs.unionByName(up).unionByName(settled)
+    return runs.unionByName(up).unionByName(_in_order(whole).mapInArrow(_sort_groups(size), lone))
 
 
 def repeated_runs(docs: DataFrame, size: int, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -373,8 +380,11 @@ def repeated_runs(docs: DataFrame, size: int, gram: int = GRAM, crowd: int = CRO
     shared = told.groupBy("anchor").agg(F.sum("weight").alias("__w")).where("__w > 1").select("anchor")
     wanted = told.join(shared, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "anchor", (F.col("weight") > 1).alias("twice"))).alias("parts"))
     cuts = stored(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "__text", "parts").mapInArrow(_extract(size), f"{_KEYS}, first int, key long, seg_id binary, seg binary, twice boolean"))
-    segments = stored(_summed(cuts.withColumns({"copies": F.lit(1).cast("long"), "fixed": F.lit(-1), "long": F.lit(0)})))
-    runs = _repeats(segments, size, gram, crowd)
+    # Copies are summed without their bytes, so a segment with very many copies sends a few rows.
+    summed = cuts.groupBy("key", "seg_id").agg(F.count("*").alias("copies"), F.max("twice").alias("twice")).withColumn("seg", F.lit(None).cast("binary"))
+    bytes_ = cuts.where("seg IS NOT NULL").select("key", "seg_id", "seg", "twice").withColumn("copies", F.lit(0).cast("long"))
+    rows = bytes_.unionByName(summed).withColumns({"fixed": F.lit(-1), "long": F.lit(0)})
+    runs = _repeats(rows, size, gram, crowd)
     return cuts.select("k1", "k2", "first", "key", "seg_id").join(runs, ["key", "seg_id"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "runs")).alias("found"))
 
 
