@@ -41,10 +41,10 @@ def _with_chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
     return lined.withColumn("chunks", F.transform("__ends", chunk)).drop("__digest", "__ends")
 
 
-def _places(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    """(k1, k2, __id, place, chunk) of chunks with two or more lines that hold a word."""
-    places = _with_chunks(docs.where("__text IS NOT NULL"), window, divisor).select("k1", "k2", "__id", F.posexplode_outer("chunks").alias("place", "chunk"))  # the inner form would have its size filter, and so all of the above, repeated below
-    return places.where(F.size(F.filter(F.split("chunk", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) > 1)
+def _places(chunks: Column) -> Column:
+    """(place, chunk) of the chunks with two or more lines that hold a word."""
+    told = F.transform(chunks, lambda c, i: F.struct(i.alias("place"), c.alias("chunk")))
+    return F.filter(told, lambda x: F.size(F.filter(F.split(x["chunk"], "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))) > 1)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
@@ -55,20 +55,25 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     added = ["n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks"]
     keys = [k for k in ("k1", "k2") if k in df.columns]
     rest = [c for c in df.columns if c not in (text_col, id_col, *added) and c not in keys and not c.startswith("__")]
-    docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in [*rest, *keys]] or [F.lit(0)]).alias("__rest"))
-    docs = docs.select(*row_key("__id", "__text"), "__id", "__text", "__rest")
-    slim = docs.select("k1", "k2", "__id", "__text")
-    told = _places(slim, window, divisor).withColumn("digest", F.md5("chunk"))
-    twice = told.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
-    found = told.join(twice, "digest", "left_semi")
+    carried = [F.struct(*[F.col(f"`{c}`") for c in [*rest, *keys]]).alias("__rest")] if rest or keys else []
+    docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *carried)
+    docs = docs.select(*row_key("__id", "__text"), "__id", "__text", *["__rest"] * len(carried))
+    # Digests first; the bytes of a chunk are read only where its digest occurs twice. Both joins below read one and
+    # the same shuffle of the texts if there are no other columns. (The outer form of explode keeps Spark from
+    # repeating the whole chunking in a filter of its own.)
+    own = _with_chunks(docs.where("__text IS NOT NULL"), window, divisor).select("k1", "k2", F.explode_outer(F.transform(_places(F.col("chunks")), lambda x: F.struct(x["place"].alias("place"), F.md5(x["chunk"]).alias("digest")))).alias("x")).select("k1", "k2", "x.*")
+    twice = own.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1 AND digest IS NOT NULL").select("digest")
+    some = own.join(twice, "digest", "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("some"))
+    asked = _with_chunks(docs.join(some, ["k1", "k2"], "left"), window, divisor)
+    found = asked.select("k1", "k2", "__id", F.explode_outer(F.filter(F.transform("chunks", lambda c, i: F.struct(i.alias("place"), c.alias("chunk"))), lambda x: F.array_contains("some", x["place"]))).alias("x")).select("k1", "k2", "__id", "x.*").where("chunk IS NOT NULL")
     place = F.struct("__id", "k1", "k2", "place")
-    first = found.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-    gone = found.join(first, ["digest", "chunk"]).where(F.col("first") < place).groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
+    first = found.groupBy("chunk").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    gone = found.join(first, "chunk").where(F.col("first") < place).groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))
     both = _with_chunks(docs.join(gone, ["k1", "k2"], "left"), window, divisor)
     none = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.filter("chunks", lambda c, i: ~F.array_contains(none, i))
     count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.size(F.split(x, "\n", -1)))
-    out = both.select("__id", "__text", "__rest", "chunks", "__lines", F.when(F.size(none) > 0, kept).otherwise(F.col("chunks")).alias("kept"))
+    out = both.select("__id", "__text", *["__rest"] * len(carried), "chunks", "__lines", F.when(F.size(none) > 0, kept).otherwise(F.col("chunks")).alias("kept"))
     out = out.select(
         F.col("__id").alias(id_col),
         F.when(F.size("kept") == F.size("chunks"), F.col("__text")).otherwise(F.array_join("kept", "\n")).alias(text_col),
