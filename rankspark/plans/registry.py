@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def near(c: str | Column) -> Column:
     """Six decimals, with a nudge that keeps exact halves on one side in both engines."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6) + F.lit(0.0)  # no negative zero
 
 
 def scored(spark: SparkSession, sf_dir: str, score: str = "l_extendedprice") -> DataFrame:
@@ -66,7 +66,7 @@ CURVE = RANKS + """, hits AS (
 ), curve AS (
   SELECT directory, rank AS top_k, avg(CAST(hits AS DOUBLE) / total) AS success_rate, avg(CAST(hits AS DOUBLE) / rank) AS hit_rate
   FROM hits WHERE total > 0 AND rank <= greatest(1, CAST(floor(n * 0.5) AS BIGINT)) GROUP BY directory, rank)"""
-R6 = "round({} + 1e-9, 6)"
+R6 = "(round({} + 1e-9, 6) + 0.0)"
 
 
 @query(f"WITH {RANKS} SELECT directory, file, rank, n, score, label FROM ranks")
@@ -296,7 +296,7 @@ def atchley_encode(spark, sf_dir):
 
 @query(f"""WITH {SUPPORT}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT s.peptide, g.i, avg(list_extract(e.v, CAST(g.i AS INT))) AS x FROM support s JOIN e ON s.tcr = e.vec_id, (SELECT unnest(range(1, 65)) AS i) g WHERE s.label = 1 GROUP BY s.peptide, g.i),
 v AS (SELECT peptide, list(x ORDER BY i) AS mean FROM m GROUP BY peptide)
-SELECT v.peptide, e.vec_id AS tcr, {R6.format('list_inner_product(e.v, v.mean)')} AS score FROM v CROSS JOIN e ANTI JOIN support s ON s.peptide = v.peptide AND s.tcr = e.vec_id""")
+SELECT v.peptide, e.vec_id AS tcr, {R6.format('list_inner_product(e.v, v.mean)')} AS score FROM v CROSS JOIN e WHERE NOT EXISTS (SELECT 1 FROM support s WHERE s.peptide = v.peptide AND s.tcr = e.vec_id)""")
 def prototype_fewshot_score(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tcr"), "embedding")
     drawn = kshot_support(spark, sf_dir)
