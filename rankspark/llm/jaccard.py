@@ -8,7 +8,10 @@ two share at least one signature of a segment or of a neighbour of it.
 The allocation is by cost: for each class, the cheapest of several layouts (``LAYOUTS``, and single tokens) under
 which every set of the corpus has enough units; counted over all sets, so no link can be lost. Segments that many sets
 share ("hot") are skipped by every set that has units to spare; only sets that need them ("bound") are compared through
-them, by a star around the least set and then between the components that are left.
+them: by a star around the set with the fewest tokens, then between the components that are left. Bound sets that share
+no other signature must share more hot ones than they have units to spare, so each meets others only through its rarest
+hot signatures, as many as it has beyond its spare units; and where a signature is one token, the tokens that are not
+hot ("loose") all count as differences.
 
 Signatures travel in blocks (one row for a batch and a bucket). Candidates are sifted by a parity bitmap (its bit
 difference never exceeds the set difference) and verified on whole sets. Only one link a set is verified first; other
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm.common import as_words, mix, row_key, shuffle_partitions, slices, stored, word_hashes
@@ -319,12 +322,16 @@ def _allocation(profile: DataFrame) -> dict[int, int]:
 
 
 def _bound(meets: DataFrame, nodes: DataFrame, plan: dict[int, int]) -> DataFrame:
-    """Hot memberships (sig, node) of the sets that have too few units without hot signatures."""
+    """Hot memberships (sig, node, n, loose, rare) of the sets that have too few units without hot signatures."""
     hot = meets.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("place")).distinct()
     chosen = F.create_map(*[F.lit(x) for c in range(64) for x in (c, plan.get(c, len(LAYOUTS)))])
-    spare = nodes.select("node", F.posexplode(F.arrays_zip("places", "spare")).alias("role", "x")).select((F.col("node") + F.col("role")).alias("place"), F.element_at("x.spare", F.element_at(chosen, F.col("x.places")) + 1).alias("room"))
-    short = hot.groupBy("place").agg(F.count("*").alias("hot")).join(spare, "place").where("hot > room").select("place")
-    return hot.join(short, "place", "left_semi").select("sig", F.col("place").bitwiseAND(-2).alias("node")).distinct()
+    single = F.col("x.places").isin([c for c in range(64) if c == 0 or plan.get(c, len(LAYOUTS)) == len(LAYOUTS)])
+    spare = nodes.select("node", "n", F.posexplode(F.arrays_zip("places", "spare")).alias("role", "x")).select((F.col("node") + F.col("role")).alias("place"), "n", single.alias("single"), F.element_at("x.spare", F.element_at(chosen, F.col("x.places")) + 1).alias("room"))
+    short = hot.groupBy("place").agg(F.count("*").alias("hot")).join(spare, "place").where("hot > room")
+    short = short.select("place", "n", F.when(F.col("single"), F.greatest(F.col("n") - F.col("hot"), F.lit(0))).otherwise(0).alias("loose"), (F.col("hot") - F.col("room")).alias("prefix"))
+    own = hot.join(short, "place").join(hot.groupBy("sig").agg(F.count("*").alias("crowd")), "sig")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("crowd", "sig"))
+    return own.select("sig", F.col("place").bitwiseAND(-2).alias("node"), "n", "loose", (rank <= F.col("prefix")).alias("rare"))
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -341,8 +348,8 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     full = profile.where("n > 0")
     nodes = stored(full.groupBy("node", "more").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("places").alias("places"), F.first("spare").alias("spare")).select("node", "more", "k.k1", "k.k2", "n", "bits", "places", "spare"))
     bound = stored(_bound(meets, nodes, plan))
-    least = bound.groupBy("sig").agg(F.min("node").alias("least"))
-    star = bound.join(least, "sig").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    centre = bound.groupBy("sig").agg(F.min(F.struct("loose", "n", "node")).getField("node").alias("a"))
+    star = bound.join(centre, "sig").where("node <> a").select("a", F.col("node").alias("b"))
     pairs = stored(_sifted(meets.where("kind = 0").select("a", "b").union(star).distinct(), nodes))
     lead = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(bound.select("node")).distinct()
@@ -352,13 +359,15 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     rest = stored(_apart(pairs.join(lead, ["a", "b"], "left_anti"), label).select("a", "b"))
     edges = edges.union(_verified(rest, texts))
     label = components(edges)
-    # Bound sets that share a hot signature but are in different components: each such pair is sifted and verified.
-    mixed = bound.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    mixed = mixed.join(mixed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "sig", "left_semi").join(nodes.select("node", "n"), "node")
+    # Bound sets that share a rare hot signature but are in different components are sifted and verified.
+    mixed = bound.where("rare").join(label, "node", "left").select("sig", "node", "n", "loose", F.coalesce("label", "node").alias("label"))
+    mixed = mixed.join(mixed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "sig", "left_semi")
     mixed = stored(mixed)
     if not mixed.isEmpty():
-        one, two = (mixed.select("sig", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-        cross = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (DEN * F.greatest("na", "nb") <= NUM * F.least("na", "nb"))).select("a", "b").distinct()
+        one, two = (mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "loose")]) for x in "ab")
+        apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+        near = (DEN * F.greatest("n_a", "n_b") <= NUM * F.least("n_a", "n_b")) & ((NUM + DEN) * (F.col("loose_a") + F.col("loose_b")) <= (NUM - DEN) * (F.col("n_a") + F.col("n_b")))
+        cross = one.join(two, "sig").where(apart & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         edges = edges.union(_verified(stored(_sifted(cross, nodes)), texts))
         label = components(edges)
     named = full.select("__id", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
