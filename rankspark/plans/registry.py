@@ -205,6 +205,21 @@ def negative_pool_anti(spark, sf_dir):
     return pairs.negatives(pos, pos, "peptide", "tcr")
 
 
+@query(f"WITH {NEG} SELECT peptide, tcr FROM neg SEMI JOIN (SELECT p_partkey FROM part WHERE p_size > 10) a ON neg.tcr = a.p_partkey")
+def allowed_negatives_semi(spark, sf_dir):
+    allowed = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("tcr"))
+    return negative_pool_anti(spark, sf_dir).join(allowed, "tcr", "left_semi").select("peptide", "tcr")
+
+
+@query(f"""WITH r AS (SELECT p_partkey, upper(trim(p_brand)) AS a, upper(trim(split_part(p_name, ' ', 1))) AS b, upper(trim(split_part(p_name, ' ', 2))) AS p FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(a, '^[{pairs.ALPHABET}]+$') THEN a ELSE 'UNK' END AS tra, b AS trb, p AS peptide FROM r WHERE regexp_matches(b, '^[{pairs.ALPHABET}]+$') AND regexp_matches(p, '^[{pairs.ALPHABET}]+$')""")
+def resolve_and_filter_pairs(spark, sf_dir):
+    word = F.split("p_name", " ")
+    named = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("a"), F.get(word, 0).alias("b"), F.get(word, 1).alias("p"))
+    clean = named.select("p_partkey", F.coalesce(pairs.clean_sequence("a"), F.lit("UNK")).alias("tra"), pairs.clean_sequence("b").alias("trb"), pairs.clean_sequence("p").alias("peptide"))
+    return clean.where("trb IS NOT NULL AND peptide IS NOT NULL")
+
+
 DRAW = "md5('7:' || peptide || ':' || tcr)"
 SUPPORT = NEG + f""", support AS (
   SELECT peptide, tcr, 1 AS label FROM (SELECT *, row_number() OVER (PARTITION BY peptide ORDER BY {DRAW}, tcr) AS rn FROM (SELECT DISTINCT peptide, tcr FROM pos)) WHERE rn <= 2
