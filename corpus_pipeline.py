@@ -48,7 +48,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage), ("repeated_strings", repeat_stage), ("packing", packing_stage)]
-#: SQL cannot express the stages (rank profiles, tokenization); tests hold each against brute force.
+#: SQL cannot express the stages (rank profiles, tokenization); a test runs planted cases, the operators have tests of their own.
 ORACLE_SQL = None
 
 
