@@ -10,8 +10,9 @@ which every set of the corpus has enough units; counted over all sets, so no lin
 share ("hot") are skipped by every set that has units to spare; only sets that need them ("bound") are compared through
 them: by a star around the set with the fewest tokens, then between the components that are left. Bound sets that share
 no other signature must share more hot ones than they have units to spare, so each meets others only through its rarest
-hot signatures, as many as it has beyond its spare units; and where a signature is one token, the tokens that are not
-hot ("loose") all count as differences.
+hot signatures, as many as it has beyond its spare units. Where a signature is one token, two such sets have no more in
+common than what stands at or after the first one that they share in the order of rareness, and ``FOLD`` parity bits
+bound their difference too; the join itself drops pairs that are too far apart by either.
 
 Signatures travel in blocks (one row for a batch and a bucket). Candidates are sifted by a parity bitmap (its bit
 difference never exceeds the set difference) and verified on whole sets. Only one link a set is verified first; other
@@ -45,6 +46,8 @@ FLOOR = 32
 LAYOUTS = ((3.0, 0), (2.4, 0), (2.4, 4), (1.6, 4))
 #: Least size of a parity bitmap.
 BITS = 2048
+#: Bits of the parity bitmap that goes along to the join of bound sets, in words of 64.
+FOLD = 512
 #: Pairs of one pivot that are verified together.
 SHARE = 256
 BATCH = 12 << 20
@@ -128,9 +131,9 @@ def signatures(tokens: np.ndarray, c: int, layout: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity(tokens: np.ndarray) -> bytes:
+def parity(tokens: np.ndarray, bits: int = 0) -> bytes:
     """For each value of the tokens' last bits, whether an odd number of them has it; three bits a token or more."""
-    bits = max(BITS, 1 << (3 * len(tokens)).bit_length())
+    bits = bits or max(BITS, 1 << (3 * len(tokens)).bit_length())
     return np.packbits((np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -161,14 +164,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for s in _sets(b):
             if not len(s):
-                rows.append((0, 0, 0, None, None, None, None))
+                rows.append((0, 0, 0, None, None, None, None, None))
                 continue
             where = places(len(s))
             both = [[layout_of(s, c, k) for k in range(len(LAYOUTS) + 1)] for c in where]
-            rows.append((*digest(s), len(s), parity(s), where, [[u - needed(len(s), c) for u, _ in own] for c, own in zip(where, both, strict=True)], [[x for _, x in own] for own in both]))
-        node, more, n, bits, where, spare, cost = zip(*rows, strict=True)
+            rows.append((*digest(s), len(s), parity(s), np.frombuffer(parity(s, FOLD), np.int64), where, [[u - needed(len(s), c) for u, _ in own] for c, own in zip(where, both, strict=True)], [[x for _, x in own] for own in both]))
+        node, more, n, bits, fold, where, spare, cost = zip(*rows, strict=True)
         deep = pa.list_(pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(where, pa.list_(pa.int32())), pa.array(spare, deep), pa.array(cost, deep)], ["k1", "k2", "__id", "node", "more", "n", "bits", "places", "spare", "cost"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64())), pa.array(where, pa.list_(pa.int32())), pa.array(spare, deep), pa.array(cost, deep)], ["k1", "k2", "__id", "node", "more", "n", "bits", "fold", "places", "spare", "cost"])
 
 
 def _emit(plan: dict[int, int], buckets: int, most: int):
@@ -322,16 +325,19 @@ def _allocation(profile: DataFrame) -> dict[int, int]:
 
 
 def _bound(meets: DataFrame, nodes: DataFrame, plan: dict[int, int]) -> DataFrame:
-    """Hot memberships (sig, node, n, loose, rare) of the sets that have too few units without hot signatures."""
+    """Hot memberships (sig, node, n, loose, rare, after) of the sets that have too few units without hot signatures.
+
+    ``after``: the most that the set can share with one whose first shared signature this is.
+    """
     hot = meets.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("place")).distinct()
     chosen = F.create_map(*[F.lit(x) for c in range(64) for x in (c, plan.get(c, len(LAYOUTS)))])
     single = F.col("x.places").isin([c for c in range(64) if c == 0 or plan.get(c, len(LAYOUTS)) == len(LAYOUTS)])
     spare = nodes.select("node", "n", F.posexplode(F.arrays_zip("places", "spare")).alias("role", "x")).select((F.col("node") + F.col("role")).alias("place"), "n", single.alias("single"), F.element_at("x.spare", F.element_at(chosen, F.col("x.places")) + 1).alias("room"))
     short = hot.groupBy("place").agg(F.count("*").alias("hot")).join(spare, "place").where("hot > room")
-    short = short.select("place", "n", F.when(F.col("single"), F.greatest(F.col("n") - F.col("hot"), F.lit(0))).otherwise(0).alias("loose"), (F.col("hot") - F.col("room")).alias("prefix"))
+    short = short.select("place", "n", F.when(F.col("single"), F.greatest(F.col("n") - F.col("hot"), F.lit(0))).otherwise(0).alias("loose"), "single", "hot", (F.col("hot") - F.col("room")).alias("prefix"))
     own = hot.join(short, "place").join(hot.groupBy("sig").agg(F.count("*").alias("crowd")), "sig")
     rank = F.row_number().over(Window.partitionBy("place").orderBy("crowd", "sig"))
-    return own.select("sig", F.col("place").bitwiseAND(-2).alias("node"), "n", "loose", (rank <= F.col("prefix")).alias("rare"))
+    return own.select("sig", F.col("place").bitwiseAND(-2).alias("node"), "n", "loose", (rank <= F.col("prefix")).alias("rare"), F.when(F.col("single"), F.col("hot") - rank + 1).otherwise(F.col("n")).alias("after"))
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -339,14 +345,14 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     docs = docs.select(*row_key("__id", "__text"), "__id", "__text")
     kind = df.schema[id_col].dataType.simpleString()
-    profile = stored(docs.mapInArrow(_profile, f"k1 long, k2 long, __id {kind}, node long, more long, n long, bits binary, places array<int>, spare array<array<int>>, cost array<array<int>>"))
+    profile = stored(docs.mapInArrow(_profile, f"k1 long, k2 long, __id {kind}, node long, more long, n long, bits binary, fold array<long>, places array<int>, spare array<array<int>>, cost array<array<int>>"))
     plan = _allocation(profile)
     buckets = shuffle_partitions(df.sparkSession)
     blocks = docs.select("__text").mapInArrow(_emit(plan, buckets, hot), "bucket int, sigs binary, nodes binary, counts binary, marks binary, hot binary")
     meets = stored(blocks.groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long"))
     # A node is 63 bits of a 128-bit hash of the set and stands for it.
     full = profile.where("n > 0")
-    nodes = stored(full.groupBy("node", "more").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("places").alias("places"), F.first("spare").alias("spare")).select("node", "more", "k.k1", "k.k2", "n", "bits", "places", "spare"))
+    nodes = stored(full.groupBy("node", "more").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold"), F.first("places").alias("places"), F.first("spare").alias("spare")).select("node", "more", "k.k1", "k.k2", "n", "bits", "fold", "places", "spare"))
     bound = stored(_bound(meets, nodes, plan))
     centre = bound.groupBy("sig").agg(F.min(F.struct("loose", "n", "node")).getField("node").alias("a"))
     star = bound.join(centre, "sig").where("node <> a").select("a", F.col("node").alias("b"))
@@ -360,13 +366,17 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     edges = edges.union(_verified(rest, texts))
     label = components(edges)
     # Bound sets that share a rare hot signature but are in different components are sifted and verified.
-    mixed = bound.where("rare").join(label, "node", "left").select("sig", "node", "n", "loose", F.coalesce("label", "node").alias("label"))
+    mixed = bound.where("rare").join(label, "node", "left").select("sig", "node", "n", "after", F.coalesce("label", "node").alias("label"))
     mixed = mixed.join(mixed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "sig", "left_semi")
-    mixed = stored(mixed)
+    mixed = stored(mixed.join(nodes.select("node", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLD // 64)]), "node"))
     if not mixed.isEmpty():
-        one, two = (mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "loose")]) for x in "ab")
+        words = [f"f{k}" for k in range(FOLD // 64)]
+        one, two = (mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "after", *words)]) for x in "ab")
         apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-        near = (DEN * F.greatest("n_a", "n_b") <= NUM * F.least("n_a", "n_b")) & ((NUM + DEN) * (F.col("loose_a") + F.col("loose_b")) <= (NUM - DEN) * (F.col("n_a") + F.col("n_b")))
+        near = (NUM + DEN) * F.least("after_a", "after_b") >= DEN * (F.col("n_a") + F.col("n_b"))
+        for k in range(1, len(words) + 1):  # by the first word, the first two and so on: most pairs end early
+            far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[:k]), F.lit(0))
+            near &= (NUM + DEN) * far <= (NUM - DEN) * (F.col("n_a") + F.col("n_b"))
         cross = one.join(two, "sig").where(apart & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         edges = edges.union(_verified(stored(_sifted(cross, nodes)), texts))
         label = components(edges)
