@@ -1,16 +1,17 @@
 """Language-model scores by a probabilistic suffix tree over words (operator 4).
 
 Symbols are a text's lower-cased words and one end. A state is a context of up to ``DEPTH`` symbols; the root is the
-add-one unigram distribution over all learned symbols. Counting runs over all learning texts, one pass a depth: each
-task sums its own grams, one shuffle sums the tasks. A gram is an entry of its state if it has at least ``SHARE`` of
-all learning tokens (and two), so a depth has at most 1/``SHARE`` entries whatever the corpus, and a deeper gram can
+add-one unigram distribution over all learned symbols. A gram of symbols is an entry of its state if it occurs at least
+``LEAST`` times in all learning texts, at every depth and size, so a larger corpus gives more states; a deeper gram can
 only be an entry if both shorter ones are. A state stays if its next-symbol distribution diverges from its suffix's by
 more than a penalty for its entries (half the logarithm of its count for each); suffixes of states that stay, stay.
 Entries are discounted; the mass left goes to the suffix's distribution over all other symbols, so that every state
 sums to one. A symbol is scored from the longest suffix that is a state.
 
-Word counts have no bound and are not broadcast: a chunk of texts sends each different word once to its bucket, with
-its learning count, and gets the corpus count back.
+No table is broadcast or collected. A chunk of texts sends each different word once to its word's bucket, with its
+learning count, and gets the corpus count and a symbol back; then it sends each different (context, symbol) once to the
+bucket of the context's last symbol, where that symbol's states of all depths are counted, tested and used, and gets
+the scores back, in single precision. ``learn`` makes the same tree in memory, for small corpora; a test holds the two equal.
 
 Defined results: null text is the empty text (one token, the end); with nothing to learn from every probability is 1
 of the one unknown symbol.
@@ -28,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import as_words, shuffle_partitions, slices, stored
+from rankspark.llm.common import as_words, mix, shuffle_partitions, slices, stored
 
 DEPTH = 2
-#: Share of all learning tokens from which a gram is an entry; its reciprocal must stay below 2**20.
-SHARE = 5e-6
+#: Occurrences in the learning texts from which a word is a symbol of its own and a gram an entry.
+LEAST = 2
 DISCOUNT = 0.5
 #: Bytes of text in a chunk.
 CHUNK = 12 << 20
@@ -41,8 +42,9 @@ END_WORD, END, RARE = "\n", 1, 0
 
 _BITS = 20
 _U = np.uint64
-_ROOT = np.uint32(1 << 31)
-NAMES = ["kind", "chunk", "bucket", "words", "numbers", "id", "learned", "score"]
+_NONE = np.uint32((1 << 32) - 1)
+NAMES = ["kind", "chunk", "bucket", "words", "numbers", "id", "learned"]
+_PLACED = ["kind", "chunk", "bucket", "last", "first", "symbol", "n", "own", "own_count", "id", "learned", "n_tokens", "n_known", "base_score", "fixed", "at"]
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,17 +214,18 @@ def _grams(model, depth: int):
     return run
 
 
-def learn(texts: DataFrame, share: float = SHARE) -> Model:
-    """The model of all rows of ``texts`` (column __text)."""
+def learn(texts: DataFrame, least: int = LEAST) -> Model:
+    """The model of all rows of ``texts`` (column __text) in the driver's memory; queries score without it."""
     spark = texts.sparkSession
     blocks = texts.select("__text").mapInArrow(_word_counts(shuffle_partitions(spark)), "bucket int, words array<string>, numbers binary")
     found = stored(blocks.groupBy("bucket").applyInArrow(_frequent, "word string, n long, types long"))
     sums = found.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    least = max(2, int(np.ceil(share * sums.n)))
-    often = found.where(F.col("word").isNotNull() & (F.col("n") >= least)).select("word", "n").toArrow()  # at most 1/share rows
+    often = found.where(F.col("word").isNotNull() & (F.col("n") >= least)).select("word", "n").toArrow()
+    if often.num_rows + 2 > 1 << _BITS:
+        raise ValueError("too many words for a model in memory; use score_texts")
     model = Model(often.column("word").to_pylist(), often.column("n").to_numpy(), sums.n, sums.v)
     for d in range(1, DEPTH + 1):
-        sent = spark.sparkContext.broadcast(model)  # bounded by the share
+        sent = spark.sparkContext.broadcast(model)
         grams = texts.select("__text").mapInArrow(_grams(sent, d), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
         if not grams.num_rows:
             break
@@ -230,19 +233,16 @@ def learn(texts: DataFrame, share: float = SHARE) -> Model:
     return model.close()
 
 
-def _chunks(model, buckets: int):
-    """Rows of kind 0 (chunk, bucket, words, counts) and of kind 1 (chunk; for each text: word numbers, score so far)."""
+def _chunks(buckets: int):
+    """Rows of kind 0 (chunk, bucket, words, counts) and of kind 1 (chunk; for each text its word numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = model.value
         for number, b in enumerate(slices(batches, "__text", CHUNK)):
             chunk = TaskContext.get().partitionId() << 24 | number
             learned = b.column("learn").to_numpy(zero_copy_only=False)
             offsets, words = as_words(b.column("__text"))
             tokens = np.diff(offsets) + 1
             stops = np.cumsum(tokens)
-            symbols, scored = tree.symbols(words, offsets)
-            part, rooted = tree.score(symbols, scored)
             coded = words.dictionary_encode()
             names = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END_WORD])])
             end = len(names) - 1
@@ -254,47 +254,178 @@ def _chunks(model, buckets: int):
             order, edge, own = _by_bucket(names, buckets)
             rank = np.empty(end + 1, "<u4")
             rank[order] = np.arange(end + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(own), pa.int32()), pa.array([chunk] * len(own), pa.int64()), *_blocks(names, counts, order, edge, own), *(pa.nulls(len(own), t) for t in (b.schema.field(0).type, pa.bool_(), pa.float64()))], NAMES)
-            numbers = rank[numbers] | np.where(rooted, _ROOT, np.uint32(0))
-            raw, ends = numbers.astype("<u4").tobytes(), (4 * stops).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(own), pa.int32()), pa.array([chunk] * len(own), pa.int64()), *_blocks(names, counts, order, edge, own), *(pa.nulls(len(own), t) for t in (b.schema.field(0).type, pa.bool_()))], NAMES)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.array([raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], pa.binary()), b.column(0), pa.array(learned), pa.array(np.add.reduceat(part, stops - tokens))], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), _cut(rank[numbers], stops), b.column(0), pa.array(learned)], NAMES)
 
     return run
 
 
-def _total(key: tuple, table: pa.Table) -> pa.Table:
-    """Corpus counts of a bucket's words, in the order in which each chunk sent them."""
-    _, total, at, stops = _summed(table)
-    raw, ends = total[at].tobytes(), (8 * stops).tolist()
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "counts": pa.array([raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], pa.binary())})
+def _packed(values: np.ndarray) -> bytes:
+    """The number of values, then their bytes, compressed plane by plane; blocks are most of what is stored and shuffled."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _length(raw: bytes) -> int:
+    return int.from_bytes(raw[:4], "little")
+
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = pa.decompress(memoryview(raw)[4:], decompressed_size=_length(raw) * size, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _finish(floor: float):
-    def run(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        """Known tokens, the base and the whole score of each text of a chunk."""
-        parts = sorted(zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist(), strict=True))
-        count = np.frombuffer(b"".join(p for _, p in parts), "<i8")
-        weight, rows = np.log10(count + 1.0) - floor, []
-        for x, s in zip(texts.column("numbers").to_pylist(), texts.column("score").to_pylist(), strict=True):
-            x = np.frombuffer(x, "<u4")
-            at = x & ~_ROOT
-            each = weight[at]
-            rows.append((len(x), int(np.count_nonzero(count[at])), float(each.sum()), s + float(each[(x & _ROOT) != 0].sum())))
-        n, known, base, score = zip(*rows, strict=True) if rows else ((),) * 4
-        return pa.table({"id": texts.column("id"), "learned": texts.column("learned"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+def _cut(values: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The packed values, cut at the stops."""
+    return pa.array([_packed(values[x:y]) for x, y in zip([0, *stops], stops, strict=False)], pa.binary())
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(_unpacked(raw, kind) for raw in column.to_pylist())])
+
+
+def _total(buckets: int, least: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Corpus counts and symbols of a bucket's words, in the order in which each chunk sent them; chunk -1 has the sums."""
+        names, total, at, stops = _summed(table)
+        often = total >= least
+        symbol = np.where(often, 2 + key[0].as_py() + buckets * (np.cumsum(often) - 1), RARE)
+        if symbol.max() >= 1 << 32:
+            raise ValueError("more than 2**32 symbols")
+        if (end := names.index(END_WORD).as_py()) >= 0:
+            symbol[end] = END
+        out = pa.table({"chunk": table.column("chunk").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "counts": _cut(total[at], stops), "symbols": _cut(symbol.astype("<u4")[at], stops), "tokens": pa.nulls(len(stops), pa.int64()), "types": pa.nulls(len(stops), pa.int64())})
+        sums = {"chunk": [-1], "bucket": [key[0].as_py()], "counts": [None], "symbols": [None], "tokens": [int(total.sum())], "types": [int(np.count_nonzero(total))]}
+        return pa.concat_tables([out, pa.Table.from_pydict(sums, schema=out.schema)])
 
     return run
 
 
-def score_texts(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def _ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of 32-bit numbers in order, as two arrays, and which pair each place has."""
+    code, at = np.unique(high.astype(_U) << _U(32) | low.astype(_U), return_inverse=True)
+    return (code >> _U(32)).astype(np.int64), (code & _U(_NONE)).astype(np.int64), at
+
+
+def _placed(buckets: int, floor: float):
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        """Rows of kind 0 (the chunk's different contexts and symbols, by bucket) and of kind 1 (texts, by place)."""
+        told = told.sort_by("bucket")
+        count, symbols = _joined(told.column("counts"), "<i8"), _joined(told.column("symbols"), "<u4").astype(np.int64)
+        number = _joined(texts.column("numbers"), "<u4")
+        tokens = np.array([_length(x) for x in texts.column("numbers").to_pylist()])
+        start = np.cumsum(tokens) - tokens
+        w, weight = symbols[number], (np.log10(count + 1.0) - floor)[number]
+        last = np.concatenate([[0], w[:-1]])
+        last[start] = END
+        first = np.concatenate([[0], last[:-1]])
+        first[start] = RARE  # nothing stands before the first END
+        some = last != RARE
+        fixed = np.where(some & (w != RARE), 0.0, weight)
+        learned = np.repeat(texts.column("learned").to_numpy(), tokens)
+        a, b, at = _ranked(last[some], first[some])
+        pair, c, at = _ranked(at, w[some])
+        n = np.bincount(at, learned[some].astype(np.float64), len(pair))
+        a, b = a[pair], b[pair]
+        bucket = (mix(a.astype(_U)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        where = np.full(len(w), _NONE, "<u4")
+        where[some] = place[at]
+        a, b, c, n, bucket = a[order], b[order], c[order], n[order], bucket[order]
+        own = np.unique(bucket)
+        stops = np.searchsorted(bucket, own, side="right")
+        known = np.argsort(symbols, kind="stable")
+        names, numbers = [], []
+        for x, y in zip([0, *stops], stops, strict=False):
+            u = np.unique(c[x:y])
+            u = u[u != RARE]
+            names.append(_packed(u.astype("<u4")))
+            numbers.append(_packed(count[known[np.searchsorted(symbols, u, sorter=known)]]))
+        k, m, kind = len(own), len(tokens), texts.schema.field("id").type
+        chunk = key[0].as_py()
+        sums = lambda x: np.add.reduceat(x, start)
+        sent = [pa.array([0] * k, pa.int32()), pa.array([chunk] * k, pa.int64()), pa.array(own, pa.int32()), *(_cut(x.astype("<u4"), stops) for x in (a, b, c, n)), pa.array(names, pa.binary()), pa.array(numbers, pa.binary()), *(pa.nulls(k, t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
+        kept = [pa.array([1] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.binary()) for _ in range(6)), texts.column("id").combine_chunks(), texts.column("learned").combine_chunks(), pa.array(tokens, pa.int64()), pa.array(sums((count[number] > 0).astype(np.int64)), pa.int64()), pa.array(sums(weight)), pa.array(sums(fixed)), _cut(where, start + tokens)]
+        return pa.concat_tables([pa.Table.from_arrays(sent, _PLACED), pa.Table.from_arrays(kept, _PLACED)])
+
+    return run
+
+
+def _states(context: np.ndarray, size: int, total: np.ndarray, n: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of the entries (``context`` is the place of each one's state), log10 of each state's rest, which diverge."""
+    p = (n - DISCOUNT) / total[context]
+    sums = lambda x: np.bincount(context, x, size)
+    entries = np.bincount(context, minlength=size)
+    rest = np.maximum(1 - sums(p), 1e-9) / np.maximum(1 - sums(suffix), 1e-9)
+    gain = sums(n * np.log(p / suffix)) + (total - sums(n)) * np.log(rest)
+    return np.log10(p), np.log10(rest), (entries > 0) & (gain > 0.5 * (entries + 1) * np.log(np.maximum(total, 2)))
+
+
+def _scores(size: float, least: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Scores of the bucket's contexts and symbols, in the order in which each chunk sent them."""
+        sent = [_joined(table.column(x), "<u4") for x in ("last", "first", "symbol", "n")]
+        stops = np.cumsum([_length(x) for x in table.column("n").to_pylist()])
+        name, once = np.unique(_joined(table.column("own"), "<u4"), return_index=True)
+        root = (_joined(table.column("own_count"), "<i8")[once] + 1.0) / size
+        last, first, at = _ranked(sent[0], sent[1])
+        two, symbol, back = _ranked(at, sent[2])
+        n = np.bincount(back, sent[3].astype(np.float64), len(two))
+        state, one = np.unique(last, return_inverse=True)  # depth 1: states, and the state of each longer context
+        _, word, gram = _ranked(one[two], symbol)
+        own = one[two]
+        n1 = np.bincount(gram, n, len(word))
+        of = np.empty(len(word), np.int64)
+        of[gram] = own
+        total1, total2 = np.bincount(own, n, len(state)), np.bincount(two, n, len(last))
+        entry1 = (word != RARE) & (n1 >= least)
+        entry2 = (first[two] != RARE) & (symbol != RARE) & (n >= least)
+        p1, p2, base = np.zeros(len(word)), np.zeros(len(two)), np.ones(len(word))
+        real = word != RARE
+        base[real] = root[np.searchsorted(name, word[real])]
+        p1[entry1], rest1, stay1 = _states(of[entry1], len(state), total1, n1[entry1], base[entry1])
+        p2[entry2], rest2, stay2 = _states(two[entry2], len(last), total2, n[entry2], 10 ** p1[gram[entry2]])
+        stay1[one[stay2]] = True
+        # From the longest state down: an entry ends the symbol, else the state's rest is added.
+        deep, flat = stay2[two], stay1[own]
+        out = np.where(deep, np.where(entry2, p2, rest2[two]), 0.0)
+        open_ = ~(deep & entry2)
+        hit = entry1[gram]
+        out += np.where(open_ & flat, np.where(hit, p1[gram], rest1[own]), 0.0)
+        open_ &= ~(flat & hit)
+        out += np.where(open_, np.log10(base)[gram], 0.0)  # a rare symbol's root is in its text's fixed part
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "scores": _cut(out[back].astype("<f4"), stops)})
+
+    return run
+
+
+def _finish(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+    """The whole score of each text of a chunk."""
+    value = _joined(told.sort_by("bucket").column("scores"), "<f4").astype(float)
+    score = []
+    for raw, fixed in zip(texts.column("at").to_pylist(), texts.column("fixed").to_pylist(), strict=True):
+        at = _unpacked(raw, "<u4")
+        score.append(fixed + float(value[at[at != _NONE]].sum()))
+    return pa.table({**{c: texts.column(c) for c in ("id", "learned", "n_tokens", "n_known", "base_score")}, "score": pa.array(score, pa.float64())})
+
+
+def score_texts(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Per row: the id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, buckets = df.schema[id_col].dataType.simpleString(), shuffle_partitions(spark)
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
-    model = learn(docs.where("learn"), share)
-    rows = stored(docs.mapInArrow(_chunks(spark.sparkContext.broadcast(model), shuffle_partitions(spark)), f"kind int, chunk long, bucket int, words array<string>, numbers binary, id {kind}, learned boolean, score double"))
-    told = rows.where("kind = 0").select("chunk", "bucket", "words", "numbers").groupBy("bucket").applyInArrow(_total, "chunk long, bucket int, counts binary")
-    texts = rows.where("kind = 1").select("chunk", "id", "learned", "numbers", "score")
-    out = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_finish(float(np.log10(model.size))), f"id {kind}, learned boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = stored(docs.mapInArrow(_chunks(buckets), f"kind int, chunk long, bucket int, words array<string>, numbers binary, id {kind}, learned boolean"))
+    told = stored(rows.where("kind = 0").select("chunk", "bucket", "words", "numbers").groupBy("bucket").applyInArrow(_total(buckets, least), "chunk long, bucket int, counts binary, symbols binary, tokens long, types long"))
+    sums = told.where("chunk < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    size = sums.n + sums.v + 1.0
+    texts = rows.where("kind = 1").select("chunk", "id", "learned", "numbers")
+    words = told.where("chunk >= 0").select("chunk", "bucket", "counts", "symbols")
+    placed = stored(texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_placed(buckets, float(np.log10(size))), f"kind int, chunk long, bucket int, last binary, first binary, symbol binary, n binary, own binary, own_count binary, id {kind}, learned boolean, n_tokens long, n_known long, base_score double, fixed double, at binary"))
+    scores = placed.where("kind = 0").select("chunk", "bucket", "last", "first", "symbol", "n", "own", "own_count").groupBy("bucket").applyInArrow(_scores(size, least), "chunk long, bucket int, scores binary")
+    own = placed.where("kind = 1").select("chunk", "id", "learned", "n_tokens", "n_known", "base_score", "fixed", "at")
+    out = own.groupBy("chunk").cogroup(scores.groupBy("chunk")).applyInArrow(_finish, f"id {kind}, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(int(sums.n)).cast("long").alias("train_tokens"), "base_score", "score")

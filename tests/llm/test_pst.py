@@ -65,3 +65,23 @@ def test_distributions_sum_to_one(spark, small):
                 part, rooted = model.score(seq, scored)
                 p += 10 ** part[-1] * ((rare if s == 0 else root[s]) if rooted[-1] else 1)
             assert abs(p - 1) < 1e-6
+
+
+def test_scores_equal_the_model_in_memory(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 5 > 0 AS learn")
+    model = pst.learn(rows.where("learn").selectExpr("text AS __text"))
+    got = {r.doc_id: r.score for r in pst.score_texts(rows, F.col("learn")).collect()}
+    count = Counter(t for r in rows.collect() if r.learn for t in tokens_of(r.text))
+    for r in rows.collect():
+        tokens = tokens_of(r.text)
+        coded = model.symbols(pst.pa.array(tokens[:-1], pst.pa.string()), np.array([0, len(tokens) - 1]))
+        part, rooted = model.score(*coded)
+        want = part.sum() + sum(math.log10((count[t] + 1) / model.size) for t, x in zip(tokens, rooted, strict=True) if x)
+        assert abs(got[r.doc_id] - want) < 1e-6 * abs(want) + 1e-9, r.doc_id
+
+
+def test_rare_pairs_of_a_large_corpus_stay(spark):
+    rows = [(i, "filler " * 2000, True) for i in range(300)] + [(1000 + i, f"rare{i % 2500} pair{i % 2500}", True) for i in range(5000)]
+    rows += [(9000 + i, f"rare{i} pair{i}", False) for i in range(2500)]
+    got = pst.score_texts(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), F.col("learn")).where("held_out").collect()
+    assert len(got) == 2500 and all(r.score - r.base_score > 4 for r in got)
