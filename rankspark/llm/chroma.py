@@ -2,12 +2,16 @@
 
 Frames are 12 pitch-class energies. Over each frame a set of rectangle filters is read from an integral image of
 frames by pitch classes; each filter's answer is cut into two bits (Gray coded), and 16 filters give a packed 32-bit
-integer. Recordings are aligned by seeds: a pair of different neighbouring integers, so that silence (one integer on
-and on) seeds nothing. Seeds that a query shares with a recording vote for an offset; the offset with the most votes
-is checked by the share of different bits over all overlapping frames.
+integer. Recordings are aligned by seeds: ``KEYS`` samples of ``BITS`` bits of each integer that differs from the one
+before (so that silence, one integer on and on, seeds nothing), of which one or more outlive bit errors; a run of one
+integer as long as an alignment seeds by its integer and length. Frames of a query that share a seed with a recording
+vote for an offset, each once. Every offset with enough votes is checked by the share of different bits over all
+overlapping frames. Of the offsets that pass within the widest filter's frames of each other, whose answers come from
+the same frames, the one with the least errors stays; all others are returned.
 
 Defined results: a null or short recording has no integer and matches nothing; null samples count as 0; of equal
-votes the smallest absolute offset, then the smaller offset, is taken; repeated ids are one recording's rows.
+errors the longer overlap, then the smallest absolute offset, then the smaller offset, is taken; repeated ids are one
+recording's rows.
 """
 
 from __future__ import annotations
@@ -16,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLASSES = 12
 WIDTHS = (2, 4, 6, 8)
 #: Votes and overlapping frames that an alignment needs, and the share of different bits that it may have.
 VOTES, OVERLAP, ERRORS = 2, 8, 0.35
+#: Bit-sampled keys of an integer: of 8 frames with 20 % bit errors two or more share a key in 19 of 20 cases.
+KEYS, BITS = 24, 16
 # Where a filter's answer is cut.
 LEVELS = (-0.15, 0.0, 0.15)
 
@@ -74,7 +80,7 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
             x, y = area(0, w, mid, top), area(0, w, low, mid)
         else:  # the two diagonals
             x, y = area(0, half, low, mid) + area(half, w, mid, top), area(0, half, mid, top) + area(half, w, low, mid)
-        level = np.digitize(np.log1p(np.maximum(x, 0)) - np.log1p(np.maximum(y, 0)), LEVELS)
+        level = np.digitize(np.round(np.log1p(np.maximum(x, 0)) - np.log1p(np.maximum(y, 0)), 9), LEVELS)  # no rounding noise at a cut
         out = out << np.uint32(2) | (level ^ (level >> 1)).astype(np.uint32)
     return out
 
@@ -91,42 +97,76 @@ def fingerprints(recordings: DataFrame, id_col: str, frames_col: str) -> DataFra
     return recordings.select(id_col, frames_col).mapInArrow(run, f"rec {kind}, prints binary")
 
 
+def _samples() -> np.ndarray:
+    """The bits of each key: both halves of shuffled orders of the 32 bits."""
+    draw = np.random.default_rng(9)
+    return np.concatenate([draw.permutation(32).reshape(-1, BITS) for _ in range(KEYS * BITS // 32)])
+
+
+def _seeds_of(x: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds and places of one recording's integers."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    bits = (x[starts, None] >> np.arange(32)) & 1
+    keys = bits[:, samples] @ (1 << np.arange(BITS)) | np.arange(len(samples)) << BITS
+    length = np.diff(np.concatenate([starts, [len(x)]]))
+    runs = np.flatnonzero(length >= OVERLAP)
+    run = 1 << 62 | np.minimum(length[runs], (1 << 29) - 1) << 33 | x[starts[runs]] << 1
+    # A run seeds at VOTES places, so that it is enough by itself.
+    return np.concatenate([keys.ravel(), np.repeat(run, VOTES)]), np.concatenate([np.repeat(starts, len(samples)), (starts[runs, None] + np.arange(VOTES)).ravel()])
+
+
 def _seeds(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = _samples()
         for b in batches:
             for rec, raw in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(raw, "<u4").astype(np.int64)
-                at = np.flatnonzero(x[1:] != x[:-1])
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * len(at), b.schema.field(0).type), pa.array((x[at] << 32 | x[at + 1]).astype(np.int64)), pa.array(at.astype(np.int32))], ["rec", "seed", "place"])
+                if len(x):
+                    seed, at = _seeds_of(x, samples)
+                    yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * len(at), b.schema.field(0).type), pa.array(seed), pa.array(at.astype(np.int32))], ["rec", "seed", "place"])
 
     return run
 
 
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        share, over = [], []
-        for x, y, d in zip(b.column("query_prints").to_pylist(), b.column("prints").to_pylist(), b.column("shift").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            x, y = x[max(0, -d) :], y[max(0, d) :]
-            n = min(len(x), len(y))
-            over.append(n)
-            share.append(float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n) if n else 1.0)
-        yield pa.RecordBatch.from_arrays([b.column("query"), b.column("rec"), b.column("shift"), b.column("votes"), pa.array(over, pa.int64()), pa.array(share, pa.float64())], ["query_id", "match_id", "shift", "votes", "overlap", "bit_errors"])
+def errors_at(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[int, float]:
+    """Overlapping frames and the share of different bits at an offset."""
+    x, y = x[max(0, -shift) :], y[max(0, shift) :]
+    n = min(len(x), len(y))
+    return n, float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n) if n else 1.0
+
+
+def _checked(overlap: int, errors: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All offsets of a pair that pass, without those next to a better one."""
+        for b in batches:
+            row, found = [], []
+            for i, (x, y, offsets) in enumerate(zip(b.column("query_prints").to_pylist(), b.column("prints").to_pylist(), b.column("offsets").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                each = [(*errors_at(x, y, o["shift"]), o["shift"], o["votes"]) for o in offsets]
+                kept: list[tuple] = []
+                for m in sorted((m for m in each if m[0] >= overlap and m[1] <= errors), key=lambda m: (m[1], -m[0], abs(m[2]), m[2])):
+                    if all(abs(m[2] - k[2]) > max(WIDTHS) for k in kept):
+                        kept.append(m)
+                row += [i] * len(kept)
+                found += kept
+            at = pa.array(row, pa.int64())
+            n, share, shift, votes = zip(*found, strict=True) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column("query").take(at), b.column("rec").take(at), pa.array(shift, pa.int32()), pa.array(votes, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], ["query_id", "match_id", "shift", "votes", "overlap", "bit_errors"])
+
+    return run
 
 
 def align(prints: DataFrame, is_query: Column, votes: int = VOTES, overlap: int = OVERLAP, errors: float = ERRORS) -> DataFrame:
     """Alignments of the query recordings with all others: query_id, match_id, shift, votes, overlap, bit_errors.
 
-    ``shift`` is the place in the match less the place in the query. Queries are matched by an equi-join on seeds;
-    votes are summed before the shuffle.
+    ``shift`` is the place in the match less the place in the query. Queries are matched by an equi-join on seeds.
     """
     kind = prints.schema["rec"].dataType.simpleString()
     seeds = prints.mapInArrow(_seeds(kind), f"rec {kind}, seed long, place int")
     asked = prints.where(is_query).mapInArrow(_seeds(kind), f"rec {kind}, seed long, place int").toDF("query", "seed", "at")
     hits = asked.join(seeds, "seed").where(F.col("query") != F.col("rec"))
-    counted = hits.groupBy("query", "rec", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    best = counted.groupBy("query", "rec").agg(F.max_by(F.struct("shift", "votes"), F.struct("votes", -F.abs("shift"), -F.col("shift"))).alias("x")).select("query", "rec", "x.*")
-    both = best.join(prints.toDF("query", "query_prints"), "query").join(prints, "rec")
-    out = both.select("query", "rec", "shift", "votes", "query_prints", "prints").mapInArrow(_errors, f"query_id {kind}, match_id {kind}, shift int, votes long, overlap long, bit_errors double")
-    return out.where((F.col("overlap") >= overlap) & (F.col("bit_errors") <= errors))
+    voted = hits.groupBy("query", "rec", (F.col("place") - F.col("at")).alias("shift"), "at").agg(F.lit(1).alias("one"))
+    counted = voted.groupBy("query", "rec", "shift").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    pairs = counted.groupBy("query", "rec").agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
+    both = pairs.join(prints.toDF("query", "query_prints"), "query").join(prints, "rec")
+    return both.select("query", "rec", "offsets", "query_prints", "prints").mapInArrow(_checked(overlap, errors), f"query_id {kind}, match_id {kind}, shift int, votes long, overlap long, bit_errors double")

@@ -101,9 +101,9 @@ def op9_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     recordings = vectors.select(rec.alias("rec"), "vec_id", frame.alias("frame")).groupBy("rec").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "frame"))), lambda x: x["frame"])).alias("frames"))
     prints = chroma.fingerprints(recordings, "rec", "frames")
     found = chroma.align(prints, F.col("rec") % 50 == 0)
-    best = found.groupBy(F.col("query_id").alias("rec")).agg(F.count("*").alias("n_matches"), F.max_by(F.struct("match_id", "shift", "bit_errors"), F.struct(-F.col("bit_errors"), "overlap", -F.col("match_id"))).alias("best"))
+    best = found.groupBy(F.col("query_id").alias("rec")).agg(F.count("*").alias("n_matches"), F.max_by(F.struct("match_id", "shift", "bit_errors"), F.struct(-F.col("bit_errors"), "overlap", -F.col("match_id"))).alias("best"), F.array_sort(F.collect_list(F.struct("match_id", "shift", "votes", "overlap", "bit_errors"))).alias("matches"))
     out = prints.join(best, "rec", "left")
-    return out.select(F.col("rec").alias("rec_id"), F.floor(F.length("prints") / 4).alias("n_prints"), F.md5("prints").alias("prints_md5"), (F.col("rec") % 50 == 0).alias("is_query"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "best.match_id", "best.shift", "best.bit_errors")
+    return out.select(F.col("rec").alias("rec_id"), F.floor(F.length("prints") / 4).alias("n_prints"), F.md5("prints").alias("prints_md5"), (F.col("rec") % 50 == 0).alias("is_query"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "best.match_id", "best.shift", "best.bit_errors", "matches")
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,35 @@ def test_alignment_finds_the_shift(spark):
 def test_query(spark, sf):
     rows = queries.op9_chroma_fingerprints(spark, sf).collect()
     assert len(rows) == -(-500 // 32) and all(r.n_prints == 25 for r in rows if r.rec_id < 15)
+
+
+def test_recall_against_all_offsets(spark):
+    rng = np.random.default_rng(3)
+    songs = [chroma.fingerprint(rng.random((80, 12)) ** 3) for _ in range(40)]
+    rows, planted = [(i, x) for i, x in enumerate(songs)], {}
+    for k, share in enumerate((0.05, 0.1, 0.15, 0.2)):
+        for i, x in enumerate(songs):
+            at = int(rng.integers(0, len(x) - 24))
+            flips = np.packbits(rng.random((24, 32)) < share, axis=1).view("<u4").ravel()
+            rows.append((1000 * (k + 1) + i, x[at : at + 24] ^ flips))
+            planted[1000 * (k + 1) + i] = i, at
+    df = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in rows], "rec long, prints binary")
+    got = {(r.query_id, r.match_id, r.shift) for r in chroma.align(df, F.col("rec") >= 1000).collect()}
+    found = dict(rows)
+    for k in range(1, 5):
+        want = set()
+        for q, (i, _) in planted.items():
+            if q // 1000 == k:
+                each = {d: chroma.errors_at(found[q], found[i], d) for d in range(-16, len(found[i]) - 8)}
+                want.add((q, i, min((d for d in each if each[d][0] >= 8), key=lambda d: each[d][1])))
+        assert want == {(q, *p) for q, p in planted.items() if q // 1000 == k}
+        assert len(want & got) >= 0.9 * len(want), k
+
+
+def test_all_offsets_and_held_tones(spark):
+    rng = np.random.default_rng(4)
+    song, tone = chroma.fingerprint(rng.random((60, 12)) ** 3), np.full(30, 77, np.uint32)
+    rows = [(0, song[:20]), (1, np.concatenate([song[:20], song[30:50], song[:20]])), (2, tone), (3, tone)]
+    df = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in rows], "rec long, prints binary")
+    got = {(r.query_id, r.match_id, r.shift) for r in chroma.align(df, F.col("rec").isin(0, 2)).collect() if r.bit_errors == 0}
+    assert got == {(0, 1, 0), (0, 1, 40), (2, 3, 0)}
