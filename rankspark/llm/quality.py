@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled cutoffs (operator 8); DataFrame functions only.
 
 Counts of each text come from array functions. A document that passes the fixed base rules is judged by further rules
-of the form "value above a cutoff". Cutoffs are selected on the labelled documents, stratum by stratum: a cutoff is
-certified if, were its true rate of rejecting good documents ``RISK`` divided by the number of rules or more, as few
-rejections as were seen would have at most probability ``DOUBT`` divided by (strata x rules) - an exact binomial tail
-with a Bonferroni correction; within a rule, cutoffs are tested from the loosest on and the first failure ends the
-sequence, which needs no further correction. Of the certified ones, the cutoff with the most bad documents less
-``PRICE`` times the good ones rejected is taken, the loosest of equals; a rule without a gain stays off.
+of the form "value above a cutoff". A verdict is a set of cutoffs, one a rule at most, that rejects what any of them
+hits. It is selected on the labelled documents, stratum by stratum, and certified as a whole: if its true rate of
+rejecting good documents were ``RISK`` or more, as few rejections as were seen would have at most a certain probability -
+an exact binomial tail. Verdicts are tested in chains of fixed order; the first failure ends a chain, which needs no
+further correction. The first chain tightens one rule after the other, in the order of ``CUTOFFS``, and keeps each at its
+tightest; it has half of ``DOUBT`` divided by the strata. Each later rule alone is a chain too; these share the other
+half evenly. Of the certified verdicts, the one with the most bad documents less ``PRICE`` times the good ones rejected
+is taken, the earliest of equals; a verdict without a gain stays off.
 
 Defined results: null text has no word and fails the base; a null stratum is a stratum; with no labels every document
 that passes the base is kept; repeated rows are judged alike.
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 
 from rankspark.llm.common import stored
 
-#: Largest share of good documents that all rules together may reject, and the chance that a certificate is wrong.
+#: Largest share of good documents that a verdict may reject, and the chance that a certificate is wrong.
 RISK, DOUBT, PRICE = 0.02, 0.05, 10
-# The rules' cutoffs, from the loosest.
+# The rules in the order of the first chain, with their cutoffs from the loosest.
 CUTOFFS = {
     "symbol_share": [0.5, 0.3, 0.2, 0.15, 0.1, 0.05],
     "dup_line_share": [0.8, 0.6, 0.5, 0.4, 0.3],
@@ -79,20 +81,39 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k == 0, F.exp(start)).otherwise(more)
 
 
+def verdicts() -> list[tuple[int, float, dict[str, float]]]:
+    """(chain, the chain's share of the doubt, cutoffs) of all verdicts, each chain in its order."""
+    rules, out, tight = list(CUTOFFS), [], {}
+    for r in rules:
+        out += [(0, 0.5, tight | {r: c}) for c in CUTOFFS[r]]
+        tight = tight | {r: CUTOFFS[r][-1]}
+    for chain, r in enumerate(rules[1:], 1):
+        out += [(chain, 0.5 / (len(rules) - 1), {r: c}) for c in CUTOFFS[r]]
+    return out
+
+
 def select_cutoffs(labelled: DataFrame, risk: float = RISK, doubt: float = DOUBT, price: float = PRICE) -> DataFrame:
     """(stratum, rule, cutoff) of the rules that are on. ``labelled``: __stratum, __good (boolean), the rules' values."""
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value"), F.array(*map(F.lit, cuts)).alias("cuts")) for r, cuts in CUTOFFS.items()]))
-    long = labelled.select("__stratum", "__good", each.alias("x")).select("__stratum", "__good", "x.rule", "x.value", F.posexplode("x.cuts").alias("step", "cutoff"))
-    hit = F.col("value") > F.col("cutoff")
-    seen = long.groupBy("__stratum", "rule", "step", "cutoff").agg(F.sum(F.col("__good").cast("long")).alias("n"), F.sum((F.col("__good") & hit).cast("long")).alias("k"), F.sum((~F.col("__good") & hit).cast("long")).alias("bad"))
+    every = verdicts()
+
+    def hits(cutoffs: dict[str, float]) -> Column:
+        out = F.lit(False)
+        for r, c in cutoffs.items():
+            out = out | (F.col(r) > c)
+        return out
+
+    each = F.array(*[F.struct(F.lit(chain).alias("chain"), F.lit(share).alias("share"), hits(cutoffs).alias("hit")) for chain, share, cutoffs in every])
+    long = labelled.select("__stratum", "__good", F.posexplode(each).alias("step", "x")).select("__stratum", "__good", "step", "x.*")
+    seen = long.groupBy("__stratum", "chain", "share", "step").agg(F.sum(F.col("__good").cast("long")).alias("n"), F.sum((F.col("__good") & F.col("hit")).cast("long")).alias("k"), F.sum((~F.col("__good") & F.col("hit")).cast("long")).alias("bad"))
     strata = labelled.select("__stratum").distinct().agg(F.count("*").alias("__strata"))
-    each_risk = risk / len(CUTOFFS)
     seen = seen.join(strata)
-    limit = F.lit(doubt) / (F.col("__strata") * len(CUTOFFS))
-    ok = (F.col("k") < F.col("n") * each_risk) & (binomial_tail(F.col("n"), F.when(F.col("k") < F.col("n") * each_risk, F.col("k")).otherwise(F.lit(0).cast("long")), each_risk) <= limit)
-    so_far = Window.partitionBy("__stratum", "rule").orderBy("step")
+    limit = F.lit(doubt) * F.col("share") / F.col("__strata")
+    ok = (F.col("k") < F.col("n") * risk) & (binomial_tail(F.col("n"), F.when(F.col("k") < F.col("n") * risk, F.col("k")).otherwise(F.lit(0).cast("long")), risk) <= limit)
+    so_far = Window.partitionBy("__stratum", "chain").orderBy("step")
     seen = seen.withColumn("ok", F.min(F.when(ok, 1).otherwise(0)).over(so_far)).where("ok = 1").withColumn("gain", F.col("bad") - price * F.col("k")).where("gain > 0")
-    return seen.groupBy("__stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", -F.col("step"))).alias("cutoff"))
+    best = seen.groupBy("__stratum").agg(F.max_by("step", F.struct("gain", -F.col("step"))).alias("step"))
+    table = F.array(*[F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for r, c in cutoffs.items()]) for _, _, cutoffs in every])
+    return best.select("__stratum", F.explode(F.get(table, F.col("step"))).alias("x")).select("__stratum", "x.*")
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", **limits: float) -> DataFrame:

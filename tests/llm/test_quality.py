@@ -58,3 +58,17 @@ def test_cutoffs_are_certified(spark):
     assert all(kept[i].kept for i, *_ in few)  # no good labelled document there: nothing can be certified
     assert quality.judge(docs.where("false"), labels).collect() == []
     assert all(r.kept != r.base_failed for r in quality.judge(docs, labels.where("false")).collect())
+
+
+def test_few_labels_certify_a_rule(spark):
+    rows, labels = [], []
+    for k, lang in enumerate(("de", "en", "es", "fr")):
+        for i in range(280 if lang != "fr" else 240):
+            rows.append((1000 * k + i, " ".join(f"w{i}x{j}" for j in range(20)), lang))
+            labels.append((1000 * k + i, 1))
+        for i in range(30):
+            rows.append((1000 * k + 500 + i, " ".join(f"b{i}y{j}##" for j in range(20)), lang))
+            labels.append((1000 * k + 500 + i, 0))
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    for i, good in labels:
+        assert kept[i] == (good == 1 or i >= 3000), i  # 240 good labels are too few for a certificate, 280 are enough
