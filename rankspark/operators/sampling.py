@@ -75,6 +75,25 @@ def majority_split(df: DataFrame, group: str, item: str, ratio: float, seed: str
     return df.withColumn("role", F.when(place <= F.floor(F.count("*").over(own) * ratio), "support").otherwise("query"))
 
 
+def majority_finetune(positives: DataFrame, pool: DataFrame, key: str, item: str, ratio: float, seed: str) -> DataFrame:
+    """(key, item, known_label, label, set): all positives and all of the pool that is no positive of the key.
+
+    The support of ``majority_split`` and as many negatives, first in drawing order, are the set 'train' and known; the
+    others are the set 'test' and their known_label is 'Unknown'. Repeated positives stay and share one set, as their
+    pair is drawn or not; a pool with too few negatives gives all of them.
+    """
+    from rankspark.operators.pairs import negatives
+
+    split = majority_split(positives.select(key, item), key, item, ratio, seed)
+    drawn = split.where("role = 'support'").select(key, item).distinct().withColumn("__in", F.lit(True))
+    yes = positives.select(key, item).join(drawn, [key, item], "left").select(key, item, F.lit(1).alias("label"), F.coalesce("__in", F.lit(False)).alias("__in"))
+    size = positives.groupBy(key).agg(F.floor(F.count("*") * ratio).alias("__k"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(draw_order(seed, key, item), item))
+    no = negatives(pool, positives, key, item).join(size, key).select(key, item, F.lit(0).alias("label"), (place <= F.col("__k")).alias("__in"))
+    known = F.when(F.col("__in"), F.col("label").cast("string")).otherwise("Unknown")
+    return yes.unionByName(no).select(key, item, known.alias("known_label"), "label", F.when(F.col("__in"), "train").otherwise("test").alias("set"))
+
+
 def dealt(needs: DataFrame, pool: DataFrame, key: str, n: str, item: str, seed: str) -> DataFrame:
     """Consecutive slices of the shuffled pool: each key gets its ``n`` items. Offsets are sums over the keys only."""
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

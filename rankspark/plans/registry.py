@@ -288,6 +288,15 @@ def majority_split(spark, sf_dir):
     return sampling.majority_split(positives(spark, sf_dir), "peptide", "tcr", 0.5, "m")
 
 
+@query(f"""WITH {NEG}, drawn AS (SELECT peptide, tcr FROM (SELECT peptide, tcr, row_number() OVER (PARTITION BY peptide ORDER BY md5('m:' || peptide || ':' || tcr), tcr) AS rn, floor(count(*) OVER (PARTITION BY peptide) * 0.5) AS k FROM pos) WHERE rn <= k),
+size AS (SELECT peptide, floor(count(*) * 0.5) AS k FROM pos GROUP BY peptide), no AS (SELECT n.peptide, n.tcr, row_number() OVER (PARTITION BY n.peptide ORDER BY md5('m:' || n.peptide || ':' || n.tcr), n.tcr) <= s.k AS known FROM neg n JOIN size s ON n.peptide = s.peptide)
+SELECT peptide, tcr, CASE WHEN (peptide, tcr) IN (SELECT (peptide, tcr) FROM drawn) THEN '1' ELSE 'Unknown' END AS known_label, 1 AS label, CASE WHEN (peptide, tcr) IN (SELECT (peptide, tcr) FROM drawn) THEN 'train' ELSE 'test' END AS set FROM pos
+UNION ALL SELECT peptide, tcr, CASE WHEN known THEN '0' ELSE 'Unknown' END, 0, CASE WHEN known THEN 'train' ELSE 'test' END FROM no""")
+def majority_finetune(spark, sf_dir):
+    pos = positives(spark, sf_dir)
+    return sampling.majority_finetune(pos, pos, "peptide", "tcr", 0.5, "m")
+
+
 @query("""WITH needs AS (SELECT label AS peptide, count(*) AS n FROM embeddings GROUP BY label), s AS (SELECT peptide, n, coalesce(sum(n) OVER (ORDER BY peptide ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM needs),
 p AS (SELECT p_partkey AS tcr, row_number() OVER (ORDER BY md5('d:' || p_partkey), p_partkey) AS place FROM part)
 SELECT s.peptide, p.tcr, p.place FROM s JOIN p ON p.place > s.lo AND p.place <= s.lo + s.n""")

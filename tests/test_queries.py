@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import duck
 
+from rankspark.operators import sampling
 from rankspark.plans import registry
 
 
@@ -20,3 +21,13 @@ def test_query_equals_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.ORACLES.keys()))
 def test_query_runs(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
+
+
+def test_majority_finetune_has_four_parts(spark):
+    pos = spark.createDataFrame([("a", i) for i in range(5)] + [("a", 4), ("b", 9)], "peptide string, tcr long")
+    pool = spark.createDataFrame([(i,) for i in [*range(12), 11]], "tcr long")
+    rows = sampling.majority_finetune(pos, pool, "peptide", "tcr", 0.5, "m").collect()
+    parts = {k: sum((r.peptide, r.known_label, r.label, r.set) == k for r in rows) for k in {(r.peptide, r.known_label, r.label, r.set) for r in rows}}
+    assert sum(n for k, n in parts.items() if k[0] == "a") == 6 + 7 and sum(n for k, n in parts.items() if k[0] == "b") == 1 + 11
+    assert parts[("a", "0", 0, "train")] == 3 and parts[("a", "Unknown", 0, "test")] == 4 and parts[("a", "1", 1, "train")] >= 3
+    assert parts[("b", "Unknown", 1, "test")] == 1 and parts[("b", "Unknown", 0, "test")] == 11
