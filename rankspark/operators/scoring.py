@@ -54,14 +54,14 @@ def best_step(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.min(F.struct(((F.col("a") + F.col("b")) / 2).alias("loss"), "step")).alias("m")).select(F.col("m.step").alias("step"), F.col("m.loss").alias("loss"))
 
 
-def forest(train: DataFrame, features: list[str], label: str, trees: int = 20, seed: int = 42):
-    """A random forest as a Scorer."""
+def forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 16, seed: int = 42):
+    """A random forest as a Scorer, by default with the trees and depth that cuML's documentation gives as defaults."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     assembler = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
-    model = RandomForestClassifier(featuresCol="__features", labelCol=label, numTrees=trees, maxDepth=5, seed=seed).fit(assembler.transform(train))
+    model = RandomForestClassifier(featuresCol="__features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(assembler.transform(train))
 
     def score(pairs: DataFrame) -> DataFrame:
         out = model.transform(assembler.transform(pairs))

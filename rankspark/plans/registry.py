@@ -373,5 +373,5 @@ def batch_numbering(spark, sf_dir):
 @query()
 def rf_train_predict(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", (F.col("l_returnflag") == "R").cast("double").alias("label"))
-    model = scoring.forest(df, ["l_quantity", "l_extendedprice", "l_discount"], "label", trees=5)
+    model = scoring.forest(df, ["l_quantity", "l_extendedprice", "l_discount"], "label")
     return model(df).select("l_orderkey", "l_linenumber", F.round("score", 4).alias("score"))

@@ -31,3 +31,12 @@ def test_majority_finetune_has_four_parts(spark):
     assert sum(n for k, n in parts.items() if k[0] == "a") == 6 + 7 and sum(n for k, n in parts.items() if k[0] == "b") == 1 + 11
     assert parts[("a", "0", 0, "train")] == 3 and parts[("a", "Unknown", 0, "test")] == 4 and parts[("a", "1", 1, "train")] >= 3
     assert parts[("b", "Unknown", 1, "test")] == 1 and parts[("b", "Unknown", 0, "test")] == 11
+
+
+def test_forest_has_the_default_size(spark, small, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    seen, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: (seen.append((self.getNumTrees(), self.getMaxDepth())), fit(self, df))[1])
+    registry.QUERIES["rf_train_predict"](spark, small)
+    assert seen == [(100, 16)]
