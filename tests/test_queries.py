@@ -1,3 +1,4 @@
+import hashlib
 import os
 import sys
 
@@ -40,3 +41,18 @@ def test_forest_has_the_default_size(spark, small, monkeypatch):
     monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: (seen.append((self.getNumTrees(), self.getMaxDepth())), fit(self, df))[1])
     registry.QUERIES["rf_train_predict"](spark, small)
     assert seen == [(100, 16)]
+
+
+def test_numbering_is_dealt_over_ranges(spark, capsys):
+    pool = spark.range(20_000).toDF("tcr")
+    needs = spark.createDataFrame([(1, 5), (2, 0), (3, 12_000)], "peptide long, n long")
+    out = sampling.dealt(needs, pool, "peptide", "n", "tcr", "d")
+    got = {(r.peptide, r.tcr, r.place) for r in out.collect()}
+    order = sorted(range(20_000), key=lambda i: (hashlib.md5(f"d:{i}".encode()).hexdigest(), i))
+    assert got == {(1 if p <= 5 else 3, order[p - 1], p) for p in range(1, 12_006)}
+    out.explain()
+    assert "row_number() windowspecdefinition(__range" in capsys.readouterr().out
+    for n in (1, 3, 5, 7, 23):
+        folds = {r.g: r.fold for r in sampling.group_folds(spark.range(n).selectExpr("concat('g', id) AS g"), "g", 5, "s").collect()}
+        by_draw = sorted(folds, key=lambda g: hashlib.md5(f"s:{g}".encode()).hexdigest())
+        assert [folds[g] for g in by_draw] == [k + 1 for k in range(5) for _ in range(n // 5 + (k < n % 5))]
