@@ -24,3 +24,11 @@ def test_run_drops_copies_and_keeps_clean_documents(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_near_duplicates_keep_rows_without_an_id(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "aa", "s", 1), (2, text, "aa", "s", 1), (None, "own " + text[:90], "aa", "s", 1), (None, text, "aa", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert len(got) == 3 and got.count(None) == 2 and got.count(1) == 1
