@@ -48,6 +48,8 @@ LAYOUTS = ((3.0, 0), (2.4, 0), (2.4, 4), (1.6, 4))
 BITS = 2048
 #: Bits of the parity bitmap that goes along to the join of bound sets, in words of 64.
 FOLD = 512
+#: Signatures in a bucket, about.
+PER_BUCKET = 1 << 20
 #: Pairs of one pivot that are verified together.
 SHARE = 256
 BATCH = 12 << 20
@@ -222,7 +224,8 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
 
 
 def _meet(most: int):
-    """Pairs of sets that share a signature of a bucket (kind 0: a, b) and memberships of hot ones (kind 1: sig, node)."""
+    """Of a bucket's signatures: the star of each (kind 0: a, b), memberships of hot ones (kind 1: sig, place) and of
+    the others with three sets or more (kind 2: sig, node), once for equal memberships."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -239,34 +242,34 @@ def _meet(most: int):
         sig, node, marks = np.concatenate(sig), np.concatenate(node), np.unique(np.concatenate(marks))
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.empty(0, bool)
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node = sig[fresh], node[fresh]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
-        size = np.diff(np.concatenate([first, [len(sig)]])).astype(np.int64)
+        head = np.ones(len(sig), bool)
+        head[1:] = sig[1:] != sig[:-1]
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(sig)))
         crowded = (size > most) | np.isin(sig[first], marks)
-        kinds, a, b = [], [], []
         many = np.repeat(crowded, size)
         left, right = [_U(bucket) << _U(40) | sig[many], *(h[0] for h in hot)], [node[many], *(h[1] for h in hot)]
-        kinds.append(np.ones(sum(map(len, left)), np.int32))
-        a += left
-        b += right
-        pairs = []
-        for g in np.unique(size[~crowded & (size > 1)]).tolist():
-            at = first[~crowded & (size == g)]
-            i, j = np.triu_indices(g, 1)
-            x, y = node[(at[:, None] + i).ravel()] >> _U(1), node[(at[:, None] + j).ravel()] >> _U(1)
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            pairs.append(np.stack([x, y])[:, x != y])
-        if pairs:
-            both = np.concatenate(pairs, axis=1)
-            order = np.lexsort(both[::-1])
-            both = both[:, order]
-            keep = np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(0)]) if both.shape[1] else np.empty(0, bool)
-            both = both[:, keep]
-            kinds.append(np.zeros(both.shape[1], np.int32))
-            a.append(both[0] << _U(1))
-            b.append(both[1] << _U(1))
-        return pa.table({"kind": np.concatenate(kinds), "a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+        kinds = [np.ones(sum(map(len, left)), np.int32)]
+        few = ~crowded & (size > 1)
+        at = np.repeat(few, size)
+        own, size = node[at] & ~_U(1), size[few]
+        first = np.cumsum(size) - size
+        star = np.stack([np.repeat(own[first], size), own]) if len(size) else np.empty((2, 0), _U)
+        star = np.unique(star[:, star[0] != star[1]], axis=1) if len(size) else star
+        kinds.append(np.zeros(star.shape[1], np.int32))
+        if len(size):
+            members = np.add.reduceat(mix(own), first) + size.astype(_U)
+            _, once = np.unique(members, return_index=True)
+            told = np.zeros(len(size), bool)
+            told[once] = True
+            told = np.repeat(told & (size > 2), size)
+            left += [star[0], (_U(bucket) << _U(40) | sig[at])[told]]
+            right += [star[1], own[told]]
+            kinds.append(np.full(np.count_nonzero(told), 2, np.int32))
+        return pa.table({"kind": np.concatenate(kinds), "a": np.concatenate(left).view(np.int64), "b": np.concatenate(right).view(np.int64)})
 
     return run
 
@@ -313,15 +316,15 @@ def _verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rows.select("a", "b", "__text").mapInArrow(_verify, "a long, b long"))
 
 
-def _allocation(profile: DataFrame) -> dict[int, int]:
-    """For each class the cheapest layout in which every set has enough units; counted over all sets."""
+def _allocation(profile: DataFrame) -> tuple[dict[int, int], int]:
+    """For each class the cheapest layout in which every set has enough units, counted over all sets; all signatures."""
     each = profile.where("n > 0").select(F.explode(F.arrays_zip("places", "spare", "cost")).alias("p")).select("p.places", F.posexplode(F.arrays_zip("p.spare", "p.cost")).alias("layout", "x"))
     found = each.groupBy("places", "layout").agg(F.min("x.spare").alias("spare"), F.sum("x.cost").alias("cost")).collect()  # a row for each class and layout
     plan: dict[int, tuple[int, int]] = {}
     for r in found:
         if r.spare >= 0 and (r.places not in plan or (r.cost, r.layout) < plan[r.places]):
             plan[r.places] = (r.cost, r.layout)
-    return {c: k for c, (_, k) in plan.items()}
+    return {c: k for c, (_, k) in plan.items()}, sum(n for n, _ in plan.values())
 
 
 def _bound(meets: DataFrame, nodes: DataFrame, plan: dict[int, int]) -> DataFrame:
@@ -346,8 +349,8 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     docs = docs.select(*row_key("__id", "__text"), "__id", "__text")
     kind = df.schema[id_col].dataType.simpleString()
     profile = stored(docs.mapInArrow(_profile, f"k1 long, k2 long, __id {kind}, node long, more long, n long, bits binary, fold array<long>, places array<int>, spare array<array<int>>, cost array<array<int>>"))
-    plan = _allocation(profile)
-    buckets = shuffle_partitions(df.sparkSession)
+    plan, total = _allocation(profile)
+    buckets = max(shuffle_partitions(df.sparkSession), total // PER_BUCKET)
     blocks = docs.select("__text").mapInArrow(_emit(plan, buckets, hot), "bucket int, sigs binary, nodes binary, counts binary, marks binary, hot binary")
     meets = stored(blocks.groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long"))
     # A node is 63 bits of a 128-bit hash of the set and stands for it.
@@ -358,27 +361,20 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     star = bound.join(centre, "sig").where("node <> a").select("a", F.col("node").alias("b"))
     pairs = stored(_sifted(meets.where("kind = 0").select("a", "b").union(star).distinct(), nodes))
     lead = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(bound.select("node")).distinct()
-    texts = stored(docs.join(nodes.join(wanted, "node", "left_semi").select("k1", "k2", "node"), ["k1", "k2"]).select("node", "__text").dropDuplicates(["node"]))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = _texts(docs, nodes, wanted)
     edges = _verified(lead, texts)
     label = components(edges)
     rest = stored(_apart(pairs.join(lead, ["a", "b"], "left_anti"), label).select("a", "b"))
     edges = edges.union(_verified(rest, texts))
     label = components(edges)
-    # Bound sets that share a rare hot signature but are in different components are sifted and verified.
-    mixed = bound.where("rare").join(label, "node", "left").select("sig", "node", "n", "after", F.coalesce("label", "node").alias("label"))
-    mixed = mixed.join(mixed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "sig", "left_semi")
-    mixed = stored(mixed.join(nodes.select("node", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLD // 64)]), "node"))
-    if not mixed.isEmpty():
-        words = [f"f{k}" for k in range(FOLD // 64)]
-        one, two = (mixed.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "after", *words)]) for x in "ab")
-        apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-        near = (NUM + DEN) * F.least("after_a", "after_b") >= DEN * (F.col("n_a") + F.col("n_b"))
-        for k in range(1, len(words) + 1):  # by the first word, the first two and so on: most pairs end early
-            far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[:k]), F.lit(0))
-            near &= (NUM + DEN) * far <= (NUM - DEN) * (F.col("n_a") + F.col("n_b"))
-        cross = one.join(two, "sig").where(apart & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        edges = edges.union(_verified(stored(_sifted(cross, nodes)), texts))
+    cross = _across(meets, bound, nodes, label)
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = stored(_sifted(cross.join(done, ["a", "b"], "left_anti"), nodes))
+    if not cross.isEmpty():
+        more = cross.select(F.col("a").alias("node")).union(cross.select("b")).distinct().join(texts, "node", "left_anti")
+        texts = texts.union(_texts(docs, nodes, more))
+        edges = edges.union(_verified(cross, texts))
         label = components(edges)
     named = full.select("__id", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("__id").alias("component_id"))
@@ -386,6 +382,31 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text (node, __text) of each wanted node."""
+    return stored(docs.join(nodes.join(wanted, "node", "left_semi").select("k1", "k2", "node"), ["k1", "k2"]).select("node", "__text").dropDuplicates(["node"]))
+
+
+def _across(meets: DataFrame, bound: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a < b) of sets that share a signature but are in different components, and are not too far apart."""
+    few = meets.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).join(nodes.select("node", "n"), "node").select("sig", "node", "n", F.col("n").alias("after"))
+    held = few.union(bound.where("rare").select("sig", "node", "n", "after")).join(label, "node", "left").select("sig", "node", "n", "after", F.coalesce("label", "node").alias("label"))
+    held = stored(held)
+    mixed = held.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min(F.struct("n", "node")).getField("node").alias("centre")).where("lo <> hi").select("sig", "m", "centre")
+    # Signatures of one centre are one key where that makes fewer comparisons than each by itself.
+    together = held.join(mixed, "sig").groupBy("centre").agg(F.count_distinct("node").alias("g"), F.sum("m").alias("each")).where(F.col("g") * F.col("g") <= F.col("each")).select("centre", F.lit(True).alias("together"))
+    keys = mixed.join(together, "centre", "left").select("sig", F.coalesce("together", F.lit(False)).alias("together"), F.when(F.col("together"), F.col("centre")).otherwise(F.col("sig")).alias("key"))
+    words = [f"f{k}" for k in range(FOLD // 64)]
+    rows = held.join(keys, "sig").groupBy("together", "key", "node").agg(F.first("n").alias("n"), F.max("after").alias("after"), F.first("label").alias("label"))
+    rows = stored(rows.join(nodes.select("node", *[F.col("fold")[k].alias(w) for k, w in enumerate(words)]), "node"))
+    one, two = (rows.select("together", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "after", *words)]) for x in "ab")
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((NUM + DEN) * F.least("after_a", "after_b") >= DEN * (F.col("n_a") + F.col("n_b")))
+    for k in range(1, len(words) + 1):  # by the first word, the first two and so on: most pairs end early
+        far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[:k]), F.lit(0))
+        near &= (NUM + DEN) * far <= (NUM - DEN) * (F.col("n_a") + F.col("n_b"))
+    return one.join(two, ["together", "key"]).where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     bits = nodes.select("node", "n", "bits")
     both = pairs.join(bits.toDF("a", "n_a", "bits_a"), "a").join(bits.toDF("b", "n_b", "bits_b"), "b")
