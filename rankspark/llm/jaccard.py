@@ -8,15 +8,20 @@ two share at least one signature of a segment or of a neighbour of it.
 The allocation is by cost: for each class, the cheapest of several layouts (``LAYOUTS``, and single tokens) under
 which every set of the corpus has enough units; counted over all sets, so no link can be lost. Segments that many sets
 share ("hot") are skipped by every set that has units to spare; only sets that need them ("bound") are compared through
-them: by a star around the set with the fewest tokens, then between the components that are left. Bound sets that share
-no other signature must share more hot ones than they have units to spare, so each meets others only through its rarest
-hot signatures, as many as it has beyond its spare units. Where a signature is one token, two such sets have no more in
-common than what stands at or after the first one that they share in the order of rareness, and ``FOLD`` parity bits
-bound their difference too; the join itself drops pairs that are too far apart by either.
+them. Bound sets that share no other signature must share more hot ones than they have units to spare, so each meets
+others only through its rarest hot signatures, as many as it has beyond its spare units.
 
-Signatures travel in blocks (one row for a batch and a bucket). Candidates are sifted by a parity bitmap (its bit
-difference never exceeds the set difference) and verified on whole sets. Only one link a set is verified first; other
-candidates are verified if their ends are still in different components.
+The sets of a signature are first held against one of them, a star; links verified there give components. A signature
+whose sets are still in different components gets further stars, around one set of each of ``CENTRES`` components. What
+is left is looked at pair by pair, but only where components separate the two. Signatures that have their smallest set in
+common are taken together where that makes fewer comparisons, so that a pair that shares hundreds of signatures is met
+once. The join drops pairs that are too far apart: by size, by ``FOLD`` parity bits (their difference never exceeds the
+sets'), or, where a signature is one token, by what the two can have in common from their first shared one on in the
+order of rareness.
+
+Signatures travel in blocks (one row for a batch and a bucket); buckets are as many as the signatures need. Candidates
+are sifted by whole parity bitmaps and verified on whole sets. Only one link a set is verified first; other candidates
+are verified if their ends are still in different components. Shingles are compared by 64-bit hashes.
 
 Defined results: null or blank text has no shingle and is linked with nothing; texts of one to four words have one
 shingle; rows with equal shingle sets are linked; repeated ids count as one document.
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm.common import as_words, mix, row_key, shuffle_partitions, slices, stored, word_hashes
@@ -48,8 +53,12 @@ LAYOUTS = ((3.0, 0), (2.4, 0), (2.4, 4), (1.6, 4))
 BITS = 2048
 #: Bits of the parity bitmap that goes along to the join of bound sets, in words of 64.
 FOLD = 512
-#: Signatures in a bucket, about.
+#: Signatures in a bucket, about; each has 32 bits beside its bucket, and sets that meet by chance are verified apart.
 PER_BUCKET = 1 << 20
+#: Components of a signature that get a star of their own before the rest is compared pair by pair.
+CENTRES = 4
+#: Rows that a side may have to be broadcast.
+SMALL = 1 << 17
 #: Pairs of one pivot that are verified together.
 SHARE = 256
 BATCH = 12 << 20
@@ -181,17 +190,17 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
 
     def block(node: np.ndarray, sig: np.ndarray) -> Iterator[tuple]:
         top = (sig >> _U(40)) % _U(buckets)
-        low = sig & _U((1 << 40) - 1)
+        low = sig & _U((1 << 32) - 1)
         _, back, count = np.unique(sig, return_inverse=True, return_counts=True)
         hot = count[back] > most
         if hot.any():
-            full = top[hot] << _U(40) | low[hot]
+            full = top[hot] << _U(32) | low[hot]
             salt = int(node[hot].sum() % _U(buckets))
             yield salt, b"", b"", b"", b"", full.tobytes() + node[hot].tobytes()
-        marks = np.unique(top[hot] << _U(40) | low[hot])
+        marks = np.unique(top[hot] << _U(32) | low[hot])
         order = np.flatnonzero(~hot)[np.argsort(top[~hot], kind="stable")]
         edge = np.searchsorted(top[order], np.arange(buckets + 1).astype(_U))
-        mark_edge = np.searchsorted(marks >> _U(40), np.arange(buckets + 1).astype(_U))
+        mark_edge = np.searchsorted(marks >> _U(32), np.arange(buckets + 1).astype(_U))
         for k in range(buckets):
             own = order[edge[k] : edge[k + 1]]
             told = marks[mark_edge[k] : mark_edge[k + 1]]
@@ -199,9 +208,13 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
                 continue
             n = node[own]
             first = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])) if len(n) else np.empty(0, np.int64)
-            counts = np.diff(np.concatenate([first, [len(n)]])).astype("<u4")
-            five = low[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            yield k, five.tobytes(), n[first].tobytes(), counts.tobytes(), told.tobytes(), b""
+            counts = np.diff(np.concatenate([first, [len(n)]]))
+            if len(counts) and counts.max() > 255:  # rarely; one more row for the same set
+                more = -(-counts // 255)
+                first = np.concatenate([f + 255 * np.arange(m) for f, m in zip(first, more, strict=True)])
+                counts = np.diff(np.concatenate([first, [len(n)]]))
+            counts = counts.astype(np.uint8)
+            yield k, low[own].astype("<u4").tobytes(), n[first].tobytes(), counts.tobytes(), (told & _U((1 << 32) - 1)).astype("<u4").tobytes(), b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text", BATCH):
@@ -231,12 +244,9 @@ def _meet(most: int):
         bucket = key[0].as_py()
         sig, node, marks, hot = [], [], [], []
         for r in table.select(["sigs", "nodes", "counts", "marks", "hot"]).to_pylist():
-            five = np.frombuffer(r["sigs"], np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(five), 8), np.uint8)
-            wide[:, :5] = five
-            sig.append(wide.reshape(-1).view("<u8").astype(_U))
-            node.append(np.repeat(np.frombuffer(r["nodes"], _U), np.frombuffer(r["counts"], "<u4")))
-            marks.append(np.frombuffer(r["marks"], _U) & _U((1 << 40) - 1))
+            sig.append(np.frombuffer(r["sigs"], "<u4").astype(_U))
+            node.append(np.repeat(np.frombuffer(r["nodes"], _U), np.frombuffer(r["counts"], np.uint8)))
+            marks.append(np.frombuffer(r["marks"], "<u4").astype(_U))
             both = np.frombuffer(r["hot"], _U)
             hot.append((both[: len(both) // 2], both[len(both) // 2 :]))
         sig, node, marks = np.concatenate(sig), np.concatenate(node), np.unique(np.concatenate(marks))
@@ -251,7 +261,7 @@ def _meet(most: int):
         size = np.diff(np.append(first, len(sig)))
         crowded = (size > most) | np.isin(sig[first], marks)
         many = np.repeat(crowded, size)
-        left, right = [_U(bucket) << _U(40) | sig[many], *(h[0] for h in hot)], [node[many], *(h[1] for h in hot)]
+        left, right = [_U(bucket) << _U(32) | sig[many], *(h[0] for h in hot)], [node[many], *(h[1] for h in hot)]
         kinds = [np.ones(sum(map(len, left)), np.int32)]
         few = ~crowded & (size > 1)
         at = np.repeat(few, size)
@@ -266,7 +276,7 @@ def _meet(most: int):
             told = np.zeros(len(size), bool)
             told[once] = True
             told = np.repeat(told & (size > 2), size)
-            left += [star[0], (_U(bucket) << _U(40) | sig[at])[told]]
+            left += [star[0], (_U(bucket) << _U(32) | sig[at])[told]]
             right += [star[1], own[told]]
             kinds.append(np.full(np.count_nonzero(told), 2, np.int32))
         return pa.table({"kind": np.concatenate(kinds), "a": np.concatenate(left).view(np.int64), "b": np.concatenate(right).view(np.int64)})
@@ -368,14 +378,16 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     rest = stored(_apart(pairs.join(lead, ["a", "b"], "left_anti"), label).select("a", "b"))
     edges = edges.union(_verified(rest, texts))
     label = components(edges)
-    cross = _across(meets, bound, nodes, label)
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = stored(_sifted(cross.join(done, ["a", "b"], "left_anti"), nodes))
-    if not cross.isEmpty():
-        more = cross.select(F.col("a").alias("node")).union(cross.select("b")).distinct().join(texts, "node", "left_anti")
-        texts = texts.union(_texts(docs, nodes, more))
-        edges = edges.union(_verified(cross, texts))
-        label = components(edges)
+    held = _memberships(meets, bound, nodes)
+    for candidates in (_stars, _across):
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = stored(_sifted(candidates(held, nodes, label).join(done, ["a", "b"], "left_anti"), nodes))
+        if not found.isEmpty():
+            more = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(texts, "node", "left_anti")
+            texts = texts.union(_texts(docs, nodes, more))
+            edges = edges.union(_verified(found, texts))
+            label = components(edges)
+            pairs = pairs.union(found)
     named = full.select("__id", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("__id").alias("component_id"))
     out = named.join(smallest, "label").select("__id", "n", "component_id").union(profile.where("n = 0").select("__id", "n", F.col("__id").alias("component_id")))
@@ -383,33 +395,68 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text (node, __text) of each wanted node."""
-    return stored(docs.join(nodes.join(wanted, "node", "left_semi").select("k1", "k2", "node"), ["k1", "k2"]).select("node", "__text").dropDuplicates(["node"]))
+    """One text (node, __text) of each wanted node; few nodes are sent to the texts, many meet them in a shuffle."""
+    own = stored(nodes.join(wanted, "node", "left_semi").select("k1", "k2", "node"))
+    own = F.broadcast(own) if own.count() <= SMALL else own
+    return stored(docs.join(own, ["k1", "k2"]).select("node", "__text").dropDuplicates(["node"]))
 
 
-def _across(meets: DataFrame, bound: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a < b) of sets that share a signature but are in different components, and are not too far apart."""
+def _memberships(meets: DataFrame, bound: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, node, n, after) of the signatures with three sets or more, hot ones of the bound sets only."""
     few = meets.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).join(nodes.select("node", "n"), "node").select("sig", "node", "n", F.col("n").alias("after"))
-    held = few.union(bound.where("rare").select("sig", "node", "n", "after")).join(label, "node", "left").select("sig", "node", "n", "after", F.coalesce("label", "node").alias("label"))
-    held = stored(held)
-    mixed = held.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min(F.struct("n", "node")).getField("node").alias("centre")).where("lo <> hi").select("sig", "m", "centre")
+    return stored(few.union(bound.where("rare").select("sig", "node", "n", "after")))
+
+
+def _labelled(held: DataFrame, label: DataFrame) -> DataFrame:
+    """The memberships of signatures whose sets are in different components, with each set's component."""
+    held = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = held.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    return stored(held.join(several, "sig", "left_semi"))
+
+
+def _stars(held: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the first sets, in the order of nodes, of ``CENTRES`` components of a signature with the sets of others."""
+    held = _labelled(held, label)
+    first = held.groupBy("sig", "label").agg(F.min(F.struct("node", "n")).alias("x"))
+    centres = first.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("x"))).where(F.col("at") <= CENTRES).select("sig", F.col("label").alias("centre_label"), F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"))
+    near = (F.col("label") != F.col("centre_label")) & (NUM * F.least("n", "centre_n") >= DEN * F.greatest("n", "centre_n"))
+    return held.join(centres, "sig").where(near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def _across(held: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a < b) of sets that share a signature but are in different components, and are not too far apart."""
+    held = _labelled(held, label)
+    groups = held.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("n", "node")).getField("node").alias("centre"))
     # Signatures of one centre are one key where that makes fewer comparisons than each by itself.
-    together = held.join(mixed, "sig").groupBy("centre").agg(F.count_distinct("node").alias("g"), F.sum("m").alias("each")).where(F.col("g") * F.col("g") <= F.col("each")).select("centre", F.lit(True).alias("together"))
-    keys = mixed.join(together, "centre", "left").select("sig", F.coalesce("together", F.lit(False)).alias("together"), F.when(F.col("together"), F.col("centre")).otherwise(F.col("sig")).alias("key"))
-    words = [f"f{k}" for k in range(FOLD // 64)]
+    together = held.join(groups, "sig").groupBy("centre").agg(F.count_distinct("node").alias("g"), F.sum("m").alias("each")).where(F.col("g") * F.col("g") <= F.col("each")).select("centre", F.lit(True).alias("together"))
+    keys = groups.join(together, "centre", "left").select("sig", F.coalesce("together", F.lit(False)).alias("together"), F.when(F.col("together"), F.col("centre")).otherwise(F.col("sig")).alias("key"))
     rows = held.join(keys, "sig").groupBy("together", "key", "node").agg(F.first("n").alias("n"), F.max("after").alias("after"), F.first("label").alias("label"))
-    rows = stored(rows.join(nodes.select("node", *[F.col("fold")[k].alias(w) for k, w in enumerate(words)]), "node"))
-    one, two = (rows.select("together", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "after", *words)]) for x in "ab")
-    near = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((NUM + DEN) * F.least("after_a", "after_b") >= DEN * (F.col("n_a") + F.col("n_b")))
-    for k in range(1, len(words) + 1):  # by the first word, the first two and so on: most pairs end early
-        far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[:k]), F.lit(0))
+    rows = stored(rows.join(nodes.select("node", *_words()), "node"))
+    names = [f"f{k}" for k in range(FOLD // 64)]
+    one, two = (rows.select("together", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "after", *names)]) for x in "ab")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((NUM + DEN) * F.least("after_a", "after_b") >= DEN * (F.col("n_a") + F.col("n_b")))
+    return one.join(two, ["together", "key"]).where(apart & _near()).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _words() -> list[Column]:
+    return [F.col("fold")[k].alias(f"f{k}") for k in range(FOLD // 64)]
+
+
+def _near() -> Column:
+    """Whether the sets of columns with the endings _a and _b can be similar by size and by ``FOLD`` parity bits."""
+    near = NUM * F.least("n_a", "n_b") >= DEN * F.greatest("n_a", "n_b")
+    for k in range(1, FOLD // 64 + 1):  # by the first word, the first two and so on: most pairs end early
+        far = sum((F.bit_count(F.col(f"f{w}_a").bitwiseXOR(F.col(f"f{w}_b"))) for w in range(k)), F.lit(0))
         near &= (NUM + DEN) * far <= (NUM - DEN) * (F.col("n_a") + F.col("n_b"))
-    return one.join(two, ["together", "key"]).where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return near
 
 
 def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    bits = nodes.select("node", "n", "bits")
-    both = pairs.join(bits.toDF("a", "n_a", "bits_a"), "a").join(bits.toDF("b", "n_b", "bits_b"), "b")
+    """The pairs that size and parity bitmaps allow, the short bitmaps first."""
+    small, bits = nodes.select("node", "n", *_words()), nodes.select("node", "bits")
+    names = [f"f{k}" for k in range(FOLD // 64)]
+    both = pairs.join(small.toDF("a", "n_a", *[f"{c}_a" for c in names]), "a").join(small.toDF("b", "n_b", *[f"{c}_b" for c in names]), "b").where(_near()).select("a", "b", "n_a", "n_b")
+    both = both.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_sift, "a long, b long")
 
 
