@@ -1,21 +1,24 @@
 """Chroma audio fingerprints and their alignment (operator 9).
 
-Frames are 12 pitch-class energies. Over each frame a set of rectangle filters is read from an integral image of
-frames by pitch classes; each filter's answer is cut into two bits (Gray coded), and 16 filters give a packed 32-bit
-integer. Recordings are aligned by seeds: ``KEYS`` samples of ``BITS`` bits of each integer that differs from the one
-before (so that silence, one integer on and on, seeds nothing), of which one or more outlive bit errors; a run of one
-integer as long as an alignment seeds by its integer and length. Frames of a query that share a seed with a recording
-vote for an offset, each once. Every offset with enough votes is checked by the share of different bits over all
-overlapping frames. Of the offsets that pass within the widest filter's frames of each other, whose answers come from
-the same frames, the one with the least errors stays; all others are returned.
-
-Defined results: a null or short recording has no integer and matches nothing; null samples count as 0; of equal
-errors the longer overlap, then the smallest absolute offset, then the smaller offset, is taken; repeated ids are one
-recording's rows.
+A recording is a binary column of 16-bit mono samples; windowed Fourier transforms give frames of 12 pitch-class
+energies. Over each frame a set of rectangle filters is read from an integral image of frames by pitch classes; each
+filter's answer is cut into two bits (Gray coded), and 16 filters give a packed 32-bit integer. Recordings are aligned by
+seeds: samples of some bits of each integer that differs from the one before (so that silence, one integer on and on,
+seeds nothing), of which one or more outlive bit errors; a run of one integer as long as an alignment seeds by its integer
+and length. A seed has as many bits as it takes to tell all integers of the corpus apart, and an integer as many seeds as
+``PASSAGE`` integers with ``BAD`` bit errors need; so the rows that meet by chance stay near the number of integers.
+Frames of a query that share a seed with a recording vote for an offset, each once. Every offset with enough votes is
+checked by the share of different bits over all overlapping frames. Of the offsets that pass within the widest filter's
+frames of each other, whose answers come from the same frames, the one with the least errors stays; all others are returned.
+
+Defined results: a null or short recording has no integer and matches nothing; an odd last byte is ignored; null energies
+count as 0; of equal errors the longer overlap, then the smallest absolute offset, then the smaller offset, is taken; rows
+with one id are parts of a recording, aligned one by one, equal ones once; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +28,13 @@ from pyspark.sql import functions as F
 
 CLASSES = 12
 WIDTHS = (2, 4, 6, 8)
-#: Votes and overlapping frames that an alignment needs, and the share of different bits that it may have.
-VOTES, OVERLAP, ERRORS = 2, 8, 0.35
-#: Bit-sampled keys of an integer: of 8 frames with 20 % bit errors two or more share a key in 19 of 20 cases.
-KEYS, BITS = 24, 16
+#: Votes and overlapping frames that an alignment needs, and the share of different bits that it may have. By chance
+#: recordings of noise come down to 0.3 over 16 frames.
+VOTES, OVERLAP, ERRORS = 2, 20, 0.25
+#: Seeds are dealt so that this many integers with this share of bit errors share ``SHARED`` seeds on average.
+PASSAGE, BAD, SHARED = 24, 0.2, 8
+#: Frames that are transformed, and integers that are seeded, at once.
+TOGETHER, SEEDED = 256, 4096
 # Where a filter's answer is cut.
 LEVELS = (-0.15, 0.0, 0.15)
 
@@ -37,14 +43,15 @@ def chroma_frames(samples: np.ndarray, rate: int, size: int = 4096, hop: int = 1
     """Pitch-class energies (frames x 12) of mono samples, by windowed Fourier transforms between 28 and 3520 Hz."""
     if len(samples) < size:
         return np.zeros((0, CLASSES))
-    frames = np.lib.stride_tricks.sliding_window_view(np.asarray(samples, float), size)[::hop] * np.hanning(size)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    hertz = np.fft.rfftfreq(size, 1 / rate)
+    window, hertz = np.hanning(size), np.fft.rfftfreq(size, 1 / rate)
     own = np.flatnonzero((hertz >= 28) & (hertz <= 3520))
     pitch = np.round(12 * np.log2(hertz[own] / 440)).astype(int) % CLASSES
-    out = np.zeros((len(frames), CLASSES))
-    for c in range(CLASSES):
-        out[:, c] = power[:, own[pitch == c]].sum(1)
+    each = np.lib.stride_tricks.sliding_window_view(samples, size)[::hop]
+    out = np.zeros((len(each), CLASSES))
+    for a in range(0, len(each), TOGETHER):
+        power = np.abs(np.fft.rfft(each[a : a + TOGETHER] * window, axis=1)[:, own]) ** 2
+        for c in range(CLASSES):
+            out[a : a + TOGETHER, c] = power[:, pitch == c].sum(1)
     return out
 
 
@@ -97,33 +104,55 @@ def fingerprints(recordings: DataFrame, id_col: str, frames_col: str) -> DataFra
     return recordings.select(id_col, frames_col).mapInArrow(run, f"rec {kind}, prints binary")
 
 
-def _samples() -> np.ndarray:
-    """The bits of each key: both halves of shuffled orders of the 32 bits."""
+def audio_fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate: int, size: int = 4096, hop: int = 1365) -> DataFrame:
+    """(rec, prints) of recordings given as little-endian 16-bit mono samples."""
+    kind = recordings.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                raw = b.column(1)[k].as_py() or b""
+                x = np.frombuffer(raw, "<i2", len(raw) // 2)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([fingerprint(chroma_frames(x, rate, size, hop)).astype("<u4").tobytes()], pa.binary())], ["rec", "prints"])
+
+    return recordings.select(id_col, audio_col).mapInArrow(run, f"rec {kind}, prints binary")
+
+
+def seed_bits(integers: int) -> tuple[int, int]:
+    """Bits of a seed and seeds of an integer for a corpus of so many integers."""
+    bits = min(31, max(12, integers.bit_length()))
+    return bits, math.ceil(SHARED / (PASSAGE * (1 - BAD) ** bits))
+
+
+def _samples(bits: int, keys: int) -> np.ndarray:
+    """The bits of each key."""
     draw = np.random.default_rng(9)
-    return np.concatenate([draw.permutation(32).reshape(-1, BITS) for _ in range(KEYS * BITS // 32)])
+    return np.stack([draw.permutation(32)[:bits] for _ in range(keys)])
 
 
-def _seeds_of(x: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds and places of one recording's integers."""
+def _seeds_of(x: np.ndarray, samples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Seeds and places of one recording's integers, in pieces."""
     starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    bits = (x[starts, None] >> np.arange(32)) & 1
-    keys = bits[:, samples] @ (1 << np.arange(BITS)) | np.arange(len(samples)) << BITS
+    n = samples.shape[1]
+    for a in range(0, len(starts), SEEDED):
+        own = starts[a : a + SEEDED]
+        keys = ((x[own, None] >> np.arange(32)) & 1)[:, samples] @ (1 << np.arange(n)) | np.arange(len(samples)) << n
+        yield keys.ravel(), np.repeat(own, len(samples))
     length = np.diff(np.concatenate([starts, [len(x)]]))
     runs = np.flatnonzero(length >= OVERLAP)
     run = 1 << 62 | np.minimum(length[runs], (1 << 29) - 1) << 33 | x[starts[runs]] << 1
     # A run seeds at VOTES places, so that it is enough by itself.
-    return np.concatenate([keys.ravel(), np.repeat(run, VOTES)]), np.concatenate([np.repeat(starts, len(samples)), (starts[runs, None] + np.arange(VOTES)).ravel()])
+    yield np.repeat(run, VOTES), (starts[runs, None] + np.arange(VOTES)).ravel()
 
 
-def _seeds(kind: str):
+def _seeds(kind: str, bits: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = _samples()
+        samples = _samples(bits, keys)
         for b in batches:
-            for rec, raw in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for rec, part, raw in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(raw, "<u4").astype(np.int64)
-                if len(x):
-                    seed, at = _seeds_of(x, samples)
-                    yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * len(at), b.schema.field(0).type), pa.array(seed), pa.array(at.astype(np.int32))], ["rec", "seed", "place"])
+                for seed, at in _seeds_of(x, samples) if len(x) else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * len(at), b.schema.field(0).type), pa.array([part.as_py()] * len(at), pa.int64()), pa.array(seed), pa.array(at.astype(np.int32))], ["rec", "part", "seed", "place"])
 
     return run
 
@@ -162,11 +191,15 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, overlap: int
     ``shift`` is the place in the match less the place in the query. Queries are matched by an equi-join on seeds.
     """
     kind = prints.schema["rec"].dataType.simpleString()
-    seeds = prints.mapInArrow(_seeds(kind), f"rec {kind}, seed long, place int")
-    asked = prints.where(is_query).mapInArrow(_seeds(kind), f"rec {kind}, seed long, place int").toDF("query", "seed", "at")
+    total = prints.agg(F.coalesce(F.sum(F.length("prints")), F.lit(0))).first()[0] // 4
+    parts = prints.select("rec", F.xxhash64("prints").alias("part"), "prints").where("prints IS NOT NULL").distinct()
+    seeded, form = _seeds(kind, *seed_bits(total)), f"rec {kind}, part long, seed long, place int"
+    seeds = parts.mapInArrow(seeded, form)
+    asked = parts.where(is_query).mapInArrow(seeded, form).toDF("query", "query_part", "seed", "at")
     hits = asked.join(seeds, "seed").where(F.col("query") != F.col("rec"))
-    voted = hits.groupBy("query", "rec", (F.col("place") - F.col("at")).alias("shift"), "at").agg(F.lit(1).alias("one"))
-    counted = voted.groupBy("query", "rec", "shift").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    pairs = counted.groupBy("query", "rec").agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
-    both = pairs.join(prints.toDF("query", "query_prints"), "query").join(prints, "rec")
-    return both.select("query", "rec", "offsets", "query_prints", "prints").mapInArrow(_checked(overlap, errors), f"query_id {kind}, match_id {kind}, shift int, votes long, overlap long, bit_errors double")
+    pair = ["query", "query_part", "rec", "part"]
+    voted = hits.groupBy(*pair, (F.col("place") - F.col("at")).alias("shift"), "at").agg(F.lit(1).alias("one"))
+    counted = voted.groupBy(*pair, "shift").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    offsets = counted.groupBy(*pair).agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
+    both = offsets.join(parts.toDF("query", "query_part", "query_prints"), ["query", "query_part"]).join(parts, ["rec", "part"])
+    return both.select("query", "rec", "offsets", "query_prints", "prints").mapInArrow(_checked(overlap, errors), f"query_id {kind}, match_id {kind}, shift int, votes long, overlap long, bit_errors double").distinct()

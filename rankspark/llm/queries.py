@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.llm import bpe, chroma, jaccard, langid, lines, packing, pst, quality, suffixes, warc
-from rankspark.llm.common import remainder_is
+from rankspark.llm.common import remainder_is, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,17 +91,37 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-#: Vectors of a recording: each vector's 64 magnitudes are folded into one frame of 12 pitch classes.
-FRAMES = 32
+#: Vectors of a recording; samples a second, in a window and between windows of its sound.
+VECTORS, RATE, WINDOW, HOP = 32, 4096, 1024, 341
+
+
+def recordings(vectors: DataFrame) -> DataFrame:
+    """(rec_id, audio: 16-bit samples), since no table holds sound: each recording of ``VECTORS`` vectors, 2 * (vec_id / 32).
+
+    All magnitudes, 12 at a time, are the loudness of the 12 semitones from 440 Hz for one hop. The recording after it, of
+    an odd id, is an excerpt of 60 to 90 hops from a place of its own, with other loudness and noise.
+    """
+
+    def run(batches):
+        tones = np.sin(2 * np.pi * 440 * np.outer(2 ** (np.arange(12) / 12), np.arange(HOP * (VECTORS * 64 // 12 + 1))) / RATE)
+        for b in batches:
+            for rec, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                loud = np.abs(np.array([x or 0.0 for _, row in sorted((r["vec_id"], r["embedding"]) for r in values) for x in row or ()]))[: VECTORS * 64]
+                loud = np.pad(loud, (0, -len(loud) % 12)).reshape(-1, 12)
+                sound = np.concatenate([np.empty(0), *((tones[:, k * HOP : (k + 1) * HOP] * loud[k][:, None]).sum(0) for k in range(len(loud)))])
+                sound = sound * (20000 / max(1e-9, np.abs(sound).max(initial=0)))
+                draw = np.random.default_rng(rec)
+                start, n = int(draw.integers(0, 80)), int(draw.integers(60, 91))
+                part = 0.4 * sound[start * HOP : (start + n) * HOP]
+                part = part + 200 * draw.standard_normal(len(part))
+                yield pa.RecordBatch.from_arrays([pa.array([2 * rec, 2 * rec + 1], pa.int64()), pa.array([x.astype("<i2").tobytes() for x in (sound, part)], pa.binary())], ["rec_id", "audio"])
+
+    each = vectors.select(F.floor(F.col("vec_id") / VECTORS).cast("long").alias("rec"), F.struct("vec_id", "embedding").alias("x"))
+    return each.groupBy("rec").agg(F.collect_list("x").alias("values")).mapInArrow(run, "rec_id long, audio binary")
 
 
 def op9_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    size = F.transform("embedding", lambda x: F.abs(x).cast("double"))
-    frame = F.transform(F.sequence(F.lit(0), F.lit(chroma.CLASSES - 1)), lambda c: F.aggregate(F.filter(size, lambda _, i: i % chroma.CLASSES == c), F.lit(0.0), lambda s, x: s + x))
-    rec = F.floor(F.col("vec_id") / FRAMES)
-    recordings = vectors.select(rec.alias("rec"), "vec_id", frame.alias("frame")).groupBy("rec").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "frame"))), lambda x: x["frame"])).alias("frames"))
-    prints = chroma.fingerprints(recordings, "rec", "frames")
+    prints = stored(chroma.audio_fingerprints(recordings(table(spark, sf_dir, "embeddings")), "rec_id", "audio", RATE, WINDOW, HOP))
     found = chroma.align(prints, F.col("rec") % 50 == 0)
     best = found.groupBy(F.col("query_id").alias("rec")).agg(F.count("*").alias("n_matches"), F.max_by(F.struct("match_id", "shift", "bit_errors"), F.struct(-F.col("bit_errors"), "overlap", -F.col("match_id"))).alias("best"), F.array_sort(F.collect_list(F.struct("match_id", "shift", "votes", "overlap", "bit_errors"))).alias("matches"))
     out = prints.join(best, "rec", "left")
