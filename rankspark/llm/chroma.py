@@ -32,7 +32,9 @@ WIDTHS = (2, 4, 6, 8)
 #: recordings of noise come down to 0.3 over 16 frames.
 VOTES, OVERLAP, ERRORS = 2, 20, 0.25
 #: Seeds are dealt so that this many integers with this share of bit errors share ``SHARED`` seeds on average.
-PASSAGE, BAD, SHARED = 24, 0.2, 8
+PASSAGE, BAD, SHARED = 24, 0.2, 6
+#: What a bit tells of an integer, measured on noise (a fair one: 1).
+TOLD = 0.85
 #: Frames that are transformed, and integers that are seeded, at once.
 TOGETHER, SEEDED = 256, 4096
 # Where a filter's answer is cut.
@@ -120,7 +122,7 @@ def audio_fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate:
 
 def seed_bits(integers: int) -> tuple[int, int]:
     """Bits of a seed and seeds of an integer for a corpus of so many integers."""
-    bits = min(31, max(12, integers.bit_length()))
+    bits = min(31, max(12, math.ceil(math.log2(max(2, integers)) / TOLD)))
     return bits, math.ceil(SHARED / (PASSAGE * (1 - BAD) ** bits))
 
 
