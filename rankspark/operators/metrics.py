@@ -13,9 +13,19 @@ def auc_by_group(df: DataFrame, group: Sequence[str], score: str, label: str) ->
     """(group, roc_auc, pr_auc, status); both areas are null where a class is missing.
 
     Rows are summed by (group, score) first, so windows see distinct scores only. ROC: pairs won plus half the ties.
-    PR: trapezoids over (recall, precision) from the point (0, 1).
+    PR: trapezoids over (recall, precision) from the point (0, 1). A group with a null or NaN score has an error status.
     """
-    steps = df.groupBy(*group, F.col(score).alias("__s")).agg(F.sum(label).cast("double").alias("p"), F.count("*").cast("double").alias("c"))
+    return auc_of_steps(auc_steps(df, group, score, label), group)
+
+
+def auc_steps(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
+    """(group, __s, p, c): positives and rows of each score. Sums of such tables are those of the rows together."""
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None))
+    return df.groupBy(*group, value.alias("__s")).agg(F.sum(label).cast("double").alias("p"), F.count("*").cast("double").alias("c"))
+
+
+def auc_of_steps(steps: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The areas of ``auc_steps``."""
     down = Window.partitionBy(*group).orderBy(F.col("__s").desc())
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
@@ -23,9 +33,9 @@ def auc_by_group(df: DataFrame, group: Sequence[str], score: str, label: str) ->
     steps = steps.withColumn("rec", F.when(F.col("m") > 0, F.col("tp") / F.col("m"))).withColumn("prec", F.col("tp") / F.col("k"))
     steps = steps.withColumn("rec0", F.lag("rec", 1, 0.0).over(down)).withColumn("prec0", F.lag("prec", 1, 1.0).over(down))
     won = F.col("p") * ((F.col("n") - F.col("m")) - (F.col("k") - F.col("tp")) + (F.col("c") - F.col("p")) / 2)
-    out = steps.groupBy(*group).agg(F.sum(won).alias("won"), F.max("m").alias("m"), F.max("n").alias("n"), F.sum((F.col("rec") - F.col("rec0")) * (F.col("prec") + F.col("prec0")) / 2).alias("area"))
-    two = (F.col("m") > 0) & (F.col("m") < F.col("n"))
-    return out.select(*group, F.when(two, F.col("won") / (F.col("m") * (F.col("n") - F.col("m")))).alias("roc_auc"), F.when(two, F.col("area")).alias("pr_auc"), F.when(two, "success").otherwise("insufficient samples").alias("status"))
+    out = steps.groupBy(*group).agg(F.max(F.col("__s").isNull()).alias("odd"), F.sum(won).alias("won"), F.max("m").alias("m"), F.max("n").alias("n"), F.sum((F.col("rec") - F.col("rec0")) * (F.col("prec") + F.col("prec0")) / 2).alias("area"))
+    two = (F.col("m") > 0) & (F.col("m") < F.col("n")) & ~F.col("odd")
+    return out.select(*group, F.when(two, F.col("won") / (F.col("m") * (F.col("n") - F.col("m")))).alias("roc_auc"), F.when(two, F.col("area")).alias("pr_auc"), F.when(F.col("odd"), "error: score is null or not a number").when(two, "success").otherwise("insufficient samples").alias("status"))
 
 
 def with_summary(aucs: DataFrame, directory: str, file: str) -> DataFrame:
@@ -78,6 +88,16 @@ def pivoted(areas: DataFrame, directory: str, cutoffs: Sequence[float]) -> DataF
     return areas.groupBy(directory).agg(F.max("n_rows").alias("n_rows"), *[F.max(F.when(F.col("cutoff") == c, F.col("area"))).alias(cutoff_label(c)) for c in cutoffs])
 
 
+def step_accuracy(df: DataFrame, epoch: str, step: str, correct: Column) -> DataFrame:
+    """(epoch, step, accuracy) over all tasks of a step."""
+    return df.groupBy(epoch, step).agg(F.avg(correct.cast("double")).alias("accuracy"))
+
+
+def epoch_accuracy(steps: DataFrame, epoch: str, step: str) -> DataFrame:
+    """Each epoch's accuracy at its last step and the mean of its steps."""
+    return steps.groupBy(epoch).agg(F.max_by("accuracy", step).alias("last_accuracy"), F.avg("accuracy").alias("mean_accuracy"))
+
+
 def accuracy(df: DataFrame, group: Sequence[str], probability: Column, label: str) -> DataFrame:
     """Share of rows whose decision at one half is the label."""
     return df.groupBy(*group).agg(F.avg(((probability > 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"), F.count("*").alias("n"))

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 ALPHABET = "ARNDCQEGHILKMFPSTWYV"
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def clean_sequence(c: str | Column, strict: bool = False) -> Column:
     """Trimmed and upper-cased, or null if it has other letters; ``strict`` takes it as it is."""
     c = F.col(c) if isinstance(c, str) else c
-    c = c if strict else F.upper(F.trim(c))
-    return F.when(c.rlike(f"^[{ALPHABET}]+$"), c)
+    c = c if strict else F.upper(stripped(c))
+    return F.when(c.rlike(rf"\A[{ALPHABET}]+\z"), c)
 
 
 def resolve_column(df: DataFrame, names: Sequence[str], fallback: int) -> str:
@@ -33,12 +38,13 @@ def valid_pairs(df: DataFrame, item: str, key: str, other: str | None = None) ->
 def candidate_pairs(keys: DataFrame, pool: DataFrame, positives: DataFrame, key: str, item: str) -> DataFrame:
     """Every key with the whole pool and its own positives, labelled 1 where the pair is a positive.
 
-    The product of keys and pool is the result itself. It is written as a nested-loop join whose smaller side Spark
-    picks by its own size limit; labels come from an equi-join on the pair.
+    The product of keys and pool is the result itself: both sides are distinct, so it needs no shuffle of its own.
+    Labels come from an equi-join on the pair, which Spark broadcasts while the positives are small; positives whose item
+    the pool lacks are added.
     """
-    known = positives.select(key, item).distinct()
-    grid = keys.select(key).distinct().crossJoin(pool.select(item).distinct()).unionByName(known.join(keys.select(key).distinct(), key, "left_semi")).distinct()
-    return grid.join(known.withColumn("label", F.lit(1)), [key, item], "left").fillna(0, ["label"])
+    known, own, items = positives.select(key, item).distinct(), keys.select(key).distinct(), pool.select(item).distinct()
+    grid = own.crossJoin(items).join(known.withColumn("label", F.lit(1)), [key, item], "left").fillna(0, ["label"])
+    return grid.unionByName(known.join(own, key, "left_semi").join(items, item, "left_anti").select(key, item, F.lit(1).alias("label")))
 
 
 def negatives(pool: DataFrame, positives: DataFrame, key: str, item: str) -> DataFrame:

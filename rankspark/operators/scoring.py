@@ -42,12 +42,32 @@ def weighted_chains(df: DataFrame, mode: str, alpha: str, beta: str) -> DataFram
     return df.withColumn("score", F.col(alpha) * a + F.col(beta) * b)
 
 
-def mean_verdict(*negative: Column) -> tuple[Column, Column]:
-    """Probability and verdict of models that give the probability of the negative class."""
+def mean_verdict(*negative: Column, swapped: tuple[int, ...] = ()) -> tuple[Column, Column]:
+    """Probability and verdict of models that give the probability of the negative class.
+
+    Models whose place is in ``swapped`` have their classes the other way round.
+    """
+    negative = tuple(1 - c if k in swapped else c for k, c in enumerate(negative))
     mean = sum(negative[1:], negative[0]) / len(negative)
     return 1 - mean, F.when(mean > 0.5, "negative").otherwise("positive")
 
 
+def both_chains(alpha: Column, beta: Column) -> Column:
+    """Positive only if both chains' verdicts are."""
+    return F.when((alpha == "positive") & (beta == "positive"), "positive").otherwise("negative")
+
+
+def zipped(a: DataFrame, b: DataFrame, row: str) -> DataFrame:
+    """The columns of both tables side by side, by row id."""
+    return a.join(b, row)
+
+
+def cosine(a: str | Column, b: str | Column) -> Column:
+    """Null where a vector is zero."""
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm)
+
+
 def best_step(a: DataFrame, b: DataFrame) -> DataFrame:
     """The step with the least mean validation loss of two traces (step, val_loss)."""
     both = a.select("step", F.col("val_loss").alias("a")).join(b.select("step", F.col("val_loss").alias("b")), "step")

@@ -16,6 +16,7 @@ from rankspark.operators import metrics, pairs, ranking, sampling, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# Shares of the curve at which partial areas are taken.
 CUTOFFS = [0.0001, 0.001, 0.01, 0.05, 0.1, 0.2, 1.0]
 TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_linestatus"]
 GROUP = ["directory", "file"]
@@ -344,12 +345,12 @@ def mean_ensemble_verdict(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", near(p).alias("probability"), verdict.alias("verdict"))
 
 
-@query(f"""WITH k(slot) AS (SELECT unnest(range(0, 10))), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT vec_id, slot, list_extract(v, CAST(slot + 1 AS INT)) / sqrt(list_inner_product(v[1:10], v[1:10])) AS x FROM e, k), z AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS w FROM s)
+@query(f"""WITH k(slot) AS (SELECT unnest(range(0, 64))), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT vec_id, slot, list_extract(v, CAST(slot + 1 AS INT)) / sqrt(list_inner_product(v, v)) AS x FROM e, k), z AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS w FROM s)
 SELECT vec_id, CAST(slot AS INT) AS slot, {R6.format('w / sum(w) OVER (PARTITION BY vec_id)')} AS weight FROM z""")
 def memory_softmax_weights(spark, sf_dir):
-    ten = F.slice("embedding", 1, 10)
-    sims = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform(ten, lambda x: x.cast("double") / F.sqrt(scoring.dot(ten, ten)))).alias("slot", "x"))
+    # The cosine of a vector with each unit slot is its number there over its length.
+    sims = table(spark, sf_dir, "embeddings").select("vec_id", F.sqrt(scoring.dot("embedding", "embedding")).alias("length"), F.posexplode("embedding").alias("slot", "v")).select("vec_id", "slot", (F.col("v").cast("double") / F.col("length")).alias("x"))
     return scoring.softmax_weights(sims, ["vec_id"], "x").select("vec_id", "slot", near("weight").alias("weight"))
 
 

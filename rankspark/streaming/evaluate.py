@@ -1,17 +1,24 @@
-"""Incremental evaluation: each new batch of prediction files adds its groups' areas; the checkpoint knows what is done."""
+"""Incremental evaluation: each batch of new prediction files adds sums by score, from which all areas are computed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankspark.operators.metrics import auc_by_group
+from rankspark.operators.metrics import auc_of_steps, auc_steps
 
 
-def evaluate_new_files(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, group: list[str], score: str, label: str) -> None:
-    """Process the files that are there and stop."""
+def evaluate_new_files(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, group: list[str], score: str, label: str) -> DataFrame:
+    """Process the files that are there, stop, and return the areas of all files seen so far.
 
-    def batch(df: DataFrame, _: int) -> None:
-        auc_by_group(df, group, score, label).write.mode("append").parquet(target)
+    A batch's sums replace those of the same batch, so a replay changes nothing, and a group whose files come in several
+    batches gets one area over all of them.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        auc_steps(df, group, score, label).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    steps = spark.read.parquet(target).groupBy(*group, "__s").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
+    return auc_of_steps(steps, group)

@@ -9,6 +9,7 @@ import duck
 
 from rankspark.operators import sampling
 from rankspark.plans import registry
+from rankspark.plans import tasks as _tasks  # noqa: F401  registers its queries
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
