@@ -10,8 +10,9 @@ the dates decide; else there is none to check. On a mismatch the body must not b
 Merged headers are the response's, replaced or extended by those that a 304 may carry (``PERMITTED``).
 
 Defined results: a null or unparsable URL stands for itself and a null one matches nothing; records of other types
-are ignored; a revisit without an earlier response is ``unresolved``; among responses of one time the largest id
-counts; repeated revisits are resolved one by one.
+are ignored; a revisit without an earlier response is ``unresolved``; among responses of one time the largest id counts
+(a null one is the smallest; of equal ids the larger hash of the row). Null ids are ids like others. Repeated revisits are
+resolved one by one, repeated responses count once. Other columns are left out; no record gives no row.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.llm.common import row_key
+
 # Header fields that a not-modified answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 #: Seconds of a span.
@@ -44,22 +47,25 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     ``headers`` is a map with lower-case names. Columns: record_id, response_id, canonical_url, verdict (resolved,
     unverified, mismatch or unresolved) and merged (map; null unless resolved or unverified).
     """
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("\n", e["key"], F.coalesce(e["value"], F.lit("\0")))))
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("u"), F.col("at").cast("long").alias("at"), "status", "headers")
+    rows = rows.select("*", F.struct(*row_key("record_id", "kind", "u", "at", "status")).alias("k"), F.xxhash64(F.array_join(pairs, "\r")).alias("h"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    marks = rows.where(F.col("u").isNotNull() & F.col("at").isNotNull() & (full | (F.col("kind") == "revisit"))).select("record_id", "u", "at", F.when(full, F.struct("at", "record_id")).alias("full"), F.floor(F.col("at") / span).alias("span"))
+    marks = rows.where(F.col("u").isNotNull() & F.col("at").isNotNull() & (full | (F.col("kind") == "revisit"))).select("k", "u", "at", F.when(full, F.struct("at", "record_id", "k", "h")).alias("full"), F.floor(F.col("at") / span).alias("span"))
     before = Window.partitionBy("u").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.groupBy("u", "span").agg(F.max("full").alias("tail")).select("u", "span", F.max("tail").over(before).alias("carried"))
     earlier = Window.partitionBy("u", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    inside = marks.select("record_id", "u", "span", F.col("full").isNull().alias("asks"), F.max("full").over(earlier).alias("inside")).where("asks")
-    links = inside.join(carried, ["u", "span"], "left").select("record_id", F.coalesce("inside", "carried").getField("record_id").alias("response_id"))
-    asked = rows.where(F.col("kind") == "revisit").select("record_id", F.col("u").alias("canonical_url"), F.col("headers").alias("theirs"))
-    links = links.distinct()
-    answers = rows.where(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("ours"))
-    both = asked.join(links, "record_id", "left").join(answers, "response_id", "left")
+    inside = marks.select("k", "u", "span", F.col("full").isNull().alias("asks"), F.max("full").over(earlier).alias("inside")).where("asks")
+    # Rows are linked by a hash of the whole row, so null and repeated ids neither lose nor multiply rows.
+    found = F.coalesce("inside", "carried")
+    links = inside.join(carried, ["u", "span"], "left").select("k", found.getField("k").alias("full_k"), found.getField("h").alias("full_h")).distinct()
+    asked = rows.where(F.col("kind") == "revisit").select("k", "record_id", F.col("u").alias("canonical_url"), F.col("headers").alias("theirs"))
+    answers = rows.where(full).select(F.col("k").alias("full_k"), F.col("h").alias("full_h"), F.col("record_id").alias("response_id"), F.col("headers").alias("ours")).dropDuplicates(["full_k", "full_h"])
+    both = asked.join(links, "k", "left").join(answers, ["full_k", "full_h"], "left")
     tag = lambda h: F.regexp_replace(_field(h, "etag"), "^W/", "")
     when = lambda h: _field(h, "last-modified")
     same = F.coalesce(tag("ours") == tag("theirs"), when("ours") == when("theirs"))
-    verdict = F.when(F.col("response_id").isNull(), "unresolved").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
+    verdict = F.when(F.col("full_k").isNull(), "unresolved").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
     newer = F.map_filter(F.coalesce("theirs", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(PERMITTED))
     kept = F.map_filter(F.coalesce("ours", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(newer), k))
     return both.select("record_id", "response_id", "canonical_url", verdict.alias("verdict"), F.when(verdict.isin("resolved", "unverified"), F.map_concat(kept, newer)).alias("merged"))
