@@ -1,13 +1,14 @@
 """Bounded-space online best-fit packing of tokenized documents into sequences (operator 7).
 
-Tokenize in place (only piece descriptions are shuffled), deal documents by a hash of their id into blocks of about
-``ROWS_PER_BLOCK``, and pack each block with a fixed number of open bins. A bitset has bit ``f`` set when some open
-bin has ``f`` free places, so the best fit for a piece of length ``n`` is the lowest set bit at or above ``n``. When
-nothing fits and all bins are open, the fullest (lowest set bit) closes first. Pieces arrive longest first within a
-block; full pieces are sequences of their own.
-
-Defined results: null text is the empty text and gives one piece (the end id alone); a document of more than
-``capacity`` ids is cut so that only its first piece may be shorter; repeated ids are packed as separate rows.
+Each task tokenizes its documents and packs their pieces in the order in which they come, with a fixed number of open
+bins, so nothing is shuffled and a task holds no more than its open bins. A bitset has bit ``f`` set when some open bin has
+``f`` free places, so the best fit for a piece of length ``n`` is the lowest set bit at or above ``n`` (of equal bins the
+one filled last). When nothing fits and all bins are open, the fullest (lowest set bit) closes first. Full pieces are
+sequences of their own.
+
+Defined results: null text is the empty text and gives one piece (the end id alone); a document of more than ``capacity``
+ids is cut so that only its first piece may be shorter; null and repeated ids are packed as separate rows; no row gives no
+piece; other columns are left out. Where tables are read in other splits, documents may get other sequences.
 """
 
 from __future__ import annotations
@@ -18,17 +19,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rankspark.llm.common import Splitter, block_count, slices
+from rankspark.llm.common import Splitter, slices
 
-#: Documents in a block; one block is packed by one call.
-ROWS_PER_BLOCK = 2500
 #: Bins that are open at the same time.
-OPEN_BINS = 1024
+OPEN_BINS = 32
 #: Different pieces of text that a worker remembers; beyond it, it forgets all and goes on.
 REMEMBERED = 900_000
 
@@ -119,39 +117,27 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenized_pieces(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``sequence_id`` is the partition's number times 2**40 plus the bin's number in it, so a repeated task gives the same
+    rows. Each task leaves at most its open bins partly empty.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer_path, pattern)
+        tok, bins, base = _tokenizer(tokenizer_path, pattern), OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for b in slices(batches, "__text"):
-            ids, rows = b.column(0).to_pylist(), []
-            for doc, got in zip(ids, tok.encode_bytes([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            owner, rows = [], []
+            for k, got in enumerate(tok.encode_bytes([t or "" for t in b.column(1).to_pylist()])):
                 got += end
-                rows += [(doc, k, s, n, zlib.crc32(got[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_pieces(len(got) // 4, capacity))]
-            doc, piece, start, length, crc = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, b.schema.field(0).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [id_col, "piece", "start", "length", "ids_crc32"])
-
-    return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS __text").mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
-
-
-def pack(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
-
-    ``sequence_id`` is the block number times 2**32 plus the bin's number in the block, so a repeated task gives the
-    same rows. Each block leaves at most its last few bins partly empty.
-    """
-    blocks = block_count(df.count(), ROWS_PER_BLOCK)
-    pieces = tokenized_pieces(df, tokenizer_path, pattern, capacity, end_id, id_col, text_col)
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
-        bins = OpenBins(capacity, open_bins)
-        put = [bins.put(n) for n in pdf["length"].tolist()]
-        base = int(key[0]) << 32
-        return pdf.drop(columns="block").assign(sequence_id=[base + b for b, _ in put], offset=[o for _, o in put])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return pieces.groupBy("block").applyInPandas(one, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+                cuts = cut_pieces(len(got) // 4, capacity)
+                owner += [k] * len(cuts)
+                for piece, (s, n) in enumerate(cuts):
+                    at, offset = bins.put(n)
+                    rows.append((piece, s, n, zlib.crc32(got[4 * s : 4 * (s + n)]), base + at, offset))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 5), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS __text").mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -44,10 +44,57 @@ def test_documents(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, None, None), (-2, "", None), (-3, "a" * 9000, None), (-4, "  x\n\n y<|endoftext|> 漢字", "z")], "doc_id long, text string, lang string"))
     rows = packing.pack(df, PATH, public_tokenizers.PATTERN).collect()
     n = check(rows, {r.doc_id: r.text for r in df.collect()}, 2048)
-    assert n <= -(-sum(r.length for r in rows) // 2048) * 1.02 + 1
+    # In the order of arrival a task leaves some open bins partly empty: here one task has nearly all documents.
+    assert n <= -(-sum(r.length for r in rows) // 2048) * 1.02 + packing.OPEN_BINS / 4
     assert packing.pack(df.where("false"), PATH, public_tokenizers.PATTERN).collect() == []
 
 
+class PlainBins:
+    """Best fit by looking at every open bin."""
+
+    def __init__(self, capacity, most):
+        self.capacity, self.most, self.open, self.n = capacity, most, [], 0
+
+    def put(self, length):
+        fit = [b for b in self.open if b[1] >= length]
+        if fit:
+            least = min(b[1] for b in fit)
+            own = [b for b in fit if b[1] == least][-1]
+            self.open.remove(own)
+        else:
+            if len(self.open) == self.most:
+                least = min(b[1] for b in self.open)
+                self.open.remove([b for b in self.open if b[1] == least][-1])
+            own = (self.n, self.capacity)
+            self.n += 1
+        if own[1] > length:
+            self.open.append((own[0], own[1] - length))
+        return own[0], self.capacity - own[1]
+
+
+def test_bins_equal_plain_best_fit():
+    draw = np.random.default_rng(2)
+    for capacity, most in ((10, 1), (10, 3), (50, 4), (2048, 32)):
+        fast, plain_bins = packing.OpenBins(capacity, most), PlainBins(capacity, most)
+        for n in draw.integers(1, capacity + 1, 3000).tolist():
+            assert fast.put(n) == plain_bins.put(n)
+
+
+def test_query_rows_in_order_equal_plain_best_fit(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    bins, closed = PlainBins(2048, packing.OPEN_BINS), 0
+    for r in packing.pack(df, PATH, public_tokenizers.PATTERN).collect():
+        closed += len(bins.open) == bins.most and all(b[1] < r.length for b in bins.open)
+        assert (r.sequence_id, r.offset) == bins.put(r.length)
+    assert closed > 0  # bins are closed by force
+
+
+def test_large_and_null_ids_stay(spark):
+    rows = [(2**60 + 1, "a b"), (None, "c"), (None, None), (2**60 + 1, "a b")]
+    got = packing.pack(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, piece int"), PATH, public_tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 2**60 + 1, 2**60 + 1]
+
+
 def test_fullest_bin_closes_first():
     bins = packing.OpenBins(10, 2)
     assert [bins.put(n) for n in (6, 7, 5, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6)]
