@@ -10,8 +10,12 @@ tightest; it has half of ``DOUBT`` divided by the strata. Each later rule alone
 half evenly. Of the certified verdicts, the one with the most bad documents less ``PRICE`` times the good ones rejected
 is taken, the earliest of equals; a verdict without a gain stays off.
 
-Defined results: null text has no word and fails the base; a null stratum is a stratum; with no labels every document
-that passes the base is kept; repeated rows are judged alike.
+A trial is one text of a stratum: copies of a text, repeated rows and repeated labels count once, and a text that any
+label calls good is good.
+
+Defined results: null text has no word and fails the base; a null stratum is the stratum ''; labels of unknown documents
+and null labels do not count; with no labels every document that passes the base is kept; repeated rows are judged alike;
+other columns are left out; no document gives no row.
 """
 
 from __future__ import annotations
@@ -118,12 +122,14 @@ def select_cutoffs(labelled: DataFrame, risk: float = RISK, doubt: float = DOUBT
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", **limits: float) -> DataFrame:
     """Per row: the id, the counts, base_failed, kept and the cutoffs that were applied."""
-    counts = text_counts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")), "text").drop("text")
+    counts = text_counts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.struct(F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(5), F.col(text_col))).alias("same")), "text").drop("text")
     counts = counts.withColumnRenamed("stratum", "__stratum").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     counts = stored(counts)
     valued = counts.withColumns(_values())
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("__good")).where("__good IS NOT NULL")
-    cutoffs = select_cutoffs(valued.where("NOT base_failed").join(known, "id"), **limits)
+    good = known.groupBy("id").agg(F.max("__good").alias("__good"))
+    trials = valued.where("NOT base_failed").join(good, "id").groupBy("__stratum", "same").agg(F.max("__good").alias("__good"), *[F.first(r).alias(r) for r in CUTOFFS])
+    cutoffs = select_cutoffs(trials, **limits)
     wide = cutoffs.groupBy("__stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in CUTOFFS])
     fine = F.lit(True)
     for r in CUTOFFS:

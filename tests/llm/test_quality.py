@@ -72,3 +72,47 @@ def test_few_labels_certify_a_rule(spark):
     kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
     for i, good in labels:
         assert kept[i] == (good == 1 or i >= 3000), i  # 240 good labels are too few for a certificate, 280 are enough
+
+
+def test_copies_and_repeated_labels_are_one_trial(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows = [(i, text(i % 40), "en", 1) for i in range(400)] + [(1000 + i, " ".join(f"b{i}y{j}##" for j in range(20)), "en", 1) for i in range(30)]
+    labels = [(i, 1) for i in range(400)] * 3 + [(1000 + i, 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int")
+    assert all(r.kept for r in quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect())  # 40 texts certify nothing
+
+
+def test_verdicts_equal_plain_certificates(spark):
+    """The query's verdicts on a table with enough labels, recomputed from the counts in plain Python."""
+    import random
+
+    draw, rows, labels = random.Random(6), [], []
+    for i in range(900):
+        good = draw.random() < 0.75
+        words = [f"w{i}x{j}" for j in range(25)]
+        if not good and draw.random() < 0.8 or draw.random() < 0.0005:
+            words = [w + "###" for w in words]
+        rows.append((i, " ".join(words), "en" if i % 3 else "de"))
+        labels.append((i, int(good)))
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    good = dict(labels)
+    for lang in ("en", "de"):
+        values = {}
+        for i, text, own in rows:
+            n, chars, symbols, dup, repeat = brute(text)
+            if own == lang and n >= 10 and 100 * repeat <= 20 * n:
+                values[i] = {"symbol_share": symbols / chars, "dup_line_share": dup / 1, "repeat_share": repeat / n, "mean_word": chars / n, "tiny_word": -chars / n}
+        best, chosen, ended = 0, {}, set()
+        for chain, share, cutoffs in quality.verdicts():
+            hit = {i for i, v in values.items() if any(v[r] > c for r, c in cutoffs.items())}
+            n, k = sum(good[i] for i in values), sum(good[i] for i in hit)
+            tail = sum(math.comb(n, j) * quality.RISK**j * (1 - quality.RISK) ** (n - j) for j in range(k + 1))
+            if chain in ended or k >= n * quality.RISK or tail > quality.DOUBT * share / 2:
+                ended.add(chain)
+                continue
+            gain = len(hit) - k - quality.PRICE * k
+            if gain > best:
+                best, chosen = gain, cutoffs
+        for i, v in values.items():
+            assert got[i] == all(v[r] <= c for r, c in chosen.items()), (lang, i)
+        assert lang == "de" or chosen
