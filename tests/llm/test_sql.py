@@ -55,3 +55,30 @@ def test_revisits(spark):
     assert got[0] == (3, 1, "resolved", {"etag": 'W/"a"', "date": "9", "content-type": "t"})
     assert [g[:3] for g in got[1:]] == [(4, None, "unresolved"), (5, 1, "mismatch"), (6, 2, "resolved"), (7, None, "unresolved"), (10, None, "unresolved"), (10, None, "unresolved")]
     assert warc.resolve_revisits(df.where("false")).collect() == []
+
+
+def test_repeated_responses_and_null_ids(spark):
+    h = {"etag": "x"}
+    rows = [(1, "response", "http://a/x", 10, 200, h), (1, "response", "http://a/x", 10, 200, h), (None, "response", "http://b/y", 10, 200, h)]
+    rows += [(2, "revisit", "http://a/x", 11, 304, h), (2, "revisit", "http://b/y", 12, 304, {"etag": "z"}), (None, "revisit", "http://a/x", 13, 304, h), (None, "revisit", "http://b/y", 9, 304, h)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "record_id long, kind string, url string, at long, status int, headers map<string,string>, k int")
+    got = sorted(((r.record_id or 0, r.canonical_url, r.response_id, r.verdict) for r in warc.resolve_revisits(df).collect()))
+    assert got == [(0, "a/x", 1, "resolved"), (0, "b/y", None, "unresolved"), (2, "a/x", 1, "resolved"), (2, "b/y", None, "mismatch")]
+
+
+def test_recall_of_short_passages(spark):
+    import random
+
+    draw, rows, passages = random.Random(3), [], {}
+    line = lambda: " ".join(draw.choice("abcdefgh") + str(draw.randint(0, 9999)) for _ in range(6))
+    for n in (2, 4, 5, 8, 12):
+        for k in range(60):
+            passage = [line() for _ in range(n)]
+            for copy in range(2):
+                doc = 10_000 * copy + 100 * n + k
+                rows.append((doc, "\n".join([*(line() for _ in range(draw.randint(3, 8))), *passage, *(line() for _ in range(draw.randint(3, 8)))])))
+                passages[doc] = n
+    got = {r.doc_id: r.n_removed_lines for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = {n: sum(got[d] > 0 for d in passages if d >= 10_000 and passages[d] == n) / 60 for n in (2, 4, 5, 8, 12)}
+    assert all(got[d] == 0 for d in passages if d < 10_000)
+    assert caught[4] > 0.3 and caught[5] > 0.5 and caught[8] > 0.85 and caught[12] > 0.95, caught
