@@ -7,15 +7,19 @@ shipping every suffix:
    equal anchors. Windows in a row with one anchor form a segment; only its description is shuffled first.
 2. Segments whose anchor occurs once cannot repeat. The others are cut out of the texts, equal segments are summed up
    (an equal copy elsewhere settles all windows of a segment), and different segments meet by anchor.
-3. Anchors with more than ``CROWD`` different segments are split: a window that has the anchor in its right half also
+3. Anchors with more than ``CROWD`` different segments, or more than ``KEY_BYTES`` of them, are split: a window that has the anchor in its right half also
    holds the ``half`` bytes left of it, and the others those right of it, so a longer anchor takes its place. Seven
    halvings reach whole windows, so no group needs a cap.
 4. In each group of anchors the segments' suffixes are sorted in two stages: those smaller than their successor
    directly, the others induced by a scan over the first-byte buckets. Neighbours' common prefixes of ``size`` bytes
    or more are the repeats.
 
-Defined results: null text is the empty text; a text shorter than ``size`` bytes keeps all; repeated ids are kept
-apart by a row number only if the caller gives one (ids are taken to be unique).
+Equal segments are told by a 128-bit digest. A segment stays whole in one task; it is longer than a few hundred bytes
+only where one gram is the least hash on and on, as in a periodic text, and then as long as that stretch.
+
+Defined results: null text is the empty text; a text shorter than ``size`` bytes keeps all; repeated rows (same id and
+text) are texts of their own, so that all of their windows repeat; rows that share an id only are told apart by their
+texts; null ids are ids like others; columns that are not carried are left out; no row gives no row.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from rankspark.llm.common import mix, row_key, slices, stored
 GRAM = 40
 #: Different segments that an anchor may have before it is split.
 CROWD = 4096
+#: Bytes of different segments that an anchor may have before it is split.
+KEY_BYTES = 32 << 20
 #: Bytes of segments that one call sorts, about.
 SORT_BYTES = 2 << 20
 
@@ -356,8 +362,8 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 def _repeats(rows: DataFrame, size: int, gram: int, crowd: int) -> DataFrame:
     """(key, seg_id, runs) of the segments, crowded keys split first. Rows of a segment add up; one or more has its bytes."""
-    named = rows.select("key", "seg_id").distinct().groupBy("key").agg(F.count("*").alias("__n"))
-    crowded = stored(named.where(F.col("__n") > crowd).select("key"))
+    named = rows.groupBy("key", "seg_id").agg(F.max(F.length("seg")).alias("__l")).groupBy("key").agg(F.count("*").alias("__n"), F.sum("__l").alias("__l"))
+    crowded = stored(named.where((F.col("__n") > crowd) | (F.col("__n") > 1) & (F.col("__l") > KEY_BYTES)).select("key"))
     lone = "key long, seg_id binary, runs array<struct<a:int,n:int>>"
     none = crowded.isEmpty()
     runs = stored(_in_order(rows if none else rows.join(crowded, "key", "left_anti")).mapInArrow(_sort_groups(size), lone))
@@ -378,14 +384,14 @@ def repeated_runs(docs: DataFrame, size: int, gram: int = GRAM, crowd: int = CRO
     docs = docs.select("k1", "k2", "__text").where(F.length("__text") >= size)
     told = docs.mapInArrow(_describe(size, gram), f"{_KEYS}, first int, n int, anchor long, weight int")
     shared = told.groupBy("anchor").agg(F.sum("weight").alias("__w")).where("__w > 1").select("anchor")
-    wanted = told.join(shared, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "anchor", (F.col("weight") > 1).alias("twice"))).alias("parts"))
+    wanted = told.join(shared, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n", "anchor", (F.col("weight") > 1).alias("twice"))).alias("parts"))  # a set, as repeated rows say the same
     cuts = stored(docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "__text", "parts").mapInArrow(_extract(size), f"{_KEYS}, first int, key long, seg_id binary, seg binary, twice boolean"))
     # Copies are summed without their bytes, so a segment with very many copies sends a few rows.
     summed = cuts.groupBy("key", "seg_id").agg(F.count("*").alias("copies"), F.max("twice").alias("twice")).withColumn("seg", F.lit(None).cast("binary"))
     bytes_ = cuts.where("seg IS NOT NULL").select("key", "seg_id", "seg", "twice").withColumn("copies", F.lit(0).cast("long"))
     rows = bytes_.unionByName(summed).withColumns({"fixed": F.lit(-1), "long": F.lit(0)})
     runs = _repeats(rows, size, gram, crowd)
-    return cuts.select("k1", "k2", "first", "key", "seg_id").join(runs, ["key", "seg_id"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "runs")).alias("found"))
+    return cuts.select("k1", "k2", "first", "key", "seg_id").join(runs, ["key", "seg_id"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "runs")).alias("found"))
 
 
 def covered(length: int, found: list[dict] | None, size: int) -> np.ndarray:

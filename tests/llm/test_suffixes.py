@@ -60,3 +60,20 @@ def test_documents_match_brute_force(spark, small):
     rows = df.orderBy("doc_id").select("doc_id", "text").collect()
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.remove_repeats(df, 200).collect()}
     assert [got[r.doc_id] for r in rows] == brute([r.text for r in rows], 200)
+
+
+def test_repeated_rows_and_large_keys(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choices("abcdefghij ", k=n))
+    same, part = text(900), text(400)
+    rows = [(1, same, 1)] * 40 + [(2, part + text(300), 1), (2, text(200) + part, 1), (None, text(700), 1), (None, None, 1), (3, text(700), 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes int")
+    for limit in (32 << 20, 1):
+        monkeypatch.setattr(suffixes, "KEY_BYTES", limit)
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(df, 200).collect())
+        assert got == sorted([(0, 0, 0), (0, 700, 0), *[(1, 900, 900)] * 40, (2, 700, 400), (2, 600, 400), (3, 700, 0)])
+    docs = df.where("doc_id = 1").selectExpr("1L AS k1", "2L AS k2", "cast(text AS binary) AS __text")
+    (found,) = suffixes.repeated_runs(docs, 200).collect()
+    assert sum(r["n"] for f in found.found for r in f["runs"]) == 701  # each window once, not once a pair of rows
