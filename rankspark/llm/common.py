@@ -86,10 +86,22 @@ def stored(df: DataFrame) -> DataFrame:
 
     As with checkpoints, who owns the folder removes its files; the returned frame reads them lazily.
     """
+    return stored_by(df)[0]
+
+
+def stored_by(df: DataFrame, column: str | None = None) -> tuple[DataFrame, str]:
+    """``stored``, in one folder for each value of ``column``; the path comes too, for ``dropped``."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the finished job
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(column) if column else df.write).parquet(path)
+    # Shuffle files of the job that has ended are of no more use; Spark's cleaner drops them when their handles are collected.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a stored table, or one of its folders, that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def row_key(*columns: str) -> list[Column]:

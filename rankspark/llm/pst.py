@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import as_words, mix, shuffle_partitions, slices, stored
+from rankspark.llm.common import as_words, dropped, mix, shuffle_partitions, slices, stored, stored_by
 
 DEPTH = 2
 #: Occurrences in the learning texts from which a word is a symbol of its own and a gram an entry.
@@ -40,6 +40,7 @@ CHUNK = 12 << 20
 #: The end of a text as a word (no text has it) and as a symbol; symbol 0 stands for words that are no entries.
 END_WORD, END, RARE = "\n", 1, 0
 
+CODEC = pa.Codec("zstd", compression_level=5)
 _BITS = 20
 _U = np.uint64
 _NONE = np.uint32((1 << 32) - 1)
@@ -264,7 +265,7 @@ def _chunks(buckets: int):
 def _packed(values: np.ndarray) -> bytes:
     """The number of values, then their bytes, compressed plane by plane; blocks are most of what is stored and shuffled."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-    return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    return len(values).to_bytes(4, "little") + CODEC.compress(planes, asbytes=True)
 
 
 def _length(raw: bytes) -> int:
@@ -291,7 +292,9 @@ def _total(buckets: int, least: int):
         """Corpus counts and symbols of a bucket's words, in the order in which each chunk sent them; chunk -1 has the sums."""
         names, total, at, stops = _summed(table)
         often = total >= least
-        symbol = np.where(often, 2 + key[0].as_py() + buckets * (np.cumsum(often) - 1), RARE)
+        rank = np.empty(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))  # frequent words have small symbols, which pack well
+        symbol = np.where(often, 2 + key[0].as_py() + buckets * rank, RARE)
         if symbol.max() >= 1 << 32:
             raise ValueError("more than 2**32 symbols")
         if (end := names.index(END_WORD).as_py()) >= 0:
@@ -418,14 +421,18 @@ def score_texts(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_
     spark = df.sparkSession
     kind, buckets = df.schema[id_col].dataType.simpleString(), shuffle_partitions(spark)
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
-    rows = stored(docs.mapInArrow(_chunks(buckets), f"kind int, chunk long, bucket int, words array<string>, numbers binary, id {kind}, learned boolean"))
-    told = stored(rows.where("kind = 0").select("chunk", "bucket", "words", "numbers").groupBy("bucket").applyInArrow(_total(buckets, least), "chunk long, bucket int, counts binary, symbols binary, tokens long, types long"))
+    rows, rows_at = stored_by(docs.mapInArrow(_chunks(buckets), f"kind int, chunk long, bucket int, words array<string>, numbers binary, id {kind}, learned boolean"), "kind")
+    told, told_at = stored_by(rows.where("kind = 0").select("chunk", "bucket", "words", "numbers").groupBy("bucket").applyInArrow(_total(buckets, least), "chunk long, bucket int, counts binary, symbols binary, tokens long, types long"))
+    dropped(spark, f"{rows_at}/kind=0")
     sums = told.where("chunk < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     size = sums.n + sums.v + 1.0
     texts = rows.where("kind = 1").select("chunk", "id", "learned", "numbers")
     words = told.where("chunk >= 0").select("chunk", "bucket", "counts", "symbols")
-    placed = stored(texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_placed(buckets, float(np.log10(size))), f"kind int, chunk long, bucket int, last binary, first binary, symbol binary, n binary, own binary, own_count binary, id {kind}, learned boolean, n_tokens long, n_known long, base_score double, fixed double, at binary"))
-    scores = placed.where("kind = 0").select("chunk", "bucket", "last", "first", "symbol", "n", "own", "own_count").groupBy("bucket").applyInArrow(_scores(size, least), "chunk long, bucket int, scores binary")
+    placed, placed_at = stored_by(texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_placed(buckets, float(np.log10(size))), f"kind int, chunk long, bucket int, last binary, first binary, symbol binary, n binary, own binary, own_count binary, id {kind}, learned boolean, n_tokens long, n_known long, base_score double, fixed double, at binary"), "kind")
+    dropped(spark, rows_at)
+    dropped(spark, told_at)
+    scores = stored(placed.where("kind = 0").select("chunk", "bucket", "last", "first", "symbol", "n", "own", "own_count").groupBy("bucket").applyInArrow(_scores(size, least), "chunk long, bucket int, scores binary"))
+    dropped(spark, f"{placed_at}/kind=0")
     own = placed.where("kind = 1").select("chunk", "id", "learned", "n_tokens", "n_known", "base_score", "fixed", "at")
     out = own.groupBy("chunk").cogroup(scores.groupBy("chunk")).applyInArrow(_finish, f"id {kind}, learned boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(int(sums.n)).cast("long").alias("train_tokens"), "base_score", "score")
