@@ -11,7 +11,8 @@ sums to one. A symbol is scored from the longest suffix that is a state.
 No table is broadcast or collected. A chunk of texts sends each different word once to its word's bucket, with its
 learning count, and gets the corpus count and a symbol back; then it sends each different (context, symbol) once to the
 bucket of the context's last symbol, where that symbol's states of all depths are counted, tested and used, and gets
-the scores back, in single precision. ``learn`` makes the same tree in memory, for small corpora; a test holds the two equal.
+the scores back, in single precision; to keep little on disk, a chunk lists its contexts once to send them and once more
+to add up the scores. ``learn`` makes the same tree in memory, for small corpora; a test holds the two equal.
 
 Defined results: null text is the empty text (one token, the end); with nothing to learn from every probability is 1
 of the one unknown symbol.
@@ -45,7 +46,9 @@ _BITS = 20
 _U = np.uint64
 _NONE = np.uint32((1 << 32) - 1)
 NAMES = ["kind", "chunk", "bucket", "words", "numbers", "id", "learned"]
-_PLACED = ["kind", "chunk", "bucket", "last", "first", "symbol", "n", "own", "own_count", "id", "learned", "n_tokens", "n_known", "base_score", "fixed", "at"]
+_SENT = ["chunk", "bucket", "last", "first", "symbol", "n", "own", "own_count"]
+#: Contexts that a task scores at once, but for those of one symbol.
+PIECE = 1 << 19
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,33 +315,40 @@ def _ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (code >> _U(32)).astype(np.int64), (code & _U(_NONE)).astype(np.int64), at
 
 
-def _placed(buckets: int, floor: float):
+def _place(texts: pa.Table, told: pa.Table, buckets: int, floor: float):
+    """A chunk's different (last, first, symbol) by bucket with their learning counts, and what each text makes of them.
+
+    The order of the contexts does not hang on the order of the texts, so both steps that need it compute it alike.
+    """
+    told = told.sort_by("bucket")
+    count, symbols = _joined(told.column("counts"), "<i8"), _joined(told.column("symbols"), "<u4").astype(np.int64)
+    number = _joined(texts.column("numbers"), "<u4")
+    tokens = np.array([_length(x) for x in texts.column("numbers").to_pylist()])
+    start = np.cumsum(tokens) - tokens
+    w, weight = symbols[number], (np.log10(count + 1.0) - floor)[number]
+    last = np.concatenate([[0], w[:-1]])
+    last[start] = END
+    first = np.concatenate([[0], last[:-1]])
+    first[start] = RARE  # nothing stands before the first END
+    some = last != RARE
+    learned = np.repeat(texts.column("learned").to_numpy(), tokens)
+    a, b, at = _ranked(last[some], first[some])
+    pair, c, at = _ranked(at, w[some])
+    n = np.bincount(at, learned[some].astype(np.float64), len(pair))
+    a, b = a[pair], b[pair]
+    bucket = (mix(a.astype(_U)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    sums = lambda x: np.add.reduceat(x, start)
+    fixed = sums(np.where(some & (w != RARE), 0.0, weight))
+    return (a[order], b[order], c[order], n[order], bucket[order]), (count, symbols), (some, place[at], start), (tokens, sums((count[number] > 0).astype(np.int64)), sums(weight), fixed)
+
+
+def _contexts(buckets: int, floor: float):
     def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        """Rows of kind 0 (the chunk's different contexts and symbols, by bucket) and of kind 1 (texts, by place)."""
-        told = told.sort_by("bucket")
-        count, symbols = _joined(told.column("counts"), "<i8"), _joined(told.column("symbols"), "<u4").astype(np.int64)
-        number = _joined(texts.column("numbers"), "<u4")
-        tokens = np.array([_length(x) for x in texts.column("numbers").to_pylist()])
-        start = np.cumsum(tokens) - tokens
-        w, weight = symbols[number], (np.log10(count + 1.0) - floor)[number]
-        last = np.concatenate([[0], w[:-1]])
-        last[start] = END
-        first = np.concatenate([[0], last[:-1]])
-        first[start] = RARE  # nothing stands before the first END
-        some = last != RARE
-        fixed = np.where(some & (w != RARE), 0.0, weight)
-        learned = np.repeat(texts.column("learned").to_numpy(), tokens)
-        a, b, at = _ranked(last[some], first[some])
-        pair, c, at = _ranked(at, w[some])
-        n = np.bincount(at, learned[some].astype(np.float64), len(pair))
-        a, b = a[pair], b[pair]
-        bucket = (mix(a.astype(_U)) % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), "<u4")
-        place[order] = np.arange(len(order))
-        where = np.full(len(w), _NONE, "<u4")
-        where[some] = place[at]
-        a, b, c, n, bucket = a[order], b[order], c[order], n[order], bucket[order]
+        """The chunk's different contexts and symbols, one row a bucket."""
+        (a, b, c, n, bucket), (count, symbols), _, _ = _place(texts, told, buckets, floor)
         own = np.unique(bucket)
         stops = np.searchsorted(bucket, own, side="right")
         known = np.argsort(symbols, kind="stable")
@@ -348,12 +358,7 @@ def _placed(buckets: int, floor: float):
             u = u[u != RARE]
             names.append(_packed(u.astype("<u4")))
             numbers.append(_packed(count[known[np.searchsorted(symbols, u, sorter=known)]]))
-        k, m, kind = len(own), len(tokens), texts.schema.field("id").type
-        chunk = key[0].as_py()
-        sums = lambda x: np.add.reduceat(x, start)
-        sent = [pa.array([0] * k, pa.int32()), pa.array([chunk] * k, pa.int64()), pa.array(own, pa.int32()), *(_cut(x.astype("<u4"), stops) for x in (a, b, c, n)), pa.array(names, pa.binary()), pa.array(numbers, pa.binary()), *(pa.nulls(k, t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
-        kept = [pa.array([1] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.binary()) for _ in range(6)), texts.column("id").combine_chunks(), texts.column("learned").combine_chunks(), pa.array(tokens, pa.int64()), pa.array(sums((count[number] > 0).astype(np.int64)), pa.int64()), pa.array(sums(weight)), pa.array(sums(fixed)), _cut(where, start + tokens)]
-        return pa.concat_tables([pa.Table.from_arrays(sent, _PLACED), pa.Table.from_arrays(kept, _PLACED)])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(own), pa.int64()), pa.array(own, pa.int32()), *(_cut(x.astype("<u4"), stops) for x in (a, b, c, n)), pa.array(names, pa.binary()), pa.array(numbers, pa.binary())], _SENT)
 
     return run
 
@@ -368,52 +373,69 @@ def _states(context: np.ndarray, size: int, total: np.ndarray, n: np.ndarray, su
     return np.log10(p), np.log10(rest), (entries > 0) & (gain > 0.5 * (entries + 1) * np.log(np.maximum(total, 2)))
 
 
+def _scored(last: np.ndarray, first: np.ndarray, symbol: np.ndarray, sent: np.ndarray, name: np.ndarray, root: np.ndarray, least: int) -> np.ndarray:
+    """Scores of contexts and symbols; all places of a last symbol are there."""
+    last, first, at = _ranked(last, first)
+    two, symbol, back = _ranked(at, symbol)
+    n = np.bincount(back, sent.astype(np.float64), len(two))
+    state, one = np.unique(last, return_inverse=True)  # depth 1: states, and the state of each longer context
+    _, word, gram = _ranked(one[two], symbol)
+    own = one[two]
+    n1 = np.bincount(gram, n, len(word))
+    of = np.empty(len(word), np.int64)
+    of[gram] = own
+    total1, total2 = np.bincount(own, n, len(state)), np.bincount(two, n, len(last))
+    entry1 = (word != RARE) & (n1 >= least)
+    entry2 = (first[two] != RARE) & (symbol != RARE) & (n >= least)
+    p1, p2, base = np.zeros(len(word)), np.zeros(len(two)), np.ones(len(word))
+    real = word != RARE
+    base[real] = root[np.searchsorted(name, word[real])]
+    p1[entry1], rest1, stay1 = _states(of[entry1], len(state), total1, n1[entry1], base[entry1])
+    p2[entry2], rest2, stay2 = _states(two[entry2], len(last), total2, n[entry2], 10 ** p1[gram[entry2]])
+    stay1[one[stay2]] = True
+    # From the longest state down: an entry ends the symbol, else the state's rest is added.
+    deep, flat = stay2[two], stay1[own]
+    out = np.where(deep, np.where(entry2, p2, rest2[two]), 0.0)
+    open_ = ~(deep & entry2)
+    hit = entry1[gram]
+    out += np.where(open_ & flat, np.where(hit, p1[gram], rest1[own]), 0.0)
+    open_ &= ~(flat & hit)
+    out += np.where(open_, np.log10(base)[gram], 0.0)  # a rare symbol's root is in its text's fixed part
+    return out[back].astype("<f4")
+
+
 def _scores(size: float, least: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Scores of the bucket's contexts and symbols, in the order in which each chunk sent them."""
-        sent = [_joined(table.column(x), "<u4") for x in ("last", "first", "symbol", "n")]
+        last, first, symbol, n = (_joined(table.column(x), "<u4") for x in ("last", "first", "symbol", "n"))
         stops = np.cumsum([_length(x) for x in table.column("n").to_pylist()])
         name, once = np.unique(_joined(table.column("own"), "<u4"), return_index=True)
         root = (_joined(table.column("own_count"), "<i8")[once] + 1.0) / size
-        last, first, at = _ranked(sent[0], sent[1])
-        two, symbol, back = _ranked(at, sent[2])
-        n = np.bincount(back, sent[3].astype(np.float64), len(two))
-        state, one = np.unique(last, return_inverse=True)  # depth 1: states, and the state of each longer context
-        _, word, gram = _ranked(one[two], symbol)
-        own = one[two]
-        n1 = np.bincount(gram, n, len(word))
-        of = np.empty(len(word), np.int64)
-        of[gram] = own
-        total1, total2 = np.bincount(own, n, len(state)), np.bincount(two, n, len(last))
-        entry1 = (word != RARE) & (n1 >= least)
-        entry2 = (first[two] != RARE) & (symbol != RARE) & (n >= least)
-        p1, p2, base = np.zeros(len(word)), np.zeros(len(two)), np.ones(len(word))
-        real = word != RARE
-        base[real] = root[np.searchsorted(name, word[real])]
-        p1[entry1], rest1, stay1 = _states(of[entry1], len(state), total1, n1[entry1], base[entry1])
-        p2[entry2], rest2, stay2 = _states(two[entry2], len(last), total2, n[entry2], 10 ** p1[gram[entry2]])
-        stay1[one[stay2]] = True
-        # From the longest state down: an entry ends the symbol, else the state's rest is added.
-        deep, flat = stay2[two], stay1[own]
-        out = np.where(deep, np.where(entry2, p2, rest2[two]), 0.0)
-        open_ = ~(deep & entry2)
-        hit = entry1[gram]
-        out += np.where(open_ & flat, np.where(hit, p1[gram], rest1[own]), 0.0)
-        open_ &= ~(flat & hit)
-        out += np.where(open_, np.log10(base)[gram], 0.0)  # a rare symbol's root is in its text's fixed part
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "scores": _cut(out[back].astype("<f4"), stops)})
+        order = np.argsort(last, kind="stable")
+        edges = np.flatnonzero(np.diff(last[order])) + 1
+        out, a = np.empty(len(last), "<f4"), 0
+        while a < len(order):  # whole symbols, ``PIECE`` places or more of them at a time
+            later = np.searchsorted(edges, a + PIECE)
+            z = int(edges[later]) if later < len(edges) else len(order)
+            at = order[a:z]
+            out[at] = _scored(last[at], first[at], symbol[at], n[at], name, root, least)
+            a = z
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "scores": _cut(out, stops)})
 
     return run
 
 
-def _finish(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-    """The whole score of each text of a chunk."""
-    value = _joined(told.sort_by("bucket").column("scores"), "<f4").astype(float)
-    score = []
-    for raw, fixed in zip(texts.column("at").to_pylist(), texts.column("fixed").to_pylist(), strict=True):
-        at = _unpacked(raw, "<u4")
-        score.append(fixed + float(value[at[at != _NONE]].sum()))
-    return pa.table({**{c: texts.column(c) for c in ("id", "learned", "n_tokens", "n_known", "base_score")}, "score": pa.array(score, pa.float64())})
+def _finish(buckets: int, floor: float):
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        """The whole score of each text of a chunk, from its words' and its contexts' rows."""
+        back = pc.is_valid(told.column("scores"))
+        value = _joined(told.filter(back).sort_by("bucket").column("scores"), "<f4").astype(float)
+        _, _, (some, place, start), (tokens, known, base, fixed) = _place(texts, told.filter(pc.invert(back)), buckets, floor)
+        each = np.zeros(int(tokens.sum()))
+        each[some] = value[place]
+        return pa.table({"id": texts.column("id"), "learned": texts.column("learned"), "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": fixed + np.add.reduceat(each, start)})
+
+    return run
 
 
 def score_texts(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -428,11 +450,9 @@ def score_texts(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_
     size = sums.n + sums.v + 1.0
     texts = rows.where("kind = 1").select("chunk", "id", "learned", "numbers")
     words = told.where("chunk >= 0").select("chunk", "bucket", "counts", "symbols")
-    placed, placed_at = stored_by(texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_placed(buckets, float(np.log10(size))), f"kind int, chunk long, bucket int, last binary, first binary, symbol binary, n binary, own binary, own_count binary, id {kind}, learned boolean, n_tokens long, n_known long, base_score double, fixed double, at binary"), "kind")
-    dropped(spark, rows_at)
-    dropped(spark, told_at)
-    scores = stored(placed.where("kind = 0").select("chunk", "bucket", "last", "first", "symbol", "n", "own", "own_count").groupBy("bucket").applyInArrow(_scores(size, least), "chunk long, bucket int, scores binary"))
-    dropped(spark, f"{placed_at}/kind=0")
-    own = placed.where("kind = 1").select("chunk", "id", "learned", "n_tokens", "n_known", "base_score", "fixed", "at")
-    out = own.groupBy("chunk").cogroup(scores.groupBy("chunk")).applyInArrow(_finish, f"id {kind}, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    floor = float(np.log10(size))
+    contexts = texts.select("chunk", "learned", "numbers").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_contexts(buckets, floor), "chunk long, bucket int, last binary, first binary, symbol binary, n binary, own binary, own_count binary")
+    scores = stored(contexts.groupBy("bucket").applyInArrow(_scores(size, least), "chunk long, bucket int, scores binary"))
+    both = words.withColumn("scores", F.lit(None).cast("binary")).unionByName(scores, allowMissingColumns=True)
+    out = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_finish(buckets, floor), f"id {kind}, learned boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(int(sums.n)).cast("long").alias("train_tokens"), "base_score", "score")
