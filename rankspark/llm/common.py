@@ -89,13 +89,24 @@ def stored(df: DataFrame) -> DataFrame:
     return stored_by(df)[0]
 
 
+#: Spark's own setting: the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored_by(df: DataFrame, column: str | None = None) -> tuple[DataFrame, str]:
     """``stored``, in one folder for each value of ``column``; the path comes too, for ``dropped``."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    (df.write.partitionBy(column) if column else df.write).parquet(path)
-    # Shuffle files of the job that has ended are of no more use; Spark's cleaner drops them when their handles are collected.
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(column) if column else df.write).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
