@@ -7,7 +7,9 @@ lacks. Counting runs over all learning rows: each task sums its own rows, one sh
 ``top`` rows a language and no more.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; null languages teach nothing; with
-no learning row every text is ``und``. Ties go to the language that sorts first.
+no learning row every text is ``und``. Ties go to the language that sorts first. An empty table gives no rows, repeated
+rows are judged one by one, a caller's columns lang_pred, score and closeness are replaced. Long texts are read whole;
+a task works on about ``BATCH_BYTES`` of text, or on one longer text, at once.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ def predict(df: DataFrame, profiles: list[tuple[str, int, int]], text_col: str =
         return langs[order[0]], other / (best + other) if best + other else 1.0, 1 - best / most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text_col):
             got = [judge(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             lang, score, close = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.float64())], [*b.schema.names, "lang_pred", "score", "closeness"])

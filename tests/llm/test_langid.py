@@ -1,3 +1,7 @@
+import re
+import zlib
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 from rankspark.llm import langid, queries
@@ -25,3 +29,43 @@ def test_profile_is_the_exact_top(spark):
     got = [r.gram for r in langid.learn_profiles(df, top=4).orderBy("rank").collect()]
     code = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
     assert got == sorted([code("a"), code("b"), code("ab"), code(" a")], key=lambda g: (-{code("a"): 4, code("b"): 3, code("ab"): 3, code(" a"): 3}[g], g))
+
+
+def plain_grams(text):
+    s = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " ")
+    return Counter(g for k in (1, 2, 3) for i in range(len(s) - k + 1) if (g := s[i : i + k]).strip())
+
+
+def plain_rank(counts):
+    order = sorted(counts, key=lambda g: (-counts[g], [0] * (3 - len(g)) + [ord(c) for c in g]))
+    return {g: i for i, g in enumerate(order[:300])}
+
+
+def test_query_equals_plain_out_of_place_distances(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    sums = defaultdict(Counter)
+    for r in docs:
+        if r.lang is not None and not held[r.doc_id]:
+            sums[r.lang].update(plain_grams(r.text))
+    profiles = {lang: plain_rank(c) for lang, c in sums.items()}
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        own, mine = plain_rank(plain_grams(r.text)), got[r.doc_id]
+        assert mine.held_out == held[r.doc_id]
+        if not own:
+            assert (mine.lang_pred, mine.score) == ("und", 0.0)
+            continue
+        far = sorted((sum(abs(p[g] - i) if g in p else 300 for g, i in own.items()), lang) for lang, p in profiles.items())
+        best, other = far[0][0], far[1][0]
+        assert mine.lang_pred == far[0][1]
+        assert abs(mine.score - other / (best + other)) < 1e-12
+        assert abs(mine.closeness - (1 - best / (300 * len(own)))) < 1e-12
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "the hat and the cat " * 400_000  # twice a task's bytes
+    df = spark.createDataFrame([(1, long, "en", "mine"), (2, "le chat et la souris", "fr", "mine"), (3, "the cat", None, "mine")], "doc_id long, text string, lang string, lang_pred string")
+    got = langid.identify(df, F.lit(True), keep=("doc_id", "lang_pred")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.lang_pred) for r in got] == [(1, "en"), (2, "fr"), (3, "en")]
