@@ -3,10 +3,12 @@
 A recording is a binary column of 16-bit mono samples; windowed Fourier transforms give frames of 12 pitch-class
 energies. Over each frame a set of rectangle filters is read from an integral image of frames by pitch classes; each
 filter's answer is cut into two bits (Gray coded), and 16 filters give a packed 32-bit integer. Recordings are aligned by
-seeds: samples of some bits of each integer that differs from the one before (so that silence, one integer on and on,
-seeds nothing), of which one or more outlive bit errors; a run of one integer as long as an alignment seeds by its integer
-and length. A seed has as many bits as it takes to tell all integers of the corpus apart, and an integer as many seeds as
-``PASSAGE`` integers with ``BAD`` bit errors need; so the rows that meet by chance stay near the number of integers.
+seeds: samples of some bits of the ``WINDOW`` integers from each one that differs from the one before (so that silence,
+one integer on and on, seeds nothing), of which one or more outlive bit errors; a run of one integer as long as an alignment
+seeds by its integer and length. Only the 20 of the 32 bits that are nearest to even over the whole corpus are sampled, as
+a bit that is nearly always set tells little. A seed has as many bits as it takes to tell all integers of the corpus apart,
+and a place as many seeds as ``PASSAGE`` integers with ``BAD`` bit errors need; so the rows that meet by chance stay near
+the number of seeds.
 Frames of a query that share a seed with a recording vote for an offset, each once. Every offset with enough votes is
 checked by the share of different bits over all overlapping frames. Of the offsets that pass within the widest filter's
 frames of each other, whose answers come from the same frames, the one with the least errors stays; all others are returned.
@@ -32,9 +34,11 @@ WIDTHS = (2, 4, 6, 8)
 #: recordings of noise come down to 0.3 over 16 frames.
 VOTES, OVERLAP, ERRORS = 2, 20, 0.25
 #: Seeds are dealt so that this many integers with this share of bit errors share ``SHARED`` seeds on average.
-PASSAGE, BAD, SHARED = 24, 0.2, 6
-#: What a bit tells of an integer, measured on noise (a fair one: 1).
-TOLD = 0.85
+PASSAGE, BAD, SHARED = 24, 0.2, 8
+#: Integers from which a seed's bits are sampled, and the bits of each that are.
+WINDOW, EVEN = 8, 20
+#: What a sampled bit tells of its window, measured on noise (a fair one: 1).
+TOLD = 0.88
 #: Frames that are transformed, and integers that are seeded, at once.
 TOGETHER, SEEDED = 256, 4096
 # Where a filter's answer is cut.
@@ -120,26 +124,46 @@ def audio_fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate:
     return recordings.select(id_col, audio_col).mapInArrow(run, f"rec {kind}, prints binary")
 
 
+def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Integers of a batch and those of them with each bit set."""
+    for b in batches:
+        for raw in b.column(0):
+            x = np.frombuffer(raw.as_py() or b"", "<u4")
+            ones = [int(np.count_nonzero(x & np.uint32(1 << k))) for k in range(32)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([ones], pa.list_(pa.int64()))], ["integers", "ones"])
+
+
+def corpus_bits(prints: DataFrame) -> tuple[int, list[int]]:
+    """The corpus's integers, and the ``EVEN`` bits whose shares of ones over all of them are nearest to a half."""
+    counts = prints.select("prints").mapInArrow(_bit_counts, "integers long, ones array<long>")
+    total, *ones = counts.agg(F.sum("integers"), *[F.sum(F.col("ones")[k]) for k in range(32)]).first()
+    return total or 0, sorted(range(32), key=lambda k: (abs(2 * (ones[k] or 0) - (total or 0)), k))[:EVEN]
+
+
 def seed_bits(integers: int) -> tuple[int, int]:
-    """Bits of a seed and seeds of an integer for a corpus of so many integers."""
+    """Bits of a seed and seeds of a place for a corpus of so many integers."""
     bits = min(31, max(12, math.ceil(math.log2(max(2, integers)) / TOLD)))
-    return bits, math.ceil(SHARED / (PASSAGE * (1 - BAD) ** bits))
+    return bits, math.ceil(SHARED / ((PASSAGE - WINDOW + 1) * (1 - BAD) ** bits))
 
 
-def _samples(bits: int, keys: int) -> np.ndarray:
-    """The bits of each key."""
+def _samples(even: list[int], bits: int, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of the window, and their bits, that make each key."""
     draw = np.random.default_rng(9)
-    return np.stack([draw.permutation(32)[:bits] for _ in range(keys)])
+    chosen = np.stack([draw.permutation(WINDOW * len(even))[:bits] for _ in range(keys)])
+    return chosen // len(even), np.array(even)[chosen % len(even)]
 
 
-def _seeds_of(x: np.ndarray, samples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _seeds_of(x: np.ndarray, samples: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Seeds and places of one recording's integers, in pieces."""
     starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    n = samples.shape[1]
-    for a in range(0, len(starts), SEEDED):
-        own = starts[a : a + SEEDED]
-        keys = ((x[own, None] >> np.arange(32)) & 1)[:, samples] @ (1 << np.arange(n)) | np.arange(len(samples)) << n
-        yield keys.ravel(), np.repeat(own, len(samples))
+    ahead, bit = samples
+    keys, n = bit.shape
+    whole = starts[starts <= len(x) - WINDOW]
+    for a in range(0, len(whole), SEEDED):
+        own = whole[a : a + SEEDED]
+        # A key at a time: no more than places by bits at once.
+        seed = np.stack([((x[own[:, None] + ahead[k]] >> bit[k]) & 1) @ (1 << np.arange(n)) | k << n for k in range(keys)], axis=1)
+        yield seed.ravel(), np.repeat(own, keys)
     length = np.diff(np.concatenate([starts, [len(x)]]))
     runs = np.flatnonzero(length >= OVERLAP)
     run = 1 << 62 | np.minimum(length[runs], (1 << 29) - 1) << 33 | x[starts[runs]] << 1
@@ -147,9 +171,9 @@ def _seeds_of(x: np.ndarray, samples: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield np.repeat(run, VOTES), (starts[runs, None] + np.arange(VOTES)).ravel()
 
 
-def _seeds(kind: str, bits: int, keys: int):
+def _seeds(even: list[int], bits: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = _samples(bits, keys)
+        samples = _samples(even, bits, keys)
         for b in batches:
             for rec, part, raw in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(raw, "<u4").astype(np.int64)
@@ -193,9 +217,9 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, overlap: int
     ``shift`` is the place in the match less the place in the query. Queries are matched by an equi-join on seeds.
     """
     kind = prints.schema["rec"].dataType.simpleString()
-    total = prints.agg(F.coalesce(F.sum(F.length("prints")), F.lit(0))).first()[0] // 4
+    total, even = corpus_bits(prints)
     parts = prints.select("rec", F.xxhash64("prints").alias("part"), "prints").where("prints IS NOT NULL").distinct()
-    seeded, form = _seeds(kind, *seed_bits(total)), f"rec {kind}, part long, seed long, place int"
+    seeded, form = _seeds(even, *seed_bits(total)), f"rec {kind}, part long, seed long, place int"
     seeds = parts.mapInArrow(seeded, form)
     asked = parts.where(is_query).mapInArrow(seeded, form).toDF("query", "query_part", "seed", "at")
     hits = asked.join(seeds, "seed").where(F.col("query") != F.col("rec"))
