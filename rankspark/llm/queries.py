@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, chroma, jaccard, langid, lines, packing, pst, quality, suffixes, warc
+from rankspark.llm import bpe, chroma, divergence, jaccard, langid, lines, packing, pst, quality, suffixes, warc
 from rankspark.llm.common import remainder_is, stored
 
 
@@ -133,9 +133,13 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1_SQL, "op10_line_chunks": lines.SQL}
+    return {"op1_warc_revisits": OP1_SQL, "op10_line_chunks": lines.SQL, "op13_source_divergence": divergence.SQL}
