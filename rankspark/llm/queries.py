@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, chroma, divergence, jaccard, langid, lines, packing, pst, quality, suffixes, warc
+from rankspark.llm import bpe, chroma, conversations, divergence, jaccard, langid, lines, packing, pii, pst, quality, suffixes, warc
 from rankspark.llm.common import remainder_is, stored
 
 
@@ -133,6 +133,14 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.query(table(spark, sf_dir, "conversations"))
+
+
+def op12_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -142,4 +150,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1_SQL, "op10_line_chunks": lines.SQL, "op13_source_divergence": divergence.SQL}
+    return {"op1_warc_revisits": OP1_SQL, "op10_line_chunks": lines.SQL, "op11_conversation_repair": conversations.SQL, "op13_source_divergence": divergence.SQL}
