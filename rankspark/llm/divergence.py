@@ -23,18 +23,20 @@ from rankspark.llm.common import shuffle_partitions, stored
 
 #: Documents of its language that a kept term is in, at least; ranks of part ``term`` that are returned.
 LEAST, TOP = 10, 10
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def term_counts(df: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """(lang, source, term, count, docs): occurrences, and rows in which the term occurs."""
     named = lambda c, n: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
-    terms = df.select(named(lang_col, "lang"), named(source_col, "source"), F.array_sort(F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(TERM), 0)).alias("terms"))
-    # In the sorted list, a term's first place stands for its row.
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("first")))
-    each = terms.select("lang", "source", F.explode(marked).alias("x"))
-    return each.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.count("*").alias("count"), F.sum("x.first").alias("docs"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    # What lies between the matches of all other characters. In the sorted list, a term's first place stands for its row.
+    terms = df.select(named(lang_col, "lang"), named(source_col, "source"), F.sort_array(F.split(lower, BETWEEN)).alias("terms"))
+    each = terms.select("lang", "source", F.explode(F.arrays_zip("terms", F.concat(F.array(F.lit("")), "terms").alias("before"))).alias("x")).where("x.terms <> ''")
+    first = F.when(F.col("x.terms") == F.col("x.before"), 0).otherwise(1)
+    return each.groupBy("lang", "source", F.col("x.terms").alias("term")).agg(F.count("*").alias("count"), F.sum(first).alias("docs"))
 
 
 def _div(a: Column, b: Column) -> Column:
