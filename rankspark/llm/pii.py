@@ -6,7 +6,8 @@ identifiers that no base pattern covers, by the words around them:
 - A text is a list of tokens; a token with a digit or an at sign is an identifier token. A candidate is a longest run of
   identifier tokens with one space between them. Other tokens are plain.
 - A candidate or plain token stands in up to three lexical patterns: the token on its left, the two tokens on its left,
-  and the tokens on both sides (lower case; an identifier token counts as ``#``, the end of the text as an empty token).
+  and the tokens on both sides (lower case; identifier tokens are all alike, what is left of one
+  is not looked at, and the ends of the text count as a token).
 - The graph has an edge for each different (pattern, value). A candidate that holds entities of exactly one kind is a seed
   of it. A pattern's confidence for a kind is the sum of its values' scores over the number of its values, plain tokens
   and seeds of other kinds included; an undecided candidate of the kind's form counts half.
@@ -36,10 +37,12 @@ from rankspark.llm.common import stored
 # one before or where no such character stands before it, so that long runs are read once; the matches stay the same.
 KINDS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text with a match of the kind holds at least; other texts are not searched.
+NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Least values of a kind in a pattern that counts, its least confidence, rounds, and the score of an accepted candidate.
 SUPPORT, CONFIDENCE, ROUNDS, ACCEPT = 3, 0.6, 3, 0.6
 #: Least digits of a candidate of each kind; an e-mail address has an at sign instead.
@@ -57,19 +60,30 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(start, value, before, after) of all matches, in code points, with the text up to the match before and after.
+#: A control character that no pattern holds marks both ends of a match; where a text has it, another one stands for it.
+MARK, OTHER = "\x01", "\x02"
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The text cut at its matches: a gap, a match, a gap and so on. One pass, however many matches there are."""
+    return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+
+
+def matches(text: Column, pattern: str, worth: Column) -> Column:
+    """(start, value, before, after) of all matches, in code points, with the text up to the match before and after; none
+    in a text that is not ``worth`` a search.
 
     Starts are running sums; they are carried over blocks of matches, so that a text with very many stays cheap.
     """
-    pairs = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
 
     def placed(x: Column) -> Column:
-        rows = F.transform(x["found"], lambda m, i: F.struct(F.length(F.get(x["gaps"], i)).alias("gap"), F.length(m).alias("size")))
-        return _let(rows, lambda r: _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), lambda b: F.slice(r, b * BLOCK + 1, BLOCK)), lambda blocks: _let(_starts(blocks), lambda s: F.transform(x["found"], lambda m, i: F.struct(F.get(s, i).alias("start"), m.alias("value"), F.get(x["gaps"], i).alias("before"), F.get(x["gaps"], i + 1).alias("after"))))))
+        at = F.sequence(F.lit(1), F.size(x) - 2, F.lit(2))
+        rows = F.transform(at, lambda i: F.struct(F.length(F.get(x, i - 1)).alias("gap"), F.length(F.get(x, i)).alias("size")))
+        blocks = _let(rows, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), lambda b: F.slice(r, b * BLOCK + 1, BLOCK)))
+        return _let(_let(blocks, _starts), lambda s: F.transform(at, lambda i, k: F.struct(F.get(s, k).alias("start"), F.get(x, i).alias("value"), F.get(x, i - 1).alias("before"), F.get(x, i + 1).alias("after"))))
 
     none = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit("").alias("value"), F.lit("").alias("before"), F.lit("").alias("after"))), lambda _: F.lit(False))
-    return _let(pairs, lambda x: F.when(F.size(x["found"]) > 0, placed(x)).otherwise(none))
+    return F.when(worth, _let(_parts(text, pattern), lambda x: F.when(F.size(x) > 1, placed(x)).otherwise(none))).otherwise(none)
 
 
 def _starts(blocks: Column) -> Column:
@@ -109,8 +123,9 @@ def holds(kind: str, value: Column) -> Column:
     return _let(_digits(value), right)
 
 
-def _value(kind: str) -> Callable[[Column], Column]:
-    return lambda v: holds(kind, v)
+def _holds_one(kind: str, text: Column) -> Column:
+    """Whether a text has an entity of the kind."""
+    return F.exists(F.transform(_parts(text, KINDS[kind]), lambda v, i: F.when(i % 2 == 1, v)), lambda v: F.coalesce(F.when(v.isNotNull(), holds(kind, v)), F.lit(False)))
 
 
 def _entity(kind: str) -> Callable[[Column], Column]:
@@ -121,18 +136,19 @@ def _base(text: Column) -> Column:
     """(start, order, end) of all base spans, in order."""
     each = []
     for order, (kind, pattern) in enumerate(KINDS.items()):
-        good = F.filter(matches(text, pattern), _entity(kind))
+        worth = text.contains(NEEDED[kind]) & (F.lit(True) if kind == "email" else text.rlike("[0-9]"))
+        good = F.filter(matches(text, pattern, worth), _entity(kind))
         each.append(F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), (m["start"] + F.length(m["value"])).alias("end"))))
     return F.array_sort(F.concat(*each))
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, _NOT_T), lambda t: t != "")
+    """Hashes of the tokens as patterns see them: lower case, an identifier token is 0."""
+    return F.transform(F.filter(F.split(F.lower(text), _NOT_T), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9@]"), F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
 
 
-def _plain(token: Column) -> Column:
-    """The token as patterns see it."""
-    return F.when(token.rlike("[0-9@]"), "#").otherwise(F.lower(token))
+#: What stands for a token before the first and after the last one.
+EDGE = 1
 
 
 def _patterns(left2: Column, left: Column, right: Column) -> Column:
@@ -145,13 +161,14 @@ def _candidates(text: Column) -> Column:
     def one(m: Column, i: Column) -> Column:
         lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], _TRIM_LEFT, ""))
         core = F.regexp_replace(F.regexp_replace(m["value"], _TRIM_LEFT, ""), _TRIM_RIGHT, "")
-        kinds = F.filter(F.array(*[F.when(F.exists(F.regexp_extract_all(m["value"], F.lit(p), F.lit(0)), _value(k)), order) for order, (k, p) in enumerate(KINDS.items())]), lambda k: k.isNotNull())
-        edge = lambda first: F.when(first, "").otherwise("#")
-        left = _let(_tokens(m["before"]), lambda t: F.struct(F.coalesce(_plain(F.get(t, F.size(t) - 2)), edge((i == 0) | (F.size(t) == 0))).alias("two"), F.coalesce(_plain(F.get(t, F.size(t) - 1)), edge(i == 0)).alias("one")))
+        kinds = F.filter(F.array(*[F.when(_holds_one(k, m["value"]), order) for order, k in enumerate(KINDS)]), lambda k: k.isNotNull())
+        edge = F.when(i == 0, EDGE).otherwise(0).cast("long")
+        back = lambda t, d: F.when(F.size(t) >= d, F.get(t, F.size(t) - d)).otherwise(edge)
+        left = _let(_tokens(m["before"]), lambda t: F.struct(back(t, 2).alias("two"), back(t, 1).alias("one")))
         return F.struct(m["start"].alias("start"), lead.alias("lead"), core.alias("value"), kinds.alias("kinds"), left.alias("left"), m["after"].alias("after"), i.alias("i"))
 
     def finish(x: Column, n: Column) -> Column:
-        right = _let(_tokens(x["after"]), lambda t: F.coalesce(_plain(F.get(t, 0)), F.when(x["i"] == n - 1, "").otherwise("#")))
+        right = _let(_tokens(x["after"]), lambda t: F.coalesce(F.get(t, 0), F.when(x["i"] == n - 1, EDGE).otherwise(0).cast("long")))
         start = x["start"] + x["lead"]
         digits = F.length(_digits(x["value"]))
         return F.struct(
@@ -159,19 +176,16 @@ def _candidates(text: Column) -> Column:
             F.array(x["value"].contains("@"), *[digits >= DIGITS[k] for k in ("ip", "card", "phone")]).alias("forms"), _patterns(x["left"]["two"], x["left"]["one"], right).alias("patterns"),
         )
 
-    return _let(F.transform(matches(text, CANDIDATE), one), lambda xs: F.filter(F.transform(xs, lambda x: finish(x, F.size(xs))), lambda x: x["end"] > x["start"]))
+    return _let(F.transform(matches(text, CANDIDATE, text.rlike("[0-9@]")), one), lambda xs: F.filter(F.transform(xs, lambda x: finish(x, F.size(xs))), lambda x: x["end"] > x["start"]))
 
 
 def _plain_edges(texts: DataFrame) -> DataFrame:
     """(pattern, value) of all plain tokens; ``texts`` has the column __text."""
-
-    def slot(t: Column, i: Column, all_: Column) -> Column:
-        near = lambda d: F.coalesce(F.when(i + d >= 0, F.get(all_, i + d)), F.lit(""))
-        return F.struct(t.alias("t"), near(-2).alias("two"), near(-1).alias("one"), near(1).alias("next"))
-
-    slots = _let(F.transform(_tokens(F.col("__text")), _plain), lambda all_: F.transform(all_, lambda t, i: slot(t, i, all_)))
-    each = texts.select(F.explode(slots).alias("x")).where("x.t <> '#'").select("x.*")
-    return each.select(F.xxhash64("t").alias("value"), F.explode(_patterns(F.col("two"), F.col("one"), F.col("next"))).alias("pattern"))
+    edge = lambda n: F.array_repeat(F.lit(EDGE).cast("long"), n)
+    tokens = texts.select(_tokens(F.col("__text")).alias("t"))
+    shifted = F.arrays_zip(F.concat(edge(2), "t").alias("two"), F.concat(edge(1), "t", edge(1)).alias("one"), F.concat("t", edge(2)).alias("t"), F.concat(F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), edge(3)).alias("next"), F.transform("t", lambda _: F.lit(True)).alias("own"))
+    each = tokens.select(F.explode(shifted).alias("x")).where("x.own AND x.t <> 0").select("x.*")
+    return each.select(F.col("t").alias("value"), F.explode(_patterns(F.when(F.col("one") == 0, F.lit(0).cast("long")).otherwise(F.col("two")), F.col("one"), F.col("next"))).alias("pattern"))
 
 
 def learn(candidates: DataFrame, plain: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:

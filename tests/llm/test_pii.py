@@ -49,7 +49,7 @@ def plain(texts, support, confidence, rounds, accept):
         k = 0
         while k < len(words):
             if seen[k] != "#":
-                left2, left, right = (seen[k - 2] if k > 1 else ""), (seen[k - 1] if k else ""), (seen[k + 1] if k + 1 < len(seen) else "")
+                left2, left, right = ("#" if k and seen[k - 1] == "#" else seen[k - 2] if k > 1 else ""), (seen[k - 1] if k else ""), (seen[k + 1] if k + 1 < len(seen) else "")
                 for p in ((0, left), (1, left2, left), (2, left, right)):
                     bare[p].add(seen[k])
                 k += 1
@@ -63,7 +63,7 @@ def plain(texts, support, confidence, rounds, accept):
             if core:
                 own = [j for j, kind in enumerate(KINDS) if any(fine(kind, m.group()) for m in re.finditer(PATTERNS[kind], whole))]
                 digits = len(re.sub("[^0-9]", "", core))
-                left2, left, right = (seen[k - 2] if k > 1 else ""), (seen[k - 1] if k else ""), (seen[end + 1] if end + 1 < len(seen) else "")
+                left2, left, right = ("#" if k and seen[k - 1] == "#" else seen[k - 2] if k > 1 else ""), (seen[k - 1] if k else ""), (seen[end + 1] if end + 1 < len(seen) else "")
                 for p in ((0, left), (1, left2, left), (2, left, right)):
                     edges[p].add(core)
                 old = info.get(core)
@@ -127,8 +127,14 @@ def phrases():
     return texts
 
 
+def test_very_long_texts_take_one_pass(spark):
+    for text in ("x" * 3_000_000, "7" * 3_000_000, "+1" + " " * 3_000_000, "a@b.c 12 " * 300_000):
+        (r,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert len(r.spans) == 300_000 * text.startswith("a@") and (not r.spans or tuple(r.spans[-1]) == (9 * 299_999, 0, 9 * 299_999 + 5))
+
+
 def test_phrases_and_odd_rows(spark):
-    texts = phrases() + ["", None, "a@b", "a@b.c.d@e.f 1.2.3.4.5 256.1.1.1 0255.1.1.1 1.2.3", "x" * 200_000, "7" * 50_000, "+1" + " " * 50_000, "1 2-3 4 5 6 7 8 9 0 1 2 3 4", "@@ 5% (3) -", "a@b.c " * 3000 + "z", "q@x.y\nq@x.y"]
+    texts = phrases() + ["", None, "a@b", "a@b.c.d@e.f 1.2.3.4.5 256.1.1.1 0255.1.1.1 1.2.3", "x" * 5_000, "7" * 5_000, "+1" + " " * 5_000, "has \x01 and \x01 call a@b.c\x01", "1 2-3 4 5 6 7 8 9 0 1 2 3 4", "@@ 5% (3) -", "a@b.c " * 3000 + "z", "q@x.y\nq@x.y"]
     texts += texts[:2]
     df = spark.createDataFrame([(i // 2, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, value int, pattern string")
     out = sorted((r.doc_id, r.spans and [tuple(s) for s in r.spans] or []) for r in pii.find(df).collect())
