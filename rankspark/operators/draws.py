@@ -63,12 +63,13 @@ def numbered_pools(pools: DataFrame, pool: str, item: str, seed: str) -> DataFra
     return cut.withColumn("__own", own).join(starts, [pool, "__range"]).select(pool, item, (F.col("__before") + F.col("__own") - 1).cast("long").alias("place"), F.col("__n").cast("long").alias("__n"))
 
 
-def drawn(wants: DataFrame, pools: DataFrame, barred: DataFrame, keys: Sequence[str], item: str, seed: str, attempts: int = 10, by: str = "key") -> DataFrame:
+def drawn(wants: DataFrame, pools: DataFrame, barred: DataFrame, keys: Sequence[str], item: str, seed: str, attempts: int = 10, by: str | None = None) -> DataFrame:
     """(keys, item, draw): for each row of ``wants`` up to ``__k`` different items of its pool that are not barred.
 
     ``wants``: the key columns, ``pool`` and ``__k``, one row a combination of keys; ``pools``: pool, item; ``barred``:
-    ``by`` - one of the keys - and item. ``draw`` counts from 1 in the order of the draws.
+    ``by`` - one of the keys, by default the first - and item. ``draw`` counts from 1 in the order of the draws.
     """
+    by = by or keys[0]
     barred = barred.select(by, item).distinct()
     each = barred.groupBy(by).agg(F.count("*").alias("__barred"))
     places = numbered_pools(pools, "pool", item, seed)

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.operators import ranges
+
 
 def auc_by_group(df: DataFrame, group: Sequence[str], score: str, label: str) -> DataFrame:
     """(group, roc_auc, pr_auc, status); both areas are null where a class is missing.
@@ -57,19 +59,21 @@ def bedroc(ranks: DataFrame, group: Sequence[str], label: str, alpha: float = 20
 
 def zero_filled(curve: DataFrame, directory: str, y: str) -> DataFrame:
     """Zeros become a tenth of the directory's least positive value, or 1e-10 where all are zero."""
-    least = F.min(F.when(F.col(y) > 0, F.col(y))).over(Window.partitionBy(directory))
-    return curve.withColumn(y, F.when(F.col(y) == 0, F.coalesce(least / 10, F.lit(1e-10))).otherwise(F.col(y)))
+    least = curve.groupBy(directory).agg(F.min(F.when(F.col(y) > 0, F.col(y))).alias("__least"))
+    return ranges.with_spans(curve, least, [directory]).withColumn(y, F.when(F.col(y) == 0, F.coalesce(F.col("__least") / 10, F.lit(1e-10))).otherwise(F.col(y))).drop("__least")
 
 
 def partial_areas(curve: DataFrame, directory: str, x: str, y: str, cutoffs: Sequence[float]) -> DataFrame:
     """(directory, cutoff, n_rows, area) under the curve up to each share of its x range, over the normalised x.
 
-    Equal x are averaged; the cut point is interpolated; null with fewer than two points up to it, or no x range.
+    Equal x are averaged; a curve may be longer than a task can hold, see ``ranges``; the cut point is interpolated; null with fewer than two points up to it, or no x range.
     """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
     points = curve.where(finite(x) & finite(y)).groupBy(directory, F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("y"), F.count("*").alias("c"))
-    own = Window.partitionBy(directory)
-    points = points.select(directory, "x", "y", F.lead("x").over(own.orderBy("x")).alias("x1"), F.lead("y").over(own.orderBy("x")).alias("y1"), F.min("x").over(own).alias("lo"), F.max("x").over(own).alias("hi"), F.sum("c").over(own).alias("n_rows"))
+    points = ranges.in_ranges(points, [directory], [F.col("x")])
+    whole = points.groupBy(directory).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n_rows"))
+    points = ranges.with_spans(ranges.with_next(points, [directory], ["x", "y"]), whole, [directory])
+    points = points.select(directory, "x", "y", F.col("next_x").alias("x1"), F.col("next_y").alias("y1"), "lo", "hi", "n_rows")
     points = points.select("*", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])).alias("cutoff")).withColumn("cut", F.col("lo") + F.col("cutoff") * (F.col("hi") - F.col("lo")))
     end = F.col("y") + (F.col("cut") - F.col("x")) / (F.col("x1") - F.col("x")) * (F.col("y1") - F.col("y"))
     part = F.when(F.col("x1").isNull() | (F.col("x") >= F.col("cut")), 0.0).when(F.col("x1") <= F.col("cut"), (F.col("x1") - F.col("x")) * (F.col("y") + F.col("y1")) / 2).otherwise((F.col("cut") - F.col("x")) * (F.col("y") + end) / 2)

@@ -7,36 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.operators import ranges
+
 
 def best_first(score: str, ties: Sequence[str]) -> list[Column]:
     """A total order: score from high to low, NaN and null last, then the tie columns."""
     return [F.nanvl(F.col(score).cast("double"), F.lit(None)).desc_nulls_last(), *map(F.col, ties)]
 
 
-def ranked(df: DataFrame, group: Sequence[str], score: str, ties: Sequence[str]) -> DataFrame:
-    """Adds ``rank`` (from 1) and ``n`` (rows of the group); one shuffle by group serves both."""
-    own = Window.partitionBy(*group)
-    return df.withColumn("rank", F.row_number().over(own.orderBy(*best_first(score, ties))).cast("long")).withColumn("n", F.count("*").over(own))
+def ranked(df: DataFrame, group: Sequence[str], score: str, ties: Sequence[str], sums: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Adds ``rank`` (from 1) and ``n`` (rows of the group), and totals of ``sums`` for the functions below.
+
+    A group may be longer than a task can hold: rows are ranked in ranges, see ``ranges``.
+    """
+    return ranges.numbered(ranges.in_ranges(df, group, best_first(score, ties), parts), group, sums)
 
 
 def positive_positions(ranks: DataFrame, group: Sequence[str], label: str) -> DataFrame:
-    """(group, position, ordinal) of each positive, position being its 0-based rank over n; (-1, 0) for groups with none."""
-    order = Window.partitionBy(*group).orderBy("rank")
-    found = ranks.where(F.col(label) == 1).select(*group, ((F.col("rank") - 1) / F.col("n")).alias("position"), F.row_number().over(order).cast("long").alias("ordinal"))
-    groups = ranks.select(*group).distinct()
-    return groups.join(found, list(group), "left").select(*group, F.coalesce("position", F.lit(-1.0)).alias("position"), F.coalesce("ordinal", F.lit(0)).cast("long").alias("ordinal"))
+    """(group, position, ordinal) of each positive, position being its 0-based rank over n; (-1, 0) for groups with none.
+
+    ``ranks``: of ``ranked`` with ``label`` among its sums.
+    """
+    found = ranks.where(F.col(label) == 1)
+    found = found.select(*group, ((F.col("rank") - 1) / F.col("n")).alias("position"), ranges.running(found, group, label).cast("long").alias("ordinal"))
+    none = ranks.where((F.col("rank") == 1) & (F.coalesce(f"total_{label}", F.lit(0)) == 0))
+    return found.unionByName(none.select(*group, F.lit(-1.0).alias("position"), F.lit(0).cast("long").alias("ordinal")))
 
 
 def rate_curve(ranks: DataFrame, group: Sequence[str], directory: str, label: str, ratio: float) -> DataFrame:
     """Recall and precision at every rank up to a ratio of the group, averaged over the directory's groups.
 
-    Groups without a positive are left out; at each rank only groups that reach it count.
+    Groups without a positive are left out; at each rank only groups that reach it count. ``ranks``: of ``ranked`` with
+    ``label`` among its sums.
     """
-    own = Window.partitionBy(*group)
-    so_far = own.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hits = ranks.withColumn("hits", F.sum(label).over(so_far)).withColumn("total", F.sum(label).over(own))
-    kept = hits.where((F.col("total") > 0) & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * ratio))))
-    return kept.groupBy(directory, F.col("rank").alias("top_k")).agg(F.avg(F.col("hits") / F.col("total")).alias("success_rate"), F.avg(F.col("hits") / F.col("rank")).alias("hit_rate"))
+    kept = ranks.where((F.col(f"total_{label}") > 0) & (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * ratio))))
+    hits = kept.select(directory, "rank", F.col(f"total_{label}").alias("total"), ranges.running(kept, group, label).alias("hits"))
+    return hits.groupBy(directory, F.col("rank").alias("top_k")).agg(F.avg(F.col("hits") / F.col("total")).alias("success_rate"), F.avg(F.col("hits") / F.col("rank")).alias("hit_rate"))
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int, workers: int, within: Sequence[str]) -> DataFrame:

@@ -48,7 +48,7 @@ def scored(spark: SparkSession, sf_dir: str, score: str = "l_extendedprice") ->
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ranked(scored(spark, sf_dir), GROUP, "score", TIES)
+    return ranking.ranked(scored(spark, sf_dir).select(*GROUP, "score", "label", *TIES), GROUP, "score", TIES, ["label"])
 
 
 def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
