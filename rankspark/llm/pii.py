@@ -52,7 +52,7 @@ _NOT_T = r"[^A-Za-z0-9@._%+()\x{80}-\x{10FFFF}-]++"
 _PLAIN = r"[A-Za-z._%+()\x{80}-\x{10FFFF}-]*+"
 CANDIDATE = rf"(?<!{_T}){_PLAIN}[0-9@]{_T}*+(?:\x20{_PLAIN}[0-9@]{_T}*+)*+"
 _TRIM_LEFT, _TRIM_RIGHT = r"^[@._%)-]*+", r"[@._%+(-]*$"
-BLOCK = 128
+BLOCK, CLASSES = 128, 16
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -195,9 +195,13 @@ def learn(candidates: DataFrame, plain: DataFrame, support: int = SUPPORT, confi
     values = each.select("value", "seed", F.when(F.col("low") == F.col("kind"), F.col("kind")).otherwise(-1).alias("kind"), "forms")
     edges = candidates.select("value", F.explode("patterns").alias("pattern")).distinct()
     likely = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
-    edges = stored(edges.join(likely, "pattern").join(values, "value").select("pattern", "n", "value", "seed", "kind", "forms"))
-    bare = plain.join(likely.select("pattern"), "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("bare"))
-    bare = stored(bare)
+    # A confidence is n / (n + bare) at most, for n values of candidates and ``bare`` plain ones. Where the plain values of
+    # one hash class in ``CLASSES`` are too many for that, the others need not be counted: the result is the same.
+    some = plain.where(F.pmod("value", F.lit(CLASSES)) == 0).join(likely.select("pattern"), "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("some"))
+    able = F.coalesce("some", F.lit(0)) * confidence <= F.col("n") * (1 - confidence) + 1e-6
+    likely = stored(likely.join(some, "pattern", "left").where(able).select("pattern"))
+    edges = stored(edges.join(likely, "pattern").join(values, "value").select("pattern", "value", "seed", "kind", "forms"))
+    bare = stored(plain.join(likely, "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("bare")))
     found = None
     for _ in range(rounds):
         scored = edges.join(found, "value", "left") if found is not None else edges.withColumn("got", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("double"))
