@@ -9,7 +9,7 @@ import duck
 
 from rankspark.operators import sampling
 from rankspark.plans import registry
-from rankspark.plans import draws as _draws, tasks as _tasks  # noqa: F401  they register their queries
+from rankspark.plans import draws as _draws, models as _models, tasks as _tasks  # noqa: F401  they register their queries
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
