@@ -14,6 +14,7 @@ piece; other columns are left out. Where tables are read in other splits, docume
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -75,8 +76,9 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.split, self.known = Splitter(pattern), {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)).search if added else lambda _: None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -97,13 +99,17 @@ class CachedTokenizer:
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = list(map(self.split, texts))
+        """Little-endian unsigned 32-bit ids of each text, as the library gives them for the whole text.
+
+        The library looks for added tokens before it splits, so a text that holds the string of one is given to it whole.
+        """
+        whole = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for k, t in enumerate(texts) if self.special(t)}
+        split = [() if k in whole else self.split(t) for k, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
         self._learn([p for p in set().union(*split) if p not in known])
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        return [whole[k] if k in whole else b"".join(map(known.__getitem__, s)) for k, s in enumerate(split)]
 
 
 @lru_cache(maxsize=2)

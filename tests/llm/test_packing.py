@@ -11,9 +11,14 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
+
+
+def test_strings_of_added_tokens_are_the_tokens(spark):
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|><|endoftext|>", 3: "x<|endoftext| >y <|endoftext", 4: "word " * 3000 + "<|endoftext|>tail's", 5: None, 6: " <|endoftext|>\n \n<|endoftext|>  é漢"}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH, public_tokenizers.PATTERN).collect()
+    check(rows, texts, 2048)
+    assert plain().encode("a <|endoftext|> b", add_special_tokens=False).ids[2] not in (1279, 27)
 
 
 def check(rows, texts, capacity):
