@@ -55,9 +55,20 @@ def _rows(sequence: Column, table: Mapping[str, Sequence[float]], width: int) ->
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.element_at(known, F.substring(sequence, i, F.lit(1))), none)))
 
 
+def with_products(table: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
+    """Each residue's numbers and the products of any two of them: five numbers become twenty."""
+    return {a: [*v, *(float(x * y) for i, x in enumerate(v) for y in v[i:])] for a, v in table.items()}
+
+
 def onehot_chemical(item: str, key: str, chemistry: Mapping[str, Sequence[float]], width: int = 29) -> Column:
-    """One-hot rows of the joined pair, then its rows of a chemistry table (residue -> numbers); unknown residues are zeros."""
+    """58 rows of 20 numbers: 29 one-hot rows of the joined pair, then its 29 rows of a chemistry table.
+
+    ``chemistry``: twenty numbers for each residue, a table that the user brings (or ``with_products`` of the five factors).
+    Unknown residues and the filling are zeros.
+    """
     order = sorted(FACTORS)
+    if any(len(v) != len(order) for v in chemistry.values()):
+        raise ValueError(f"a residue needs {len(order)} numbers")
     onehot = {a: [float(k == j) for j in range(len(order))] for k, a in enumerate(order)}
     pair = fixed_width(F.concat(F.col(item), F.col(key)), width)
     return F.concat(_rows(pair, onehot, width), _rows(pair, chemistry, width))

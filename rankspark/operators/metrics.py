@@ -50,11 +50,30 @@ def with_summary(aucs: DataFrame, directory: str, file: str) -> DataFrame:
 def bedroc(ranks: DataFrame, group: Sequence[str], label: str, alpha: float = 20.0) -> DataFrame:
     """(group, bedroc): 0 without a positive, 1 with positives only."""
     each = ranks.groupBy(*group).agg(F.sum(F.when(F.col(label) == 1, F.exp(-alpha * F.col("rank") / F.col("n"))).otherwise(0.0)).alias("s"), F.sum(label).cast("double").alias("m"), F.max("n").cast("double").alias("n"))
+    return each.select(*group, _bedroc(alpha).alias("bedroc"))
+
+
+def _bedroc(alpha: float) -> Column:
+    """From s, the sum over positives of exp(-alpha * rank / n), m positives and n rows."""
     share = F.col("m") / F.col("n")
     rie = F.col("s") / (share * (1 - math.exp(-alpha)) / (F.exp(alpha / F.col("n")) - 1))
     most = (1 - F.exp(-alpha * share)) / (share * (1 - math.exp(-alpha)))
     least = (1 - F.exp(alpha * share)) / (share * (1 - math.exp(alpha)))
-    return each.select(*group, F.when(F.col("m") == 0, 0.0).when(F.col("m") == F.col("n"), 1.0).otherwise((rie - least) / (most - least)).alias("bedroc"))
+    return F.when(F.col("m") == 0, 0.0).when(F.col("m") == F.col("n"), 1.0).otherwise((rie - least) / (most - least))
+
+
+def bedroc_of_steps(steps: DataFrame, group: Sequence[str], alpha: float = 20.0) -> DataFrame:
+    """(group, bedroc) of ``auc_steps``: equal scores share the mean of their ranks' weights, a closed geometric sum.
+
+    Steps of parts of the rows add up to the steps of all, so this is what batches of files merge to. It passes through
+    windows over the different scores of a group. A null score ranks last.
+    """
+    down = Window.partitionBy(*group).orderBy(F.col("__s").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(*group, "p", "c", F.coalesce(F.sum("c").over(down), F.lit(0.0)).alias("k"), F.sum("c").over(Window.partitionBy(*group)).alias("n"))
+    a = alpha / F.col("n")
+    block = F.exp(-a * (F.col("k") + 1)) * (1 - F.exp(-a * F.col("c"))) / (1 - F.exp(-a))
+    each = steps.groupBy(*group).agg(F.sum(F.col("p") / F.col("c") * block).alias("s"), F.sum("p").alias("m"), F.max("n").alias("n"))
+    return each.select(*group, _bedroc(alpha).alias("bedroc"))
 
 
 def zero_filled(curve: DataFrame, directory: str, y: str) -> DataFrame:

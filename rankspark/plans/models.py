@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankspark.operators import adaptation, pairs
+from rankspark.operators import adaptation, external, pair_tables, pairs
 from rankspark.plans.draws import _KSHOT, kshot_draws
+from rankspark.sources import positions
 from rankspark.plans.registry import GRID, LABEL, POS, R6, labelled, near, query, table
 
 STEPS, RATE, CLIP = 4, 0.05, 0.4
@@ -59,3 +60,39 @@ def memory_read_scores(spark, sf_dir):
     slots = e.where("vec_id < 16").select("vec_id", layer.alias("layer")).join(e.where("vec_id >= 16 AND vec_id < 32").select((F.col("vec_id") - 16).alias("vec_id"), F.col("embedding").alias("address")), "vec_id")
     out = adaptation.memory_scores(keys, e, adaptation.memory(slots, "vec_id", "address", "layer"), "label", "mean", "embedding")
     return out.select("vec_id", "label", near("score").alias("score"))
+
+
+@external.scorer("price_per_unit")
+def _price_per_unit():
+    def score(rows):
+        if (rows["l_quantity"] == 13).any():
+            raise ValueError("no price for 13")
+        return rows["l_extendedprice"] / rows["l_quantity"]
+
+    return score
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity = 13 THEN 0.0 ELSE {R6.format('l_extendedprice / l_quantity')} END AS score, CASE WHEN l_quantity = 13 THEN 'ValueError: no price for 13' END AS error FROM lineitem")
+def external_batch_scores(spark, sf_dir):
+    """A foreign model that fails on some rows, in batches of 1000."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"))
+    out = external.score_external(line, "price_per_unit", ["l_quantity", "l_extendedprice"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", near("score").alias("score"), "error")
+
+
+@query("""WITH a AS (SELECT row_number() OVER () - 1 AS pos, c_custkey, c_acctbal FROM customer), b AS (SELECT row_number() OVER () - 1 AS pos, p_partkey FROM part)
+SELECT a.pos, c_custkey, c_acctbal, p_partkey FROM a JOIN b ON a.pos = b.pos""")
+def zip_by_position(spark, sf_dir):
+    """Rows of two files side by side, by their places in the files."""
+    a = positions.with_positions(spark, f"{sf_dir}/customer.parquet", "parquet").select("file_name", "pos", "c_custkey", "c_acctbal")
+    b = positions.with_positions(spark, f"{sf_dir}/part.parquet", "parquet").select("file_name", "pos", "p_partkey")
+    return positions.zipped_by_position(a, b).drop("file_name")
+
+
+@query(f"""SELECT peptide, tcr, {R6.format('score')} AS score, place FROM (SELECT label AS peptide, vec_id AS tcr, CAST(embedding[1] AS DOUBLE) AS score, row_number() OVER (PARTITION BY label ORDER BY CAST(embedding[1] AS DOUBLE) DESC, vec_id) AS place FROM embeddings) WHERE place <= 10""")
+def pair_table_first_ten(spark, sf_dir):
+    """A builder of pair tables by name, run through SQL as a table function."""
+    pair_tables.register(spark)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("peptide"), F.col("vec_id").alias("tcr"), F.col("embedding")[0].cast("double").alias("score"))
+    out = spark.sql("SELECT * FROM build_pairs(TABLE({rows}) PARTITION BY peptide ORDER BY (score DESC, tcr), 'first_ten')", rows=rows)
+    return out.withColumn("score", near("score"))

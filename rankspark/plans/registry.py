@@ -155,6 +155,14 @@ def bedroc_summary(spark, sf_dir):
     return metrics.bedroc(ranks(spark, sf_dir), GROUP, "label").groupBy("directory").agg(near(F.avg("bedroc")).alias("bedroc_mean"), near(F.stddev_samp("bedroc")).alias("bedroc_std"), F.count("*").alias("file_count"))
 
 
+@query(f"""WITH {SCORED}, st AS (SELECT directory, file, tied AS s, CAST(sum(label) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS c FROM scored GROUP BY directory, file, tied),
+r AS (SELECT *, rank() OVER w AS lo, sum(c) OVER (PARTITION BY directory, file) AS n, coalesce(sum(c) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM st WINDOW w AS (PARTITION BY directory, file ORDER BY s DESC)),
+b AS (SELECT directory, file, sum(p / c * (SELECT sum(exp(-20.0 * (k + j) / n)) FROM unnest(range(1, CAST(c AS BIGINT) + 1)) AS u(j))) AS s, sum(p) AS m, max(n) AS n FROM r GROUP BY directory, file), {BEDROC.split("), bed AS", 1)[1].join(["bed AS", ""])}
+SELECT directory, file, {R6.format('bedroc')} AS bedroc FROM bed""")
+def bedroc_of_ties(spark, sf_dir):
+    return metrics.bedroc_of_steps(metrics.auc_steps(scored(spark, sf_dir, "l_quantity"), GROUP, "score", "label"), GROUP).withColumn("bedroc", near("bedroc"))
+
+
 @query(f"WITH {SCORED} SELECT directory, {R6.format('avg(CASE WHEN (tied / 50 > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n FROM scored GROUP BY directory")
 def accuracy_at_half(spark, sf_dir):
     return metrics.accuracy(scored(spark, sf_dir, "l_quantity"), ["directory"], F.col("score") / 50, "label").withColumn("accuracy", near("accuracy"))

@@ -75,11 +75,17 @@ def types(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("raw"), only(F.col("p_type")).alias("tcr"), only(F.split("p_type", " ")[0]).alias("peptide")).distinct()
 
 
-@query(f"""WITH f(a, j, v) AS (VALUES {_FACTOR_ROWS}), {TYPES}, s AS (SELECT raw, lpad(tcr || peptide, 29, 'X') AS s FROM t), r AS (SELECT raw, i, substr(s, CAST(i AS INT), 1) AS a FROM s, (SELECT unnest(range(1, 30)) AS i))
+_PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
+_CHEMISTRY = "chem AS (SELECT a, j, v FROM f UNION ALL " + " UNION ALL ".join(f"SELECT x.a, {5 + k}, x.v * y.v FROM f x JOIN f y ON x.a = y.a WHERE x.j = {i} AND y.j = {j}" for k, (i, j) in enumerate(_PAIRS)) + ")"
+
+
+@query(f"""WITH f(a, j, v) AS (VALUES {_FACTOR_ROWS}), {_CHEMISTRY}, {TYPES}, s AS (SELECT raw, lpad(tcr || peptide, 29, 'X') AS s FROM t), r AS (SELECT raw, i, substr(s, CAST(i AS INT), 1) AS a FROM s, (SELECT unnest(range(1, 30)) AS i))
 SELECT raw, CAST((i - 1) * 20 + j AS INT) AS pos, CASE WHEN instr('{LETTERS}', a) = j + 1 THEN 1.0 ELSE 0.0 END AS value FROM r, (SELECT unnest(range(0, 20)) AS j)
-UNION ALL SELECT r.raw, CAST(580 + (i - 1) * 5 + j.j AS INT), {R6.format('coalesce(f.v, 0.0)')} FROM r CROSS JOIN (SELECT unnest(range(0, 5)) AS j) j LEFT JOIN f ON f.a = r.a AND f.j = j.j""")
+UNION ALL SELECT r.raw, CAST(580 + (i - 1) * 20 + j.j AS INT), {R6.format('coalesce(c.v, 0.0)')} FROM r CROSS JOIN (SELECT unnest(range(0, 20)) AS j) j LEFT JOIN chem c ON c.a = r.a AND c.j = j.j""")
 def onehot_chem_encode(spark, sf_dir):
-    return types(spark, sf_dir).select("raw", F.posexplode(features.onehot_chemical("tcr", "peptide", FACTORS)).alias("pos", "value")).withColumn("value", near("value"))
+    """58 x 20 numbers a pair; the chemistry is the five factors and their products, in place of a user's own table."""
+    chemistry = features.with_products(FACTORS)
+    return types(spark, sf_dir).select("raw", F.posexplode(features.onehot_chemical("tcr", "peptide", chemistry)).alias("pos", "value")).withColumn("value", near("value"))
 
 
 @query(f"""WITH f(a, j, v) AS (VALUES {_FACTOR_ROWS}), {TYPES}, r AS (SELECT raw, i, substr(tcr, CAST(i AS INT), 1) AS a, length(tcr) AS n FROM t, (SELECT unnest(range(1, 21)) AS i))
