@@ -153,3 +153,30 @@ def drawn_slices(positives: DataFrame, pool: DataFrame, key: str, item: str, fix
     number = F.when(F.col("draw") <= fixed, F.sequence(F.lit(0), F.lit(rounds - 1))).otherwise(F.array(F.floor((F.col("draw") - fixed - 1) / random).cast("int")))
     out = no.select(key, item, "draw", F.explode(number).alias("round"))
     return out.select(key, "round", item, F.when(F.col("draw") <= fixed, F.col("draw")).otherwise(fixed + 1 + (F.col("draw") - fixed - 1) % random).cast("int").alias("place"))
+
+
+def drawn_balanced(df: DataFrame, group: str, label: str, item: str, samples: int, seed: str, most: int = 1000) -> DataFrame:
+    """(group, sample, item, label): equal numbers of both labels in each sample; without a positive at most ``most`` negatives.
+
+    Only what is drawn is copied for the samples: each group and label is a pool of its own.
+    """
+    rows = df.select(group, item, F.col(label).cast("int").alias(label)).distinct()
+    pool = F.concat(F.col(group).cast("string"), F.lit(":"), F.col(label).cast("string"))
+    sizes = rows.groupBy(group).agg(F.sum(label).alias("__p"), F.sum(1 - F.col(label)).alias("__q"))
+    k = F.when(F.col("__p") == 0, F.least("__q", F.lit(most))).when(F.col("__q") == 0, F.col("__p")).otherwise(F.least("__p", "__q"))
+    number = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
+    wants = sizes.select(group, k.alias("__k"), number).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias(label)).withColumn("pool", pool)
+    out = drawn(wants, rows.select(pool.alias("pool"), item), rows.select(group, item).limit(0), [group, "sample", label], item, seed, by=group)
+    return out.select(group, "sample", item, label)
+
+
+def drawn_shuffled(df: DataFrame, allowed: DataFrame, group: str, label: str, item: str, samples: int, seed: str, most: int = 10_000) -> DataFrame:
+    """All positives in each sample and as many draws from the group's allowed negatives (``most`` without positives)."""
+    positives = df.where(F.col(label) == 1).select(group, item).distinct()
+    fit = df.where(F.col(label) == 0).select(group, item).join(allowed.select(item).distinct(), item, "left_semi").join(positives, [group, item], "left_anti")
+    number = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
+    counts = positives.groupBy(group).agg(F.count("*").alias("__p"))
+    pool = F.col(group).cast("string").alias("pool")
+    wants = fit.select(group).distinct().join(counts, group, "left").select(group, F.coalesce("__p", F.lit(most)).alias("__k"), pool, number)
+    no = drawn(wants, fit.select(pool, item), positives.limit(0), [group, "sample"], item, seed)
+    return positives.select(group, number, item, F.lit(1).alias(label)).unionByName(no.select(group, "sample", item, F.lit(0).alias(label)))

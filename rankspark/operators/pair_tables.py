@@ -1,7 +1,7 @@
 """Builders of pair tables and scorers, called by name from SQL.
 
-``build_pairs`` is a table function: SELECT * FROM build_pairs(TABLE(rows) PARTITION BY peptide, 'ranked') gives, for the
-rows (peptide, tcr, score) of each key, what the named builder makes of them. Its columns are settled by ``analyze``
+``build_pairs`` is a table function: SELECT * FROM build_pairs(name => 'ranked', rows => TABLE(t) PARTITION BY peptide
+ORDER BY (score DESC, tcr)) gives, for the rows (peptide, tcr, score) of each key, what the named builder makes of them. Its columns are settled by ``analyze``
 before the query runs, and Spark deals the keys to tasks.
 """
 
@@ -57,7 +57,7 @@ def _valid():
 
 
 class BuildPairs:
-    """Rows of a key come best first; one at a time is held."""
+    """A key's rows come one by one, in the order that the call asks for."""
 
     def __init__(self) -> None:
         self.add = None
@@ -71,11 +71,11 @@ class BuildPairs:
             raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
         return AnalyzeResult(StructType([*rows.dataType.fields, *BUILDERS[name.value][0]]))
 
-    def eval(self, row, name: str) -> Iterator[tuple]:
+    def eval(self, rows, name: str) -> Iterator[tuple]:
         self.add = self.add or BUILDERS[name][1]()
-        found = self.add(row)
+        found = self.add(rows)
         if found is not None:
-            yield (*row, *found)
+            yield (*rows, *found)
 
 
 def register(spark: SparkSession) -> None:

@@ -74,17 +74,65 @@ def best_step(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.min(F.struct(((F.col("a") + F.col("b")) / 2).alias("loss"), "step")).alias("m")).select(F.col("m.step").alias("step"), F.col("m.loss").alias("loss"))
 
 
-def forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 16, seed: int = 42):
-    """A random forest as a Scorer, by default with the trees and depth that cuML's documentation gives as defaults."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+class Forest:
+    """A fitted random forest as a Scorer: adds ``score``, the probability of class 1. A row with a null feature scores 0."""
+
+    def __init__(self, model, features: list[str]):
+        self.model, self.features = model, features
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        whole = F.lit(True)
+        for c in self.features:
+            whole = whole & F.col(c).isNotNull()
+        rows = pairs.withColumn("__whole", whole)
+        out = self.model.transform(rows.withColumn("__features", _assembled(rows, self.features)))
+        score = F.when(F.col("__whole"), vector_to_array("probability")[1]).otherwise(0.0)
+        return out.withColumn("score", score).drop("__features", "__whole", "probability", "rawPrediction", "prediction")
+
+    def save(self, path: str) -> None:
+        """The model and, beside it, its features with a fingerprint."""
+        self.model.write().overwrite().save(f"{path}/model")
+        rows = [(k, c, _fingerprint(self.features)) for k, c in enumerate(self.features)]
+        _session().createDataFrame(rows, "place int, feature string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession()
+
 
-    assembler = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
-    model = RandomForestClassifier(featuresCol="__features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(assembler.transform(train))
+def _fingerprint(features: list[str]) -> str:
+    import hashlib
 
-    def score(pairs: DataFrame) -> DataFrame:
-        out = model.transform(assembler.transform(pairs))
-        return out.withColumn("score", vector_to_array("probability")[1]).drop("__features", "probability", "rawPrediction", "prediction")
+    return hashlib.sha256("\n".join(features).encode()).hexdigest()
+
+
+def _assembled(rows: DataFrame, features: list[str]) -> Column:
+    """The features as one vector: numbers, and arrays of numbers in full; nulls are zeros."""
+    from pyspark.ml.functions import array_to_vector
+
+    kinds = dict(rows.dtypes)
+    one = lambda c: F.transform(F.coalesce(c, F.array().cast(kinds[c])), lambda x: x.cast("double")) if kinds[c].startswith("array") else F.array(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    return array_to_vector(F.concat(*[one(c) for c in features]))
+
+
+def load_forest(path: str) -> Forest:
+    """A saved forest; an error if its features were changed since."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    rows = sorted(_session().read.parquet(f"{path}/features").collect())
+    features = [r.feature for r in rows]
+    if not rows or {r.fingerprint for r in rows} != {_fingerprint(features)}:
+        raise ValueError("the saved features are not those of the model")
+    return Forest(RandomForestClassificationModel.load(f"{path}/model"), features)
+
+
+def forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 16, seed: int = 42) -> Forest:
+    """A random forest of numbers and arrays of numbers, by default with the trees and depth that cuML's documentation gives as defaults."""
+    from pyspark.ml.classification import RandomForestClassifier
 
-    return score
+    rows = train.select(F.col(label).cast("double").alias(label), _assembled(train, features).alias("__features"))
+    return Forest(RandomForestClassifier(featuresCol="__features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(rows), features)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from rankspark.operators import draws
-from rankspark.plans.registry import POS, positives, query, table
+from rankspark.plans.registry import POS, SUPPLIERS, positives, query, suppliers, table
 
 
 def drawn_sql(p: str, wants: str, pools: str, barred: str, keys: Sequence[str], seed: str, attempts: int = 10) -> str:
@@ -111,3 +111,23 @@ def own_pool_draws(spark, sf_dir):
     own = keys.join(pos.select("tcr", (F.col("tcr") % 11).alias("part")), F.col("peptide") % 11 == F.col("part")).select(F.col("peptide").cast("string").alias("pool"), "tcr")
     wants = keys.select("peptide", F.col("peptide").cast("string").alias("pool"), F.lit(5).alias("__k"))
     return draws.drawn(wants, own, pos, ["peptide"], "tcr", "nd")
+
+
+def supplier_draws_sql(wants: str, pools: str, keys: list[str], seed: str) -> str:
+    """``drawn_sql`` with files and suppliers in the places of keys and items."""
+    return drawn_sql("d", wants, pools, "SELECT file AS peptide, cdr3 AS tcr FROM sup WHERE false", ["peptide", *keys], seed)
+
+
+@query(f"WITH RECURSIVE {SUPPLIERS}, z AS (SELECT file, sum(label) AS p, sum(1 - label) AS q FROM sup GROUP BY file), " + supplier_draws_sql(
+    "SELECT file AS peptide, CAST(sample AS INT) AS sample, label, file || ':' || label AS pool, CASE WHEN p = 0 THEN least(q, 1000) WHEN q = 0 THEN p ELSE least(p, q) END AS k FROM z, (SELECT unnest(range(0, 100)) AS sample), (SELECT unnest([0, 1]) AS label)",
+    "SELECT file || ':' || label AS pool, cdr3 AS tcr FROM sup", ["sample", "label"], "bd") + " SELECT peptide AS file, sample, tcr AS cdr3, label FROM d")
+def balanced_draws(spark, sf_dir):
+    return draws.drawn_balanced(suppliers(spark, sf_dir), "file", "label", "cdr3", 100, "bd")
+
+
+@query(f"WITH RECURSIVE {SUPPLIERS}, c AS (SELECT file, count(*) AS p FROM sup WHERE label = 1 GROUP BY file), fit AS (SELECT file, cdr3 FROM sup SEMI JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) a ON cdr3 = a.s_suppkey WHERE label = 0), " + supplier_draws_sql(
+    "SELECT f.file AS peptide, CAST(sample AS INT) AS sample, CAST(f.file AS VARCHAR) AS pool, coalesce(c.p, 10000) AS k FROM (SELECT DISTINCT file FROM fit) f LEFT JOIN c ON c.file = f.file, (SELECT unnest(range(0, 100)) AS sample)",
+    "SELECT CAST(file AS VARCHAR) AS pool, cdr3 AS tcr FROM fit", ["sample"], "sd") + " SELECT peptide AS file, sample, tcr AS cdr3, 0 AS label FROM d UNION ALL SELECT file, CAST(sample AS INT), cdr3, 1 FROM sup, (SELECT unnest(range(0, 100)) AS sample) WHERE label = 1")
+def shuffling_draws(spark, sf_dir):
+    allowed = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("cdr3"))
+    return draws.drawn_shuffled(suppliers(spark, sf_dir), allowed, "file", "label", "cdr3", 100, "sd")

@@ -130,8 +130,31 @@ def test_builders_by_name(spark):
     out = spark.sql("SELECT * FROM build_pairs(TABLE({rows}) PARTITION BY peptide ORDER BY (score DESC, tcr), 'ranked')", rows=rows)
     want = sorted(range(30), key=lambda i: (-(i % 7), i))
     assert [r.tcr for r in out.where("peptide = 'p'").orderBy("place").collect()] == want and out.columns == ["peptide", "tcr", "score", "other", "place"]
-    assert [r.fault for r in spark.sql("SELECT * FROM build_pairs(TABLE({rows}) PARTITION BY peptide, 'valid')", rows=rows.where("peptide = 'q'")).collect()] == ["no score"]
+    assert [r.fault for r in spark.sql("SELECT * FROM build_pairs(name => 'valid', rows => TABLE({rows}) PARTITION BY peptide)", rows=rows.where("peptide = 'q'")).collect()] == ["no score"]
     with pytest.raises(Exception, match="first_ten"):
-        spark.sql("SELECT * FROM build_pairs(TABLE({rows}) PARTITION BY peptide, 'none')", rows=rows)
+        spark.sql("SELECT * FROM build_pairs(name => 'none', rows => TABLE({rows}) PARTITION BY peptide)", rows=rows)
     with pytest.raises(Exception, match="missing columns"):
-        spark.sql("SELECT * FROM build_pairs(TABLE({rows}) PARTITION BY peptide, 'valid')", rows=rows.drop("score"))
+        spark.sql("SELECT * FROM build_pairs(name => 'valid', rows => TABLE({rows}) PARTITION BY peptide)", rows=rows.drop("score"))
+
+
+def test_forests_are_kept(spark, tmp_path):
+    from rankspark.operators import sampling, scoring
+
+    words = [("".join(["ACDE", "CDEF", "KLMN", "WYVT"][(i * k) % 4] for k in range(1, 4)), "AC" if i % 3 else "KL", f"g{i % 20}") for i in range(600)]
+    df = spark.createDataFrame(words, "tcr string, peptide string, g string").withColumn("feature", features.pair_feature("peptide", "tcr")).withColumn("label", F.col("tcr").startswith("A").cast("int"))
+    folds = sampling.group_folds(df, "g", 5, "42")
+    model = scoring.forest(folds.where("fold > 1"), ["feature"], "label", trees=10, depth=5)
+    held = folds.where("fold = 1").select("tcr", "feature", "label")
+    assert len(held.first().feature) == 200
+    scored = model(held)
+    right = scored.where((F.col("score") > 0.5) == (F.col("label") == 1)).count()
+    assert right > 0.9 * held.count() and scored.columns == ["tcr", "feature", "label", "score"]
+    model.save(str(tmp_path / "m"))
+    again = scoring.load_forest(str(tmp_path / "m"))
+    assert sorted(map(str, again(held).select("tcr", "score").collect())) == sorted(map(str, scored.select("tcr", "score").collect()))
+    odd = held.limit(1).select("tcr", F.lit(None).cast("array<double>").alias("feature"), "label")
+    assert [r.score for r in again(odd).collect()] == [0.0]
+    rows = spark.read.parquet(str(tmp_path / "m" / "features")).collect()
+    spark.createDataFrame([(r.place, "other", r.fingerprint) for r in rows], "place int, feature string, fingerprint string").write.mode("overwrite").parquet(str(tmp_path / "m" / "features"))
+    with pytest.raises(ValueError, match="not those"):
+        scoring.load_forest(str(tmp_path / "m"))
