@@ -6,6 +6,9 @@ bins, so nothing is shuffled and a task holds no more than its open bins. A bits
 one filled last). When nothing fits and all bins are open, the fullest (lowest set bit) closes first. Full pieces are
 sequences of their own.
 
+The pieces of bins that the tasks leave with more than a little room are packed once more by the same method, those of
+some tasks together, the longest first, with more open bins. Only numbers are moved then, one row a piece of such a bin.
+
 Defined results: null text is the empty text and gives one piece (the end id alone); a document of more than ``capacity``
 ids is cut so that only its first piece may be shorter; null and repeated ids are packed as separate rows; no row gives no
 piece; other columns are left out. Where tables are read in other splits, documents may get other sequences.
@@ -23,11 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rankspark.llm.common import Splitter, slices
+from rankspark.llm.common import Splitter, slices, stored
 
 #: Bins that are open at the same time.
 OPEN_BINS = 32
+#: Tasks whose pieces are packed by one task of the second pass, the share of a bin that is left empty in peace, and the
+#: bins that are open at the same time there.
+TASKS, ROOM, AGAIN = 64, 1 / 256, 4096
+#: Bits of a sequence's id below the number of its task.
+TASK_BITS = 40
 #: Different pieces of text that a worker remembers; beyond it, it forgets all and goes on.
 REMEMBERED = 900_000
 
@@ -123,17 +132,17 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pack(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_in_tasks(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first pass: one row per piece, as in ``pack``, in the order of arrival.
 
     ``sequence_id`` is the partition's number times 2**40 plus the bin's number in it, so a repeated task gives the same
-    rows. Each task leaves at most its open bins partly empty.
+    rows. Each task leaves at most its open bins partly empty, besides those that it closed.
     """
     kind = df.schema[id_col].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, bins, base = _tokenizer(tokenizer_path, pattern), OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
+        tok, bins, base = _tokenizer(tokenizer_path, pattern), OpenBins(capacity, open_bins), TaskContext.get().partitionId() << TASK_BITS
         for b in slices(batches, "__text"):
             owner, rows = [], []
             for k, got in enumerate(tok.encode_bytes([t or "" for t in b.column(1).to_pylist()])):
@@ -147,3 +156,31 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048,
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS __text").mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def pack(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset; sequences of the second pass have negative ids."""
+    pieces = stored(pack_in_tasks(df, tokenizer_path, pattern, capacity, end_id, open_bins, id_col, text_col))
+    moved = packed_again(pieces, capacity).withColumnsRenamed({"sequence_id": "__bin", "offset": "__at"})
+    out = pieces.join(moved, (F.col("sequence_id") == F.col("__bin")) & (F.col("offset") == F.col("__at")), "left")
+    return out.select(id_col, "piece", "start", "length", "ids_crc32", F.coalesce("into", "sequence_id").alias("sequence_id"), F.coalesce("to", "offset").alias("offset"))
+
+
+def packed_again(pieces: DataFrame, capacity: int, open_bins: int = AGAIN, tasks: int = TASKS, room: float = ROOM) -> DataFrame:
+    """(sequence_id, offset, into, to): new places of the pieces of bins with more than ``room`` of their places free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, bins = None, OpenBins(capacity, open_bins)
+        for b in batches:
+            rows = []
+            for own, bin_id, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != group:
+                    group, bins = own, OpenBins(capacity, open_bins)
+                at, to = bins.put(length)
+                rows.append((bin_id, offset, -1 - (own << TASK_BITS) - at, to))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["sequence_id", "offset", "into", "to"])
+
+    left = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < capacity * (1 - room)).select("sequence_id")
+    group = F.floor(F.shiftright("sequence_id", TASK_BITS) / tasks).cast("long").alias("group")
+    rows = pieces.join(left, "sequence_id", "left_semi").select(group, "sequence_id", "offset", "length")
+    return rows.repartition("group").sortWithinPartitions("group", F.desc("length"), "sequence_id", "offset").mapInArrow(run, "sequence_id long, offset long, into long, to long")
