@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from rankspark.operators import draws
+from rankspark.operators import draws, tasks
 from rankspark.plans.registry import POS, SUPPLIERS, positives, query, suppliers, table
 
 
@@ -131,3 +131,22 @@ def balanced_draws(spark, sf_dir):
 def shuffling_draws(spark, sf_dir):
     allowed = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("cdr3"))
     return draws.drawn_shuffled(suppliers(spark, sf_dir), allowed, "file", "label", "cdr3", 100, "sd")
+
+
+_PART_ROWS = "r AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, p_partkey, CAST(p_size % 2 AS INT) AS label FROM part)"
+
+
+@query(f"WITH RECURSIVE {_PART_ROWS}, z AS (SELECT p_brand, sum(label) AS p, sum(1 - label) AS q FROM r GROUP BY p_brand), " + drawn_sql(
+    "d", "SELECT p_brand AS peptide, CAST(sample AS INT) AS sample, label, p_brand || ':' || label AS pool, CASE WHEN p = 0 THEN least(q, 1000) WHEN q = 0 THEN p ELSE least(p, q) END AS k FROM z, (SELECT unnest(range(0, 100)) AS sample), (SELECT unnest([0, 1]) AS label)",
+    "SELECT p_brand || ':' || label AS pool, pos AS tcr FROM r", "SELECT p_brand AS peptide, pos AS tcr FROM r WHERE false", ["peptide", "sample", "label"], "id")
+    + " SELECT r.p_brand || '.csv' AS original_file, d.sample AS sample_index, r.pos, r.p_partkey, r.label FROM d JOIN r ON r.p_brand = d.peptide AND r.pos = d.tcr")
+def apply_drawn_samples(spark, sf_dir):
+    """A hundred balanced samples of each file as records of positions, applied to the files' rows."""
+    from rankspark.plans.tasks import part_rows
+
+    rows = part_rows(spark, sf_dir).withColumn("label", F.col("label").cast("int"))
+    brand = rows.withColumn("brand", tasks.stem("file"))
+    drawn = draws.drawn_balanced(brand, "brand", "label", "pos", 100, "id")
+    lists = lambda label: F.collect_list(F.when(F.col("label") == label, F.col("pos")))
+    records = drawn.groupBy(F.concat("brand", F.lit(".csv")).alias("original_file"), F.col("sample").alias("sample_index")).agg(lists(1).alias("label_1_indices"), lists(0).alias("label_0_indices"))
+    return tasks.apply_indices(records, rows, "file", "pos").select("original_file", "sample_index", "pos", "p_partkey", "label")

@@ -13,6 +13,8 @@ _FACTOR_ROWS = ", ".join(f"('{a}', {j}, CAST({v} AS DOUBLE))" for a, row in FACT
 _CODE_ROWS = ", ".join(f"({p}, {j}, CAST({v!r} AS DOUBLE))" for p, row in enumerate(position_code(25)) for j, v in enumerate(row))
 TABLES = f"f(a, j, v) AS (VALUES {_FACTOR_ROWS}), c(p, j, v) AS (VALUES {_CODE_ROWS})"
 LETTERS = "".join(sorted(FACTORS))
+#: Residues of an encoded item.
+LENGTH = 25
 
 
 def encoding_sql(source: str, column: str, length: int) -> str:
@@ -44,11 +46,11 @@ def apply_sample_indices(spark, sf_dir):
 
 def lookups(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("seq"))
-    dictionary = part.where("p_partkey % 2 = 0").select("seq", encoded("seq", 5).alias("encoding"))
-    return part, dictionary, features.with_encoding(part, dictionary, "seq", 5)
+    dictionary = part.where("p_partkey % 2 = 0").select("seq", encoded("seq", LENGTH).alias("encoding"))
+    return part, dictionary, features.with_encoding(part, dictionary, "seq", LENGTH)
 
 
-@query(f"""WITH {TABLES}, p AS (SELECT p_partkey, upper(p_name) AS seq FROM part), e AS ({encoding_sql('p', 'seq', 5)}), k AS (SELECT DISTINCT seq FROM p WHERE p_partkey % 2 = 0)
+@query(f"""WITH {TABLES}, p AS (SELECT p_partkey, upper(p_name) AS seq FROM part), e AS ({encoding_sql('p', 'seq', LENGTH)}), k AS (SELECT DISTINCT seq FROM p WHERE p_partkey % 2 = 0)
 SELECT p.p_partkey, e.pos, {R6.format('e.value')} AS value, p.seq IN (SELECT seq FROM k) AS hit FROM p JOIN e ON p.seq = e.seq""")
 def encoding_lookup_fallback(spark, sf_dir):
     return lookups(spark, sf_dir)[2].select("p_partkey", "hit", F.posexplode("encoding").alias("pos", "value")).withColumn("value", near("value"))
@@ -63,7 +65,7 @@ def encoding_hit_ratio(spark, sf_dir):
 @query("SELECT seq FROM (SELECT DISTINCT upper(p_name) AS seq FROM part) WHERE seq NOT IN (SELECT upper(p_name) FROM part WHERE p_partkey % 50 = 0) ORDER BY seq LIMIT 10")
 def missing_key_report(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("seq"))
-    dictionary = part.where("p_partkey % 50 = 0").select("seq", encoded("seq", 5).alias("encoding"))
+    dictionary = part.where("p_partkey % 50 = 0").select("seq", encoded("seq", LENGTH).alias("encoding"))
     return features.missing_keys(part, dictionary, "seq")
 
 
@@ -102,6 +104,21 @@ def chain_feature_dispatch(spark, sf_dir):
     return out.select("raw", "error", F.coalesce(F.size("alpha_features"), F.lit(-1)).alias("width"))
 
 
+def _padded_sql(column: str, shift: int) -> str:
+    return f"""SELECT r.raw, CAST({shift} + (i - 1) * 6 + j.j AS INT) AS pos, CASE WHEN j.j = 5 THEN CASE WHEN i > length({column}) THEN 1.0 ELSE 0.0 END ELSE {R6.format('coalesce(f.v, 0.0)')} END AS value
+    FROM (SELECT raw, {column}, i, substr({column}, CAST(i AS INT), 1) AS a FROM t, (SELECT unnest(range(1, 21)) AS i)) r CROSS JOIN (SELECT unnest(range(0, 6)) AS j) j LEFT JOIN f ON f.a = r.a AND f.j = j.j"""
+
+
+@query(f"""WITH f(a, j, v) AS (VALUES {_FACTOR_ROWS}), {TYPES}, x AS ({_padded_sql('tcr', 0)} UNION ALL {_padded_sql('peptide', 120)})
+SELECT t.raw, CASE WHEN length(t.raw) % 3 = 0 OR length(t.raw) % 5 = 0 THEN 3 ELSE 0 END AS error, x.pos, x.value FROM t LEFT JOIN x ON x.raw = t.raw AND length(t.raw) % 3 <> 0 AND length(t.raw) % 5 <> 0""")
+def chain_feature_values(spark, sf_dir):
+    """The numbers of the dispatched features themselves, and the error code of the rows that have none."""
+    n = F.length("raw")
+    df = types(spark, sf_dir).select("raw", F.when(n % 3 != 0, F.col("tcr")).alias("alpha"), F.when(n % 5 != 0, F.col("tcr")).alias("beta"), "peptide")
+    out = features.chain_features(df, "AB", "alpha", "beta", "peptide", FACTORS)
+    return out.select("raw", "error", F.posexplode_outer("alpha_features").alias("pos", "value")).withColumn("value", near("value"))
+
+
 @query(f"""WITH {TABLES}, {TYPES}, k AS ({encoding_sql('t', 'peptide', 15)}), i AS ({encoding_sql('t', 'tcr', 25)})
 SELECT t.raw, CASE WHEN length(raw) % 2 = 0 THEN 'support' ELSE 'query' END AS role, k.pos, {R6.format('k.value')} AS value FROM t JOIN k ON t.peptide = k.peptide
 UNION ALL SELECT t.raw, CASE WHEN length(raw) % 2 = 0 THEN 'support' ELSE 'query' END, i.pos + 75, {R6.format('i.value')} FROM t JOIN i ON t.tcr = i.tcr""")
