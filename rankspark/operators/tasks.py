@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.operators import ranges
 from rankspark.operators.pairs import negatives
 from rankspark.operators.sampling import draw_order, first_k, numbered
 
@@ -125,6 +126,17 @@ def set_lists(df: DataFrame, key: str, item: str, label: str, sets: Sequence[str
     return out.select(key, "n", *[c for s in sets for c in (F.transform(f"__{s}", lambda x: x[item]).alias(f"{s}_items"), F.transform(f"__{s}", lambda x: x[label]).alias(f"{s}_labels"))])
 
 
+def set_blocks(df: DataFrame, key: str, item: str, label: str, size: int) -> DataFrame:
+    """``set_lists`` for pools of any length: (key, set, block, items, labels), at most ``size`` items in a row.
+
+    Items are in order within a block and from block to block (from 0). No task holds a key's pool.
+    """
+    placed = ranges.numbered(ranges.in_ranges(df.select(key, "set", item, label), [key, "set"], [F.col(item), F.col(label)]), [key, "set"])
+    block = F.floor((F.col("rank") - 1) / size).cast("long").alias("block")
+    out = placed.groupBy(key, "set", block).agg(F.array_sort(F.collect_list(F.struct("rank", item, label))).alias("__rows"))
+    return out.select(key, "set", "block", F.transform("__rows", lambda x: x[item]).alias("items"), F.transform("__rows", lambda x: x[label]).alias("labels"))
+
+
 def merged_lists(parts: Sequence[DataFrame], key: str, item: str, order: str) -> DataFrame:
     """(key, items): the distinct items of all parts in the order in which they were first seen."""
     every = parts[0].select(key, item, order)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.functions.encode import FACTORS, encoded, position_code
-from rankspark.operators import metrics, pairs, ranking, sampling, scoring
+from rankspark.operators import features, metrics, pairs, ranking, sampling, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -381,6 +381,10 @@ def batch_numbering(spark, sf_dir):
 
 @query()
 def rf_train_predict(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", (F.col("l_returnflag") == "R").cast("double").alias("label"))
-    model = scoring.forest(df, ["l_quantity", "l_extendedprice", "l_discount"], "label")
-    return model(df).select("l_orderkey", "l_linenumber", F.round("score", 4).alias("score"))
+    """A forest on the 200 numbers of each pair, learned on four folds of names; the names of the fifth are scored."""
+    word = F.split(F.upper("p_name"), " ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.get(word, 0).alias("peptide"), F.get(word, 1).alias("tcr"))
+    rows = sampling.group_folds(rows, "p_name", 5, "42").withColumn("label", (F.length("peptide") >= F.length("tcr")).cast("double"))
+    rows = rows.withColumn("feature", F.when(F.col("peptide").isNotNull() & F.col("tcr").isNotNull(), features.pair_feature("peptide", "tcr")))
+    model = scoring.forest(rows.where("fold > 1 AND label IS NOT NULL"), ["feature"], "label")
+    return model(rows.where("fold = 1")).select("p_partkey", "p_name", "fold", "label", F.round("score", 4).alias("score"))

@@ -231,6 +231,14 @@ def finetune_set_lists(spark, sf_dir):
     return lists.select("peptide", "n", text("train"), text("val"), text("test"))
 
 
+@query(f"""WITH a AS ({ORACLES['majority_finetune']}), p AS (SELECT peptide, set, (row_number() OVER (PARTITION BY peptide, set ORDER BY tcr, label) - 1) // 64 AS block, tcr, label FROM a)
+SELECT peptide, set, block, string_agg(tcr, ' ' ORDER BY tcr, label) AS items, string_agg(label, ' ' ORDER BY tcr, label) AS labels FROM p GROUP BY peptide, set, block""")
+def finetune_set_blocks(spark, sf_dir):
+    blocks = tasks.set_blocks(finetune(spark, sf_dir), "peptide", "tcr", "label", 64)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return blocks.select("peptide", "set", "block", text("items"), text("labels"))
+
+
 @query(f"WITH {SUPPORT} SELECT p.peptide, p.tcr, EXISTS (SELECT 1 FROM support s WHERE s.peptide = p.peptide AND s.tcr = p.tcr) AS selected FROM pos p")
 def selected_flags(spark, sf_dir):
     return tasks.flagged(positives(spark, sf_dir), kshot_support(spark, sf_dir), ["peptide", "tcr"])

@@ -7,9 +7,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import duck
 
-from rankspark.operators import sampling
+from rankspark.operators import sampling, tasks
 from rankspark.plans import registry
-from rankspark.plans import draws as _draws, models as _models, tasks as _tasks  # noqa: F401  they register their queries
+from rankspark.plans import draws as _draws, folders as _folders, models as _models, tasks as _tasks  # noqa: F401  they register their queries
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -44,6 +44,29 @@ def test_forest_has_the_default_size(spark, small, monkeypatch):
     assert seen == [(100, 16)]
 
 
+def test_forest_tells_held_out_names(spark, sf):
+    from rankspark.operators import metrics
+
+    kept = registry.QUERIES["rf_train_predict"](spark, sf).collect()
+    every = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect()
+    names = {r.p_name for r in kept}
+    assert len(kept) == sum(r.p_name in names for r in every) and len(names) == -(-len({r.p_name for r in every}) // 5)
+    assert {r.fold for r in kept} == {1} and {r.label for r in kept} == {0.0, 1.0}
+    area = metrics.auc_by_group(spark.createDataFrame([(1, r.score, int(r.label)) for r in kept], "g int, score double, label int"), ["g"], "score", "label").first()
+    assert area.roc_auc > 0.85
+
+
+def test_blocks_of_sets(spark):
+    rows = [("a", "train", i, i % 2) for i in range(70)] + [("a", "test", 5, 1), ("a", "test", 5, 1), ("b", None, 1, 0)]
+    df = spark.createDataFrame(rows, "key string, set string, item long, label int")
+    got = {(r.key, r.set, r.block): (r["items"], r.labels) for r in tasks.set_blocks(df, "key", "item", "label", 32).collect()}
+    assert [len(got[("a", "train", k)][0]) for k in range(3)] == [32, 32, 6]
+    assert sum((got[("a", "train", k)][0] for k in range(3)), []) == list(range(70))
+    assert sum((got[("a", "train", k)][1] for k in range(3)), []) == [i % 2 for i in range(70)]
+    assert got[("a", "test", 0)] == ([5, 5], [1, 1]) and got[("b", None, 0)] == ([1], [0]) and len(got) == 5
+    assert tasks.set_blocks(df.limit(0), "key", "item", "label", 32).count() == 0
+
+
 def test_numbering_is_dealt_over_ranges(spark, capsys):
     pool = spark.range(20_000).toDF("tcr")
     needs = spark.createDataFrame([(1, 5), (2, 0), (3, 12_000)], "peptide long, n long")
