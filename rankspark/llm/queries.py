@@ -37,12 +37,13 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "response_id", "canonical_url", "verdict", merged.alias("merged"))
 
 
+# The table's URLs have no user, port, percent triplet or dot segment; the tests show what becomes of these.
 OP1_SQL = r"""
 WITH part AS (
   SELECT page_id, md5(html) AS body, md5(url) AS other,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1)), CASE WHEN lower(url) LIKE 'https%' THEN ':443$' ELSE ':80$' END, ''), '^www\.', '') AS host,
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 2), '/$', '') AS path,
-    array_to_string(list_sort(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3), '&')), '&') AS query
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3), '&'), lambda x: x <> '')), '&') AS query
   FROM pages
 ), page AS (
   SELECT *, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS u FROM part

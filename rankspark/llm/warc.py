@@ -3,7 +3,7 @@
 A revisit is joined to the latest strictly earlier full response (status 200) of its canonical URL. Both kinds are
 ordered together in windows over (URL, span of time), and what an earlier span leaves is carried over from a table
 with one row for each URL and span, so a URL with very many captures is spread over its spans. Only ids and times
-travel through the windows; headers are fetched afterwards.
+travel through the windows; headers are fetched afterwards, a response's once for each share of its revisits.
 
 Validators: if both have an entity tag, the tags decide (weak comparison); else, if both have a last-modified date,
 the dates decide; else there is none to check. On a mismatch the body must not be used and nothing is merged.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import row_key
+from rankspark.llm.common import row_key, shuffle_partitions
 
 # Header fields that a not-modified answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
@@ -28,12 +28,44 @@ PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "va
 SPAN = 86_400
 
 
+def _unescaped(text: Column) -> Column:
+    """Percent triplets of unreserved characters as the characters, other triplets in upper case (RFC 3986, section 6.2.2)."""
+    pieces = F.split(text, "%", -1)
+
+    def one(x: Column) -> Column:
+        code = F.substring(x, 1, 2)
+        sign = F.char(F.conv(code, 16, 10).cast("int"))
+        rest = F.substr(x, F.lit(3))
+        kept = F.concat(F.when(sign.rlike("^[A-Za-z0-9._~-]$"), sign).otherwise(F.concat(F.lit("%"), F.upper(code))), rest)
+        return F.when(code.rlike("^[0-9A-Fa-f]{2}$"), kept).otherwise(F.concat(F.lit("%"), x))
+
+    return F.when(F.instr(text, "%") == 0, text).otherwise(F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), "")))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments (RFC 3986, section 5.2.4)."""
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(x == ".", kept).when(x == "..", up).otherwise(F.concat(kept, F.array(x)))
+
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    whole = F.concat(F.lit("/"), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), whole).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
-    """Without scheme, fragment, a leading www. and default port; host in lower case; query parts sorted; no last slash."""
-    part = lambda k: F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?", k)
-    host = F.regexp_replace(F.regexp_replace(F.lower(part(1)), r":(80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(part(2), "/$", "")
-    query = F.array_join(F.array_sort(F.split(part(3), "&")), "&")
+    """Without scheme, user, fragment, a leading www., the scheme's default port and dot segments; host in lower case.
+
+    Percent triplets are normal, query parts sorted and empty ones left out, a last slash is dropped.
+    """
+    part = lambda k: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", k)
+    scheme, host = F.lower(part(1)), F.regexp_replace(F.lower(part(2)), "^.*@", "")
+    port = lambda n: F.regexp_replace(host, f":({n})?$", "")
+    host = F.when(scheme == "http", port(80)).when(scheme == "https", port(443)).otherwise(F.regexp_replace(host, ":$", ""))
+    host = F.regexp_replace(host, r"^www\.", "")
+    path = F.regexp_replace(_without_dots(_unescaped(part(3))), "/$", "")
+    query = F.array_join(F.array_sort(F.filter(F.split(_unescaped(part(4)), "&"), lambda x: x != "")), "&")
     return F.when(host == "", url).otherwise(F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
 
@@ -59,9 +91,12 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     # Rows are linked by a hash of the whole row, so null and repeated ids neither lose nor multiply rows.
     found = F.coalesce("inside", "carried")
     links = inside.join(carried, ["u", "span"], "left").select("k", found.getField("k").alias("full_k"), found.getField("h").alias("full_h")).distinct()
-    asked = rows.where(F.col("kind") == "revisit").select("k", "record_id", F.col("u").alias("canonical_url"), F.col("headers").alias("theirs"))
+    # A response that very many revisits name, and the revisits that name none, are dealt over as many shares as there are tasks.
+    share = F.pmod(F.xxhash64("k"), F.lit(shuffle_partitions(records.sparkSession))).cast("int").alias("share")
+    asked = rows.where(F.col("kind") == "revisit").select("k", share, "record_id", F.col("u").alias("canonical_url"), F.col("headers").alias("theirs"))
     answers = rows.where(full).select(F.col("k").alias("full_k"), F.col("h").alias("full_h"), F.col("record_id").alias("response_id"), F.col("headers").alias("ours")).dropDuplicates(["full_k", "full_h"])
-    both = asked.join(links, "k", "left").join(answers, ["full_k", "full_h"], "left")
+    wanted = links.where("full_k IS NOT NULL").select("full_k", "full_h", share).distinct()
+    both = asked.join(links, "k", "left").join(wanted.join(answers, ["full_k", "full_h"]), ["full_k", "full_h", "share"], "left")
     tag = lambda h: F.regexp_replace(_field(h, "etag"), "^W/", "")
     when = lambda h: _field(h, "last-modified")
     same = F.coalesce(tag("ours") == tag("theirs"), when("ours") == when("theirs"))

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import oracle
+from pyspark.sql import functions as F
 
 from rankspark.llm import lines, queries, warc
 
@@ -57,6 +58,40 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.where("false")).collect() == []
 
 
+def test_canonical_urls(spark):
+    told = {
+        "http://h/%7Ea%2fb%": "h/~a%2Fb%",
+        "HTTP://User:p@ss@WWW.H.org:80/a/./b/../c/": "h.org/a/c",
+        "https://h:80/": "h:80",
+        "https://h:443/../../x": "h/x",
+        "ftp://h:80/a": "h:80/a",
+        "http://h:/a?&b=2&&a=%61%zz&": "h/a?a=a%zz&b=2",
+        "http://h/a/..": "h",
+        "http://h/..a/b.?": "h/..a/b.",
+        "http://h/%2E%2e/a/%e4": "h/a/%E4",
+        "no url": "no url",
+        None: None,
+    }
+    df = spark.createDataFrame([(u,) for u in told], "url string")
+    assert {r.url: r.c for r in df.select("url", warc.canonical_url(F.col("url")).alias("c")).collect()} == told
+
+
+def test_hot_response_is_dealt(spark):
+    rows = [(0, "response", "http://h/a", 5, 200, {"etag": "e"})] + [(i, "revisit", "http://h/a" if i % 3 else None, 10 + i, 304, {"etag": "e"}) for i in range(1, 3001)]
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, at long, status int, headers map<string,string>")
+    out = warc.resolve_revisits(df)
+    got = out.groupBy("verdict").count().collect()
+    assert {r.verdict: r["count"] for r in got} == {"resolved": 2000, "unresolved": 1000}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = warc.resolve_revisits(df).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most < 1500
+
+
 def test_repeated_responses_and_null_ids(spark):
     h = {"etag": "x"}
     rows = [(1, "response", "http://a/x", 10, 200, h), (1, "response", "http://a/x", 10, 200, h), (None, "response", "http://b/y", 10, 200, h)]
