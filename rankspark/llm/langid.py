@@ -74,7 +74,8 @@ def learn_profiles(df: DataFrame, lang_col: str = "lang", text_col: str = "text"
     rows = df.selectExpr(f"`{lang_col}` AS __lang", f"`{text_col}` AS __text").where("__lang IS NOT NULL AND __text IS NOT NULL")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    return counts.select("lang", "gram", (F.row_number().over(order) - 1).alias("rank")).where(F.col("rank") < top)
+    # Compared as it is, so that each task keeps its own first rows before the shuffle.
+    return counts.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= top).select("lang", "gram", (F.col("__place") - 1).alias("rank"))
 
 
 def predict(df: DataFrame, profiles: list[tuple[str, int, int]], text_col: str = "text", top: int = TOP) -> DataFrame:
