@@ -21,14 +21,21 @@ CLOSENESS = 0.27
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or unlike every language; the others get the predicted language."""
+    """Drop documents without a letter or unlike every language; the others get the predicted language.
+
+    Null and empty texts have no letter; without one non-null language every document goes; rows with null or repeated ids are
+    judged one by one.
+    """
     judged = langid.identify(docs, F.col("lang").isNotNull(), keep=COLUMNS)
     kept = judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("closeness") >= CLOSENESS))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove line chunks that occurred before."""
+    """Remove line chunks that occurred before.
+
+    A null text stays null, with null ``n_chars``; of repeated rows, and rows with null or equal ids, see ``lines``.
+    """
     return lines.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -42,13 +49,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove every byte that a repeated string of 200 bytes covers; the documents stay."""
+    """Remove every byte that a repeated string of 200 bytes covers; the documents stay.
+
+    A null text comes back empty; repeated rows lose all bytes of their windows, as each is a text of its own.
+    """
     out = suffixes.remove_repeats(docs, 200, keep_text=True, carry=("lang", "source"))
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences of 2048 ids."""
+    """Pack the documents into sequences of 2048 ids.
+
+    A null or empty text is its end id alone; rows with null or repeated ids are documents of their own; other columns are left out.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

@@ -5,7 +5,8 @@ length stand in one padded id matrix. In each round every row merges its leftmos
 come from an open-addressing hash table, and rows without a mergeable pair leave the matrix. Pieces above
 ``LONG`` bytes take the same merges in the same order from a heap, as a row's rounds would cost its length squared.
 
-Defined results: null text is the empty text; an empty text has no ids; any Unicode text round-trips.
+Defined results: null text is the empty text; an empty text has no ids; any Unicode text round-trips, a long one whole; null
+and repeated ids are ids like others, one row each; other columns are left out; no row gives no row.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ frames of each other, whose answers come from the same frames, the one with the
 
 Defined results: a null or short recording has no integer and matches nothing; an odd last byte is ignored; null energies
 count as 0; of equal errors the longer overlap, then the smallest absolute offset, then the smaller offset, is taken; rows
-with one id are parts of a recording, aligned one by one, equal ones once; other columns are left out.
+with one id are parts of a recording, aligned one by one, equal ones once; a null id has integers but is never aligned; a
+recording is transformed whole by one task; other columns are left out; no row gives no row.
 """
 
 from __future__ import annotations

@@ -24,7 +24,9 @@ are sifted by whole parity bitmaps and verified on whole sets. Only one link a s
 are verified if their ends are still in different components. Shingles are compared by 64-bit hashes.
 
 Defined results: null or blank text has no shingle and is linked with nothing; texts of one to four words have one
-shingle; rows with equal shingle sets are linked; repeated ids count as one document.
+shingle; rows with equal shingle sets are linked. Each row gives a row: rows that repeat an id keep their own texts and sets,
+and a component's name is its smallest id that is not null (null if it has none). A text is read whole, however long, by
+one task. Other columns are left out; no row gives no row.
 """
 
 from __future__ import annotations

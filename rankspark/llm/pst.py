@@ -15,7 +15,9 @@ the scores back, in single precision; to keep little on disk, a chunk lists its
 to add up the scores. ``learn`` makes the same tree in memory, for small corpora; a test holds the two equal.
 
 Defined results: null text is the empty text (one token, the end); with nothing to learn from every probability is 1
-of the one unknown symbol.
+of the one unknown symbol. Null and repeated ids are ids like others, one row each, and repeated rows of the learning part
+count as often as they stand there; equal texts have equal scores up to rounding; a long text is scored whole; other
+columns are left out; no row gives no row.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ label calls good is good.
 
 Defined results: null text has no word and fails the base; a null stratum is the stratum ''; labels of unknown documents
 and null labels do not count; with no labels every document that passes the base is kept; repeated rows are judged alike;
-other columns are left out; no document gives no row.
+null ids have no label; a text is counted whole in its row, so its words must fit a task; other columns of both tables
+are left out; no document gives no row.
 """
 
 from __future__ import annotations
