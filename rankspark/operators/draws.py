@@ -5,6 +5,9 @@ places: a Feistel network over a grid of about the pool's size, whose few points
 key's draws cost as many rows as it draws, none repeats, and nothing has to be remembered or collected. What a key must
 not get (its positives, what it has already) leaves by an anti join; as many further draws as it has such items make up
 for them, up to ``attempts`` times the number wanted, so a key whose draws hit too many of them may get fewer.
+
+Few keys may want many draws each: these are cut into blocks, which are dealt over the shuffle partitions before a row a draw
+is made. A block looks the few words of its key's network up in a table where it draws more than the table has.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.operators.sampling import draw_order, first_k
+from rankspark.operators.spread import spread
 
 ROUNDS = 4
 #: Steps by which a place beyond the pool is walked on; a draw that is still beyond then counts as a failed attempt. Of a
 #: grid at most one place in four is beyond the pool, of a large one nearly none.
 WALKS = 16
 RANGES = 4096
+#: Draws of a key that one row stands for until its places are known.
+BLOCK = 1 << 14
 
 
 def grid_side(n: Column) -> Column:
@@ -48,6 +54,40 @@ def permuted(place: Column, n: Column, seed: Column, rounds: int = ROUNDS, walks
     return F.aggregate(F.sequence(F.lit(0), F.lit(walks)), place.cast("long"), step, lambda x: F.when(x < n, x))
 
 
+def network_words(n: Column, seed: Column, rounds: int = ROUNDS) -> Column:
+    """The words of a seed's network on ``n`` places, an array for each round: about ``rounds`` times the root of n in all."""
+    wide = grid_side(n)
+    high = F.greatest(F.lit(1), F.ceil(n / wide)).cast("long")
+
+    def words(r: int) -> Column:
+        halves = F.sequence(F.lit(0).cast("long"), (high if r % 2 == 0 else wide) - 1)
+        return F.transform(halves, lambda half: F.conv(F.substring(F.md5(F.concat_ws(":", seed, F.lit(str(r)), half.cast("string"))), 1, 8), 16, 10).cast("long"))
+
+    return F.array(*[words(r) for r in range(rounds)])
+
+
+def permuted_block(first: Column, last: Column, n: Column, seed: Column, words: Column, rounds: int = ROUNDS) -> Column:
+    """The array of ``permuted`` of the places ``first`` to ``last``, by the ``network_words`` of the same seed and n."""
+    wide = grid_side(n)
+    high = F.greatest(F.lit(1), F.ceil(n / wide)).cast("long")
+
+    def once(x: Column) -> Column:
+        l, r = (x % wide).cast("long"), F.floor(x / wide).cast("long")
+        for k in range(rounds):
+            if k % 2 == 0:
+                l = (l + F.get(F.get(words, F.lit(k)), r)) % wide
+            else:
+                r = (r + F.get(F.get(words, F.lit(k)), l)) % high
+        return r * wide + l
+
+    def walked(x: Column) -> Column:
+        """A place beyond the pool is walked on; nearly all are not."""
+        steps = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), x, lambda y, _: F.when(y < n, y).otherwise(once(y)))
+        return F.when(x < n, x).otherwise(F.transform(F.array(steps), lambda y: F.when(y < n, y))[0])
+
+    return F.transform(F.transform(F.sequence(first, last), once), walked)
+
+
 def numbered_pools(pools: DataFrame, pool: str, item: str, seed: str) -> DataFrame:
     """(pool, item, place, __n) of the different items of each pool, places from 0 in drawing order.
 
@@ -63,6 +103,26 @@ def numbered_pools(pools: DataFrame, pool: str, item: str, seed: str) -> DataFra
     return cut.withColumn("__own", own).join(starts, [pool, "__range"]).select(pool, item, (F.col("__before") + F.col("__own") - 1).cast("long").alias("place"), F.col("__n").cast("long").alias("__n"))
 
 
+def tried(wants: DataFrame, pools: DataFrame, keys: Sequence[str], item: str, seed: str) -> DataFrame:
+    """(keys, item, __k, __try): the items that a key's first ``__tries`` draws, or as many as the pool has, hit.
+
+    ``wants``: the key columns, ``pool``, ``__k`` and ``__tries``.
+    """
+    places = numbered_pools(pools, "pool", item, seed)
+    sizes = places.groupBy("pool").agg(F.max("__n").alias("__n"))
+    open_ = wants.join(sizes, "pool").withColumn("__tries", F.least("__tries", "__n").cast("long")).where("__tries > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tries") - 1, F.lit(BLOCK).cast("long"))).alias("__first")
+    blocks = spread(open_.select(*keys, "pool", "__k", "__n", "__tries", starts), *keys, "__first")
+    name = F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])
+    last = F.least(F.col("__first") + BLOCK, "__tries") - 1
+    n, many = F.col("__n"), last - F.col("__first") >= grid_side(F.col("__n"))
+    worded = blocks.withColumn("__name", name).withColumn("__last", last).withColumn("__words", F.when(many, network_words(n, F.col("__name"))))
+    few = F.transform(F.sequence("__first", "__last"), lambda x: permuted(x, n, F.col("__name")))
+    block = F.when(F.col("__words").isNull(), few).otherwise(permuted_block(F.col("__first"), F.col("__last"), n, F.col("__name"), F.col("__words")))
+    placed = worded.withColumn("__places", block).select(*keys, "pool", "__k", "__first", F.posexplode_outer("__places").alias("__at", "place")).where("place IS NOT NULL")  # outer: no filter that would make the places twice
+    return placed.join(places.drop("__n"), ["pool", "place"]).select(*keys, item, "__k", (F.col("__first") + F.col("__at")).alias("__try"))
+
+
 def drawn(wants: DataFrame, pools: DataFrame, barred: DataFrame, keys: Sequence[str], item: str, seed: str, attempts: int = 10, by: str | None = None) -> DataFrame:
     """(keys, item, draw): for each row of ``wants`` up to ``__k`` different items of its pool that are not barred.
 
@@ -72,18 +132,18 @@ def drawn(wants: DataFrame, pools: DataFrame, barred: DataFrame, keys: Sequence[
     by = by or keys[0]
     barred = barred.select(by, item).distinct()
     each = barred.groupBy(by).agg(F.count("*").alias("__barred"))
-    places = numbered_pools(pools, "pool", item, seed)
-    sizes = places.groupBy("pool").agg(F.max("__n").alias("__n"))
-    tries = F.least(F.col("__k") * attempts, F.col("__k") + F.coalesce("__barred", F.lit(0)), F.col("__n"))
-    open_ = wants.select(*keys, "pool", "__k").join(each, by, "left").join(sizes, "pool").withColumn("__tries", tries.cast("int")).where("__tries > 0")
-    tried = open_.select(*keys, "pool", "__k", "__n", F.explode(F.sequence(F.lit(0), F.col("__tries") - 1)).alias("__try"))
-    name = F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])
-    found = tried.withColumn("place", permuted(F.col("__try"), F.col("__n"), name)).where("place IS NOT NULL").join(places.drop("__n"), ["pool", "place"])
+    tries = F.least(F.col("__k") * attempts, F.col("__k") + F.coalesce("__barred", F.lit(0)))
+    found = tried(wants.select(*keys, "pool", "__k").join(each, by, "left").withColumn("__tries", tries), pools, keys, item, seed)
     fresh = found.join(barred, [by, item], "left_anti")
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__try"))
     return fresh.withColumn("draw", nth).where(F.col("draw") <= F.col("__k")).select(*keys, item, "draw")
 
 
+def drawn_freely(wants: DataFrame, pools: DataFrame, keys: Sequence[str], item: str, seed: str) -> DataFrame:
+    """(keys, item): ``drawn`` where nothing is barred, so that every try counts and none needs a number."""
+    return tried(wants.select(*keys, "pool", "__k", F.col("__k").alias("__tries")), pools, keys, item, seed).select(*keys, item)
+
+
 def _one_pool(pool: DataFrame, item: str) -> DataFrame:
     return pool.select(F.lit("").alias("pool"), item)
 
@@ -166,8 +226,7 @@ def drawn_balanced(df: DataFrame, group: str, label: str, item: str, samples: in
     k = F.when(F.col("__p") == 0, F.least("__q", F.lit(most))).when(F.col("__q") == 0, F.col("__p")).otherwise(F.least("__p", "__q"))
     number = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
     wants = sizes.select(group, k.alias("__k"), number).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias(label)).withColumn("pool", pool)
-    out = drawn(wants, rows.select(pool.alias("pool"), item), rows.select(group, item).limit(0), [group, "sample", label], item, seed, by=group)
-    return out.select(group, "sample", item, label)
+    return drawn_freely(wants, rows.select(pool.alias("pool"), item), [group, "sample", label], item, seed).select(group, "sample", item, label)
 
 
 def drawn_shuffled(df: DataFrame, allowed: DataFrame, group: str, label: str, item: str, samples: int, seed: str, most: int = 10_000) -> DataFrame:
@@ -178,5 +237,5 @@ def drawn_shuffled(df: DataFrame, allowed: DataFrame, group: str, label: str, it
     counts = positives.groupBy(group).agg(F.count("*").alias("__p"))
     pool = F.col(group).cast("string").alias("pool")
     wants = fit.select(group).distinct().join(counts, group, "left").select(group, F.coalesce("__p", F.lit(most)).alias("__k"), pool, number)
-    no = drawn(wants, fit.select(pool, item), positives.limit(0), [group, "sample"], item, seed)
+    no = drawn_freely(wants, fit.select(pool, item), [group, "sample"], item, seed)
     return positives.select(group, number, item, F.lit(1).alias(label)).unionByName(no.select(group, "sample", item, F.lit(0).alias(label)))

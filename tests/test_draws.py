@@ -44,3 +44,20 @@ def test_epochs_share_one_plan(spark):
     assert len(each) == 5 * 500 * 4 and all(r.n == (3 if r.role == "support" else 5) for r in each)
     assert out.where("label = 0 AND i % 2 <> epoch % 2").count() == 0
     assert len({tuple(sorted(r.x)) for r in out.where("k = 0 AND label = 1 AND role = 'support'").groupBy("epoch").agg(F.collect_list("i").alias("x")).collect()}) > 50
+
+
+def test_blocks_of_draws_are_the_draws(spark):
+    for n in (1, 2, 5, 17, 300, 1009):
+        size, name = F.lit(n).cast("long"), F.lit(f"s{n}")
+        one = [r.y for r in spark.range(n).select(draws.permuted(F.col("id"), size, name).alias("y")).collect()]
+        block = draws.permuted_block(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), size, name, draws.network_words(size, name))
+        assert spark.range(1).select(block.alias("y")).first().y == one
+
+
+def test_many_draws_of_few_keys_are_dealt_over_tasks(spark, capsys):
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), (F.col("id") % 3 == 0).cast("int").alias("label"), "id")
+    out = draws.drawn_balanced(df, "g", "label", "id", 20, "s")
+    out.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out  # such partitions are not joined for being small
+    each = out.groupBy("g", "sample", "label").agg(F.count_distinct("id").alias("n"), F.count("*").alias("m")).collect()
+    assert len(each) == 80 and all(r.n == r.m and r.n in (66, 67) for r in each)
