@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.operators.spread import spread
+
 
 def draw_order(seed: str | Column, *key: str) -> Column:
     seed = F.lit(seed) if isinstance(seed, str) else seed.cast("string")
@@ -21,10 +25,11 @@ def first_k(df: DataFrame, group: Sequence[str], order: Column, k: Column | int,
 
 def balanced(df: DataFrame, group: Sequence[str], label: str, key: str, samples: int, seed: str, most: int = 1000) -> DataFrame:
     """(group, sample, key, label): equal numbers of both labels; without a positive at most ``most`` negatives."""
-    own = Window.partitionBy(*group)
-    sized = df.withColumn("__p", F.sum(label).over(own)).withColumn("__n", F.sum(1 - F.col(label)).over(own))
+    sizes = df.groupBy(*group).agg(F.sum(label).alias("__p"), F.sum(1 - F.col(label)).alias("__n"))
     size = F.when(F.col("__p") == 0, F.least("__n", F.lit(most))).when(F.col("__n") == 0, F.col("__p")).otherwise(F.least("__p", "__n"))
-    many = sized.withColumn("__k", size).select(*group, key, label, "__k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
+    sized = df.alias("a").join(sizes.alias("b"), reduce(and_, same)).select(*[f"a.{c}" for c in group], f"a.{key}", f"a.{label}", size.alias("__k"))
+    many = spread(sized).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
     order = draw_order(F.concat(F.lit(seed), F.col("sample").cast("string")), *group, key)
     return first_k(many, [*group, "sample", label], order, F.col("__k"), key).select(*group, "sample", key, label)
 
@@ -36,7 +41,7 @@ def shuffled(df: DataFrame, allowed: DataFrame, group: Sequence[str], label: str
     fit = df.where(F.col(label) == 0).join(allowed.select(key).distinct(), key, "left_semi").join(positives.distinct(), [*group, key], "left_anti").select(*group, key)
     fit = fit.join(count, list(group), "left").withColumn("__k", F.coalesce("__p", F.lit(most)))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")
-    drawn = first_k(fit.select(*group, key, "__k", numbers), [*group, "sample"], draw_order(F.concat(F.lit(seed), F.col("sample").cast("string")), *group, key), F.col("__k"), key)
+    drawn = first_k(spread(fit.select(*group, key, "__k")).select("*", numbers), [*group, "sample"], draw_order(F.concat(F.lit(seed), F.col("sample").cast("string")), *group, key), F.col("__k"), key)
     return positives.select(*group, numbers, key, F.lit(1).alias(label)).unionByName(drawn.select(*group, "sample", key, F.lit(0).alias(label)))
 
 
