@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -22,18 +23,54 @@ def scorer(name: str):
     return add
 
 
-def judged(model: Callable[[pd.DataFrame], Sequence[float]], rows: pd.DataFrame) -> list[tuple[float, str | None]]:
-    """(score, error) of each row. A batch that fails is halved until the rows it fails on are alone; they get 0."""
+def _numbers(model: Callable[[pd.DataFrame], Sequence[float]], rows: pd.DataFrame) -> np.ndarray:
+    found = model(rows)
+    kind = getattr(getattr(found, "dtype", None), "kind", "O")
+    scores = np.asarray(found, float) if kind in ("f", "i", "u", "b") else np.array([float(x) for x in found], float)
+    if scores.shape != (len(rows),):
+        raise ValueError(f"{len(scores)} scores for {len(rows)} rows")
+    return scores
+
+
+def _alike(rows: pd.DataFrame) -> np.ndarray:
+    """The places of the rows in the order of their values; as they are if the values have no order."""
     try:
-        scores = [float(x) for x in model(rows)]
-        if len(scores) != len(rows):
-            raise ValueError(f"{len(scores)} scores for {len(rows)} rows")
-        return [(s, None) for s in scores]
+        return np.lexsort([rows[c].to_numpy() for c in reversed(rows.columns)])
+    except (TypeError, ValueError):
+        return np.arange(len(rows))
+
+
+def _halved(model: Callable[[pd.DataFrame], Sequence[float]], rows: pd.DataFrame, at: np.ndarray, scores: np.ndarray, errors: np.ndarray, first: bool = False) -> None:
+    """Fills ``scores`` and ``errors`` at the places of the rows."""
+    try:
+        scores[at] = _numbers(model, rows)
     except Exception as e:  # whatever a foreign model raises belongs to its rows
         if len(rows) == 1:
-            return [(0.0, f"{type(e).__name__}: {e}")]
+            errors[at[0]] = f"{type(e).__name__}: {e}"
+            return
+        if first:
+            order = _alike(rows)
+            rows, at = rows.iloc[order], at[order]
         half = len(rows) // 2
-        return judged(model, rows.iloc[:half]) + judged(model, rows.iloc[half:])
+        _halved(model, rows.iloc[:half], at[:half], scores, errors)
+        _halved(model, rows.iloc[half:], at[half:], scores, errors)
+
+
+def _columns(model: Callable[[pd.DataFrame], Sequence[float]], rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The scores and the errors of ``judged``."""
+    scores, errors = np.zeros(len(rows)), np.full(len(rows), None, object)
+    _halved(model, rows, np.arange(len(rows)), scores, errors, True)
+    return scores, errors
+
+
+def judged(model: Callable[[pd.DataFrame], Sequence[float]], rows: pd.DataFrame) -> list[tuple[float, str | None]]:
+    """(score, error) of each row. A batch that fails is halved until the rows it fails on are alone; they get 0.
+
+    Before, its rows are put in the order of their values: rows that a model fails on are often alike, and such a run of
+    them takes far fewer calls than as many rows anywhere.
+    """
+    scores, errors = _columns(model, rows)
+    return list(zip(scores.tolist(), errors.tolist(), strict=True))
 
 
 def batches_of(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -65,7 +102,7 @@ def score_external(df: DataFrame, make: str | Callable[[], Callable[[pd.DataFram
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for rows in batches_of(frames, size):
-            found = judged(model, rows[list(inputs)])
-            yield rows.assign(score=[s for s, _ in found], error=[e for _, e in found])
+            scores, errors = _columns(model, rows[list(inputs)])
+            yield rows.assign(score=scores, error=errors)
 
     return df.mapInPandas(run, schema)

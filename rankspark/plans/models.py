@@ -65,9 +65,10 @@ def memory_read_scores(spark, sf_dir):
 @external.scorer("price_per_unit")
 def _price_per_unit():
     def score(rows):
-        if (rows["l_quantity"] == 13).any():
+        quantity = rows["l_quantity"].to_numpy()
+        if (quantity == 13).any():
             raise ValueError("no price for 13")
-        return rows["l_extendedprice"] / rows["l_quantity"]
+        return rows["l_extendedprice"].to_numpy() / quantity
 
     return score
 

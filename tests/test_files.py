@@ -158,3 +158,20 @@ def test_forests_are_kept(spark, tmp_path):
     spark.createDataFrame([(r.place, "other", r.fingerprint) for r in rows], "place int, feature string, fingerprint string").write.mode("overwrite").parquet(str(tmp_path / "m" / "features"))
     with pytest.raises(ValueError, match="not those"):
         scoring.load_forest(str(tmp_path / "m"))
+
+
+def test_alike_rows_that_fail_take_few_calls(spark):
+    calls = []
+
+    def model(rows):
+        calls.append(len(rows))
+        if (rows["kind"] == 7).any():
+            raise ValueError(f"bad {rows['x'].iloc[0]}")
+        return rows["x"] / 2
+
+    rows = pd.DataFrame({"kind": [(x * 37) % 50 for x in range(1000)], "x": [float(x) for x in range(1000)]})
+    out = external.judged(model, rows)
+    assert out == [(0.0, f"ValueError: bad {x}") if k == 7 else (x / 2, None) for k, x in zip(rows["kind"], rows["x"], strict=True)]
+    assert len(calls) < 100  # twenty rows fail; about 265 calls where they are anywhere
+    mixed = pd.DataFrame({"kind": [7, "a", None], "x": [1.0, 2.0, 3.0]})
+    assert external.judged(model, mixed) == [(0.0, "ValueError: bad 1.0"), (1.0, None), (1.5, None)]
