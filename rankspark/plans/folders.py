@@ -23,7 +23,7 @@ PATH = f"{SIDE} || '/brand=' || regexp_extract(directory, '[0-9]+$', 0) || '/fil
 def folder(spark, sf_dir) -> str:
     """The root of a new tree ``<kind>/brand=<number>/file=<number>/``."""
     root = f"{shared_folder(spark)}/folder-{uuid.uuid4().hex}"
-    rows = scored(spark, sf_dir, "l_quantity").select(F.regexp_extract("directory", "[0-9]+$", 0).cast("int").alias("brand"), "file", "score", "label")
+    rows = written(scored(spark, sf_dir, "l_quantity").select(F.regexp_extract("directory", "[0-9]+$", 0).cast("int").alias("brand"), "file", "score", "label"))  # joined once for both kinds
     for kind, odd in (("csv", 0), ("parquet", 1)):
         tables.write_tree(rows.where(F.col("brand") % 2 == odd), f"{root}/{kind}", ["brand", "file"], ["score"], kind, "none" if kind == "csv" else "gzip")
     return root

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.operators.pairs import stripped
+from rankspark.operators.spread import spread
 
 SUFFIXES = {"parquet": "*.{parquet,par}", "csv": "*.csv"}
 
@@ -36,7 +37,9 @@ def load_folder(spark: SparkSession, root: str, kind: str = "any", schema: str |
         parts.append(df.select("*", path.alias("__path"), F.col("_metadata.file_name").alias("file_name")))
     df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     base = F.regexp_replace(F.lit(root), "^[a-z0-9]+:/+|^/+|/+$", "")
-    inner = F.regexp_replace(F.regexp_replace("__path", "^[a-z0-9]+:/+", ""), "/?[^/]*$", "")
+    # Plain text functions, as they run on each row: the path without its scheme, then without the file's name.
+    path = F.ltrim(F.substr("__path", F.instr("__path", ":/") + 1), F.lit("/"))
+    inner = F.substr(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
     df = df.withColumn("directory", F.ltrim(F.substr(inner, F.instr(inner, base) + F.length(base)), F.lit("/"))).drop("__path")
     return df.where(~F.col("file_name").contains(skip)) if skip else df
 
@@ -65,7 +68,7 @@ def data_directories(files: DataFrame) -> DataFrame:
 
 def first_level(files: DataFrame) -> DataFrame:
     """Adds ``top``, the first part of the directory; rows of files directly in the root are left out."""
-    return files.withColumn("top", F.split("directory", "/")[0]).where(F.col("top") != "")
+    return files.withColumn("top", F.substring_index("directory", "/", 1)).where(F.col("top") != "")
 
 
 def file_names(files: DataFrame) -> DataFrame:
@@ -97,8 +100,8 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_tree(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str], kind: str = "parquet", compression: str = "gzip") -> None:
-    """One folder for each value of ``by``, rows ordered inside each file."""
-    rows = df.repartition(*by).sortWithinPartitions(*by, *order)
+    """One folder for each value of ``by``, rows ordered inside each file; a task writes few of them."""
+    rows = spread(df, *by).sortWithinPartitions(*by, *order)
     rows.write.mode("overwrite").partitionBy(*by).option("compression", compression).option("header", True).format(kind).save(path)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark.operators import external, features, metrics, tasks
-from rankspark.sources import npz, positions
+from rankspark.sources import npz, positions, tables
 from rankspark.streaming.evaluate import evaluate_new_files, ledger, score_new_files
 
 
@@ -175,3 +175,13 @@ def test_alike_rows_that_fail_take_few_calls(spark):
     assert len(calls) < 100  # twenty rows fail; about 265 calls where they are anywhere
     mixed = pd.DataFrame({"kind": [7, "a", None], "x": [1.0, 2.0, 3.0]})
     assert external.judged(model, mixed) == [(0.0, "ValueError: bad 1.0"), (1.0, None), (1.5, None)]
+
+
+def test_trees_keep_a_task_for_few_files(spark, tmp_path):
+    df = spark.range(300).select((F.col("id") % 12).alias("k"), (F.col("id") % 7).cast("double").alias("score"))
+    tables.write_tree(df, str(tmp_path / "t"), ["k"], ["score"], "csv", "none")
+    files = tables.load_folder(spark, str(tmp_path / "t"), "csv", "score double")
+    assert {(r.directory, r["count"]) for r in files.groupBy("directory").count().collect()} == {(f"k={k}", 25) for k in range(12)}
+    assert {r.top for r in tables.first_level(files).select("top").distinct().collect()} == {f"k={k}" for k in range(12)}
+    root = tables.load_folder(spark, str(tmp_path / "t" / "k=3"), "csv", "score double")
+    assert {r.directory for r in root.collect()} == {""} and tables.first_level(root).count() == 0
