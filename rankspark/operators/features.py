@@ -17,9 +17,10 @@ def with_encoding(df: DataFrame, dictionary: DataFrame, sequence: str, length: i
 
     A dictionary with repeated sequences gives its smallest encoding. Spark picks the join by the dictionary's size.
     """
-    known = dictionary.groupBy(sequence).agg(F.min("encoding").alias("__known"))
+    # The hit is a column of its own, so that whoever reads it alone moves no encodings.
+    known = dictionary.groupBy(sequence).agg(F.min("encoding").alias("__known"), F.max(F.col("encoding").isNotNull()).alias("__hit"))
     out = df.join(known, sequence, "left")
-    return out.withColumn("hit", F.col("__known").isNotNull()).withColumn("encoding", F.coalesce("__known", encoded(sequence, length))).drop("__known")
+    return out.withColumn("hit", F.coalesce("__hit", F.lit(False))).drop("__hit").withColumn("encoding", F.coalesce("__known", encoded(sequence, length))).drop("__known")
 
 
 def hit_ratio(looked_up: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.encode import FACTORS, encoded, position_code
 from rankspark.operators import features, metrics, pairs, scoring, tasks
+from rankspark.operators.spread import spread
 from rankspark.plans.registry import AUCS, BEDROC, GROUP, NEG, ORACLES, R6, SUPPORT, aucs, kshot_support, near, positives, query, ranks, table
 from rankspark.sources import tables
 
@@ -46,14 +47,15 @@ def apply_sample_indices(spark, sf_dir):
 
 def lookups(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("seq"))
-    dictionary = part.where("p_partkey % 2 = 0").select("seq", encoded("seq", LENGTH).alias("encoding"))
-    return part, dictionary, features.with_encoding(part, dictionary, "seq", LENGTH)
+    dictionary = spread(part.where("p_partkey % 2 = 0").select("seq").distinct(), "seq").select("seq", encoded("seq", LENGTH).alias("encoding"))
+    return part, dictionary, features.with_encoding(spread(part, "p_partkey"), dictionary, "seq", LENGTH)
 
 
 @query(f"""WITH {TABLES}, p AS (SELECT p_partkey, upper(p_name) AS seq FROM part), e AS ({encoding_sql('p', 'seq', LENGTH)}), k AS (SELECT DISTINCT seq FROM p WHERE p_partkey % 2 = 0)
 SELECT p.p_partkey, e.pos, {R6.format('e.value')} AS value, p.seq IN (SELECT seq FROM k) AS hit FROM p JOIN e ON p.seq = e.seq""")
 def encoding_lookup_fallback(spark, sf_dir):
-    return lookups(spark, sf_dir)[2].select("p_partkey", "hit", F.posexplode("encoding").alias("pos", "value")).withColumn("value", near("value"))
+    # No encoding is empty; outer, so that no filter on its size makes it twice.
+    return lookups(spark, sf_dir)[2].select("p_partkey", "hit", F.posexplode_outer("encoding").alias("pos", "value")).withColumn("value", near("value"))
 
 
 @query(f"""WITH p AS (SELECT p_partkey, upper(p_name) AS seq FROM part), k AS (SELECT DISTINCT seq FROM p WHERE p_partkey % 2 = 0)

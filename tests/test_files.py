@@ -177,6 +177,15 @@ def test_alike_rows_that_fail_take_few_calls(spark):
     assert external.judged(model, mixed) == [(0.0, "ValueError: bad 1.0"), (1.0, None), (1.5, None)]
 
 
+def test_a_hit_alone_needs_no_encodings(spark, capsys):
+    part = spark.createDataFrame([("ACD",), ("W",)], "seq string")
+    dictionary = spark.createDataFrame([("ACD", [1.0]), ("ACD", [0.5])], "seq string, encoding array<double>")
+    looked = features.with_encoding(part, dictionary, "seq", 3)
+    assert {r.seq: (r.hit, len(r.encoding)) for r in looked.collect()} == {"ACD": (True, 1), "W": (False, 15)}
+    features.hit_ratio(looked).explain()
+    assert "min(encoding" not in capsys.readouterr().out
+
+
 def test_trees_keep_a_task_for_few_files(spark, tmp_path):
     df = spark.range(300).select((F.col("id") % 12).alias("k"), (F.col("id") % 7).cast("double").alias("score"))
     tables.write_tree(df, str(tmp_path / "t"), ["k"], ["score"], "csv", "none")
