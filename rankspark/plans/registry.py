@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.encode import FACTORS, encoded, position_code
 from rankspark.operators import features, metrics, pairs, ranking, sampling, scoring
+from rankspark.operators.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -385,6 +386,7 @@ def rf_train_predict(spark, sf_dir):
     word = F.split(F.upper("p_name"), " ")
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.get(word, 0).alias("peptide"), F.get(word, 1).alias("tcr"))
     rows = sampling.group_folds(rows, "p_name", 5, "42").withColumn("label", (F.length("peptide") >= F.length("tcr")).cast("double"))
-    rows = rows.withColumn("feature", F.when(F.col("peptide").isNotNull() & F.col("tcr").isNotNull(), features.pair_feature("peptide", "tcr")))
+    # A forest keeps its rows in the tasks that it gets them in: small rows are dealt before they become large vectors.
+    rows = spread(rows, "p_partkey").withColumn("feature", F.when(F.col("peptide").isNotNull() & F.col("tcr").isNotNull(), features.pair_feature("peptide", "tcr")))
     model = scoring.forest(rows.where("fold > 1 AND label IS NOT NULL"), ["feature"], "label")
     return model(rows.where("fold = 1")).select("p_partkey", "p_name", "fold", "label", F.round("score", 4).alias("score"))

@@ -44,6 +44,15 @@ def test_forest_has_the_default_size(spark, small, monkeypatch):
     assert seen == [(100, 16)]
 
 
+def test_forest_learns_in_many_tasks(spark, small, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    seen, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    registry.QUERIES["rf_train_predict"](spark, small)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
 def test_forest_tells_held_out_names(spark, sf):
     from rankspark.operators import metrics
 
