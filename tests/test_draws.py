@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from rankspark.operators import draws
+from rankspark.operators import draws, sampling
 
 
 def test_permutations_are_permutations(spark):
@@ -61,3 +61,12 @@ def test_many_draws_of_few_keys_are_dealt_over_tasks(spark, capsys):
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out  # such partitions are not joined for being small
     each = out.groupBy("g", "sample", "label").agg(F.count_distinct("id").alias("n"), F.count("*").alias("m")).collect()
     assert len(each) == 80 and all(r.n == r.m and r.n in (66, 67) for r in each)
+
+
+def test_balanced_samples_are_made_in_many_tasks(spark, capsys):
+    rows = [(g, i, int(i % 3 == 0)) for g in ("a", None) for i in range(30)] + [("n", i, 0) for i in range(5)] + [("p", i, 1) for i in range(4)]
+    out = sampling.balanced(spark.createDataFrame(rows, "g string, id long, label int"), ["g"], "label", "id", 7, "s", most=3)
+    out.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    each = {(r.g, r.label): r["count"] for r in out.groupBy("g", "label").count().collect()}
+    assert each == {("a", 0): 70, ("a", 1): 70, (None, 0): 70, (None, 1): 70, ("n", 0): 21, ("p", 1): 28}
