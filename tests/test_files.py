@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark.operators import external, features, metrics, tasks
+from rankspark.plans import registry, tasks as _tasks  # noqa: F401  it registers its queries
 from rankspark.sources import npz, positions, tables
 from rankspark.streaming.evaluate import evaluate_new_files, ledger, score_new_files
 
@@ -186,11 +187,18 @@ def test_a_hit_alone_needs_no_encodings(spark, capsys):
     assert "min(encoding" not in capsys.readouterr().out
 
 
-def test_trees_keep_a_task_for_few_files(spark, tmp_path):
+def test_trees_keep_a_task_for_few_files(spark, tmp_path, capsys):
     df = spark.range(300).select((F.col("id") % 12).alias("k"), (F.col("id") % 7).cast("double").alias("score"))
     tables.write_tree(df, str(tmp_path / "t"), ["k"], ["score"], "csv", "none")
     files = tables.load_folder(spark, str(tmp_path / "t"), "csv", "score double")
     assert {(r.directory, r["count"]) for r in files.groupBy("directory").count().collect()} == {(f"k={k}", 25) for k in range(12)}
     assert {r.top for r in tables.first_level(files).select("top").distinct().collect()} == {f"k={k}" for k in range(12)}
+    tables.first_level(files).explain()
+    assert "regexp_replace" not in capsys.readouterr().out
     root = tables.load_folder(spark, str(tmp_path / "t" / "k=3"), "csv", "score double")
     assert {r.directory for r in root.collect()} == {""} and tables.first_level(root).count() == 0
+
+
+def test_lookups_deal_their_rows(spark, small, capsys):
+    registry.QUERIES["encoding_lookup_fallback"](spark, small).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
