@@ -11,12 +11,16 @@ share ("hot") are skipped by every set that has units to spare; only sets that n
 them. Bound sets that share no other signature must share more hot ones than they have units to spare, so each meets
 others only through its rarest hot signatures, as many as it has beyond its spare units.
 
+A link in a class shares more signatures there than either set has units to spare. A set that shares no more than these
+with all others together has no link: it is left out before any pair is made ("live" are the rest). Each unit whose
+signature no other set has is a difference from every other set, which bounds the pairs of live sets (``far``).
+
 The sets of a signature are first held against one of them, a star; links verified there give components. A signature
 whose sets are still in different components gets further stars, around one set of each of ``CENTRES`` components. What
 is left is looked at pair by pair, but only where components separate the two. Signatures that have their smallest set in
 common are taken together where that makes fewer comparisons, so that a pair that shares hundreds of signatures is met
-once. The join drops pairs that are too far apart: by size, by ``FOLD`` parity bits (their difference never exceeds the
-sets'), or, where a signature is one token, by what the two can have in common from their first shared one on in the
+once. The join drops pairs that are too far apart: by size, by ``far``, by ``FOLD`` parity bits (their difference never exceeds
+the sets'), or, where a signature is one token, by what the two can have in common from their first shared one on in the
 order of rareness.
 
 Signatures travel in blocks (one row for a batch and a bucket); buckets are as many as the signatures need. Candidates
@@ -53,8 +57,8 @@ FLOOR = 32
 LAYOUTS = ((3.0, 0), (2.4, 0), (2.4, 4), (1.6, 4))
 #: Least size of a parity bitmap.
 BITS = 2048
-#: Bits of the parity bitmap that goes along to the join of bound sets, in words of 64.
-FOLD = 512
+#: Bits of the parity bitmap that goes along to the joins of pairs, in words of 64; ``BITS`` at most.
+FOLD = 1024
 #: Signatures in a bucket, about; each has 32 bits beside its bucket, and sets that meet by chance are verified apart.
 PER_BUCKET = 1 << 20
 #: Components of a signature that get a star of their own before the rest is compared pair by pair.
@@ -150,6 +154,13 @@ def parity(tokens: np.ndarray, bits: int = 0) -> bytes:
     return np.packbits((np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each parity bitmap folded to ``FOLD`` bits, as an added column of words."""
+    for b in batches:
+        words = [np.bitwise_xor.reduce(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, FOLD // 64)) for x in b.column("bits")]
+        yield b.append_column("fold", pa.array(words, pa.list_(pa.int64())))
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound of the sets' difference: differing bits, the longer bitmap folded to the shorter."""
     a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
@@ -177,14 +188,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for s in _sets(b):
             if not len(s):
-                rows.append((0, 0, 0, None, None, None, None, None))
+                rows.append((0, 0, 0, None, None, None, None))
                 continue
             where = places(len(s))
             both = [[layout_of(s, c, k) for k in range(len(LAYOUTS) + 1)] for c in where]
-            rows.append((*digest(s), len(s), parity(s), np.frombuffer(parity(s, FOLD), np.int64), where, [[u - needed(len(s), c) for u, _ in own] for c, own in zip(where, both, strict=True)], [[x for _, x in own] for own in both]))
-        node, more, n, bits, fold, where, spare, cost = zip(*rows, strict=True)
+            rows.append((*digest(s), len(s), parity(s), where, [[u - needed(len(s), c) for u, _ in own] for c, own in zip(where, both, strict=True)], [[x for _, x in own] for own in both]))
+        node, more, n, bits, where, spare, cost = zip(*rows, strict=True)
         deep = pa.list_(pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64())), pa.array(where, pa.list_(pa.int32())), pa.array(spare, deep), pa.array(cost, deep)], ["k1", "k2", "__id", "node", "more", "n", "bits", "fold", "places", "spare", "cost"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(where, pa.list_(pa.int32())), pa.array(spare, deep), pa.array(cost, deep)], ["k1", "k2", "__id", "node", "more", "n", "bits", "places", "spare", "cost"])
 
 
 def _emit(plan: dict[int, int], buckets: int, most: int):
@@ -220,7 +231,7 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text", BATCH):
-            seen, nodes, sigs = set(), [], []
+            seen, nodes, sigs, more = set(), [], [], []
             for part in slices([b], "__text"):
                 for s in _sets(part):
                     node = digest(s)[0] if len(s) else None
@@ -231,8 +242,14 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
                         own = np.unique(signatures(s, c, plan.get(c, len(LAYOUTS))))
                         sigs.append(own)
                         nodes.append(np.full(len(own), np.int64(node + role).view(_U)))
+                        # Rarely, two of a set fall on one: each but the first goes as a hot one of its own, for the counts.
+                        lost = len(own) - len(np.unique((own >> _U(40)) % _U(buckets) << _U(32) | own & _U((1 << 32) - 1)))
+                        more += [(nodes[-1][0], k) for k in range(lost)]
             if sigs:
                 rows = list(block(np.concatenate(nodes), np.concatenate(sigs)))
+                if more:
+                    place, k = np.array(more, _U).T
+                    rows.append((int(place.sum() % _U(buckets)), b"", b"", b"", b"", mix(place + (k + _U(1)) * _P).tobytes() + place.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["bucket", "sigs", "nodes", "counts", "marks", "hot"])
 
     return run
@@ -240,7 +257,8 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
 
 def _meet(most: int):
     """Of a bucket's signatures: the star of each (kind 0: a, b), memberships of hot ones (kind 1: sig, place) and of
-    the others with three sets or more (kind 2: sig, node), once for equal memberships."""
+    the others with three sets or more (kind 2: sig, node), once for equal memberships; of each place, how many of the
+    others it shares (kind 3: place, count)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -267,10 +285,16 @@ def _meet(most: int):
         kinds = [np.ones(sum(map(len, left)), np.int32)]
         few = ~crowded & (size > 1)
         at = np.repeat(few, size)
+        shared, times = np.unique(node[at], return_counts=True)
+        left.append(shared)
+        right.append(times.astype(_U))
+        kinds.append(np.full(len(shared), 3, np.int32))
         own, size = node[at] & ~_U(1), size[few]
         first = np.cumsum(size) - size
         star = np.stack([np.repeat(own[first], size), own]) if len(size) else np.empty((2, 0), _U)
         star = np.unique(star[:, star[0] != star[1]], axis=1) if len(size) else star
+        left.append(star[0])
+        right.append(star[1])
         kinds.append(np.zeros(star.shape[1], np.int32))
         if len(size):
             members = np.add.reduceat(mix(own), first) + size.astype(_U)
@@ -278,8 +302,8 @@ def _meet(most: int):
             told = np.zeros(len(size), bool)
             told[once] = True
             told = np.repeat(told & (size > 2), size)
-            left += [star[0], (_U(bucket) << _U(32) | sig[at])[told]]
-            right += [star[1], own[told]]
+            left.append((_U(bucket) << _U(32) | sig[at])[told])
+            right.append(own[told])
             kinds.append(np.full(np.count_nonzero(told), 2, np.int32))
         return pa.table({"kind": np.concatenate(kinds), "a": np.concatenate(left).view(np.int64), "b": np.concatenate(right).view(np.int64)})
 
@@ -339,20 +363,32 @@ def _allocation(profile: DataFrame) -> tuple[dict[int, int], int]:
     return {c: k for c, (_, k) in plan.items()}, sum(n for n, _ in plan.values())
 
 
-def _bound(meets: DataFrame, nodes: DataFrame, plan: dict[int, int]) -> DataFrame:
-    """Hot memberships (sig, node, n, loose, rare, after) of the sets that have too few units without hot signatures.
+def _live(full: DataFrame, meets: DataFrame, hot: DataFrame, plan: dict[int, int]) -> DataFrame:
+    """The places (place, node, n, room, single, far) that share more signatures than they have units to spare (``room``).
+
+    A place that shares fewer with all others together has no link there. ``far``: its units that no other place shares,
+    each a difference from every other set of the class.
+    """
+    layouts = F.create_map(*[F.lit(x) for c in range(64) for x in (c, plan.get(c, len(LAYOUTS)))])
+    single = F.col("c").isin([c for c in range(64) if c == 0 or plan.get(c, len(LAYOUTS)) == len(LAYOUTS)])
+    each = full.select("node", "n", F.posexplode(F.arrays_zip("places", "spare")).alias("role", "x")).select((F.col("node") + F.col("role")).alias("place"), "n", F.col("x.places").alias("c"), F.element_at("x.spare", F.element_at(layouts, F.col("x.places")) + 1).alias("room"))
+    shared = meets.where("kind = 3").select(F.col("a").alias("place"), F.col("b").alias("times")).union(hot.select("place", F.lit(1).cast("long"))).groupBy("place").agg(F.sum("times").alias("shared"))
+    needed = F.expr(f"(n + least(shiftleft({FLOOR}L, c) - 1, {NUM} * n div {DEN})) * {NUM - DEN} div {NUM + DEN} + 1")  # as needed()
+    live = each.dropDuplicates(["place"]).join(shared, "place").where("shared > room")
+    return stored(live.select("place", F.col("place").bitwiseAND(-2).alias("node"), "n", "room", single.alias("single"), (F.col("room") + needed - F.col("shared")).alias("far")))
+
+
+def _bound(hot: DataFrame, live: DataFrame) -> DataFrame:
+    """Hot memberships (sig, node, n, far, loose, rare, after) of the live sets that have too few units without hot signatures.
 
     ``after``: the most that the set can share with one whose first shared signature this is.
     """
-    hot = meets.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("place")).distinct()
-    chosen = F.create_map(*[F.lit(x) for c in range(64) for x in (c, plan.get(c, len(LAYOUTS)))])
-    single = F.col("x.places").isin([c for c in range(64) if c == 0 or plan.get(c, len(LAYOUTS)) == len(LAYOUTS)])
-    spare = nodes.select("node", "n", F.posexplode(F.arrays_zip("places", "spare")).alias("role", "x")).select((F.col("node") + F.col("role")).alias("place"), "n", single.alias("single"), F.element_at("x.spare", F.element_at(chosen, F.col("x.places")) + 1).alias("room"))
-    short = hot.groupBy("place").agg(F.count("*").alias("hot")).join(spare, "place").where("hot > room")
-    short = short.select("place", "n", F.when(F.col("single"), F.greatest(F.col("n") - F.col("hot"), F.lit(0))).otherwise(0).alias("loose"), "single", "hot", (F.col("hot") - F.col("room")).alias("prefix"))
-    own = hot.join(short, "place").join(hot.groupBy("sig").agg(F.count("*").alias("crowd")), "sig")
+    short = hot.groupBy("place").agg(F.count("*").alias("hot")).join(live, "place").where("hot > room")
+    short = short.select("place", "n", "far", F.when(F.col("single"), F.greatest(F.col("n") - F.col("hot"), F.lit(0))).otherwise(0).alias("loose"), "single", "hot", (F.col("hot") - F.col("room")).alias("prefix"))
+    own = hot.join(short, "place")
+    own = own.join(hot.groupBy("sig").agg(F.count("*").alias("crowd")), "sig")
     rank = F.row_number().over(Window.partitionBy("place").orderBy("crowd", "sig"))
-    return own.select("sig", F.col("place").bitwiseAND(-2).alias("node"), "n", "loose", (rank <= F.col("prefix")).alias("rare"), F.when(F.col("single"), F.col("hot") - rank + 1).otherwise(F.col("n")).alias("after"))
+    return own.select("sig", F.col("place").bitwiseAND(-2).alias("node"), "n", "far", "loose", (rank <= F.col("prefix")).alias("rare"), F.when(F.col("single"), F.col("hot") - rank + 1).otherwise(F.col("n")).alias("after"))
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -360,15 +396,18 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     docs = docs.select(*row_key("__id", "__text"), "__id", "__text")
     kind = df.schema[id_col].dataType.simpleString()
-    profile = stored(docs.mapInArrow(_profile, f"k1 long, k2 long, __id {kind}, node long, more long, n long, bits binary, fold array<long>, places array<int>, spare array<array<int>>, cost array<array<int>>"))
+    profile = stored(docs.mapInArrow(_profile, f"k1 long, k2 long, __id {kind}, node long, more long, n long, bits binary, places array<int>, spare array<array<int>>, cost array<array<int>>"))
     plan, total = _allocation(profile)
     buckets = max(shuffle_partitions(df.sparkSession), total // PER_BUCKET)
     blocks = docs.select("__text").mapInArrow(_emit(plan, buckets, hot), "bucket int, sigs binary, nodes binary, counts binary, marks binary, hot binary")
     meets = stored(blocks.groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long"))
     # A node is 63 bits of a 128-bit hash of the set and stands for it.
     full = profile.where("n > 0")
-    nodes = stored(full.groupBy("node", "more").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold"), F.first("places").alias("places"), F.first("spare").alias("spare")).select("node", "more", "k.k1", "k.k2", "n", "bits", "fold", "places", "spare"))
-    bound = stored(_bound(meets, nodes, plan))
+    crowded = stored(meets.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("place")).distinct())
+    live = _live(full, meets, crowded, plan)
+    nodes = full.join(live.groupBy("node").agg(F.min("far").alias("far")), "node").groupBy("node", "more").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("far").alias("far"), F.first("bits").alias("bits"))
+    nodes = stored(nodes.select("node", "k.k1", "k.k2", "n", "far", "bits").mapInArrow(_folded, "node long, k1 long, k2 long, n long, far long, bits binary, fold array<long>"))
+    bound = stored(_bound(crowded, live))
     centre = bound.groupBy("sig").agg(F.min(F.struct("loose", "n", "node")).getField("node").alias("a"))
     star = bound.join(centre, "sig").where("node <> a").select("a", F.col("node").alias("b"))
     pairs = stored(_sifted(meets.where("kind = 0").select("a", "b").union(star).distinct(), nodes))
@@ -404,9 +443,9 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _memberships(meets: DataFrame, bound: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, node, n, after) of the signatures with three sets or more, hot ones of the bound sets only."""
-    few = meets.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).join(nodes.select("node", "n"), "node").select("sig", "node", "n", F.col("n").alias("after"))
-    return stored(few.union(bound.where("rare").select("sig", "node", "n", "after")))
+    """(sig, node, n, far, after) of the live sets in signatures with three sets or more, hot ones of the bound sets only."""
+    few = meets.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).join(nodes.select("node", "n", "far"), "node").select("sig", "node", "n", "far", F.col("n").alias("after"))
+    return stored(few.union(bound.where("rare").select("sig", "node", "n", "far", "after")))
 
 
 def _labelled(held: DataFrame, label: DataFrame) -> DataFrame:
@@ -419,9 +458,9 @@ def _labelled(held: DataFrame, label: DataFrame) -> DataFrame:
 def _stars(held: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs (a < b) of the first sets, in the order of nodes, of ``CENTRES`` components of a signature with the sets of others."""
     held = _labelled(held, label)
-    first = held.groupBy("sig", "label").agg(F.min(F.struct("node", "n")).alias("x"))
-    centres = first.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("x"))).where(F.col("at") <= CENTRES).select("sig", F.col("label").alias("centre_label"), F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"))
-    near = (F.col("label") != F.col("centre_label")) & (NUM * F.least("n", "centre_n") >= DEN * F.greatest("n", "centre_n"))
+    first = held.groupBy("sig", "label").agg(F.min(F.struct("node", "n", "far")).alias("x"))
+    centres = first.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("x"))).where(F.col("at") <= CENTRES).select("sig", F.col("label").alias("centre_label"), F.col("x.node").alias("centre"), F.col("x.n").alias("centre_n"), F.col("x.far").alias("centre_far"))
+    near = (F.col("label") != F.col("centre_label")) & (NUM * F.least("n", "centre_n") >= DEN * F.greatest("n", "centre_n")) & ((NUM + DEN) * F.greatest("far", "centre_far") <= (NUM - DEN) * (F.col("n") + F.col("centre_n")))
     return held.join(centres, "sig").where(near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
@@ -433,9 +472,9 @@ def _across(held: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
     together = held.join(groups, "sig").groupBy("centre").agg(F.count_distinct("node").alias("g"), F.sum("m").alias("each")).where(F.col("g") * F.col("g") <= F.col("each")).select("centre", F.lit(True).alias("together"))
     keys = groups.join(together, "centre", "left").select("sig", F.coalesce("together", F.lit(False)).alias("together"), F.when(F.col("together"), F.col("centre")).otherwise(F.col("sig")).alias("key"))
     rows = held.join(keys, "sig").groupBy("together", "key", "node").agg(F.first("n").alias("n"), F.max("after").alias("after"), F.first("label").alias("label"))
-    rows = stored(rows.join(nodes.select("node", *_words()), "node"))
+    rows = stored(rows.join(nodes.select("node", "far", *_words()), "node"))
     names = [f"f{k}" for k in range(FOLD // 64)]
-    one, two = (rows.select("together", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "after", *names)]) for x in "ab")
+    one, two = (rows.select("together", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "far", "after", *names)]) for x in "ab")
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((NUM + DEN) * F.least("after_a", "after_b") >= DEN * (F.col("n_a") + F.col("n_b")))
     return one.join(two, ["together", "key"]).where(apart & _near()).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -445,19 +484,20 @@ def _words() -> list[Column]:
 
 
 def _near() -> Column:
-    """Whether the sets of columns with the endings _a and _b can be similar by size and by ``FOLD`` parity bits."""
-    near = NUM * F.least("n_a", "n_b") >= DEN * F.greatest("n_a", "n_b")
-    for k in range(1, FOLD // 64 + 1):  # by the first word, the first two and so on: most pairs end early
+    """Whether the sets of columns with the endings _a and _b can be similar by size, by ``far`` and by ``FOLD`` parity bits."""
+    most = (NUM - DEN) * (F.col("n_a") + F.col("n_b"))
+    near = (NUM * F.least("n_a", "n_b") >= DEN * F.greatest("n_a", "n_b")) & ((NUM + DEN) * F.greatest("far_a", "far_b") <= most)
+    for k in range(4, FOLD // 64 + 1, 4):  # by the first words, then by more of them: most pairs end early
         far = sum((F.bit_count(F.col(f"f{w}_a").bitwiseXOR(F.col(f"f{w}_b"))) for w in range(k)), F.lit(0))
-        near &= (NUM + DEN) * far <= (NUM - DEN) * (F.col("n_a") + F.col("n_b"))
+        near &= (NUM + DEN) * far <= most
     return near
 
 
 def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that size and parity bitmaps allow, the short bitmaps first."""
-    small, bits = nodes.select("node", "n", *_words()), nodes.select("node", "bits")
+    small, bits = nodes.select("node", "n", "far", *_words()), nodes.select("node", "bits")
     names = [f"f{k}" for k in range(FOLD // 64)]
-    both = pairs.join(small.toDF("a", "n_a", *[f"{c}_a" for c in names]), "a").join(small.toDF("b", "n_b", *[f"{c}_b" for c in names]), "b").where(_near()).select("a", "b", "n_a", "n_b")
+    both = pairs.join(small.toDF("a", "n_a", "far_a", *[f"{c}_a" for c in names]), "a").join(small.toDF("b", "n_b", "far_b", *[f"{c}_b" for c in names]), "b").where(_near()).select("a", "b", "n_a", "n_b")
     both = both.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_sift, "a long, b long")
 

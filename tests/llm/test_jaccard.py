@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankspark.llm import jaccard
@@ -95,3 +96,33 @@ def test_documents_match_brute_force(spark, sf):
 def test_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(4, None), (4, None)]) == [(4, 0, 4), (4, 0, 4)]
+
+
+def test_sets_that_share_a_passage_only_make_no_pairs(spark, monkeypatch):
+    """Long texts with one passage in common share fewer signatures than they have units to spare: no pair is compared."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 10**6))
+    passage = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(700)] + passage + [word() for _ in range(700)]) for _ in range(16)]
+    texts += [" ".join(changed(rng, texts[0].split(), share)) for share in (0.005, 0.03)]
+    rows, made = list(enumerate(texts, 100)), []
+    across = jaccard._across
+
+    def counted(*args):
+        found = across(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    assert run(spark, rows) == brute(rows)
+    assert made == [0]
+
+
+def test_signatures_of_a_set_that_fall_on_one_are_counted():
+    """In one bucket, some of 300000 signatures share their 32 bits; each still counts for the set's place."""
+    text = " ".join(map(str, range(300_000)))
+    blocks = [r for b in jaccard._emit({}, 1, 24)(iter([pa.RecordBatch.from_pydict({"__text": [text]})])) for r in b.to_pylist()]
+    n = len(sets_of(text))
+    assert sum(len(np.unique(np.frombuffer(r["sigs"], "<u4"))) for r in blocks) < n * len(jaccard.places(n))
+    single = sum(len(np.unique(np.frombuffer(r["sigs"], "<u4")[np.repeat(np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["counts"], np.uint8)) % 2 == role])) for r in blocks for role in (0, 1))
+    assert single + sum(len(r["hot"]) // 16 for r in blocks) == n * len(jaccard.places(n))
