@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankspark.llm import suffixes
@@ -77,3 +79,34 @@ def test_repeated_rows_and_large_keys(spark, monkeypatch):
     docs = df.where("doc_id = 1").selectExpr("1L AS k1", "2L AS k2", "cast(text AS binary) AS __text")
     (found,) = suffixes.repeated_runs(docs, 200).collect()
     assert sum(r["n"] for f in found.found for r in f["runs"]) == 701  # each window once, not once a pair of rows
+
+
+def test_the_sort_takes_little_memory():
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(5000)]
+    some = lambda k: " ".join(draw.choices(words, k=k))
+    line = some(40)
+    segments = [f"{some(30)} {line} {some(30)}".encode() for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        flags = suffixes.repeated_starts(segments, 200)
+        most = tracemalloc.get_traced_memory()[1] / sum(map(len, segments))
+    finally:
+        tracemalloc.stop()
+    assert [np.count_nonzero(f) >= len(line) - 199 for f in flags] == [True] * 1500
+    assert most < 40  # bytes a byte
+    assert most * suffixes.KEY_BYTES < 128 << 20  # of the largest key that is not split
+
+
+def test_a_key_starts_a_new_sort_before_it_is_too_much(monkeypatch):
+    draw = random.Random(9)
+    calls, rows, sort = [], [], suffixes.repeated_starts
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 5000)
+    monkeypatch.setattr(suffixes, "repeated_starts", lambda segments, size: calls.append(sum(map(len, segments))) or sort(segments, size))
+    for key, m in enumerate([2, 4, 3, 11, 1, 2, 4]):  # segments of 900 bytes; one key alone has more than the limit
+        part = bytes(draw.choices(range(97, 123), k=300))
+        rows += [(key, b"%02d" % k, bytes(draw.choices(range(97, 123), k=300)) + part + bytes(draw.choices(range(97, 123), k=300)), 1, False) for k in range(m)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "seg_id", "seg", "copies", "twice"), r, strict=True)) for r in rows])
+    got = {(r["key"], r["seg_id"]): sum(x["n"] for x in r["runs"]) for b in suffixes._sort_groups(200)(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()}
+    assert got.keys() == {r[:2] for r in rows if r[0] != 4} and min(got.values()) >= 101
+    assert calls == [1800, 3600, 2700, 9900, 1800, 3600]
