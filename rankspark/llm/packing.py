@@ -37,8 +37,9 @@ OPEN_BINS = 32
 TASKS, ROOM, AGAIN = 64, 1 / 256, 4096
 #: Bits of a sequence's id below the number of its task.
 TASK_BITS = 40
-#: Different pieces of text that a worker remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 900_000
+#: Different pieces of text that a worker remembers, also while it runs other steps; beyond it, it forgets all but those
+#: of the texts at hand and goes on.
+REMEMBERED = 250_000
 
 
 class OpenBins:
@@ -114,10 +115,11 @@ class CachedTokenizer:
         """
         whole = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for k, t in enumerate(texts) if self.special(t)}
         split = [() if k in whole else self.split(t) for k, t in enumerate(texts)]
+        here = set().union(*split)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {p: self.known[p] for p in here if p in self.known}
         known = self.known
-        self._learn([p for p in set().union(*split) if p not in known])
+        self._learn([p for p in here if p not in known])
         return [whole[k] if k in whole else b"".join(map(known.__getitem__, s)) for k, s in enumerate(split)]
 
 

@@ -133,3 +133,19 @@ def test_fast_split_is_the_pattern():
         text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 30)))
         assert split(text) == exact.findall(text)
     assert split.odd("plain text, é 12") is None
+
+
+def test_a_worker_forgets_all_but_the_pieces_at_hand(monkeypatch):
+    import public_tokenizers
+
+    from rankspark.llm import packing as step
+
+    assert step.REMEMBERED <= 250_000  # a worker keeps them through the steps after this one
+    monkeypatch.setattr(step, "REMEMBERED", 3)
+    tok = step.CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    learned, learn = [], tok._learn
+    monkeypatch.setattr(tok, "_learn", lambda pieces: learned.append(sorted(pieces)) or learn(pieces))
+    texts = ["alpha beta gamma delta", "beta gamma new", "other words"]
+    got = [tok.encode_bytes([t])[0] for t in texts]
+    assert got == [np.array(tok.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert learned[1] == [" new", "beta"] and " alpha" not in tok.known
