@@ -24,11 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import Splitter, slices, stored
+from rankspark.llm.common import SPLIT, Splitter, piece_starts, slices, stored
 
 #: Bins that are open at the same time.
 OPEN_BINS = 32
@@ -38,7 +39,7 @@ TASKS, ROOM, AGAIN = 64, 1 / 256, 4096
 #: Bits of a sequence's id below the number of its task.
 TASK_BITS = 40
 #: Different pieces of text that a worker remembers, also while it runs other steps; beyond it, it forgets all but those
-#: of the texts at hand and goes on.
+#: of the texts at hand and those that it has met again since they were learned.
 REMEMBERED = 250_000
 
 
@@ -86,7 +87,7 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split, self.known = Splitter(pattern), {}
+        self.split, self.known, self.again = None if pattern == SPLIT else Splitter(pattern), {}, set()
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)).search if added else lambda _: None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -97,30 +98,55 @@ class CachedTokenizer:
     def _learn(self, pieces: list[str]) -> None:
         # A run of " word" pieces splits back into these pieces, so a joined text costs one call.
         plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for a in range(0, len(plain), 5000):
-            part = plain[a : a + 5000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in part])
+        for a in range(0, len(plain), 1000):
+            part = plain[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy())
             cuts = (4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)).tolist()
             raw = ids.tobytes()
             self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], strict=True))
         rest = [p for p in pieces if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
+    def _pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different pieces, the number of each piece among them, and the first piece of each text (and the end)."""
+        if self.split:
+            split = [self.split(t) for t in texts]
+            coded = pa.array([p for s in split for p in s], pa.large_string()).dictionary_encode()
+            return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.cumsum([0, *map(len, split)])
+        column = pa.array(texts, pa.large_string())
+        _, offsets, data = column.buffers()
+        edges = np.frombuffer(offsets, np.int64)[: len(texts) + 1]
+        starts = piece_starts(np.frombuffer(data or b"", np.uint8)[: edges[-1]], edges)
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, edges[-1])), data).dictionary_encode()
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.searchsorted(starts, edges)
+
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as the library gives them for the whole text.
 
         The library looks for added tokens before it splits, so a text that holds the string of one is given to it whole.
         """
         whole = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for k, t in enumerate(texts) if self.special(t)}
-        split = [() if k in whole else self.split(t) for k, t in enumerate(texts)]
-        here = set().union(*split)
-        if len(self.known) > REMEMBERED:
-            self.known = {p: self.known[p] for p in here if p in self.known}
-        known = self.known
-        self._learn([p for p in here if p not in known])
-        return [whole[k] if k in whole else b"".join(map(known.__getitem__, s)) for k, s in enumerate(split)]
+        here, index, edges = self._pieces(["" if k in whole else t for k, t in enumerate(texts)])
+        each = list(map(self.known.get, here))
+        full = len(self.known) > REMEMBERED
+        if full and len(self.again) > REMEMBERED * 9 // 10:
+            self.again.clear()
+        self.again.update(p for p, ids in zip(here, each, strict=True) if ids is not None)
+        if full:
+            self.known = {p: ids for p, ids in self.known.items() if p in self.again}
+        new = [k for k, ids in enumerate(each) if ids is None]
+        self._learn([here[k] for k in new])
+        for k in new:
+            each[k] = self.known[here[k]]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first = np.cumsum(size) - size
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = np.frombuffer(b"".join(each), "<u4")[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[edges]).tolist()
+        return [whole[k] if k in whole else raw[a:b] for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
 
 
 @lru_cache(maxsize=2)

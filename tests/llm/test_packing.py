@@ -149,3 +149,33 @@ def test_a_worker_forgets_all_but_the_pieces_at_hand(monkeypatch):
     got = [tok.encode_bytes([t])[0] for t in texts]
     assert got == [np.array(tok.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert learned[1] == [" new", "beta"] and " alpha" not in tok.known
+
+
+def test_starts_of_pieces_are_those_of_the_pattern():
+    import random
+
+    import regex
+
+    from rankspark.llm.common import SPLIT, piece_starts
+
+    exact, rng = regex.compile(SPLIT).findall, random.Random(7)
+    signs = [*" \n\t\x1c\x0b\x85\u3000'stremvlld_9aé漢²Ⅷ٣🙂𝐀-​﻿", "  ", "'s", "'ll"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    for part in ([], [""], ["", " ", "", "'", "s"], texts):
+        raw = [t.encode() for t in part]
+        data = b"".join(raw)
+        starts = piece_starts(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, raw)])).tolist()
+        assert [data[a:b].decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=False)] == [p for t in part for p in exact(t)]
+
+
+def test_pieces_met_again_are_learned_once(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    tok = packing.CachedTokenizer(PATH, public_tokenizers.PATTERN)
+    learned, learn = [], tok._learn
+    monkeypatch.setattr(tok, "_learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    for k in range(12):
+        common = " common words" if k != 5 else ""
+        text = f"{common} only{'abcdefghijkl'[k] * 3} once{'abcdefghijkl'[k] * 3} l'été\n\n {k}"
+        assert tok.encode_bytes([text, ""]) == [np.array(plain().encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
+    assert learned.count(" common") == learned.count(" words") == 1
+    assert len(tok.known) < 20
