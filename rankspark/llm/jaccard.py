@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import as_words, mix, row_key, shuffle_partitions, slices, stored, word_hashes
+from rankspark.llm.common import as_words, lean, lean_group, mix, row_key, shuffle_partitions, slices, stored, word_hashes
 from rankspark.llm.components import components
 
 WORDS = 5
@@ -202,17 +202,20 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
     """Blocks of signatures: rows (bucket, signatures, nodes, counts, marks) and, for locally hot ones, (bucket, hot)."""
 
     def block(node: np.ndarray, sig: np.ndarray) -> Iterator[tuple]:
-        top = (sig >> _U(40)) % _U(buckets)
-        low = sig & _U((1 << 32) - 1)
-        _, back, count = np.unique(sig, return_inverse=True, return_counts=True)
-        hot = count[back] > most
-        if hot.any():
-            full = top[hot] << _U(32) | low[hot]
+        order = np.argsort(sig)
+        edge = np.append(np.flatnonzero(np.diff(sig[order], prepend=~sig[order[:1]])), len(sig))
+        hot = np.zeros(len(sig), bool)
+        hot[order[np.repeat(np.diff(edge) > most, np.diff(edge))]] = True
+        top = ((sig >> _U(40)) % _U(buckets)).astype(np.uint32)
+        low = sig.astype("<u4")
+        del order, edge, sig
+        full = top[hot].astype(_U) << _U(32) | low[hot]
+        if len(full):
             salt = int(node[hot].sum() % _U(buckets))
             yield salt, b"", b"", b"", b"", full.tobytes() + node[hot].tobytes()
-        marks = np.unique(top[hot] << _U(32) | low[hot])
+        marks = np.unique(full)
         order = np.flatnonzero(~hot)[np.argsort(top[~hot], kind="stable")]
-        edge = np.searchsorted(top[order], np.arange(buckets + 1).astype(_U))
+        edge = np.searchsorted(top[order], np.arange(buckets + 1, dtype=np.uint32))
         mark_edge = np.searchsorted(marks >> _U(32), np.arange(buckets + 1).astype(_U))
         for k in range(buckets):
             own = order[edge[k] : edge[k + 1]]
@@ -227,7 +230,7 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
                 first = np.concatenate([f + 255 * np.arange(m) for f, m in zip(first, more, strict=True)])
                 counts = np.diff(np.concatenate([first, [len(n)]]))
             counts = counts.astype(np.uint8)
-            yield k, low[own].astype("<u4").tobytes(), n[first].tobytes(), counts.tobytes(), (told & _U((1 << 32) - 1)).astype("<u4").tobytes(), b""
+            yield k, low[own].tobytes(), n[first].tobytes(), counts.tobytes(), (told & _U((1 << 32) - 1)).astype("<u4").tobytes(), b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text", BATCH):
@@ -246,7 +249,10 @@ def _emit(plan: dict[int, int], buckets: int, most: int):
                         lost = len(own) - len(np.unique((own >> _U(40)) % _U(buckets) << _U(32) | own & _U((1 << 32) - 1)))
                         more += [(nodes[-1][0], k) for k in range(lost)]
             if sigs:
-                rows = list(block(np.concatenate(nodes), np.concatenate(sigs)))
+                # Gathered one by one, and held by none but the call: they are the most that a task holds.
+                nodes = np.concatenate(nodes)
+                sigs = [np.concatenate(sigs)]
+                rows = list(block(nodes, sigs.pop()))
                 if more:
                     place, k = np.array(more, _U).T
                     rows.append((int(place.sum() % _U(buckets)), b"", b"", b"", b"", mix(place + (k + _U(1)) * _P).tobytes() + place.tobytes()))
@@ -349,7 +355,7 @@ def _verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     theirs = dealt.join(texts.toDF("b", "__text"), "b").select("a", "share", "b", "__text")
     pivots = dealt.select("a", "share").distinct().join(texts.toDF("a", "__text"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "__text")
     rows = theirs.union(pivots).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-    return stored(rows.select("a", "b", "__text").mapInArrow(_verify, "a long, b long"))
+    return stored(rows.select("a", "b", "__text").mapInArrow(lean(_verify), "a long, b long"))
 
 
 def _allocation(profile: DataFrame) -> tuple[dict[int, int], int]:
@@ -396,17 +402,17 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     docs = docs.select(*row_key("__id", "__text"), "__id", "__text")
     kind = df.schema[id_col].dataType.simpleString()
-    profile = stored(docs.mapInArrow(_profile, f"k1 long, k2 long, __id {kind}, node long, more long, n long, bits binary, places array<int>, spare array<array<int>>, cost array<array<int>>"))
+    profile = stored(docs.mapInArrow(lean(_profile), f"k1 long, k2 long, __id {kind}, node long, more long, n long, bits binary, places array<int>, spare array<array<int>>, cost array<array<int>>"))
     plan, total = _allocation(profile)
     buckets = max(shuffle_partitions(df.sparkSession), total // PER_BUCKET)
-    blocks = docs.select("__text").mapInArrow(_emit(plan, buckets, hot), "bucket int, sigs binary, nodes binary, counts binary, marks binary, hot binary")
-    meets = stored(blocks.groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long"))
+    blocks = docs.select("__text").mapInArrow(lean(_emit(plan, buckets, hot)), "bucket int, sigs binary, nodes binary, counts binary, marks binary, hot binary")
+    meets = stored(blocks.groupBy("bucket").applyInArrow(lean_group(_meet(hot)), "kind int, a long, b long"))
     # A node is 63 bits of a 128-bit hash of the set and stands for it.
     full = profile.where("n > 0")
     crowded = stored(meets.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("place")).distinct())
     live = _live(full, meets, crowded, plan)
     nodes = full.join(live.groupBy("node").agg(F.min("far").alias("far")), "node").groupBy("node", "more").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.first("far").alias("far"), F.first("bits").alias("bits"))
-    nodes = stored(nodes.select("node", "k.k1", "k.k2", "n", "far", "bits").mapInArrow(_folded, "node long, k1 long, k2 long, n long, far long, bits binary, fold array<long>"))
+    nodes = stored(nodes.select("node", "k.k1", "k.k2", "n", "far", "bits").mapInArrow(lean(_folded), "node long, k1 long, k2 long, n long, far long, bits binary, fold array<long>"))
     bound = stored(_bound(crowded, live))
     centre = bound.groupBy("sig").agg(F.min(F.struct("loose", "n", "node")).getField("node").alias("a"))
     star = bound.join(centre, "sig").where("node <> a").select("a", F.col("node").alias("b"))
@@ -499,7 +505,7 @@ def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     names = [f"f{k}" for k in range(FOLD // 64)]
     both = pairs.join(small.toDF("a", "n_a", "far_a", *[f"{c}_a" for c in names]), "a").join(small.toDF("b", "n_b", "far_b", *[f"{c}_b" for c in names]), "b").where(_near()).select("a", "b", "n_a", "n_b")
     both = both.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_sift, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(lean(_sift), "a long, b long")
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import slices
+from rankspark.llm.common import lean, slices
 
 #: N-grams of a profile and of a document.
 TOP = 300
@@ -72,7 +72,7 @@ def learn_profiles(df: DataFrame, lang_col: str = "lang", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     rows = df.selectExpr(f"`{lang_col}` AS __lang", f"`{text_col}` AS __text").where("__lang IS NOT NULL AND __text IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     # Compared as it is, so that each task keeps its own first rows before the shuffle.
     return counts.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= top).select("lang", "gram", (F.col("__place") - 1).alias("rank"))
@@ -108,7 +108,7 @@ def predict(df: DataFrame, profiles: list[tuple[str, int, int]], text_col: str =
     clash = [c for c in df.columns if c.lower() in ("lang_pred", "score", "closeness")]
     df = df.drop(*clash)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double, closeness double")
+    return df.mapInArrow(lean(run), f"{schema}, lang_pred string, score double, closeness double")
 
 
 def identify(df: DataFrame, learn_from: Column, lang_col: str = "lang", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), top: int = TOP) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import SPLIT, Splitter, piece_starts, slices, stored
+from rankspark.llm.common import FORGET, SPLIT, Splitter, lean, piece_starts, slices, stored
 
 #: Bins that are open at the same time.
 OPEN_BINS = 32
@@ -38,7 +38,7 @@ OPEN_BINS = 32
 TASKS, ROOM, AGAIN = 64, 1 / 256, 4096
 #: Bits of a sequence's id below the number of its task.
 TASK_BITS = 40
-#: Different pieces of text that a worker remembers, also while it runs other steps; beyond it, it forgets all but those
+#: Different pieces of text that a worker remembers until it runs another step (``lean``); beyond it, it forgets all but those
 #: of the texts at hand and those that it has met again since they were learned.
 REMEMBERED = 250_000
 
@@ -142,11 +142,14 @@ class CachedTokenizer:
             each[k] = self.known[here[k]]
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         first = np.cumsum(size) - size
-        n = size[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        raw = np.frombuffer(b"".join(each), "<u4")[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        at = (4 * ends[edges]).tolist()
-        return [whole[k] if k in whole else raw[a:b] for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+        ids = np.frombuffer(b"".join(each), "<u4")
+
+        def of(own: np.ndarray) -> bytes:
+            n = size[own]
+            ends = np.cumsum(n)
+            return ids[np.repeat(first[own] - ends + n, n) + np.arange(n.sum())].tobytes()
+
+        return [whole[k] if k in whole else of(index[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
 @lru_cache(maxsize=2)
@@ -154,6 +157,9 @@ def _tokenizer(path: str, pattern: str) -> CachedTokenizer:
     return CachedTokenizer(path, pattern)
 
 
+FORGET["packing"] = _tokenizer.cache_clear
+
+
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: all of ``capacity`` but the first."""
     first = n % capacity or min(n, capacity)
@@ -183,7 +189,7 @@ def pack_in_tasks(df: DataFrame, tokenizer_path: str, pattern: str, capacity: in
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 5), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS __text").mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return df.selectExpr(f"`{id_col}`", f"`{text_col}` AS __text").mapInArrow(lean(run, "packing"), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(df: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,4 +217,4 @@ def packed_again(pieces: DataFrame, capacity: int, open_bins: int = AGAIN, tasks
     left = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < capacity * (1 - room)).select("sequence_id")
     group = F.floor(F.shiftright("sequence_id", TASK_BITS) / tasks).cast("long").alias("group")
     rows = pieces.join(left, "sequence_id", "left_semi").select(group, "sequence_id", "offset", "length")
-    return rows.repartition("group").sortWithinPartitions("group", F.desc("length"), "sequence_id", "offset").mapInArrow(run, "sequence_id long, offset long, into long, to long")
+    return rows.repartition("group").sortWithinPartitions("group", F.desc("length"), "sequence_id", "offset").mapInArrow(lean(run, "packing"), "sequence_id long, offset long, into long, to long")
