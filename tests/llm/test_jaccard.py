@@ -126,3 +126,21 @@ def test_signatures_of_a_set_that_fall_on_one_are_counted():
     assert sum(len(np.unique(np.frombuffer(r["sigs"], "<u4"))) for r in blocks) < n * len(jaccard.places(n))
     single = sum(len(np.unique(np.frombuffer(r["sigs"], "<u4")[np.repeat(np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["counts"], np.uint8)) % 2 == role])) for r in blocks for role in (0, 1))
     assert single + sum(len(r["hot"]) // 16 for r in blocks) == n * len(jaccard.places(n))
+
+
+def test_signatures_of_a_batch_are_made_in_little_memory():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rankspark.llm import jaccard as step
+
+    rng = random.Random(1)
+    batch = pa.record_batch({"__text": [" ".join(str(rng.randrange(10**5)) for _ in range(300)) for _ in range(5000)]})
+    tracemalloc.start()
+    try:
+        assert list(step._emit({}, 100, 24)(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 12 * batch.nbytes  # 19 when np.unique told the counts
+    finally:
+        tracemalloc.stop()

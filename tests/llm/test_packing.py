@@ -179,3 +179,11 @@ def test_pieces_met_again_are_learned_once(monkeypatch):
         assert tok.encode_bytes([text, ""]) == [np.array(plain().encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
     assert learned.count(" common") == learned.count(" words") == 1
     assert len(tok.known) < 20
+
+
+def test_workers_forget_the_pieces_in_other_steps():
+    from rankspark.llm.common import lean
+
+    packing._tokenizer(PATH, public_tokenizers.PATTERN)
+    assert list(lean(lambda batches: (b for b in batches), "packing")([1, 2])) == [1, 2] and packing._tokenizer.cache_info().currsize
+    assert list(lean(lambda batches: (b for b in batches))([1, 2])) == [1, 2] and not packing._tokenizer.cache_info().currsize
