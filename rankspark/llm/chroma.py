@@ -9,6 +9,10 @@ seeds by its integer and length. Only the 20 of the 32 bits that are nearest to
 a bit that is nearly always set tells little. A seed has as many bits as it takes to tell all integers of the corpus apart,
 and a place as many seeds as ``PASSAGE`` integers with ``BAD`` bit errors need; so the rows that meet by chance stay near
 the number of seeds.
+Recordings keep only the seeds that a query may have too. That is told where the seeds are made, from a bitmap of the
+queries' seeds that each task sets itself: the integers of all queries, a small part of what their seeds take, are dealt to
+every task, and a task has some of the recordings and some of the keys. The seeds left and those of the queries are joined
+by a shuffle; none go through the driver.
 Frames of a query that share a seed with a recording vote for an offset, each once. Every offset with enough votes is
 checked by the share of different bits over all overlapping frames. Of the offsets that pass within the widest filter's
 frames of each other, whose answers come from the same frames, the one with the least errors stays; all others are returned.
@@ -23,12 +27,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankspark.llm.common import block_count, mix, shuffle_partitions, slices
+
 CLASSES = 12
 WIDTHS = (2, 4, 6, 8)
 #: Votes and overlapping frames that an alignment needs, and the share of different bits that it may have. By chance
@@ -40,8 +47,11 @@ PASSAGE, BAD, SHARED = 24, 0.2, 8
 WINDOW, EVEN = 8, 20
 #: What a sampled bit tells of its window, measured on noise (a fair one: 1).
 TOLD = 0.88
-#: Frames that are transformed, and integers that are seeded, at once.
-TOGETHER, SEEDED = 256, 4096
+#: Frames that are transformed, integers that are seeded, and seeds that are handed on, at once.
+TOGETHER, SEEDED, HANDED = 256, 4096, 1 << 16
+#: Bits of a bitmap for each seed set in it, the most bits that one has, and the most blocks that recordings are dealt to
+#: (a block sets the queries' seeds again).
+SPACE, BITMAP, BLOCKS = 16, 1 << 29, 32
 # Where a filter's answer is cut.
 LEVELS = (-0.15, 0.0, 0.15)
 
@@ -126,19 +136,19 @@ def audio_fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate:
 
 
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Integers of a batch and those of them with each bit set."""
+    """Integers of a batch, those of queries, and those with each bit set."""
     for b in batches:
-        for raw in b.column(0):
+        for raw, asked in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             x = np.frombuffer(raw.as_py() or b"", "<u4")
             ones = [int(np.count_nonzero(x & np.uint32(1 << k))) for k in range(32)]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([ones], pa.list_(pa.int64()))], ["integers", "ones"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([len(x) if asked else 0], pa.int64()), pa.array([ones], pa.list_(pa.int64()))], ["integers", "asked", "ones"])
 
 
-def corpus_bits(prints: DataFrame) -> tuple[int, list[int]]:
-    """The corpus's integers, and the ``EVEN`` bits whose shares of ones over all of them are nearest to a half."""
-    counts = prints.select("prints").mapInArrow(_bit_counts, "integers long, ones array<long>")
-    total, *ones = counts.agg(F.sum("integers"), *[F.sum(F.col("ones")[k]) for k in range(32)]).first()
-    return total or 0, sorted(range(32), key=lambda k: (abs(2 * (ones[k] or 0) - (total or 0)), k))[:EVEN]
+def corpus_bits(prints: DataFrame, is_query: Column) -> tuple[int, int, list[int]]:
+    """The corpus's integers, those of queries, and the ``EVEN`` bits whose shares of ones over all of them are nearest to a half."""
+    counts = prints.select("prints", is_query.alias("asked")).mapInArrow(_bit_counts, "integers long, asked long, ones array<long>")
+    total, asked, *ones = counts.agg(F.sum("integers"), F.sum("asked"), *[F.sum(F.col("ones")[k]) for k in range(32)]).first()
+    return total or 0, asked or 0, sorted(range(32), key=lambda k: (abs(2 * (ones[k] or 0) - (total or 0)), k))[:EVEN]
 
 
 def seed_bits(integers: int) -> tuple[int, int]:
@@ -147,39 +157,112 @@ def seed_bits(integers: int) -> tuple[int, int]:
     return bits, math.ceil(SHARED / ((PASSAGE - WINDOW + 1) * (1 - BAD) ** bits))
 
 
-def _samples(even: list[int], bits: int, keys: int) -> tuple[np.ndarray, np.ndarray]:
-    """The integers of the window, and their bits, that make each key."""
+def _samples(bits: int, keys: int) -> list[np.ndarray]:
+    """The bits of the window that make each key: ``EVEN`` of its first integer, then those of the next."""
     draw = np.random.default_rng(9)
-    chosen = np.stack([draw.permutation(WINDOW * len(even))[:bits] for _ in range(keys)])
-    return chosen // len(even), np.array(even)[chosen % len(even)]
-
-
-def _seeds_of(x: np.ndarray, samples: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Seeds and places of one recording's integers, in pieces."""
-    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    ahead, bit = samples
-    keys, n = bit.shape
-    whole = starts[starts <= len(x) - WINDOW]
+    return [draw.permutation(WINDOW * EVEN)[:bits] for _ in range(keys)]
+
+
+def _seeds_of(prints: pa.Array, even: list[int], samples: list[np.ndarray], share: int, shares: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Seeds, rows and places of recordings, in pieces: those of every ``shares``-th key, and with the first of runs."""
+    raw = prints.to_pylist()
+    x = np.frombuffer(b"".join(raw), "<u4")
+    edges = np.cumsum([0, *(len(r) // 4 for r in raw)])
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    new[edges[edges < len(x)]] = True
+    starts = np.flatnonzero(new)
+    row = np.searchsorted(edges, starts, "right") - 1
+    place = (starts - edges[row]).astype(np.int32)
+    whole = np.flatnonzero(starts + WINDOW <= edges[row + 1])
     for a in range(0, len(whole), SEEDED):
         own = whole[a : a + SEEDED]
-        # A key at a time: no more than places by bits at once.
-        seed = np.stack([((x[own[:, None] + ahead[k]] >> bit[k]) & 1) @ (1 << np.arange(n)) | k << n for k in range(keys)], axis=1)
-        yield seed.ravel(), np.repeat(own, keys)
-    length = np.diff(np.concatenate([starts, [len(x)]]))
-    runs = np.flatnonzero(length >= OVERLAP)
-    run = 1 << 62 | np.minimum(length[runs], (1 << 29) - 1) << 33 | x[starts[runs]] << 1
-    # A run seeds at VOTES places, so that it is enough by itself.
-    yield np.repeat(run, VOTES), (starts[runs, None] + np.arange(VOTES)).ravel()
+        window = [x[starts[own] + ahead] >> np.uint32(e) & np.uint32(1) for ahead in range(WINDOW) for e in even]
+        for k in range(share, len(samples), shares):
+            seed = np.zeros(len(own), np.uint32)
+            for n, bit in enumerate(samples[k]):
+                seed |= window[bit] << np.uint32(n)
+            yield seed.astype(np.int64) | k << len(samples[k]), row[own], place[own]
+    if share == 0:
+        length = np.diff(np.append(starts, len(x)))
+        runs = np.flatnonzero(length >= OVERLAP)
+        run = 1 << 62 | np.minimum(length[runs], (1 << 29) - 1) << 33 | x[starts[runs]].astype(np.int64) << 1
+        # A run seeds at VOTES places, so that it is enough by itself.
+        yield np.repeat(run, VOTES), np.repeat(row[runs], VOTES), (place[runs, None] + np.arange(VOTES, dtype=np.int32)).ravel()
+
+
+def _handed(b: pa.RecordBatch, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(rec, part, seed, place) of pieces of a batch, about ``HANDED`` rows at once."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for piece in chain(pieces, [None]):
+        if piece is not None:
+            held.append(piece)
+        if held and (piece is None or sum(len(seed) for seed, _, _ in held) >= HANDED):
+            seed, row, place = map(np.concatenate, zip(*held, strict=True))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("rec").take(row), b.column("part").take(row), pa.array(seed), pa.array(place)], ["rec", "part", "seed", "place"])
+            held = []
 
 
 def _seeds(even: list[int], bits: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = _samples(even, bits, keys)
-        for b in batches:
-            for rec, part, raw in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<u4").astype(np.int64)
-                for seed, at in _seeds_of(x, samples) if len(x) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * len(at), b.schema.field(0).type), pa.array([part.as_py()] * len(at), pa.int64()), pa.array(seed), pa.array(at.astype(np.int32))], ["rec", "part", "seed", "place"])
+        samples = _samples(bits, keys)
+        for b in slices(batches, "prints", 4 * SEEDED):
+            yield from _handed(b, _seeds_of(b.column("prints"), even, samples, 0, 1))
+
+    return run
+
+
+def dealing(asked: int, keys: int, tasks: int) -> tuple[int, int, int]:
+    """Shares of the keys, blocks of recordings, and bits of a bitmap for a share of the seeds of so many integers of queries.
+
+    A bitmap stays within ``BITMAP`` by more shares, and each recording is dealt out once a share.
+    """
+    shares = min(keys, max(block_count(SPACE * asked * keys, BITMAP), block_count(tasks, BLOCKS)))
+    return shares, block_count(tasks, shares), min(BITMAP, 1 << max(10, (SPACE * asked * keys // shares).bit_length()))
+
+
+def _slots(seed: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each seed in a bitmap of ``size`` bits, a power of two."""
+    h = mix(seed.view(np.uint64))
+    return (h & np.uint64(size - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _put(bitmap: np.ndarray, seed: np.ndarray) -> None:
+    for slot in _slots(seed, 8 * len(bitmap)):
+        np.bitwise_or.at(bitmap, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+
+
+def _may_have(bitmap: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Where the seeds are that were put into the bitmap, and a few others."""
+    one, two = _slots(seed, 8 * len(bitmap))
+    at = np.flatnonzero(bitmap[one >> 3] >> (one & 7).astype(np.uint8) & 1)
+    two = two[at]
+    return at[(bitmap[two >> 3] >> (two & 7).astype(np.uint8) & 1).astype(bool)]
+
+
+def _shared_seeds(even: list[int], bits: int, keys: int, shares: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows by cell, those of queries first: the seeds of all others that a query of the cell may have."""
+        samples, bitmap, cell = _samples(bits, keys), np.zeros(size // 8, np.uint8), -1
+
+        def kept(pieces):
+            for piece in pieces:
+                at = _may_have(bitmap, piece[0])
+                yield tuple(x[at] for x in piece)
+
+        for batch in slices(batches, "prints", 4 * SEEDED):
+            kind = batch.column("cell").to_numpy() * 2 + batch.column("other").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+            for b in (batch.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False)):
+                if cell != (cell := b.column("cell")[0].as_py()):
+                    bitmap[:] = 0
+                pieces = _seeds_of(b.column("prints"), even, samples, cell % shares, shares)
+                if b.column("other")[0].as_py():
+                    yield from _handed(b, kept(pieces))
+                else:
+                    for seed, _, _ in pieces:
+                        _put(bitmap, seed)
 
     return run
 
@@ -218,12 +301,22 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, overlap: int
     ``shift`` is the place in the match less the place in the query. Queries are matched by an equi-join on seeds.
     """
     kind = prints.schema["rec"].dataType.simpleString()
-    total, even = corpus_bits(prints)
+    tasks = shuffle_partitions(prints.sparkSession)
+    total, asked_integers, even = corpus_bits(prints, is_query)
+    form, (bits, keys) = f"rec {kind}, part long, seed long, place int", seed_bits(total)
+    shares, blocks, size = dealing(asked_integers, keys, tasks)
     parts = prints.select("rec", F.xxhash64("prints").alias("part"), "prints").where("prints IS NOT NULL").distinct()
-    seeded, form = _seeds(even, *seed_bits(total)), f"rec {kind}, part long, seed long, place int"
-    seeds = parts.mapInArrow(seeded, form)
-    asked = parts.where(is_query).mapInArrow(seeded, form).toDF("query", "query_part", "seed", "at")
-    hits = asked.join(seeds, "seed").where(F.col("query") != F.col("rec"))
+    queries = parts.where(is_query)
+    # A cell is a block of recordings and a share of the keys. Small rows become many: cells and queries are dealt out first.
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1)))
+    known = queries.select(each.alias("cell"), F.lit(0).alias("other"), *parts.columns)
+    block = F.pmod(F.xxhash64("rec", "part"), F.lit(blocks)).cast("int")
+    others = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).select((block * shares + F.col("share")).alias("cell"), F.lit(1).alias("other"), *parts.columns)
+    cells = known.unionByName(others).repartitionById(blocks * shares, "cell").sortWithinPartitions("cell", "other")
+    seeds = cells.mapInArrow(_shared_seeds(even, bits, keys, shares, size), form)
+    asked = queries.repartition(tasks, "rec", "part").mapInArrow(_seeds(even, bits, keys), form).toDF("query", "query_part", "seed", "at")
+    # Spark takes the seeds for as small as the recordings that they are made of, and would send them through the driver.
+    hits = seeds.join(asked.hint("merge"), "seed").where(F.col("query") != F.col("rec"))
     pair = ["query", "query_part", "rec", "part"]
     voted = hits.groupBy(*pair, (F.col("place") - F.col("at")).alias("shift"), "at").agg(F.lit(1).alias("one"))
     counted = voted.groupBy(*pair, "shift").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)

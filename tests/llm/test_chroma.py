@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rankspark.llm import chroma, queries
@@ -95,3 +96,34 @@ def test_all_offsets_and_held_tones(spark):
     df = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in rows], "rec long, prints binary")
     got = {(r.query_id, r.match_id, r.shift) for r in chroma.align(df, F.col("rec").isin(0, 2)).collect() if r.bit_errors == 0}
     assert got == {(0, 1, 0), (0, 1, 40), (2, 3, 0)}
+
+
+def test_seeds_are_joined_by_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    songs = [chroma.fingerprint(rng.random((60, 12)) ** 3) for _ in range(60)]
+    df = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in [*enumerate(songs), *((100 + i, x[9:45]) for i, x in enumerate(songs))]], "rec long, prints binary")
+    monkeypatch.setattr(chroma, "BLOCKS", 2, raising=False)
+    found = chroma.align(df, F.col("rec") >= 140)
+    assert {(r.query_id, r.match_id, r.shift) for r in found.collect() if r.bit_errors == 0} == {(100 + i, i, 9) for i in range(40, 60)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [seed#" in plan and "BroadcastHashJoin [seed#" not in plan
+
+
+def test_seeds_that_no_query_has_are_left_out():
+    rng = np.random.default_rng(6)
+    songs = [chroma.fingerprint(rng.random((60, 12)) ** 3) for _ in range(80)]
+    songs = [*songs, *(x[5:30] for x in songs[:8]), np.full(40, 7, np.uint32), np.full(40, 7, np.uint32), songs[0][:0]]
+    asked, others = [*range(80, 89)], [*range(80), 89, 90]
+    even, (bits, keys) = list(range(20)), chroma.seed_bits(4000)
+    samples = chroma._samples(bits, keys)
+    all_of = lambda rows: [(int(s), rows[r], int(p)) for seed, row, place in chroma._seeds_of(pa.array([songs[i].tobytes() for i in rows], pa.binary()), even, samples, 0, 1) for s, r, p in zip(seed, row, place, strict=True)]
+    known = {s for s, _, _ in all_of(asked)}
+    want = {x for x in all_of(others) if x[0] in known}
+    for tasks in (1, 200):
+        shares, blocks, size = chroma.dealing(9 * 27, keys, tasks)
+        assert shares * blocks >= tasks and shares <= keys
+        rows = sorted((share, other, i) for share in range(shares) for other, of in enumerate((asked, others)) for i in of)
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([c for c, _, _ in rows], [o for _, o, _ in rows], [i for _, _, i in rows], [i for _, _, i in rows])] + [pa.array([songs[i].tobytes() for _, _, i in rows], pa.binary())], ["cell", "other", "rec", "part", "prints"])
+        got = [(r["seed"], r["rec"], r["place"]) for b in chroma._shared_seeds(even, bits, keys, shares, size)([batch]) for r in b.to_pylist()]
+        assert len(set(got)) == len(got) and want <= set(got)
+        assert len(got) - len(want) < 0.05 * len(all_of(others))
