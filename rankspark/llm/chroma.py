@@ -12,7 +12,7 @@ the number of seeds.
 Recordings keep only the seeds that a query may have too. That is told where the seeds are made, from a bitmap of the
 queries' seeds that each task sets itself: the integers of all queries, a small part of what their seeds take, are dealt to
 every task, and a task has some of the recordings and some of the keys. The seeds left and those of the queries are joined
-by a shuffle; none go through the driver.
+by a shuffle; none go through the driver. Recordings of the same integers are aligned once, and what is found holds for each.
 Frames of a query that share a seed with a recording vote for an offset, each once. Every offset with enough votes is
 checked by the share of different bits over all overlapping frames. Of the offsets that pass within the widest filter's
 frames of each other, whose answers come from the same frames, the one with the least errors stays; all others are returned.
@@ -192,7 +192,8 @@ def _seeds_of(prints: pa.Array, even: list[int], samples: list[np.ndarray], shar
 
 
 def _handed(b: pa.RecordBatch, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(rec, part, seed, place) of pieces of a batch, about ``HANDED`` rows at once."""
+    """Seeds and places of pieces of a batch, with what names their rows, about ``HANDED`` at once."""
+    names = [c for c in b.schema.names if c not in ("cell", "other", "prints")]
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for piece in chain(pieces, [None]):
         if piece is not None:
@@ -200,7 +201,7 @@ def _handed(b: pa.RecordBatch, pieces: Iterator[tuple[np.ndarray, np.ndarray, np
         if held and (piece is None or sum(len(seed) for seed, _, _ in held) >= HANDED):
             seed, row, place = map(np.concatenate, zip(*held, strict=True))
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("rec").take(row), b.column("part").take(row), pa.array(seed), pa.array(place)], ["rec", "part", "seed", "place"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in names), pa.array(seed), pa.array(place)], [*names, "seed", "place"])
             held = []
 
 
@@ -290,7 +291,7 @@ def _checked(overlap: int, errors: float):
                 found += kept
             at = pa.array(row, pa.int64())
             n, share, shift, votes = zip(*found, strict=True) if found else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column("query").take(at), b.column("rec").take(at), pa.array(shift, pa.int32()), pa.array(votes, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], ["query_id", "match_id", "shift", "votes", "overlap", "bit_errors"])
+            yield pa.RecordBatch.from_arrays([b.column("query_part").take(at), b.column("part").take(at), pa.array(shift, pa.int32()), pa.array(votes, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], ["query_part", "part", "shift", "votes", "overlap", "bit_errors"])
 
     return run
 
@@ -300,26 +301,29 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, overlap: int
 
     ``shift`` is the place in the match less the place in the query. Queries are matched by an equi-join on seeds.
     """
-    kind = prints.schema["rec"].dataType.simpleString()
     tasks = shuffle_partitions(prints.sparkSession)
     total, asked_integers, even = corpus_bits(prints, is_query)
-    form, (bits, keys) = f"rec {kind}, part long, seed long, place int", seed_bits(total)
+    bits, keys = seed_bits(total)
     shares, blocks, size = dealing(asked_integers, keys, tasks)
-    parts = prints.select("rec", F.xxhash64("prints").alias("part"), "prints").where("prints IS NOT NULL").distinct()
-    queries = parts.where(is_query)
+    held = prints.select("rec", F.unhex(F.md5("prints")).alias("part"), "prints").where("rec IS NOT NULL AND prints IS NOT NULL").distinct()
+    parts = held.groupBy("part", "prints").agg(F.max(F.coalesce(is_query, F.lit(False))).alias("is_asked"), (F.count("*") > 1).alias("many"))
+    queries = parts.where("is_asked")
     # A cell is a block of recordings and a share of the keys. Small rows become many: cells and queries are dealt out first.
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1)))
-    known = queries.select(each.alias("cell"), F.lit(0).alias("other"), *parts.columns)
-    block = F.pmod(F.xxhash64("rec", "part"), F.lit(blocks)).cast("int")
-    others = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).select((block * shares + F.col("share")).alias("cell"), F.lit(1).alias("other"), *parts.columns)
+    known = queries.select(each.alias("cell"), F.lit(0).alias("other"), "part", "prints")
+    block = F.pmod(F.xxhash64("part"), F.lit(blocks)).cast("int")
+    others = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).select((block * shares + F.col("share")).alias("cell"), F.lit(1).alias("other"), "part", "prints")
     cells = known.unionByName(others).repartitionById(blocks * shares, "cell").sortWithinPartitions("cell", "other")
-    seeds = cells.mapInArrow(_shared_seeds(even, bits, keys, shares, size), form)
-    asked = queries.repartition(tasks, "rec", "part").mapInArrow(_seeds(even, bits, keys), form).toDF("query", "query_part", "seed", "at")
+    seeds = cells.mapInArrow(_shared_seeds(even, bits, keys, shares, size), "part binary, seed long, place int")
+    dealt = queries.select("part", "many", "prints").repartition(tasks, "part")
+    asked = dealt.mapInArrow(_seeds(even, bits, keys), "part binary, many boolean, seed long, place int").toDF("query_part", "many", "seed", "at")
     # Spark takes the seeds for as small as the recordings that they are made of, and would send them through the driver.
-    hits = seeds.join(asked.hint("merge"), "seed").where(F.col("query") != F.col("rec"))
-    pair = ["query", "query_part", "rec", "part"]
+    hits = seeds.join(asked.hint("merge"), "seed").where((F.col("query_part") != F.col("part")) | F.col("many"))
+    pair = ["query_part", "part"]
     voted = hits.groupBy(*pair, (F.col("place") - F.col("at")).alias("shift"), "at").agg(F.lit(1).alias("one"))
     counted = voted.groupBy(*pair, "shift").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
     offsets = counted.groupBy(*pair).agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
-    both = offsets.join(parts.toDF("query", "query_part", "query_prints"), ["query", "query_part"]).join(parts, ["rec", "part"])
-    return both.select("query", "rec", "offsets", "query_prints", "prints").mapInArrow(_checked(overlap, errors), f"query_id {kind}, match_id {kind}, shift int, votes long, overlap long, bit_errors double").distinct()
+    both = offsets.join(queries.select(F.col("part").alias("query_part"), F.col("prints").alias("query_prints")), "query_part").join(parts.select("part", "prints"), "part")
+    found = both.select(*pair, "offsets", "query_prints", "prints").mapInArrow(_checked(overlap, errors), "query_part binary, part binary, shift int, votes long, overlap long, bit_errors double")
+    named = found.join(held.where(is_query).select(F.col("rec").alias("query_id"), F.col("part").alias("query_part")), "query_part").join(held.select(F.col("rec").alias("match_id"), "part"), "part")
+    return named.where("query_id != match_id").select("query_id", "match_id", "shift", "votes", "overlap", "bit_errors").distinct()

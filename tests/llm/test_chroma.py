@@ -127,3 +127,20 @@ def test_seeds_that_no_query_has_are_left_out():
         got = [(r["seed"], r["rec"], r["place"]) for b in chroma._shared_seeds(even, bits, keys, shares, size)([batch]) for r in b.to_pylist()]
         assert len(set(got)) == len(got) and want <= set(got)
         assert len(got) - len(want) < 0.05 * len(all_of(others))
+
+
+def test_copies_are_aligned_once_and_found_for_each(spark):
+    rng = np.random.default_rng(11)
+    song = chroma.fingerprint(rng.random((70, 12)) ** 3)
+    song = np.concatenate([song, song[:30]])
+    other = chroma.fingerprint(rng.random((70, 12)) ** 3)
+    rows = [(0, song), (1, song), (50, song), (2, song[8:60]), (3, song[8:60]), (100, other), (4, None), (None, song)]
+    df = spark.createDataFrame([(i, None if x is None else x.astype("<u4").tobytes()) for i, x in rows], "rec long, prints binary")
+    found = chroma.align(df, F.col("rec") % 50 == 0)
+    got = {(r.query_id, r.match_id, r.shift) for r in found.collect()}
+    again = len(song) - 30
+    want = {(q, m, s) for q in (0, 50) for m in (0, 1, 50) if q != m for s in (0, again, -again)}
+    assert {x for x in got if x[1] in (0, 1, 50)} == want
+    assert {(q, m) for q, m, _ in got} == {(q, m) for q in (0, 50) for m in (0, 1, 2, 3, 50) if q != m}
+    votes = {r.match_id: r.votes for r in found.collect() if r.query_id == 0 and r.shift == 0}
+    assert votes[1] == votes[50] >= 60
