@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import block_count, mix, shuffle_partitions, slices
+from rankspark.llm.common import block_count, mix, shuffle_partitions, slices, stored
 
 CLASSES = 12
 WIDTHS = (2, 4, 6, 8)
@@ -305,18 +305,18 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, overlap: int
     total, asked_integers, even = corpus_bits(prints, is_query)
     bits, keys = seed_bits(total)
     shares, blocks, size = dealing(asked_integers, keys, tasks)
-    held = prints.select("rec", F.unhex(F.md5("prints")).alias("part"), "prints").where("rec IS NOT NULL AND prints IS NOT NULL").distinct()
-    parts = held.groupBy("part", "prints").agg(F.max(F.coalesce(is_query, F.lit(False))).alias("is_asked"), (F.count("*") > 1).alias("many"))
+    held = prints.select("rec", "prints").where("rec IS NOT NULL AND prints IS NOT NULL").distinct()
+    each = held.groupBy("prints").agg(F.max(F.coalesce(is_query, F.lit(False))).alias("is_asked"), (F.count("*") > 1).alias("many"))
+    parts = stored(each.select(F.monotonically_increasing_id().alias("part"), "*"))  # numbered once for all that reads them
     queries = parts.where("is_asked")
     # A cell is a block of recordings and a share of the keys. Small rows become many: cells and queries are dealt out first.
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1)))
-    known = queries.select(each.alias("cell"), F.lit(0).alias("other"), "part", "prints")
+    known = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1))).alias("cell"), F.lit(0).alias("other"), "part", "prints")
     block = F.pmod(F.xxhash64("part"), F.lit(blocks)).cast("int")
     others = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).select((block * shares + F.col("share")).alias("cell"), F.lit(1).alias("other"), "part", "prints")
     cells = known.unionByName(others).repartitionById(blocks * shares, "cell").sortWithinPartitions("cell", "other")
-    seeds = cells.mapInArrow(_shared_seeds(even, bits, keys, shares, size), "part binary, seed long, place int")
+    seeds = cells.mapInArrow(_shared_seeds(even, bits, keys, shares, size), "part long, seed long, place int")
     dealt = queries.select("part", "many", "prints").repartition(tasks, "part")
-    asked = dealt.mapInArrow(_seeds(even, bits, keys), "part binary, many boolean, seed long, place int").toDF("query_part", "many", "seed", "at")
+    asked = dealt.mapInArrow(_seeds(even, bits, keys), "part long, many boolean, seed long, place int").toDF("query_part", "many", "seed", "at")
     # Spark takes the seeds for as small as the recordings that they are made of, and would send them through the driver.
     hits = seeds.join(asked.hint("merge"), "seed").where((F.col("query_part") != F.col("part")) | F.col("many"))
     pair = ["query_part", "part"]
@@ -324,6 +324,8 @@ def align(prints: DataFrame, is_query: Column, votes: int = VOTES, overlap: int
     counted = voted.groupBy(*pair, "shift").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
     offsets = counted.groupBy(*pair).agg(F.collect_list(F.struct("shift", "votes")).alias("offsets"))
     both = offsets.join(queries.select(F.col("part").alias("query_part"), F.col("prints").alias("query_prints")), "query_part").join(parts.select("part", "prints"), "part")
-    found = both.select(*pair, "offsets", "query_prints", "prints").mapInArrow(_checked(overlap, errors), "query_part binary, part binary, shift int, votes long, overlap long, bit_errors double")
-    named = found.join(held.where(is_query).select(F.col("rec").alias("query_id"), F.col("part").alias("query_part")), "query_part").join(held.select(F.col("rec").alias("match_id"), "part"), "part")
+    found = both.select(*pair, "offsets", "query_prints", "prints").mapInArrow(_checked(overlap, errors), "query_part long, part long, shift int, votes long, overlap long, bit_errors double")
+    names = held.join(parts.select("part", "prints"), "prints")
+    asking = names.where(is_query).select(F.col("rec").alias("query_id"), F.col("part").alias("query_part"))
+    named = found.join(asking, "query_part").join(names.select(F.col("rec").alias("match_id"), "part"), "part")
     return named.where("query_id != match_id").select("query_id", "match_id", "shift", "votes", "overlap", "bit_errors").distinct()
