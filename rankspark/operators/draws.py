@@ -8,6 +8,9 @@ for them, up to ``attempts`` times the number wanted, so a key whose draws hit t
 
 Few keys may want many draws each: these are cut into blocks, which are dealt over the shuffle partitions before a row a draw
 is made. A block looks the few words of its key's network up in a table where it draws more than the table has.
+
+Where nothing is barred and a key draws a good part of its pool, its draws are not sent to the pool's places: the network
+run backwards tells for each place which draw hits it, so that the key's one row goes to the pool instead.
 """
 
 from __future__ import annotations
@@ -27,6 +30,11 @@ WALKS = 16
 RANGES = 4096
 #: Draws of a key that one row stands for until its places are known.
 BLOCK = 1 << 14
+#: A key that draws this part of its pool or more is looked up from the places: so many times as many places are run
+#: backwards at most, each for less than a draw costs that is shuffled.
+PART_DRAWN = 1 / 4
+#: Places that a key's network is made for at once, as a multiple of the grid's width; its words are four times the width.
+CHUNK = 8
 
 
 def grid_side(n: Column) -> Column:
@@ -88,6 +96,25 @@ def permuted_block(first: Column, last: Column, n: Column, seed: Column, words:
     return F.transform(F.transform(F.sequence(first, last), once), walked)
 
 
+def unpermuted(place: Column, n: Column, words: Column, rounds: int = ROUNDS, walks: int = WALKS) -> Column:
+    """The place that ``permuted`` moves to ``place``, by the ``network_words``; null if it walks for too long."""
+    wide = grid_side(n)
+    high = F.greatest(F.lit(1), F.ceil(n / wide)).cast("long")
+
+    def back(y: Column) -> Column:
+        l, r = (y % wide).cast("long"), F.floor(y / wide).cast("long")
+        for k in reversed(range(rounds)):
+            if k % 2 == 0:
+                l = F.pmod(l - F.get(F.get(words, F.lit(k)), r), wide)
+            else:
+                r = F.pmod(r - F.get(F.get(words, F.lit(k)), l), high)
+        return r * wide + l
+
+    first = back(place)
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), first, lambda x, _: F.when(x < n, x).otherwise(back(x)))
+    return F.when(first < n, first).otherwise(F.transform(F.array(steps), lambda x: F.when(x < n, x))[0])
+
+
 def numbered_pools(pools: DataFrame, pool: str, item: str, seed: str) -> DataFrame:
     """(pool, item, place, __n) of the different items of each pool, places from 0 in drawing order.
 
@@ -103,26 +130,52 @@ def numbered_pools(pools: DataFrame, pool: str, item: str, seed: str) -> DataFra
     return cut.withColumn("__own", own).join(starts, [pool, "__range"]).select(pool, item, (F.col("__before") + F.col("__own") - 1).cast("long").alias("place"), F.col("__n").cast("long").alias("__n"))
 
 
+def _open(wants: DataFrame, places: DataFrame) -> DataFrame:
+    """``wants`` with the size of their pool, which has a place at least, and no more tries than that."""
+    sizes = places.groupBy("pool").agg(F.max("__n").alias("__n"))
+    return wants.join(sizes, "pool").withColumn("__tries", F.least("__tries", "__n").cast("long")).where("__tries > 0")
+
+
+def _name(keys: Sequence[str], seed: str) -> Column:
+    return F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])
+
+
 def tried(wants: DataFrame, pools: DataFrame, keys: Sequence[str], item: str, seed: str) -> DataFrame:
     """(keys, item, __k, __try): the items that a key's first ``__tries`` draws, or as many as the pool has, hit.
 
     ``wants``: the key columns, ``pool``, ``__k`` and ``__tries``.
     """
     places = numbered_pools(pools, "pool", item, seed)
-    sizes = places.groupBy("pool").agg(F.max("__n").alias("__n"))
-    open_ = wants.join(sizes, "pool").withColumn("__tries", F.least("__tries", "__n").cast("long")).where("__tries > 0")
+    return _by_draws(_open(wants, places), places, keys, item, seed)
+
+
+def _by_draws(open_: DataFrame, places: DataFrame, keys: Sequence[str], item: str, seed: str) -> DataFrame:
+    """``tried`` of open wants: a row a draw is made and joined with the numbered places."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tries") - 1, F.lit(BLOCK).cast("long"))).alias("__first")
     blocks = spread(open_.select(*keys, "pool", "__k", "__n", "__tries", starts), *keys, "__first")
-    name = F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])
     last = F.least(F.col("__first") + BLOCK, "__tries") - 1
     n, many = F.col("__n"), last - F.col("__first") >= grid_side(F.col("__n"))
-    worded = blocks.withColumn("__name", name).withColumn("__last", last).withColumn("__words", F.when(many, network_words(n, F.col("__name"))))
+    worded = blocks.withColumn("__name", _name(keys, seed)).withColumn("__last", last).withColumn("__words", F.when(many, network_words(n, F.col("__name"))))
     few = F.transform(F.sequence("__first", "__last"), lambda x: permuted(x, n, F.col("__name")))
     block = F.when(F.col("__words").isNull(), few).otherwise(permuted_block(F.col("__first"), F.col("__last"), n, F.col("__name"), F.col("__words")))
     placed = worded.withColumn("__places", block).select(*keys, "pool", "__k", "__first", F.posexplode_outer("__places").alias("__at", "place")).where("place IS NOT NULL")  # outer: no filter that would make the places twice
     return placed.join(places.drop("__n"), ["pool", "place"]).select(*keys, item, "__k", (F.col("__first") + F.col("__at")).alias("__try"))
 
 
+def _by_places(open_: DataFrame, places: DataFrame, keys: Sequence[str], item: str, seed: str) -> DataFrame:
+    """(keys, item) of open wants: each place is looked up in the tries of all keys that draw from its pool.
+
+    A key has a row for each chunk of its pool's places, so that a large pool is dealt over many tasks.
+    """
+    chunk = CHUNK * grid_side(F.col("__n"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / chunk))).alias("__chunk")
+    dealt = spread(open_.select(*keys, "pool", "__n", "__tries", chunks), "pool", "__chunk")
+    worded = dealt.withColumn("__words", network_words(F.col("__n"), _name(keys, seed)))
+    own = places.select("pool", F.floor(F.col("place") / chunk).alias("__chunk"), "place", item)
+    # No broadcast: Spark takes the words for as small as the rows that they are made of.
+    return own.join(worded.hint("merge"), ["pool", "__chunk"]).where(unpermuted(F.col("place"), F.col("__n"), F.col("__words")) < F.col("__tries")).select(*keys, item)
+
+
 def drawn(wants: DataFrame, pools: DataFrame, barred: DataFrame, keys: Sequence[str], item: str, seed: str, attempts: int = 10, by: str | None = None) -> DataFrame:
     """(keys, item, draw): for each row of ``wants`` up to ``__k`` different items of its pool that are not barred.
 
@@ -141,7 +194,10 @@ def drawn(wants: DataFrame, pools: DataFrame, barred: DataFrame, keys: Sequence[
 
 def drawn_freely(wants: DataFrame, pools: DataFrame, keys: Sequence[str], item: str, seed: str) -> DataFrame:
     """(keys, item): ``drawn`` where nothing is barred, so that every try counts and none needs a number."""
-    return tried(wants.select(*keys, "pool", "__k", F.col("__k").alias("__tries")), pools, keys, item, seed).select(*keys, item)
+    places = numbered_pools(pools, "pool", item, seed)
+    open_ = _open(wants.select(*keys, "pool", "__k", F.col("__k").alias("__tries")), places)
+    much = F.col("__tries") >= F.col("__n") * PART_DRAWN
+    return _by_draws(open_.where(~much), places, keys, item, seed).select(*keys, item).unionByName(_by_places(open_.where(much), places, keys, item, seed))
 
 
 def _one_pool(pool: DataFrame, item: str) -> DataFrame:

@@ -70,3 +70,30 @@ def test_balanced_samples_are_made_in_many_tasks(spark, capsys):
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
     each = {(r.g, r.label): r["count"] for r in out.groupBy("g", "label").count().collect()}
     assert each == {("a", 0): 70, ("a", 1): 70, (None, 0): 70, (None, 1): 70, ("n", 0): 21, ("p", 1): 28}
+
+
+def test_networks_run_backwards(spark):
+    for n in (1, 2, 3, 5, 17, 300, 1009):
+        size, name = F.lit(n).cast("long"), F.lit(f"s{n}")
+        there = spark.range(n).select("id", draws.permuted(F.col("id"), size, name).alias("y"))
+        back = there.select("id", draws.unpermuted(F.col("y"), size, draws.network_words(size, name)).alias("x")).collect()
+        assert [r.x for r in back] == [r.id for r in back]
+
+
+def test_draws_of_much_of_a_pool_are_looked_up_from_its_places(spark, monkeypatch):
+    pools = [(p, i) for p, n in (("a", 1), ("b", 40), ("c", 1500)) for i in range(n)] + [("b", 7), ("b", None), (None, 3)]
+    pools = spark.createDataFrame(pools, "pool string, i long")
+    wants = [(p, s, p, k) for p, most in (("a", 2), ("b", 60), ("c", 1500)) for s, k in enumerate((0, 1, most // 5, most // 2, most))]
+    wants = spark.createDataFrame([*wants, (None, 0, "b", 30), ("d", 0, "d", 3), ("e", 0, None, 3)], "key string, sample int, pool string, __k long")
+    joined, own = [], draws._by_draws
+    monkeypatch.setattr(draws, "_by_draws", lambda open_, *rest: (joined.append(open_), own(open_, *rest))[1])
+    tries = wants.withColumn("__tries", F.col("__k"))
+    expected = draws.tried(tries, pools, ["key", "sample"], "i", "s").select("key", "sample", "i")
+    joined.clear()
+    got = draws.drawn_freely(wants, pools, ["key", "sample"], "i", "s")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, expected.collect()))
+    assert {(r.key, r["__k"]) for r in joined[0].collect()} == {("b", 1), ("c", 1), ("c", 300)}  # the only draws that are made and sent to the places
+    # Balanced samples of labels that are about as common make no draw at all.
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), (F.col("id") % 4 > 1).cast("int").alias("label"), "id")
+    assert draws.drawn_balanced(df, "g", "label", "id", 20, "s").count() == 8000 and joined[-1].isEmpty()
