@@ -132,19 +132,24 @@ def _entity(kind: str) -> Callable[[Column], Column]:
     return lambda m: holds(kind, m["value"])
 
 
-def _base(text: Column) -> Column:
-    """(start, order, end) of all base spans, in order."""
+def _base(text: Column, digit: Column) -> Column:
+    """(start, order, end) of all base spans, in order. ``digit``: whether the text has one, found once for all patterns."""
     each = []
     for order, (kind, pattern) in enumerate(KINDS.items()):
-        worth = text.contains(NEEDED[kind]) & (F.lit(True) if kind == "email" else text.rlike("[0-9]"))
+        worth = text.contains(NEEDED[kind]) & (F.lit(True) if kind == "email" else digit)
         good = F.filter(matches(text, pattern, worth), _entity(kind))
         each.append(F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), (m["start"] + F.length(m["value"])).alias("end"))))
     return F.array_sort(F.concat(*each))
 
 
-def _tokens(text: Column) -> Column:
-    """Hashes of the tokens as patterns see them: lower case, an identifier token is 0."""
-    return F.transform(F.filter(F.split(F.lower(text), _NOT_T), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9@]"), F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
+def _words(text: Column) -> Column:
+    """The tokens in lower case. Identifier tokens, and only they, hold a 0: one stands for their digits and at signs."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), "[0-9@]++", "0"), _NOT_T), "")
+
+
+def _hashed(word: Column) -> Column:
+    """What patterns see of a token of ``_words``: its hash, 0 of an identifier token."""
+    return F.when(word.contains("0"), F.lit(0).cast("long")).otherwise(F.xxhash64(word))
 
 
 #: What stands for a token before the first and after the last one.
@@ -155,53 +160,59 @@ def _patterns(left2: Column, left: Column, right: Column) -> Column:
     return F.array(F.xxhash64(F.lit(0), left), F.xxhash64(F.lit(1), left2, left), F.xxhash64(F.lit(2), left, right))
 
 
-def _candidates(text: Column) -> Column:
-    """(start, end, value, kind of the seed or -1, several kinds or none, left2, left, right) of all candidates."""
+def _candidates(text: Column, digit: Column) -> Column:
+    """(start, end, value, kind of the seed or -1, whether it is one, forms, left token, patterns) of all candidates."""
 
     def one(m: Column, i: Column) -> Column:
         lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], _TRIM_LEFT, ""))
         core = F.regexp_replace(F.regexp_replace(m["value"], _TRIM_LEFT, ""), _TRIM_RIGHT, "")
         kinds = F.filter(F.array(*[F.when(_holds_one(k, m["value"]), order) for order, k in enumerate(KINDS)]), lambda k: k.isNotNull())
         edge = F.when(i == 0, EDGE).otherwise(0).cast("long")
-        back = lambda t, d: F.when(F.size(t) >= d, F.get(t, F.size(t) - d)).otherwise(edge)
-        left = _let(_tokens(m["before"]), lambda t: F.struct(back(t, 2).alias("two"), back(t, 1).alias("one")))
+        back = lambda t, d: F.when(F.size(t) >= d, _hashed(F.get(t, F.size(t) - d))).otherwise(edge)
+        left = _let(_words(m["before"]), lambda t: F.struct(back(t, 2).alias("two"), back(t, 1).alias("one")))
         return F.struct(m["start"].alias("start"), lead.alias("lead"), core.alias("value"), kinds.alias("kinds"), left.alias("left"), m["after"].alias("after"), i.alias("i"))
 
     def finish(x: Column, n: Column) -> Column:
-        right = _let(_tokens(x["after"]), lambda t: F.coalesce(F.get(t, 0), F.when(x["i"] == n - 1, EDGE).otherwise(0).cast("long")))
+        right = _let(_words(x["after"]), lambda t: F.when(F.size(t) > 0, _hashed(F.get(t, F.lit(0)))).otherwise(F.when(x["i"] == n - 1, EDGE).otherwise(0).cast("long")))
         start = x["start"] + x["lead"]
         digits = F.length(_digits(x["value"]))
         return F.struct(
             start.alias("start"), (start + F.length(x["value"])).alias("end"), F.sha2(x["value"], 256).alias("value"), F.when(F.size(x["kinds"]) == 1, F.get(x["kinds"], 0)).otherwise(-1).alias("kind"), (F.size(x["kinds"]) > 0).alias("seed"),
-            F.array(x["value"].contains("@"), *[digits >= DIGITS[k] for k in ("ip", "card", "phone")]).alias("forms"), _patterns(x["left"]["two"], x["left"]["one"], right).alias("patterns"),
+            F.array(x["value"].contains("@"), *[digits >= DIGITS[k] for k in ("ip", "card", "phone")]).alias("forms"), x["left"]["one"].alias("left"), _patterns(x["left"]["two"], x["left"]["one"], right).alias("patterns"),
         )
 
-    return _let(F.transform(matches(text, CANDIDATE, text.rlike("[0-9@]")), one), lambda xs: F.filter(F.transform(xs, lambda x: finish(x, F.size(xs))), lambda x: x["end"] > x["start"]))
+    return _let(F.transform(matches(text, CANDIDATE, digit | text.contains("@")), one), lambda xs: F.filter(F.transform(xs, lambda x: finish(x, F.size(xs))), lambda x: x["end"] > x["start"]))
+
+
+def _plain_tokens(texts: DataFrame) -> DataFrame:
+    """(value, left2, left, right) of all plain tokens; ``texts`` has the column __text."""
+    tokens = texts.select(F.transform(_words(F.col("__text")), _hashed).alias("t"))
+    each = tokens.select("t", F.posexplode_outer("t").alias("at", "value")).where("value <> 0")  # outer: no filter that would make the tokens twice
+    near = lambda d: F.coalesce(F.get("t", F.col("at") + d), F.lit(EDGE).cast("long"))
+    return each.select("value", F.when(near(-1) == 0, F.lit(0).cast("long")).otherwise(near(-2)).alias("left2"), near(-1).alias("left"), near(1).alias("right"))
 
 
-def _plain_edges(texts: DataFrame) -> DataFrame:
-    """(pattern, value) of all plain tokens; ``texts`` has the column __text."""
-    edge = lambda n: F.array_repeat(F.lit(EDGE).cast("long"), n)
-    tokens = texts.select(_tokens(F.col("__text")).alias("t"))
-    shifted = F.arrays_zip(F.concat(edge(2), "t").alias("two"), F.concat(edge(1), "t", edge(1)).alias("one"), F.concat("t", edge(2)).alias("t"), F.concat(F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), edge(3)).alias("next"), F.transform("t", lambda _: F.lit(True)).alias("own"))
-    each = tokens.select(F.explode(shifted).alias("x")).where("x.own AND x.t <> 0").select("x.*")
-    return each.select(F.col("t").alias("value"), F.explode(_patterns(F.when(F.col("one") == 0, F.lit(0).cast("long")).otherwise(F.col("two")), F.col("one"), F.col("next"))).alias("pattern"))
+def _plain_edges(tokens: DataFrame) -> DataFrame:
+    """(value, pattern) of plain tokens."""
+    return tokens.select("value", F.explode(_patterns(F.col("left2"), F.col("left"), F.col("right"))).alias("pattern"))
 
 
 def learn(candidates: DataFrame, plain: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
-    """(value, kind) of the accepted candidates. ``candidates``: value, kind, seed, forms, patterns; ``plain``: pattern, value."""
+    """(value, kind) of the accepted candidates. ``candidates``: value, kind, seed, forms, left, patterns; ``plain``: value, left2, left, right."""
     each = candidates.groupBy("value").agg(F.max("seed").alias("seed"), F.min("kind").alias("low"), F.max("kind").alias("kind"), F.max("forms").alias("forms"))
     # A value that is a seed of several kinds, or of one here and none there, is a seed of no kind.
     values = each.select("value", "seed", F.when(F.col("low") == F.col("kind"), F.col("kind")).otherwise(-1).alias("kind"), "forms")
-    edges = candidates.select("value", F.explode("patterns").alias("pattern")).distinct()
-    likely = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    edges = candidates.select("value", "left", F.explode("patterns").alias("pattern")).distinct()  # a pattern has one left token
+    likely = stored(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.min("left").alias("left")).where(F.col("n") >= support))
     # A confidence is n / (n + bare) at most, for n values of candidates and ``bare`` plain ones. Where the plain values of
     # one hash class in ``CLASSES`` are too many for that, the others need not be counted: the result is the same.
-    some = plain.where(F.pmod("value", F.lit(CLASSES)) == 0).join(likely.select("pattern"), "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("some"))
+    some = _plain_edges(plain.where(F.pmod("value", F.lit(CLASSES)) == 0)).join(likely.select("pattern"), "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("some"))
     able = F.coalesce("some", F.lit(0)) * confidence <= F.col("n") * (1 - confidence) + 1e-6
-    likely = stored(likely.join(some, "pattern", "left").where(able).select("pattern"))
-    edges = stored(edges.join(likely, "pattern").join(values, "value").select("pattern", "value", "seed", "kind", "forms"))
-    bare = stored(plain.join(likely, "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("bare")))
+    likely = stored(likely.join(some, "pattern", "left").where(able).select("pattern", "left"))
+    edges = stored(edges.join(likely.select("pattern"), "pattern").join(values, "value").select("pattern", "value", "seed", "kind", "forms"))
+    # Few patterns are left: only tokens behind the left token of one get patterns.
+    behind = plain.join(likely.select("left"), "left", "left_semi")
+    bare = stored(_plain_edges(behind).join(likely.select("pattern"), "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("bare")))
     found = None
     for _ in range(rounds):
         scored = edges.join(found, "value", "left") if found is not None else edges.withColumn("got", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("double"))
@@ -229,9 +240,10 @@ def _listed(spans: Column) -> Column:
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
     """Per row: the id, ``base`` and ``spans``, arrays of (start, order of the kind, end)."""
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = stored(texts.select(F.monotonically_increasing_id().alias("row"), "id", _base(F.col("__text")).alias("base"), _candidates(F.col("__text")).alias("candidates")))
+    searched = texts.withColumn("__digit", F.col("__text").rlike("[0-9]"))
+    rows = stored(searched.select(F.monotonically_increasing_id().alias("row"), "id", _base(F.col("__text"), F.col("__digit")).alias("base"), _candidates(F.col("__text"), F.col("__digit")).alias("candidates")))
     candidates = rows.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    found = learn(candidates, _plain_edges(texts), **limits)
+    found = learn(candidates, _plain_tokens(texts), **limits)
     more = candidates.where(~F.col("seed")).select("row", "value", "start", "end").join(found, "value")
     more = more.groupBy("row").agg(F.collect_set(F.struct("start", F.col("kind").alias("order"), "end")).alias("more"))
     out = rows.drop("candidates").join(more, "row", "left")

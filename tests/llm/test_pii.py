@@ -143,3 +143,35 @@ def test_phrases_and_odd_rows(spark):
     assert set(found) >= {"555-0134-77", "0171.555.0188", "555-0222-11", "555-0999-12", "4111-1111-1111-1112"}, found
     assert not {"1999", "123456", "77777777", "12 34 5678901"} & set(found)
     assert pii.find(df.where("false")).collect() == []
+
+
+def test_plain_tokens_and_their_patterns(spark, capsys):
+    """Neighbours of the plain tokens, against a plain list; the text is cut into tokens once."""
+    texts = [None, "", " ,;", "One", "9", "a 1b2 C@d e", "  ÉCOLE, x0 ΑΣ'Α! \u0663 (end) 7", "0 0 z z", "İx 😀y"]
+    df = spark.createDataFrame([(t or "",) for t in texts], "__text string")
+    hashes = lambda w: [r.h for r in spark.createDataFrame([(x,) for x in w], "w string").selectExpr("xxhash64(w) h").collect()]
+    want = []
+    for (text,) in spark.createDataFrame([(t or "",) for t in texts], "t string").selectExpr("lower(t)").collect():
+        words = re.findall(T + "+", text)
+        h = [0 if re.search("[0-9@]", w) else x for w, x in zip(words, hashes(words) if words else [], strict=True)]
+        at = lambda i: h[i] if 0 <= i < len(h) else pii.EDGE  # noqa: B023, E731
+        want += [(x, 0 if at(i - 1) == 0 else at(i - 2), at(i - 1), at(i + 1)) for i, x in enumerate(h) if x]
+    tokens = pii._plain_tokens(df)
+    assert sorted(map(tuple, tokens.collect())) == sorted(want) and len(want) == 12
+    assert pii._plain_edges(tokens).count() == 3 * len(want)
+    capsys.readouterr()
+    tokens.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("split(") == 1 and "arrays_zip" not in plan and "Generate posexplode" in plan
+
+
+def test_only_tokens_behind_a_left_token_of_a_pattern_get_patterns(spark, monkeypatch):
+    seen, own = [], pii._plain_edges
+    monkeypatch.setattr(pii, "_plain_edges", lambda tokens: (seen.append(tokens), own(tokens))[1])
+    texts = phrases() + [f"word{'abcdefgh'[i % 8]} other thing {i}x" for i in range(8)] + ["nothing here at all"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: [tuple(s) for s in r.spans or []] for r in pii.find(df).collect()}
+    want, _ = plain(texts, pii.SUPPORT, pii.CONFIDENCE, pii.ROUNDS, pii.ACCEPT)
+    assert out == dict(enumerate(want))
+    every = pii._plain_tokens(df.select(pii.F.col("text").alias("__text"))).count()
+    assert 0 < seen[-1].count() < every / 2
